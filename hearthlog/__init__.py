@@ -1 +1,8 @@
 """Personal-memory analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+#: Functions that run on executors travel with the query, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
