@@ -89,6 +89,9 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: The same with ASCII punctuation and control characters.
+APART = _SPACE.copy()
+APART[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _MASK = np.array([(1 << (8 * k)) - 1 if k < 8 else 0xFFFFFFFFFFFFFFFF for k in range(9)], np.uint64)
@@ -105,11 +108,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; words end with their text."""
     if not len(buf):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~_SPACE[buf]
+    inside = ~space[buf]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
