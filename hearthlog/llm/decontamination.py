@@ -5,8 +5,8 @@ and digits (ASCII punctuation separates), A-Z lower-cased. Passages are windows
 apart, where the stride is at least as long as the items of an index, so each copy of an item lies in a
 passage whole. A score is divided by the item's own score for its full text, so one threshold fits all.
 
-1. Per passage, the sum of its words' largest impacts bounds all its scores: passages below the threshold
-   leave here (vectorised). 2. Block-max WAND on the rest gives all items at or above the threshold.
+1. Per passage, the sum of its words' largest impacts bounds all its scores, and the sum of the largest
+   within a block of items those of the block: passages below the threshold leave here (vectorised). 2. Block-max WAND on the rest gives all items at or above the threshold.
 3. Of these an item leaks if 75 % of the five-word shingles of its question, and of its answer, are in the
    passage. The answer is the last sentence, or the last quarter of the words where there is but one.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import APART, arrow_limits, buffers, chain, hash_words, pieces, words
 
 K1, B, THRESHOLD, OVERLAP, SHINGLE = 1.2, 0.75, 0.6, 0.75, 5
-LEAST_STRIDE, BLOCK, ITEM_WORDS = 64, 8, 1_000_000
+LEAST_STRIDE, BLOCK, NEAR, ITEM_WORDS = 64, 8, 2, 1_000_000
 OUT = "doc_id long, item_id long, score double, passage long, question_overlap double, answer_overlap double"
 
 
@@ -75,6 +75,11 @@ class Index:
         self.impact = [[x for _, x in p] for p in lists]
         self.block = [[max(x[k : k + BLOCK]) for k in range(0, len(x), BLOCK)] for x in self.impact]
         self.most = np.array([max(x) for x in self.impact]) if lists else np.zeros(0)
+        # the same block maxima by blocks of items, for many passages at a time
+        pairs = [sorted({}.fromkeys(a // NEAR for a in w)) for w in self.where]
+        self.spans = np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int64)
+        self.item_block = np.array([x for b in pairs for x in b], np.int64)
+        self.item_most = np.array([max(v for a, v in zip(w, x) if a // NEAR == k) for w, x, b in zip(self.where, self.impact, pairs) for k in b])
         self.some = np.zeros(1 << 16, bool)
         self.some[(self.terms & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -87,6 +92,25 @@ class Index:
         out[maybe[hit]] = at[hit]
         return out
 
+    def hopeful(self, passage: np.ndarray, term: np.ndarray, threshold: float) -> np.ndarray:
+        """Of (passage, term) pairs, sorted, without repeats: the passages that some block of items lets reach the threshold."""
+        if not len(passage):
+            return passage
+        names, at = np.unique(passage, return_inverse=True)
+        total = np.bincount(at, weights=self.most[term])
+        good = total[at] >= threshold - 1e-9
+        names, at = np.unique(passage[good], return_inverse=True)
+        term, wide, out = term[good], len(self.ids) // NEAR + 1, []
+        step = max(1, (1 << 21) // wide)
+        for a in range(0, len(names), step):
+            lo, hi = np.searchsorted(at, [a, a + step])
+            t, w = term[lo:hi], at[lo:hi] - a
+            n = self.spans[t + 1] - self.spans[t]
+            entry = np.repeat(self.spans[t] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            bound = np.bincount(np.repeat(w, n) * wide + self.item_block[entry], weights=self.item_most[entry], minlength=min(step, len(names) - a) * wide).reshape(-1, wide).max(axis=1)
+            out.append(names[a : a + step][bound >= threshold - 1e-9])
+        return np.concatenate(out) if out else names
+
     def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at least `threshold`: block-max WAND over the terms' postings."""
         end = len(self.ids)
@@ -166,7 +190,11 @@ def scan(column: pa.Array, index: Index, threshold: float = THRESHOLD):
     owner = np.repeat(np.arange(len(length)), blocks + 1)
     local = np.arange(len(owner)) - base[owner]
     # a passage starts in each block; that of the last block is part of the one before
-    live = np.flatnonzero((bound >= threshold - 1e-9) & (local < np.maximum(blocks[owner] - 1, 1)) & (blocks[owner] > 0))
+    ok = (bound >= threshold - 1e-9) & (local < np.maximum(blocks[owner] - 1, 1)) & (blocks[owner] > 0)
+    wide = len(index.terms)
+    key = np.sort(np.concatenate([(at[x] - back) * wide + term[hit][x] for back in (0, 1) for x in [np.flatnonzero((at >= back) & ok[np.maximum(at - back, 0)])]]))
+    key = key[np.diff(key, prepend=-1) > 0]
+    live = index.hopeful(key // wide, key % wide, threshold)
     best: dict = {}
     seen: dict = {}
     for w in live:
