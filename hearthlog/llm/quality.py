@@ -120,7 +120,9 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality_rules keeps, with the columns of docs."""
-    cuts = settle(thresholds(sketch(measure(docs), ["lang", "source"])), "cuts")
     named = [f"__o{i}" for i, _ in enumerate(docs.columns)]
     work = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, named)]).alias("__row"), "lang", "source", "text")
-    return judge(measure(work), cuts).filter("kept").select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(docs.columns, named)])
+    # written once: judging must not repeat the measuring expressions inside its filters
+    m = settle(measure(work).drop("text"), "measured")
+    cuts = settle(thresholds(sketch(m, ["lang", "source"])), "cuts")
+    return judge(m, cuts).filter("kept").select(*[F.col(f"__row.{n}").alias(c) for c, n in zip(docs.columns, named)])
