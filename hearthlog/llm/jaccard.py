@@ -11,8 +11,9 @@ texts link when 100 * |A and B| >= 75 * |A or B|. Result: components of links, n
    leader, and those that really link with it are its group (components of such links).
 4. The token-group matrix holds each group's token union. Shingles of one group only can't make links
    between groups, so nodes short of 75 % without them are done. The others look up their rarest shingles
-   (as many as a link can miss, plus one) in the matrix, the overlap with the token union of each group found
-   bounds the overlap with its members, and only groups that qualify are opened and compared exactly.
+   (as many as a link can miss, plus one) in the matrix. Sizes, the tokens left from a common one on and a
+   parity bitmap bound each overlap; then the overlap with the token union of each group found bounds that
+   with its members, and only groups that qualify are opened and compared exactly.
 
 Everything but step 3's choice of leaders is exact, and step 3 only saves work for step 4.
 
@@ -32,7 +33,7 @@ from .common import arrow_limits, buffers, chain, hash_words, mix, pieces, settl
 from .graph import components
 
 WORDS, PERCENT = 5, 75
-HASHES = 8
+HASHES, ROUNDS, BITS = 8, 4, 1024
 #: Tokens a packed hash range holds, about; ranges grow in number with the corpus.
 RANGE = 2_000_000
 _U = np.uint64
@@ -69,8 +70,9 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def names(off: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     """A 64-bit name of each set, which does not depend on order."""
     size = np.diff(off)
-    total = np.concatenate([[0], np.cumsum(mix(tokens.copy()), dtype=np.uint64)]).astype(np.uint64)
-    other = np.concatenate([[0], np.cumsum(mix(tokens ^ _U(0x5DEECE66D1CE4E5B)), dtype=np.uint64)]).astype(np.uint64)
+    zero = np.zeros(1, np.uint64)
+    total = np.concatenate([zero, np.cumsum(mix(tokens.copy()), dtype=np.uint64)])
+    other = np.concatenate([zero, np.cumsum(mix(tokens ^ _U(0x5DEECE66D1CE4E5B)), dtype=np.uint64)])
     return chain([size.astype(np.uint64), total[off[1:]] - total[off[:-1]], other[off[1:]] - other[off[:-1]]]).view(np.int64)
 
 
@@ -159,7 +161,7 @@ def shared_nodes(docs: DataFrame, ranges: int) -> DataFrame:
         # 40 bits and the range, which is kept in the high bits
         return pa.Table.from_batches([_deal(back, node, size, tokens, schema).append_column("from", pa.array(np.full(len(np.unique(back)), part), pa.int32()))])
 
-    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
     def enough(key, table):
         parts = [_unpack(x.as_py()) for x in table.column("lists")]
@@ -177,12 +179,14 @@ def shared_nodes(docs: DataFrame, ranges: int) -> DataFrame:
         keys = np.zeros((len(at), HASHES), np.int64)
         for k in range(HASHES if len(at) else 0):
             keys[:, k] = np.minimum.reduceat(mix(tokens * _U(2 * k + 3) + _U(0x9E3779B97F4A7C15 >> k)), off[:-1]).view(np.int64)
+        bits = np.bincount(np.repeat(np.arange(len(at)), count) * BITS + (mix(tokens.copy()) % _U(BITS)).astype(np.int64), minlength=len(at) * BITS).astype(np.uint8) & 1
+        bits = np.packbits(bits.reshape(len(at), BITS), axis=1, bitorder="little").reshape(-1).view("<i8")
         lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int64()))
-        return pa.Table.from_arrays([pa.array(node[at]), pa.array(n.astype(np.int64)), lists(off, tokens.view(np.int64)), lists(np.arange(0, keys.size + 1, HASHES), keys.reshape(-1))], schema=out)
+        return pa.Table.from_arrays([pa.array(node[at]), pa.array(n.astype(np.int64)), lists(off, tokens.view(np.int64)), lists(np.arange(0, keys.size + 1, HASHES), keys.reshape(-1)), lists(np.arange(0, len(bits) + 1, BITS // 64), bits)], schema=out)
 
     dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "part int, lists binary")
     held = dealt.groupBy("part").applyInArrow(common, "part int, lists binary, from int")
-    return held.groupBy("part").applyInArrow(enough, "node long, n long, tokens array<long>, keys array<long>")
+    return held.groupBy("part").applyInArrow(enough, "node long, n long, tokens array<long>, keys array<long>, bits array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -194,28 +198,65 @@ def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.withColumn("both", both).filter(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
+def _leaders(nodes: DataFrame, k: int) -> DataFrame:
+    """For each node the leader of another group that its bitmap is closest to: (a, b).
+
+    A leader stands for all nodes that agree in one, two or three min-hashes; each round draws others. Only
+    minima are gathered for a key, however many nodes share it.
+    """
+    one = F.transform("keys", lambda v, i: F.xxhash64(i, v))
+    two = F.transform("keys", lambda v, i: F.xxhash64(i, v, F.get("keys", (i + 1) % HASHES)))
+    three = F.transform("keys", lambda v, i: F.xxhash64(i, v, F.get("keys", (i + 1) % HASHES), F.get("keys", (i + 2) % HASHES)))
+    x = nodes.select("node", "n", "g", "bits", F.size("tokens").alias("all"), F.concat(one, two, three).alias("key"))
+    keyed = settle(x.withColumn("key", F.explode("key")), "keyed")
+    cols = ("node", "n", "g", "all", "bits")
+    drawn = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), *cols)).alias("x"), F.count("*").alias("c")).filter("c > 1")
+    drawn = drawn.select("key", *[F.col(f"x.{c}").alias(f"{c}2") for c in cols])
+    met = keyed.join(drawn, "key").filter((F.col("g") != F.col("g2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & _near())
+    return met.groupBy("node").agg(F.min(F.struct(_apart().alias("d"), F.col("node2").alias("b"))).alias("x")).select(F.col("node").alias("a"), F.col("x.b").alias("b"))
+
+
+def _apart():
+    """Bits in which the parity bitmaps of two nodes differ: at most the number of tokens they differ in."""
+    return sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("bits2", i))) for i in range(BITS // 64)), F.lit(0))
+
+
+def _near():
+    """Whether the bitmaps let two nodes link."""
+    return (100 + PERCENT) * (F.col("all") + F.col("all2") - _apart()) >= 2 * PERCENT * (F.col("n") + F.col("n2"))
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (node, n, tokens, keys) whose components are those of all links."""
-    keyed = nodes.select("node", F.posexplode("keys").alias("k", "v"))
-    leaders = keyed.groupBy("k", "v").agg(F.min("node").alias("leader"))
-    stars = keyed.join(leaders, ["k", "v"]).filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    near = settle(_verified(stars, nodes), "stars")
-    group = components(near)
-    member = settle(nodes.join(group, "node", "left").select("node", "n", "tokens", F.coalesce("root", "node").alias("g")), "groups")
+    near, group = None, nodes.select("node", F.col("node").alias("g"))
+    for k in range(ROUNDS):
+        new = _verified(_leaders(nodes.join(group, "node"), k), nodes)
+        near = settle(new if near is None else near.unionByName(new), "stars")
+        roots = components(near)
+        group = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"))
+    member = settle(nodes.join(group, "node").select("node", "n", "g", "tokens", "bits"), "groups")
     held = member.select("node", "n", "g", F.explode("tokens").alias("t"))
-    matrix = held.select("t", "g").distinct()
-    between = matrix.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
+    between = held.select("t", "g").distinct().groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
     need = F.ceil(F.col("n") * PERCENT / 100)
     open_ = held.join(between, "t").groupBy("node", "n", "g").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s")).filter(F.size("s") >= need)
-    open_ = settle(open_.withColumn("few", (F.size("s") - need + 1).cast("int")), "open")
-    rare = open_.select("node", "n", "g", F.explode(F.slice("s", F.lit(1), F.col("few"))).alias("x")).select("node", "n", "g", F.col("x.t").alias("t"))
-    asked = rare.select("t", F.col("g").alias("g2")).distinct().join(rare, "t").filter("g <> g2").select("node", "g2").distinct()
-    rows = open_.select("node", "n", F.explode("s.t").alias("t"))
-    union = open_.select("g", F.explode("s.t").alias("t")).distinct().select("t", F.col("g").alias("g2"))
-    bound = asked.join(rows, "node").join(union, ["t", "g2"]).groupBy("node", "n", "g2").agg(F.count("*").alias("both")).filter(100 * F.col("both") >= PERCENT * F.col("n"))
-    opened = settle(bound.select("node", "g2"), "opened")
-    other = rare.select(F.col("node").alias("b"), F.col("g").alias("g2"), "t")
-    pairs = opened.join(rare.select("node", "t"), "node").join(other, ["t", "g2"]).filter("node < b").select(F.col("node").alias("a"), "b").distinct()
+    # against partners of its own size or more, a node needs more in common, so fewer of its tokens stand in the matrix
+    more = F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT))
+    open_ = open_.withColumns({"m": F.size("s"), "few": (F.size("s") - need + 1).cast("int"), "least": (F.size("s") - more + 1).cast("int")})
+    open_ = settle(open_.join(member.select("node", "bits", F.size("tokens").alias("all")), "node"), "open")
+    asks = open_.select("node", "n", "g", "least", "all", "bits", "m", F.posexplode(F.slice("s", F.lit(1), F.col("few"))).alias("j", "x"))
+    asks = asks.select("node", "n", "g", "least", "all", "bits", "j", (F.col("m") - F.col("j")).alias("rest"), F.col("x.t").alias("t"))
+    matrix = asks.filter("j < least").select("t", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "g", "all", "bits", "rest")])
+    both = F.col("n") + F.col("n2")
+    fits = (
+        (F.col("g") != F.col("g2")) & ((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node")))) & (100 * F.col("n2") >= PERCENT * F.col("n"))
+        & ((100 + PERCENT) * F.least("rest", "rest2") >= PERCENT * both)  # what is left from a first common token on
+        & _near()
+    )
+    met = settle(asks.join(matrix, "t").filter(fits).select("node", "g2", "node2").distinct(), "met")
+    union = open_.join(met.select(F.col("g2").alias("g")).distinct(), "g", "left_semi").select(F.col("g").alias("g2"), F.explode("s.t").alias("t")).groupBy("g2").agg(F.collect_set("t").alias("union"))
+    bound = met.select("node", "g2").distinct().join(open_.select("node", "n", F.col("s.t").alias("own")), "node").join(union, "g2").filter(100 * F.size(F.array_intersect("own", "union")) >= PERCENT * F.col("n"))
+    opened = bound.select("node", "g2")
+    pairs = met.join(opened, ["node", "g2"], "left_semi").select(F.col("node").alias("a"), F.col("node2").alias("b"))
     return near.unionByName(_verified(pairs, nodes))
 
 
