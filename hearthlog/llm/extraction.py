@@ -47,6 +47,8 @@ NOT_AFTER = frozenset("content main article body wrapper container layout page".
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TEXT, OPEN, CLOSE = 0, 1, 2
+#: Share of the core's text from which an article inside it is the whole article.
+OWN = 0.3
 
 
 def _unwanted(name: str, attributes: str) -> bool:
@@ -186,6 +188,14 @@ def measure(root: Node) -> list[Node]:
     return order
 
 
+def _inside(top: Node) -> list[Node]:
+    out, k = [top], 0
+    while k < len(out):
+        out += [x for x in out[k].parts if isinstance(x, Node)]
+        k += 1
+    return out[1:]
+
+
 def cores(root: Node) -> list[Node]:
     """The subtrees that hold the article."""
     order = measure(root)
@@ -202,6 +212,10 @@ def cores(root: Node) -> list[Node]:
     around = [n for n in path if n.name in ("article", "main")]
     if around:
         return [next((n for n in reversed(around) if n.name == "article"), around[-1])]
+    below = _inside(best)
+    own = max((n for kind in ("article", "main") for n in below if n.name == kind), key=lambda n: n.chars, default=None)
+    if own is not None and own.chars >= OWN * best.chars:
+        return [own]
     limit = min(n.density for n in path)
     chosen, inside = [], set()
     for n in order:  # parents first: a chosen subtree is not entered again

@@ -1,0 +1,203 @@
+"""Operators over documents, against brute force."""
+
+import random
+import re
+import struct
+import zlib
+
+import pytest
+
+from hearthlog.llm import decontamination, jaccard, packing, pii, quality, repeats
+
+from .helpers import DOCS, WORDS, hard_docs, roots, sha
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(hard_docs(), DOCS)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def texts(df):
+    return [(r["doc_id"], r["text"] or "") for r in df.select("doc_id", "text").collect()]
+
+
+def test_quality_counts(spark, docs):
+    for df in (docs, spark.read.parquet(f"{SF}/documents.parquet")):
+        got = sorted((repr(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in quality.quality_rules(df).collect())
+        want = []
+        for i, t in texts(df):
+            w, seen = WORDS.findall(t), {}
+            for k in range(len(w) - 2):
+                seen.setdefault(tuple(w[k : k + 3]), []).append(k)
+            twice = {x + d for v in seen.values() if len(v) > 1 for x in v for d in range(3)}
+            lines = [x for x in t.split("\n") if WORDS.search(x)]
+            want.append((repr(i), len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(twice), len(w) < 50 or 100 * len(twice) > 50 * len(w)))
+        assert got == sorted(want)
+
+
+def test_quality_adapts_and_keeps_columns(spark, docs, empty):
+    r = random.Random(1)
+    rows = [(i, " ".join(f"w{r.randint(0, 5000)}" for _ in range(100)) + (" #%$" * 60 if i == 7 else ""), "en", "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert [x["doc_id"] for x in quality.quality_rules(df).filter("not kept").collect()] == [7]
+    assert quality.keep_good(docs).columns == docs.columns
+    assert quality.keep_good(empty).count() == quality.quality_rules(empty).count() == 0
+
+
+def jaccard_brute(rows):
+    sets = []
+    for i, t in rows:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t.encode())
+        w = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), x) for x in w]
+        sets.append((i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}))
+    edges = [(a, b) for x, (a, s) in enumerate(sets) for b, t in sets[:x] if s and t and 100 * len(s & t) >= 75 * len(s | t)]
+    found = roots([i for i, _ in sets], edges)
+    return sorted((i, len(s), found[i]) for i, s in sets)
+
+
+def test_jaccard(spark, docs, empty):
+    r = random.Random(2)
+    chain = [[f"t{k}" for k in range(200)]]
+    for _ in range(12):  # neighbours link, ends don't
+        nxt = list(chain[-1])
+        for k in r.sample(range(200), 4):
+            nxt[k] = f"n{r.random()}"
+        chain.append(nxt)
+    more = spark.createDataFrame([(100 + i, " ".join(w)) for i, w in enumerate(chain)], "doc_id long, text string")
+    for df in (docs.select("doc_id", "text").filter("doc_id is not null").union(more), spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")):
+        got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect())
+        assert got == jaccard_brute(texts(df))
+    assert jaccard.near_duplicates(empty).count() == 0
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 7, 9, 10, 11, 12, 13]
+
+
+def test_wand_finds_what_full_scoring_finds():
+    import pyarrow as pa
+
+    r = random.Random(1)
+    v = [f"w{i}" for i in range(200)]
+    items = [(i, " ".join(r.choices(v, k=r.randint(3, 40)))) for i in range(50)]
+    index = decontamination.Index(items, 64)
+    for _ in range(100):
+        q = r.choice(items)[1].split()[: r.randint(1, 40)] + r.choices(v, k=r.randint(0, 60))
+        terms = sorted({int(x) for x in index.find(decontamination.tokens(pa.array([" ".join(q)], pa.large_string()))[0]) if x >= 0})
+        score = {}
+        for t in terms:
+            for at, x in zip(index.where[t], index.impact[t]):
+                score[at] = score.get(at, 0) + x
+        for least in (0.2, 0.6):
+            assert {a for a, _ in index.search(terms, least)} == {a for a, x in score.items() if x >= least - 1e-12}
+
+
+def test_decontamination(spark, docs, empty):
+    item = "Which river runs through the old town of Karlin? The river that runs there is the Vltava, says the book."
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, item)], "item_id long, text string")
+    filler = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, f"{filler} {item.upper()} {filler}"), (2, filler), (3, None), (4, item), (5, item.split("?")[0] + "? " + filler)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench).collect())
+    assert got == [(1, 1), (1, 4), (4, 1), (4, 4)]
+    assert sorted(r["doc_id"] for r in decontamination.keep_clean(df, bench).collect()) == [2, 3, 5]
+    assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
+    assert decontamination.keep_clean(docs, bench).columns == docs.columns
+    d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = {(i, x["item_id"]) for x in b.collect() for i, t in texts(d) if x["text"] in t}
+    assert want <= {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
+
+
+KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(t):
+    out = []
+    for k, (name, p) in enumerate(KINDS.items()):
+        for m in re.finditer(p, t):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            luhn = sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d[::-1])) % 10 == 0
+            if {"ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 14 <= len(d) <= 19 and luhn, "phone": lambda: 10 <= len(d) <= 15}.get(name, lambda: True)():
+                out.append((m.start(), k, f"{name}:{m.start()}:{m.end()}"))
+    return [x for *_, x in sorted(out)]
+
+
+def test_pii(spark, docs, empty):
+    odd = ["a@b.c@d.e x_y@q.r.s", "1.2.3.4.5.6.7.8 300.1.1.1 0000255.1.1.1", "4111 1111 1111 1111 5-5", "+1(2)3 +12345678901234567 +1234567890", "aaa" * 3000, "a.b" * 2000, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"', "call 583-555-8469 now"]
+    more = spark.createDataFrame([(200 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    df = docs.select("doc_id", "text").union(more)
+    got = sorted((repr(r["doc_id"]), r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.report(df).collect())
+    want = [(repr(i), *[sum(x.startswith(k) for x in s) for k in KINDS], sha(",".join(s))) for i, t in texts(df) for s in [base_spans(t)]]
+    assert got == sorted(want)
+    for r in pii.report(df).collect():
+        assert set(base_spans(dict(texts(df))[r["doc_id"]])) <= set(r["spans"].split(",")) | {""}
+    assert pii.report(empty).count() == 0
+    red = pii.redact(docs)
+    assert red.columns == docs.columns and {r["text"] for r in red.filter("doc_id = 11").collect()} == {"mail <EMAIL> or <PHONE> from <IP> é <CARD> \x01 <EMAIL>"}
+
+
+def test_packing(spark, docs, empty):
+    import public_tokenizers
+    import tokenizers
+
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    tok.encode_special_tokens = True
+    df = docs.select("doc_id", "text").filter("doc_id is not null and doc_id <> 11").union(spark.createDataFrame([(50, "<|endoftext|> ½²  'll I'LL\n\n 日本語" * 4)], "doc_id long, text string"))
+    rows = packing.pack_documents(df).collect()
+    ids = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in texts(df)}
+    seen = {i: 0 for i in ids}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert r["start"] == seen[r["doc_id"]] and len(part) == r["length"] > 0 and zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r["ids_crc32"] and r["doc_tokens"] == len(ids[r["doc_id"]])
+        seen[r["doc_id"]] += r["length"]
+    assert seen == {i: len(x) for i, x in ids.items()}
+    ends = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= packing.SEQ and sum(ends.values()) >= 0.75 * packing.SEQ * (len(ends) - 1)
+    assert packing.pack_documents(empty).count() == 0
+
+
+def test_cutting_stock_is_near_its_bound():
+    import numpy as np
+
+    r, sizes = np.random.default_rng(1), np.arange(1, 257)
+    for demand in (r.integers(1, 2000, 256), (50000 / sizes).astype(int) + 1):
+        plan = packing.solve(sizes, demand, 256)
+        assert (sum(p * k for p, k in plan) == demand).all() and all((p * sizes).sum() <= 256 for p, _ in plan)
+        assert sum(k for _, k in plan) <= 1.01 * (demand * sizes).sum() / 256 + 2
+
+
+def repeats_brute(rows, n=400):
+    seen, rows = {}, [(i, t.encode()) for i, t in rows]
+    for _, t in rows:
+        for k in range(len(t) - n + 1):
+            seen[t[k : k + n]] = seen.get(t[k : k + n], 0) + 1
+    out = []
+    for i, t in rows:
+        cut = bytearray(len(t))
+        for k in range(len(t) - n + 1):
+            if seen[t[k : k + n]] > 1:
+                cut[k : k + n] = b"\1" * n
+        out.append((repr(i), len(t), sum(cut), len(re.findall(rb"\x01+", bytes(cut))), sha(bytes(b for b, c in zip(t, cut) if not c))))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [repeats.HOT, 1])
+def test_repeats(spark, docs, empty, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    r = random.Random(3)
+    p = "".join(r.choices("abcdefgh é", k=900))
+    odd = ["a" * 1000, "ab" * 202, "q" * 399, f"zz{p}yy", p[:500] + "x" + p[100:], "Ing " * 130, p, p]
+    df = docs.select("doc_id", "text").filter("doc_id is null or doc_id <> 9").union(spark.createDataFrame([(300 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    got = sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect())
+    assert got == repeats_brute(texts(df))
+    first = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(df, keep="first").collect()}
+    assert first[4] == 0 and first[5] > 400 and first[306] >= 400
+    assert repeats.remove_repeats(empty).count() == 0
