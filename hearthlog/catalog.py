@@ -1,11 +1,680 @@
-"""All queries of the library's own operators with their SQL."""
+"""All queries of the library's own operators with their SQL (DuckDB), over the driver's tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import values as V
+from .functions import emotion as E
+from .functions import text as T
+from .operators import aggregates as A
+from .operators import cluster as C
+from .operators import graph as G
+from .operators import joins as J
+from .operators import search as S
+from .operators import training as Q
+from .operators import windows as W
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+
+
+def s(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def any_of(col: str, keys) -> str:
+    return "(" + " OR ".join(f"contains(lower({col}), {s(k)})" for k in keys) + ")"
+
+
+# --- messages: events as a chat, user_id the conversation
+
+
+def messages(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("user_id").alias("conversation"), F.col("ts").alias("date"), F.col("event_id").alias("ord"), F.col("event_type").alias("sender_name"), F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("text"), "value")
+
+
+M = "m AS (SELECT user_id AS conversation, ts AS date, event_id AS ord, event_type AS sender_name, 'event ' || event_id AS text, value FROM events)"
+GAP = f"{M}, g AS (SELECT *, epoch_us(date) / 60e6 - lag(epoch_us(date)) OVER w / 60e6 AS gap_min FROM m WINDOW w AS (PARTITION BY conversation ORDER BY date, ord))"
+SES = f"{GAP}, z AS (SELECT *, CAST(sum(CASE WHEN gap_min IS NULL OR gap_min > 480 THEN 1 ELSE 0 END) OVER (PARTITION BY conversation ORDER BY date, ord) AS BIGINT) AS session FROM g)"
+
+
+@query(f"WITH {GAP} SELECT conversation, ord, round(gap_min, 4) AS gap_min FROM g")
+def w1_gap(spark, sf):
+    return W.with_gap(messages(spark, sf)).select("conversation", "ord", F.round("gap_min", 4).alias("gap_min"))
+
+
+@query(f"WITH {GAP} SELECT conversation, ord, round(avg(gap_min) OVER (PARTITION BY conversation ORDER BY date, ord ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS tempo_min FROM g")
+def w2_tempo(spark, sf):
+    return W.with_tempo(W.with_gap(messages(spark, sf))).select("conversation", "ord", F.round("tempo_min", 4).alias("tempo_min"))
+
+
+@query(f"WITH {SES} SELECT conversation, ord, session FROM z")
+def w3_sessions(spark, sf):
+    return W.with_session(messages(spark, sf)).select("conversation", "ord", "session")
+
+
+@query(f"""WITH {SES}, l AS (SELECT *, sender_name || ': ' || text AS line FROM z), p AS (SELECT *, lag(line, 1) OVER w AS p1, lag(line, 2) OVER w AS p2, row_number() OVER (PARTITION BY conversation, session ORDER BY date, ord) AS r FROM l WINDOW w AS (PARTITION BY conversation ORDER BY date, ord))
+SELECT conversation, session, coalesce('[CONTEXT] ' || max(CASE WHEN r = 1 THEN p2 END) || chr(10), '') || coalesce('[CONTEXT] ' || max(CASE WHEN r = 1 THEN p1 END) || chr(10), '') || string_agg(line, chr(10) ORDER BY date, ord) AS text, min(date) AS date, CAST(count(*) AS INT) AS message_count FROM p GROUP BY conversation, session""")
+def w4_session_documents(spark, sf):
+    return W.session_documents(messages(spark, sf))
+
+
+@query(f"WITH {M} SELECT conversation, ord, round(coalesce(value - lag(value) OVER w, 0), 6) AS delta FROM m WINDOW w AS (PARTITION BY conversation ORDER BY date, ord)")
+def w5_delta(spark, sf):
+    return messages(spark, sf).select("conversation", "ord", F.round(W.delta("value", "conversation", "date", "ord"), 6).alias("delta"))
+
+
+@query(f"WITH {M} SELECT conversation, ord, round(sum(value) OVER (PARTITION BY conversation ORDER BY date, ord ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3, 6) AS smooth FROM m")
+def w6_smooth(spark, sf):
+    return messages(spark, sf).select("conversation", "ord", F.round(W.smooth("value", "conversation", 3, "date", "ord"), 6).alias("smooth"))
+
+
+@query(f"WITH {M} SELECT conversation, ord, date AS since, lead(date) OVER (PARTITION BY conversation ORDER BY date, ord) AS until FROM m WHERE sender_name = 'purchase'")
+def w7_until_next(spark, sf):
+    return messages(spark, sf).filter("sender_name = 'purchase'").select("conversation", "ord", F.col("date").alias("since"), W.until_next("date", "conversation", "date", "ord").alias("until"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), ' [SEP] ') AS context FROM conversations")
+def w8_context_text(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", W.context_text("text", "conv_id", 3, "turn").alias("context"))
+
+
+@query("SELECT * FROM (SELECT conv_id, turn, role, coalesce(array_to_string(list(role || ': ' || text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), chr(10)), '') AS context, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM conversations) WHERE r > 1")
+def w9_model_context(spark, sf):
+    x = table(spark, sf, "conversations")
+    rows = W.context_rows(["role", "text"], "conv_id", 3, "turn")
+    x = x.select("conv_id", "turn", "role", F.array_join(F.transform(rows, lambda m: F.concat(m["role"], F.lit(": "), m["text"])), "\n").alias("context"), F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long").alias("r"))
+    return x.filter("r > 1")
+
+
+@query("""WITH f AS (SELECT user_id, ts, value / 100 AS lat, value / 50 AS lng FROM events WHERE value IS NOT NULL), c AS (SELECT *, CAST(round_even(lat / 0.5, 0) AS BIGINT) || '_' || CAST(round_even(lng / 0.5, 0) AS BIGINT) AS cell FROM f),
+n AS (SELECT *, CASE WHEN lag(cell) OVER w IS NULL OR cell <> lag(cell) OVER w OR epoch_us(ts) - lag(epoch_us(ts)) OVER w > 72 * 3600e6 THEN 1 ELSE 0 END AS new FROM c WINDOW w AS (PARTITION BY user_id ORDER BY ts, lat, lng)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, lat, lng) AS stay FROM n)
+SELECT user_id, cell, min(ts) AS start_time, max(ts) AS end_time, count(*) AS n FROM s GROUP BY user_id, stay, cell HAVING epoch_us(max(ts)) - epoch_us(min(ts)) >= 300 * 1e6""")
+def w10_stay_points(spark, sf):
+    e = table(spark, sf, "events").filter("value is not null").select("user_id", "ts", (F.col("value") / 100).alias("lat"), (F.col("value") / 50).alias("lng"))
+    return W.stay_points(e, "user_id", "ts", "lat", "lng", gap_h=72, step=0.5).select("user_id", "cell", "start_time", "end_time", "n")
+
+
+@query("SELECT 'window_' || (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) AS id, o_orderkey FROM orders")
+def w13_ordinal_ids(spark, sf):
+    return W.with_ordinal_id(table(spark, sf, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "window_").select("id", "o_orderkey")
+
+
+# --- text functions
+
+
+@query("SELECT o_orderkey, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS ts, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS month, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders")
+def p1_dates(spark, sf):
+    x = table(spark, sf, "orders")
+    shown = lambda f: F.date_format("o_orderdate", f)
+    return x.select("o_orderkey", F.date_format(T.chat_timestamp(shown("MMM d, yyyy h:mm:ss a")), "yyyy-MM-dd HH:mm:ss").alias("ts"), T.partial_date(shown("MMM yyyy")).alias("month"), T.day_month_year(shown("dd MMM yyyy")).alias("day"))
+
+
+@query("SELECT doc_id, left(text, 20) AS once FROM documents WHERE trim(left(text, 20)) = left(text, 20) AND length(left(text, 20)) = 20 AND NOT regexp_matches(left(text, 20), '[^\\x00-\\x7f]')")
+def p5_reaction_duplicate(spark, sf):
+    x = table(spark, sf, "documents").withColumn("h", F.substring("text", 1, 20)).filter((F.trim("h") == F.col("h")) & (F.length("h") == 20) & ~F.col("h").rlike(r"[^\x00-\x7f]"))
+    return x.select("doc_id", T.reaction_duplicate(F.concat("h", F.lit(" "), "h", F.lit(""))).alias("once"))
+
+
+TYPE = lambda c: f"CASE WHEN regexp_matches({c}, {s('(?i)^(?:' + '|'.join(V.SYSTEM_STARTS) + ')')}) THEN 'system' WHEN regexp_matches({c}, {s('(?i)^(?:' + '|'.join(V.REACTION_STARTS) + ')')}) THEN 'reaction' ELSE 'text' END"
+SAID = "CASE event_id % 7 WHEN 0 THEN 'You called ' || event_type WHEN 1 THEN 'You reacted to ' || event_type WHEN 2 THEN 'Anna joined the video call' WHEN 3 THEN 'so excited about my new job' WHEN 4 THEN 'see https://x.example/' || event_id || ' (edited)' WHEN 5 THEN 'ok' ELSE 'I moved to Paris and live in a house, sorry for the bad news' END"
+
+
+def said(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", "user_id", "ts", F.expr(SAID).alias("said"))
+
+
+@query(f"SELECT type, count(*) AS n FROM (SELECT {TYPE('said')} AS type FROM (SELECT {SAID} AS said FROM events)) GROUP BY type")
+def p6_message_type(spark, sf):
+    return said(spark, sf).groupBy(T.message_type("said").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT event_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(said, '(?i)https?://\\S+', '', 'g')), '(?i)\\s*\\(edited\\)\\s*$', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM (SELECT event_id, {SAID} AS said FROM events)")
+def p8_training_text(spark, sf):
+    return said(spark, sf).select("event_id", T.training_text("said").alias("clean"))
+
+
+@query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, trim(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '\\s{2,}', ' ', 'g')) AS plain FROM documents")
+def p11_p12_words(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.word_count("text").cast("long").alias("words"), T.language_text("text").alias("plain"))
+
+
+DEV = "CASE c_custkey % 6 WHEN 0 THEN 'Android OS 6.0.1 API 23 (samsung, X)' WHEN 1 THEN 'iOS 12' WHEN 2 THEN 'web_player osx' WHEN 3 THEN 'OS X 10' WHEN 4 THEN '' ELSE 'Partner lg' END"
+
+
+@query(f"SELECT device, count(*) AS n FROM (SELECT CASE {DEV} WHEN 'Android OS 6.0.1 API 23 (samsung, X)' THEN 'Android (Samsung)' WHEN 'iOS 12' THEN 'iOS' WHEN 'web_player osx' THEN 'Web Player' WHEN 'OS X 10' THEN 'macOS' WHEN '' THEN 'Unknown' ELSE 'Smart TV' END AS device FROM customer) GROUP BY device")
+def p14_devices(spark, sf):
+    return table(spark, sf, "customer").select(T.device(F.expr(DEV)).alias("device")).groupBy("device").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(round_even(value / 0.01, 0) AS BIGINT) AS cell, count(*) AS visits FROM events GROUP BY 1 HAVING count(*) >= 5")
+def p16_f13_grid(spark, sf):
+    return table(spark, sf, "events").groupBy(T.grid_cell("value").alias("cell")).agg(F.count("*").alias("visits")).filter("visits >= 5")
+
+
+@query("SELECT s_suppkey, 'City' || s_nationkey AS city, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def p17_address(spark, sf):
+    x = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    a = T.address(F.concat(F.lit("1 Street, City"), F.col("s_nationkey").cast("string"), F.lit(", Some Region, 12345, "), "n_name"))
+    return x.select("s_suppkey", a.alias("a")).select("s_suppkey", "a.city", "a.country")
+
+
+@query("SELECT p_partkey, regexp_replace(lower(p_name), '[^a-z]', '', 'g') AS slug, left(p_name, 8) AS short FROM part")
+def p25_p33_slug(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", T.slug("p_name").alias("slug"), T.shorten("p_name", 8).alias("short"))
+
+
+TOPICS = "list_filter([" + ", ".join(f"CASE WHEN {any_of('text', k)} THEN {s(t)} END" for t, k in V.INTERESTS.items()) + "], lambda x: x IS NOT NULL)"
+
+
+@query(f"SELECT doc_id, array_to_string({TOPICS}, ',') AS topics FROM documents")
+def p26_topics(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.array_join(T.topics("text"), ",").alias("topics"))
+
+
+IMP = f"greatest({V.IMPORTANCE_BASE}, " + ", ".join(f"CASE WHEN contains(lower(said), {s(k)}) THEN {w} ELSE {V.IMPORTANCE_BASE} END" for k, w in V.IMPORTANCE.items()) + ")"
+EMO = "CASE " + " ".join(f"WHEN {any_of('said', k)} THEN {s(e)}" for e, k in V.EMOTION_WORDS.items()) + " ELSE 'neutral' END"
+
+
+@query(f"SELECT event_id, CAST({IMP} AS DOUBLE) AS importance, {EMO} AS emotion FROM (SELECT event_id, {SAID} AS said FROM events) WHERE {IMP} > 0.3")
+def p26_f15_episodes(spark, sf):
+    return said(spark, sf).select("event_id", T.importance("said").alias("importance"), T.emotion_word("said").alias("emotion")).filter("importance > 0.3")
+
+
+OCC = lambda c, k: f"((length({c}) - length(replace({c}, {s(k)}, ''))) // {len(k)})"
+REL = {n: " + ".join(OCC("t", k) for k in ks) for n, ks in V.RELATION_WORDS.items()}
+
+
+@query(f"""WITH d AS (SELECT doc_id, lower(text) AS t, n_chars % 100 AS n FROM documents), r AS (SELECT doc_id, n, {REL['PARTNER']} AS p, {REL['FAMILY']} AS f, {REL['COLLEAGUE']} AS c FROM d), b AS (SELECT *, greatest(p, f, c) AS best FROM r)
+SELECT doc_id, CASE WHEN best < 2 THEN CASE WHEN n > 50 THEN 'FRIEND_OF' ELSE 'MET' END WHEN p = best THEN 'PARTNER_OF' WHEN f = best THEN 'FAMILY_OF' ELSE 'COLLEAGUE_OF' END AS relation, round(CASE WHEN best < 2 THEN CASE WHEN n > 50 THEN least(0.4 + n / 1000, 0.9) ELSE 0.5 END ELSE least(0.3 + 0.1 * best + n / 5000, 0.95) END, 6) AS confidence FROM b""")
+def p28_relations(spark, sf):
+    x = table(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 100).alias("n"), T.relation_scores("text").alias("sc"))
+    r = T.classify_relation("sc", "n")
+    return x.select("doc_id", r["relation"].alias("relation"), F.round(r["confidence"], 6).alias("confidence"))
+
+
+@query("SELECT event_id, round(least(greatest(value / 50 - 1, -1), 1), 6) AS v, CAST(0.5 AS DOUBLE) AS a, CAST(1 AS DOUBLE) AS d FROM events WHERE value IS NOT NULL")
+def p29_model_json(spark, sf):
+    x = table(spark, sf, "events").filter("value is not null").withColumn("raw", F.concat(F.lit('Sure: {"v": '), (F.col("value") / 50 - 1).cast("string"), F.lit(', "d": 7} done')))
+    r = T.vad_reply("raw")
+    return x.select("event_id", F.round(r["v"], 6).alias("v"), r["a"].alias("a"), r["d"].alias("d"))
+
+
+@query("SELECT doc_id, (n_chars + 10 + 20 + 4 * 256) // 3 AS tokens FROM (SELECT doc_id, length(text) AS n_chars FROM documents)")
+def p22_token_estimate(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate("text", F.lit("h" * 10), F.lit("s" * 20), 256).cast("long").alias("tokens"))
+
+
+@query("SELECT doc_id, left(text, 10) AS thought, 'answer' AS answer FROM documents WHERE trim(left(text, 10)) = left(text, 10)")
+def p23_think_split(spark, sf):
+    x = table(spark, sf, "documents").filter(F.trim(F.substring("text", 1, 10)) == F.substring("text", 1, 10))
+    r = T.think_split(F.concat(F.lit("<think>"), F.substring("text", 1, 10), F.lit("</think> answer")))
+    return x.select("doc_id", r["thought"].alias("thought"), r["answer"].alias("answer"))
+
+
+LOWQ = "(?i)^(?:" + "|".join(V.STOCK) + ")$"
+
+
+@query(f"SELECT event_id, regexp_matches(said, {s('(?i)(?:' + ')|(?:'.join(V.NOISE) + ')')}) AS noise, (trim(said) = '' OR regexp_matches(trim(said), {s(LOWQ)}) OR regexp_matches(said, {s('(?i)(?:' + ')|(?:'.join(V.ARTEFACTS) + ')')}) OR len(list_filter(regexp_split_to_array(said, '\\s+'), lambda x: x <> '')) < 2) AS low FROM (SELECT event_id, {SAID} AS said FROM events)")
+def f4_f6_quality(spark, sf):
+    return said(spark, sf).select("event_id", T.is_noise("said").alias("noise"), T.is_low_quality("said").alias("low"))
+
+
+# --- emotions: the value of an event as a distribution
+
+PROBS = "coalesce(value, 0) AS x FROM events"
+RAW = {"anger": "x % 7", "disgust": "x % 3", "fear": "x % 5", "joy": "x % 11", "surprise": "x % 2", "sad": "x % 13", "neutral": "x % 4"}
+FIVE = {"anger": "x % 7 + x % 3", "fear": "x % 5", "joy": "x % 11 + x % 2", "sadness": "x % 13", "neutral": "x % 4"}
+TOTAL = " + ".join(FIVE.values())
+HARM = f"h AS (SELECT event_id, user_id, ts, " + ", ".join(f"CASE WHEN {TOTAL} > 0 THEN ({v}) / ({TOTAL}) ELSE 0 END AS {e}" for e, v in FIVE.items()) + f" FROM (SELECT event_id, user_id, ts, floor(abs({PROBS.split(' AS ')[0]})) AS x FROM events))"
+VADS = "v AS (SELECT *, " + ", ".join(" + ".join(f"{e} * {E.VAD[e][k]}" for e in V.EMOTIONS) + f" AS {n}" for k, n in enumerate("vad")) + " FROM h)"
+DOM = "CASE " + " ".join(f"WHEN {e} = greatest({', '.join(V.EMOTIONS)}) THEN '{e}'" for e in V.EMOTIONS) + " END"
+
+
+def emotions(spark, sf) -> DataFrame:
+    x = table(spark, sf, "events").withColumn("x", F.floor(F.abs(F.coalesce("value", F.lit(0.0)))).cast("double"))
+    x = x.withColumn("p", F.create_map(*[y for k, v in RAW.items() for y in (F.lit(k), F.expr(v))]))
+    x = x.withColumn("e", E.harmonise("p")).withColumn("vad", E.vad("e"))
+    return x.select("event_id", "user_id", "ts", "e", E.dominant("e").alias("dominant"), "e.*", "vad.v", "vad.a", "vad.d")
+
+
+@query(f"WITH {HARM}, {VADS} SELECT event_id, round(v, 6) AS v, round(a, 6) AS a, round(d, 6) AS d, {DOM} AS dominant FROM v")
+def p34_p36_emotions(spark, sf):
+    return emotions(spark, sf).select("event_id", *[F.round(c, 6).alias(c) for c in "vad"], "dominant")
+
+
+@query(f"WITH {HARM}, {VADS}, n AS (SELECT {DOM} AS dominant, count(*) AS n FROM v GROUP BY 1) SELECT e AS dominant, coalesce(n, 0) AS n FROM (SELECT unnest({V.EMOTIONS}) AS e) LEFT JOIN n ON e = dominant")
+def a23_dominant_counts(spark, sf):
+    return A.emotion_counts(emotions(spark, sf).select("dominant"), "dominant")
+
+
+@query(f"WITH {HARM}, {VADS} SELECT round(avg(v), 6) AS v_mean, round(stddev_pop(v), 6) AS v_std, round(var_pop(v), 6) AS v_var, round(min(v), 6) AS v_min, round(max(v), 6) AS v_max FROM v")
+def a21_vad_summary(spark, sf):
+    x = A.population(emotions(spark, sf), ["v"])
+    return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
+
+
+@query(f"WITH {HARM}, {VADS}, d AS (SELECT user_id, " + ", ".join(f"coalesce({c} - lag({c}) OVER w, 0) AS {c}_" for c in "vad") + " FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), t AS (SELECT user_id, sqrt(v_ * v_ + a_ * a_ + d_ * d_) AS s FROM d) SELECT user_id, count(*) AS n, round(avg(s), 2) AS mean_step, round(max(s), 2) AS max_step FROM t GROUP BY user_id HAVING count(*) >= 2")
+def a24_drift(spark, sf):
+    x = emotions(spark, sf)
+    x = x.select("user_id", *[W.delta(c, "user_id", "ts", "event_id").alias(f"d{c}") for c in "vad"])
+    step = F.sqrt(F.col("dv") * F.col("dv") + F.col("da") * F.col("da") + F.col("dd") * F.col("dd"))
+    exact = x.withColumn("s", step).groupBy("user_id").agg(F.round(F.avg("s"), 2).alias("mean_step"), F.round(F.max("s"), 2).alias("max_step"))
+    return A.drift(x, "user_id", ["dv", "da", "dd"]).select("user_id", "n").join(exact, "user_id")
+
+
+# --- aggregates
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, min(event_id), user_id LIMIT 1")
+def a1_most_frequent(spark, sf):
+    return A.most_frequent(table(spark, sf, "events"), "user_id", "event_id").select("user_id", "n")
+
+
+@query("SELECT r_name AS source, coalesce(n, 0) AS n FROM region LEFT JOIN (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_name LIKE 'A%' OR n_name LIKE '%1%' GROUP BY 1) ON n_regionkey = r_regionkey")
+def a2_source_counts(spark, sf):
+    n = table(spark, sf, "nation").filter("n_name like 'A%' or n_name like '%1%'").withColumnRenamed("n_regionkey", "r_regionkey")
+    return A.counts_with_zeros(n, "r_regionkey", table(spark, sf, "region")).select(F.col("r_name").alias("source"), "n")
+
+
+@query("SELECT year, n, round_even(n / max(n) OVER () * 100, 1) AS bar FROM (SELECT CAST(year(o_orderdate) AS INT) AS year, count(*) AS n FROM orders GROUP BY 1)")
+def a3_year_timeline(spark, sf):
+    return A.year_timeline(table(spark, sf, "orders"), "o_orderdate")
+
+
+@query("WITH c AS (SELECT conv_id, count(*) AS c FROM conversations WHERE trim(text) <> '' GROUP BY 1), b AS (SELECT * FROM (VALUES " + ", ".join(f"({lo}, {hi or 10**9}, '{n}')" for lo, hi, n in A.LENGTHS) + ") AS t(lo, hi, bucket)) SELECT bucket, count(conv_id) AS n FROM b LEFT JOIN c ON c BETWEEN lo AND hi GROUP BY bucket")
+def a4_length_buckets(spark, sf):
+    return A.length_buckets(table(spark, sf, "conversations"), "conv_id", "text")
+
+
+@query("SELECT count(*) FILTER (value > 30) AS plays, count(DISTINCT CASE WHEN value > 30 THEN event_type || '/' || (event_id % 50) END) AS tracks, count(DISTINCT CASE WHEN value > 30 THEN event_type END) AS artists, count(*) FILTER (NOT coalesce(value > 30, FALSE)) AS skipped FROM events")
+def a10_f11_plays(spark, sf):
+    e = table(spark, sf, "events").select(F.col("event_type").alias("artist"), (F.col("event_id") % 50).cast("string").alias("title"), "ts", (F.col("value") * 1000).alias("ms_played"))
+    return A.play_summary(e).select("plays", "tracks", "artists", "skipped")
+
+
+@query("SELECT l_returnflag AS game, CAST(sum(l_quantity) AS BIGINT) AS total_s, count(*) AS sessions, min(l_shipdate) AS first, max(l_shipdate) AS last FROM lineitem GROUP BY ROLLUP (l_returnflag)")
+def a12_game_rollup(spark, sf):
+    x = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("game"), F.col("l_quantity").alias("duration_s"), F.col("l_shipdate").alias("start_at"), F.col("l_shipdate").alias("end_at"))
+    return A.session_summary(x, "game").select("game", F.col("total_s").cast("long").alias("total_s"), "sessions", "first", "last")
+
+
+def _stop(ws, c="text"):
+    return f"len(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda x: list_contains([{', '.join(map(s, ws))}], x)))"
+
+
+FR = ["le", "la", "les", "des", "est", "une", "que", "pour", "dans", "avec", "pas", "sur"]
+EN = ["the", "and", "of", "to", "is", "that", "with", "for", "was", "this", "not", "on"]
+
+
+@query(f"WITH t AS (SELECT source, {_stop(FR)} > {_stop(EN)} AS fr, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, text) AS r FROM documents WHERE length(text) >= 30) SELECT source, CASE WHEN count(*) FILTER (fr) > count(*) FILTER (NOT fr) THEN 'fr' ELSE 'en' END AS language FROM t WHERE r <= 30 GROUP BY source")
+def a13_language_vote(spark, sf):
+    from .plans.context import stopword_language
+
+    return A.language_vote(table(spark, sf, "documents"), "source", "text", stopword_language("text") == "fr")
+
+
+@query("SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text, count(*) AS n, min(turn) AS first_date FROM conversations GROUP BY conv_id")
+def a14_conversation_text(spark, sf):
+    return A.conversation_text(table(spark, sf, "conversations").withColumn("o", F.lit(0)), "conv_id", "turn", "o", "text")
+
+
+@query("SELECT o_custkey, count(*) AS n, count(DISTINCT year(o_orderdate)) AS years, min(o_orderdate) AS since, max(o_orderdate) AS last FROM orders GROUP BY 1 HAVING count(*) >= 2 OR count(DISTINCT year(o_orderdate)) >= 2")
+def a15_evidence(spark, sf):
+    return A.evidence(table(spark, sf, "orders"), "o_custkey", "o_orderdate")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, round(least(0.2 + count(*) / 10, 0.8), 4) AS confidence FROM events GROUP BY 1, 2 HAVING count(*) >= 2")
+def a16_mentions(spark, sf):
+    return A.mentions(table(spark, sf, "events"), ["user_id", "event_type"]).withColumn("confidence", F.round("confidence", 4))
+
+
+@query("WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events), c AS (SELECT CAST(least(19, greatest(0, ceil((value - lo) / (hi - lo) * 20) - 1)) AS INT) AS bin, count(*) AS n FROM events, b WHERE value IS NOT NULL GROUP BY 1) SELECT CAST(i AS INT) AS bin, round(lo + (i + 0.5) * (hi - lo) / 20, 6) AS mid, coalesce(n, 0) AS n FROM range(20) AS r(i) CROSS JOIN b LEFT JOIN c ON bin = i")
+def a22_histogram(spark, sf):
+    return A.histogram(table(spark, sf, "events"), "value").withColumn("mid", F.round("mid", 6))
+
+
+@query("SELECT source, n, round_even(n / sum(n) OVER () * 100, 1) AS pct FROM (SELECT source, count(*) AS n FROM documents GROUP BY source)")
+def w14_share(spark, sf):
+    return A.share(table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n")))
+
+
+@query("SELECT lang, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most FROM documents GROUP BY lang")
+def a31_languages(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"))
+
+
+@query("WITH p AS (SELECT split(regexp_replace(regexp_replace(url, '^[a-z]+:/*', ''), '[?#].*$', ''), '/') AS p FROM pages WHERE url IS NOT NULL), f AS (SELECT array_to_string(p[1:k], '/') AS folder, k = len(p) - 1 AS own FROM p, unnest(range(1, len(p))) AS u(k)) SELECT folder, count(*) AS files, count(*) FILTER (own) AS own_files FROM f GROUP BY folder")
+def a32_folders(spark, sf):
+    p = table(spark, sf, "pages").filter("url is not null").select(F.regexp_replace("url", "[?#].*$", "").alias("path"))
+    return A.files_by_folder(p.filter(F.size(F.split(F.regexp_replace("path", "^[a-z]+:/*", ""), "/")) > 1))
+
+
+# --- joins
+
+
+@query("SELECT c_custkey, coalesce(n_name, 'nation ' || c_nationkey) AS place FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON c_nationkey = n_nationkey")
+def j1_j3_lookup(spark, sf):
+    n = table(spark, sf, "nation").filter("n_nationkey % 2 = 0")
+    return J.lookup(table(spark, sf, "customer"), "c_nationkey", n, "n_nationkey", "n_name", F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")), "place").select("c_custkey", "place")
+
+
+@query("SELECT o_orderkey, arg_min(s_suppkey, l_linenumber * 1000000 + s_suppkey) AS supplier FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN supplier ON l_suppkey = s_suppkey AND s_acctbal > 5000 GROUP BY o_orderkey")
+def j2_first_match(spark, sf):
+    people = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q"), (F.col("l_linenumber") * 1000000 + F.col("l_suppkey")).alias("pos"), F.col("l_suppkey").cast("string").alias("name"))
+    dim = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_suppkey").alias("conversation"))
+    return J.first_match(people, dim).select(F.col("q").alias("o_orderkey"), F.col("conversation").alias("supplier"))
+
+
+@query("SELECT DISTINCT c_custkey, format('{:.6f}_{:.6f}', c_acctbal, c_acctbal / 2) AS cell FROM customer")
+def j4_coordinate_key(spark, sf):
+    x = table(spark, sf, "customer").withColumn("h", F.col("c_acctbal") / 2)
+    return x.select("c_custkey", J.coordinate_key("c_acctbal", "h").alias("cell"))
+
+
+@query("SELECT c_custkey, s.s_suppkey AS colleague FROM customer JOIN (SELECT s_nationkey, max(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1) s ON c_nationkey = s_nationkey")
+def j5_colleagues(spark, sf):
+    people = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("company"))
+    own = table(spark, sf, "supplier").select(F.concat(F.lit("NATION "), F.col("s_nationkey").cast("string")).alias("company"), F.col("s_suppkey").alias("seq"))
+    last = J.last_wins(own, F.lower("company"), "seq", "seq", "k")
+    return J.same_company(people, own, "seq").select("c_custkey", F.lower("own_company").alias("k")).join(last, "k").select("c_custkey", F.col("seq").alias("colleague"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_name AS match, min(p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), j AS (SELECT name, match, least(length(name), length(match)) AS l, pos FROM a JOIN b ON (starts_with(name, match) OR starts_with(match, name)) WHERE length(name) >= 5 AND length(match) >= 5)
+SELECT name, match FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY l DESC, pos) AS r FROM j) WHERE r = 1""")
+def j6_prefix_match(spark, sf):
+    p = table(spark, sf, "part")
+    return J.prefix_match(p.select(F.col("p_name").alias("name")).distinct(), p.filter("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos")))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) GROUP BY 1")
+def j12_semi(spark, sf):
+    keys = table(spark, sf, "customer").filter("c_acctbal > 5000").withColumnRenamed("c_custkey", "o_custkey")
+    return J.having(table(spark, sf, "orders"), keys, "o_custkey").groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def j13_anti(spark, sf):
+    return J.having(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", present=False).select("c_custkey")
+
+
+@query("SELECT doc_id, n_chars, quality FROM documents JOIN labels USING (doc_id)")
+def j15_zip(spark, sf):
+    return J.zip_rows(table(spark, sf, "documents"), table(spark, sf, "labels"), "doc_id").select("doc_id", "n_chars", "quality")
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 3")
+def t6_longest(spark, sf):
+    return J.top_per(table(spark, sf, "documents"), ["source"], 3, F.desc("n_chars"), "doc_id").select("source", "doc_id", "n_chars")
+
+
+@query("SELECT 'customer' AS kind, c_custkey AS id, c_acctbal AS balance FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier")
+def u1_union(spark, sf):
+    c = table(spark, sf, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
+    return J.union_all(c, table(spark, sf, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")))
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_nationkey >= 5 UNION ALL SELECT r_regionkey, r_name FROM region")
+def u6_right_wins(spark, sf):
+    return J.right_wins(table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")), table(spark, sf, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name")), "id")
+
+
+# --- search
+
+ASK = "theat erand onin thea"
+TOK = "t AS (SELECT doc_id AS id, unnest(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS term FROM documents)"
+BM = f"""{TOK}, tf AS (SELECT id, term, count(*) AS tf FROM t GROUP BY 1, 2), dl AS (SELECT id, count(*) AS dl FROM t GROUP BY 1), st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(dl) FROM dl) / (SELECT count(*) FROM documents) AS avgdl),
+i AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM tf, st GROUP BY term, n), idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM i) ELSE raw END AS idf FROM i),
+sc AS (SELECT id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN idf USING (term) JOIN dl USING (id), st WHERE term IN ({', '.join(map(s, ASK.split()))}) GROUP BY id),
+bm AS (SELECT doc_id AS id, coalesce(score, 0) AS score FROM documents LEFT JOIN sc ON id = doc_id)"""
+
+
+def corpus(spark, sf) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source", "n_chars")
+    return d.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id")
+
+
+@query(f"WITH {BM} SELECT id, round(score, 5) AS score FROM bm ORDER BY score DESC, id LIMIT 20")
+def v3_bm25(spark, sf):
+    d = table(spark, sf, "documents")
+    return S.top(S.bm25(d, ASK, "doc_id"), 20, F.desc("score"), "id").select("id", F.round("score", 5).alias("score"))
+
+
+ASKED = [((i * 37) % 11 - 5) / 5 for i in range(64)]
+QV = "[" + ", ".join(f"{x}::DOUBLE" for x in ASKED) + "]"
+DIST = f"list_sum(list_transform(list_zip(embedding::DOUBLE[], {QV}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+@query(f"SELECT vec_id, label, round({DIST}, 5) AS distance FROM embeddings ORDER BY {DIST}, vec_id LIMIT 10")
+def v2_knn(spark, sf):
+    return S.knn(table(spark, sf, "embeddings"), ASKED, 10, "vec_id").select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
+@query(f"SELECT vec_id, label, round({DIST}, 5) AS distance FROM embeddings WHERE label = 3 ORDER BY {DIST}, vec_id LIMIT 10")
+def v2_knn_filtered(spark, sf):
+    return S.knn(table(spark, sf, "embeddings"), ASKED, 10, "vec_id", condition=F.col("label") == 3).select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
+FUSE = f"""{BM}, c AS (SELECT doc_id AS id, text AS content, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id), sem AS (SELECT content, row_number() OVER (ORDER BY {DIST}, id) AS pos FROM c QUALIFY pos <= 20), kw AS (SELECT content, row_number() OVER (ORDER BY score DESC, c.id) AS pos FROM c JOIN bm ON c.id = bm.id QUALIFY pos <= 20),
+se AS (SELECT content, max(pos) AS semantic_rank, min(pos) AS s_pos FROM sem GROUP BY 1), ke AS (SELECT content, max(pos) AS bm25_rank, min(pos) AS b_pos FROM kw GROUP BY 1), fu AS (SELECT coalesce(se.content, ke.content) AS content, semantic_rank, bm25_rank, coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + bm25_rank), 0) AS rrf_score, s_pos, b_pos FROM se FULL JOIN ke ON se.content = ke.content)"""
+
+
+@query(f"WITH {FUSE} SELECT md5(content) AS content, semantic_rank, bm25_rank, round(rrf_score, 8) AS rrf_score FROM fu")
+def v4_rank_fusion(spark, sf):
+    c = corpus(spark, sf)
+    sem = S.ranked(c.withColumn("distance", S.distance("embedding", ASKED)).select("id", "content", "distance"), "distance", "id", n=20)
+    key = S.ranked(c.select("id", "content").join(S.bm25(table(spark, sf, "documents"), ASK, "doc_id"), "id"), F.desc("score"), "id", n=20)
+    return S.fuse(sem, key).select(F.md5("content").alias("content"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), F.round("rrf_score", 8).alias("rrf_score"))
+
+
+OV = f"len(list_intersect(regexp_split_to_array(lower(content), '\\s+'), [{', '.join(map(s, sorted(set(ASK.split()))))}])) / {len(set(ASK.split()))}"
+
+
+@query()
+def v6_hybrid(spark, sf):
+    c = corpus(spark, sf)
+    return S.hybrid(c, ASK, ASKED, 20, 5).withColumn("content", F.md5("content"))
+
+
+# --- graph: customers, orders, parts, nations
+
+NONE = "MAP {}"
+
+
+def edges(spark, sf) -> DataFrame:
+    o = table(spark, sf, "orders").withColumn("since", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    placed = G.triples(o, [("Person", "o_custkey", "PLACED", "Order", "o_orderkey", {"since": "since"})])
+    lives = G.triples(table(spark, sf, "customer"), [("Person", "c_custkey", "LIVES_IN", "Country", "c_nationkey", {})])
+    region = G.triples(table(spark, sf, "nation"), [("Country", "n_nationkey", "IN_REGION", "Region", "n_regionkey", {})])
+    return placed.unionByName(lives).unionByName(region)
+
+
+ED = "e AS (SELECT 'Person' AS from_label, o_custkey::VARCHAR AS from_name, 'PLACED' AS rel_type, 'Order' AS to_label, o_orderkey::VARCHAR AS to_name FROM orders UNION ALL SELECT 'Person', c_custkey::VARCHAR, 'LIVES_IN', 'Country', c_nationkey::VARCHAR FROM customer UNION ALL SELECT 'Country', n_nationkey::VARCHAR, 'IN_REGION', 'Region', n_regionkey::VARCHAR FROM nation)"
+BOTH = f"{ED}, b AS (SELECT * FROM e UNION ALL SELECT to_label, to_name, rel_type, from_label, from_name FROM e WHERE NOT (from_label = to_label AND from_name = to_name))"
+
+
+@query(f"WITH {ED} SELECT * FROM e")
+def g3_triples(spark, sf):
+    return edges(spark, sf).select(*G.EDGE)
+
+
+@query(f"WITH {ED}, n AS (SELECT from_label AS label, from_name AS name FROM e UNION SELECT to_label, to_name FROM e) SELECT 'node' AS kind, label AS name, count(*) AS n FROM n GROUP BY 2 UNION ALL SELECT 'edge', rel_type, count(*) FROM e GROUP BY 2")
+def a6_graph_stats(spark, sf):
+    e = edges(spark, sf)
+    return G.stats(G.endpoints(e), e)
+
+
+@query(f"WITH {BOTH} SELECT label, name, degree FROM (SELECT from_label AS label, from_name AS name, count(*) AS degree FROM b GROUP BY 1, 2) ORDER BY degree DESC, label, name LIMIT 10")
+def a7_degree(spark, sf):
+    e = edges(spark, sf)
+    return G.degree(G.endpoints(e), e).orderBy(F.desc("degree"), "label", "name").limit(10)
+
+
+@query(f"WITH {BOTH} SELECT rel_type, to_label, to_name FROM b WHERE from_name = '3' ORDER BY 1, 2, 3 LIMIT 50")
+def t8_neighbours(spark, sf):
+    return G.neighbours(edges(spark, sf), "3")
+
+
+@query(f"WITH {ED} SELECT from_name, to_name FROM e WHERE from_label = 'Person' AND rel_type = 'LIVES_IN'")
+def j9_typed(spark, sf):
+    return G.typed(edges(spark, sf), "Person", "LIVES_IN", "Country").select("from_name", "to_name")
+
+
+@query("SELECT p_brand AS to_name, round(sum(l_quantity), 2) AS weight, round_even(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem) * 100, 1) AS pct FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
+def a8_interest_profile(spark, sf):
+    x = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("to_name"), F.col("l_quantity").alias("weight"))
+    return G.interest_profile(x).withColumn("weight", F.round("weight", 2))
+
+
+@query("SELECT 'Part' AS label, p_name AS name FROM (SELECT DISTINCT p_name FROM part) WHERE contains(lower(p_name), 'a') ORDER BY name LIMIT 20")
+def t7_search_nodes(spark, sf):
+    return G.search_nodes(table(spark, sf, "part").select(F.lit("Part").alias("label"), F.col("p_name").alias("name")).distinct(), "A")
+
+
+@query("SELECT o_custkey, arg_min(o_orderkey, o_orderdate::VARCHAR || '/' || lpad(o_orderkey::VARCHAR, 12, '0')) AS first_order, arg_max(o_orderkey, o_orderdate::VARCHAR || '/' || lpad(o_orderkey::VARCHAR, 12, '0')) AS last_order FROM orders GROUP BY 1")
+def k8_k9_upserts(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.struct("o_orderdate", F.col("o_orderkey").alias("k")).alias("seq"))
+    return G.upsert(o, ["o_custkey"]).select("o_custkey", F.col("o_orderkey").alias("first_order")).join(G.upsert(o, ["o_custkey"], first_wins=False).select("o_custkey", F.col("o_orderkey").alias("last_order")), "o_custkey")
+
+
+@query("SELECT user_id AS name, arg_max(event_type, event_id) AS last_type, arg_max(event_id, event_id) FILTER (event_type = 'purchase') AS last_purchase FROM events GROUP BY 1")
+def k5_merge_nodes(spark, sf):
+    e = table(spark, sf, "events")
+    props = F.when(F.col("event_type") == "purchase", F.create_map(F.lit("type"), F.col("event_type"), F.lit("purchase"), F.col("event_id").cast("string"))).otherwise(F.create_map(F.lit("type"), F.col("event_type")))
+    rows = e.select(F.lit("Person").alias("label"), F.concat(F.lit(" "), F.col("user_id").cast("string")).alias("name"), props.alias("props"), F.col("event_id").alias("seq"))
+    return G.merge_nodes(rows).select(F.col("name").cast("long").alias("name"), F.col("props")["type"].alias("last_type"), F.col("props")["purchase"].cast("long").alias("last_purchase"))
+
+
+K6 = "x AS (SELECT user_id::VARCHAR AS f, event_type AS t, CASE WHEN value > 50 THEN strftime(ts, '%Y-%m') ELSE '' END AS since FROM events), dated AS (SELECT DISTINCT * FROM x WHERE since <> '')"
+
+
+@query(f"WITH {K6} SELECT f AS from_name, t AS to_name, since FROM dated UNION SELECT f, t, '' FROM x WHERE since = '' AND NOT EXISTS (SELECT 1 FROM dated d WHERE d.f = x.f AND d.t = x.t)")
+def k6_merge_edges(spark, sf):
+    e = table(spark, sf, "events")
+    props = F.when(F.col("value") > 50, F.create_map(F.lit("since"), F.date_format("ts", "yyyy-MM"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = e.select(F.lit("Person").alias("from_label"), F.col("user_id").cast("string").alias("from_name"), F.lit("DID").alias("rel_type"), F.lit("Activity").alias("to_label"), F.col("event_type").alias("to_name"), props.alias("props"), F.col("event_id").alias("seq"))
+    return G.merge_edges(rows).select("from_name", "to_name", "since")
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
+def u2_distinct_triples(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("from_name"), F.lit("DID").alias("rel_type"), F.col("event_type").alias("to_name"), F.create_map().cast("map<string,string>").alias("props"), F.col("event_id").alias("seq"))
+    return G.distinct_triples(e).agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey || ' placed ' || o_orderkey || ' (Order) [since ' || strftime(o_orderdate, '%Y-%m-%d') || ']' AS fact FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_custkey = 7 UNION SELECT c_custkey || ' lives in ' || c_nationkey || ' (Country)' FROM customer WHERE c_custkey = 7")
+def g1_facts(spark, sf):
+    e = edges(spark, sf).filter("from_label = 'Person'")
+    return G.facts(e.filter("from_name = '7' and to_name <> '7'"), ["7"], n=10_000).select("fact")
+
+
+@query("SELECT l_suppkey AS key, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1 ORDER BY sum(l_extendedprice) DESC, 1 LIMIT 5")
+def g2_top_skill(spark, sf):
+    return G.top_skill(table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "key"), "key", F.sum("l_extendedprice")).select("key", F.round("value", 2).alias("value"))
+
+
+@query("SELECT rel_type, count(*) AS n, count(DISTINCT to_name) AS targets FROM (SELECT 'SENT' AS rel_type, sha256(event_type || '|' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '|' || event_id) AS to_name FROM events UNION ALL SELECT 'IN_CONVERSATION', user_id::VARCHAR FROM events) GROUP BY 1")
+def k10_message_graph(spark, sf):
+    m = messages(spark, sf).select("sender_name", "date", F.regexp_replace("text", "event ", "").alias("text"), F.col("conversation").cast("string").alias("conversation"))
+    return G.message_graph(m).groupBy("rel_type").agg(F.count("*").alias("n"), F.countDistinct("to_name").alias("targets"))
+
+
+# --- training examples
+
+
+@query("WITH f AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), b AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS block FROM f) SELECT conv_id, block, role, string_agg(text, ' ' ORDER BY turn) AS text FROM b GROUP BY 1, 2, 3")
+def p31_merge_roles(spark, sf):
+    return Q.merge_role_rows(table(spark, sf, "conversations"))
+
+
+PAT = "p AS (SELECT conv_id, string_agg(role, '→' ORDER BY turn) AS pattern, list(role ORDER BY turn) AS roles, sum(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''))) AS words FROM conversations GROUP BY 1)"
+
+
+@query(f"WITH {PAT} SELECT pattern, n, round_even(n / sum(n) OVER () * 100, 1) AS pct FROM (SELECT pattern, count(*) AS n FROM p GROUP BY 1) ORDER BY n DESC, pattern LIMIT 10")
+def a27_role_patterns(spark, sf):
+    return Q.role_patterns(Q.examples(table(spark, sf, "conversations")))
+
+
+@query(f"WITH {PAT} SELECT CAST(min(words) AS BIGINT) AS least, CAST(max(words) AS BIGINT) AS most, round(avg(words), 4) AS mean, median(words) AS median, count(*) FILTER (words > 200) AS over FROM p")
+def a26_lengths(spark, sf):
+    x = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(T.word_count("text")).alias("words"))
+    return Q.length_stats(x, "words", 200).withColumn("mean", F.round("mean", 4))
+
+
+@query(f"WITH {PAT} SELECT count(*) AS examples, count(*) FILTER (roles[-1] = 'user') AS ends_with_user, count(*) FILTER (len(list_filter(range(1, len(roles)), lambda i: roles[i] = roles[i + 1])) > 0) AS adjacent_same_role, count(*) FILTER (roles[1] = 'system') AS with_system FROM p")
+def a28_diagnostics(spark, sf):
+    return Q.diagnostics(Q.examples(table(spark, sf, "conversations"))).drop("with_markers")
+
+
+@query("WITH n AS (SELECT conv_id, turn, role, text AS user, lead(role) OVER w AS r2, lead(text) OVER w AS reply FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, user, reply FROM n WHERE role = 'user' AND r2 = 'assistant'")
+def w12_turn_pairs(spark, sf):
+    c = table(spark, sf, "conversations").filter("role <> 'system' or turn > 0").withColumn("own", F.col("role") == "assistant").withColumn("ts", F.timestamp_seconds("turn"))
+    b = Q.turn_blocks(c.filter("role in ('user', 'assistant')"), "conv_id", "ts", "turn", "own", "text")
+    x = Q.exchanges(b, "conv_id", "own")
+    first = b.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.unix_seconds("last_ts").alias("turn"))
+    return x.join(first, (F.col("conv_id") == F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "turn", "user", "reply")
+
+
+@query()
+def q1_training_pairs(spark, sf):
+    m = messages(spark, sf).withColumn("own", F.col("sender_name") == "click")
+    x = Q.training_pairs(m, "conversation", "date", "ord", "own", "text", max_turns=2, reply_min=60 * 24)
+    return x.select("conversation", "start", F.to_json("messages").alias("messages"))
+
+
+@query()
+def q2_prepare(spark, sf):
+    x = Q.prepare(Q.examples(table(spark, sf, "conversations")), 300, "Answer briefly.")
+    return x.select("conv_id", F.size("messages").alias("messages"), F.col("length").alias("words"), F.md5("text").alias("text"))
+
+
+# --- clusters
+
+
+@query()
+def m1_kmeans(spark, sf):
+    x, _ = C.kmeans(table(spark, sf, "embeddings"), "embedding", k=5, n_init=2, max_iter=10)
+    return C.cluster_stats(x, "cluster", 5)
+
+
+@query("SELECT CAST(i AS INT) AS label, coalesce(n, 0) AS n, round_even(coalesce(n, 0) / (SELECT count(*) FROM embeddings) * 100, 1) AS pct FROM range(10) AS r(i) LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) ON label = i")
+def a18_cluster_stats(spark, sf):
+    x = table(spark, sf, "embeddings")
+    return C.cluster_stats(x.filter("label between 0 and 9"), "label", 10)
+
+
+@query()
+def m3_sub_clusters(spark, sf):
+    x = C.sub_clusters(table(spark, sf, "embeddings"), "embedding", "label", 1, 3)
+    return x.groupBy("label", "sub_cluster").agg(F.count("*").alias("n"))
+
+
+@query()
+def t11_cluster_sample(spark, sf):
+    return C.sample_per(table(spark, sf, "embeddings"), "label", "vec_id", 5).select("label", "vec_id")
