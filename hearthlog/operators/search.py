@@ -34,31 +34,35 @@ def keyword_where(source: str | None = None, date_from=None) -> Column:
     return where(source=source, date_from=date_from)
 
 
-def bm25_stats(corpus: DataFrame, id_: str = "id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Term frequencies with document lengths, and idf with negative values raised to a share of the mean."""
-    t = corpus.select(F.col(id_).alias("id"), tokens(text).alias("w"))
-    tf = t.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    n = t.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))  # one row
-    df = tf.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
+def bm25_idf(corpus: DataFrame, text: str = "text") -> DataFrame:
+    """Document frequency and idf of every term; negative values become a share of the mean of all."""
+    t = corpus.select(tokens(text).alias("w"))
+    size = t.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))  # one row
+    df = t.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(size))
     raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw").alias("mean"))  # one row
-    idf = raw.join(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return tf, idf
+    return raw.join(F.broadcast(mean)).select("term", "df", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
 def bm25(corpus: DataFrame, query: str, id_: str = "id", text: str = "text") -> DataFrame:
-    """V3: (id, score) of every document; repeated words of the query count as often as they are there."""
+    """V3: (id, score) of every document; repeated words of the query count as often as they are there.
+
+    Only term counts are shuffled; each document counts the query's words itself.
+    """
     asked: dict[str, int] = {}
     for w in query.lower().split():
         asked[w] = asked.get(w, 0) + 1
-    tf, idf = bm25_stats(corpus, id_, text)
     if not asked:
         return corpus.select(F.col(id_).alias("id"), F.lit(0.0).alias("score"))
-    times = F.create_map(*[F.lit(x) for kv in asked.items() for x in kv])
-    hit = tf.filter(F.col("term").isin(*asked)).join(idf.filter(F.col("term").isin(*asked)), "term")
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * times[F.col("term")]
-    s = hit.groupBy("id").agg(F.sum(part).alias("s"))
-    return corpus.select(F.col(id_).alias("id")).join(s, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("score"))
+    wanted = bm25_idf(corpus, text).filter(F.col("term").isin(*asked)).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"), F.first("avgdl").alias("avgdl"))  # one row
+    x = corpus.select(F.col(id_).alias("id"), tokens(text).alias("w")).join(F.broadcast(wanted))
+    words = F.array(*map(F.lit, asked))
+    x = x.select("id", "idf", "avgdl", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(words, t)).alias("hits"))
+    parts = []
+    for w, times in asked.items():
+        tf = F.size(F.filter("hits", (lambda word: lambda t: t == word)(w)))
+        parts.append(F.coalesce(F.col("idf")[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * times, F.lit(0.0)))
+    return x.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def top(df: DataFrame, n: int, *order) -> DataFrame:
