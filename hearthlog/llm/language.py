@@ -47,11 +47,15 @@ def slots(buf: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probabilities (slot, language), from a bounded sample of (text, lang)."""
-    langs = sorted(r[0] for r in labelled.select("lang").filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).select("lang").collect())
+    found = labelled.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
+    size = {r["lang"]: r["count"] for r in found}
+    langs = sorted(size)
     counts = np.full((SLOTS, max(1, len(langs))), 0.05)
     for k, lang in enumerate(langs):
-        x = labelled.filter((F.col("lang") == lang) & F.col("text").isNotNull())
-        rows = x.select(F.xxhash64("text").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).orderBy("h").limit(SAMPLE).collect()
+        # a share of the hashes first, so that about twice the sample leaves the executors; copies count once
+        part = min(1.0, 2 * SAMPLE / size[lang])
+        x = labelled.filter((F.col("lang") == lang) & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) <= int(part * (1 << 30)))
+        rows = x.groupBy("h").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).orderBy("h").limit(SAMPLE).collect()
         for r in rows:
             buf = np.frombuffer(r["text"].encode(), np.uint8)
             np.add.at(counts[:, k], slots(buf)[:-2] if len(buf) > 2 else np.zeros(0, np.int64), 1)
