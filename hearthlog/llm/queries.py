@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontamination, extraction, jaccard, language, packing, pii, quality, repeats, warc
 from .common import read
+from .oracles import ORACLES
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,3 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
-
-
-ORACLES: dict[str, str] = {}
