@@ -12,6 +12,7 @@ from .operators import aggregates as A
 from .operators import cluster as C
 from .operators import graph as G
 from .operators import joins as J
+from .operators import messages as P
 from .operators import search as S
 from .operators import training as Q
 from .operators import windows as W
@@ -678,3 +679,163 @@ def m3_sub_clusters(spark, sf):
 @query()
 def t11_cluster_sample(spark, sf):
     return C.sample_per(table(spark, sf, "embeddings"), "label", "vec_id", 5).select("label", "vec_id")
+
+
+# --- message tables, filters, names
+
+CHAT = f"SELECT event_id AS ord, 'u' || (user_id % 7) AS conversation, ts AS date, 'u' || (event_id % 3) AS sender_name, {SAID} AS text, CASE event_id % 5 WHEN 0 THEN 'reaction' WHEN 1 THEN 'system' ELSE 'text' END AS type, CASE event_id % 4 WHEN 0 THEN 'fr' ELSE 'en' END AS language FROM events"
+
+
+def chat_table(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("ord"), F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("conversation"), F.col("ts").alias("date"), F.concat(F.lit("u"), (F.col("event_id") % 3).cast("string")).alias("sender_name"), F.expr(SAID).alias("text"),
+                    F.expr("CASE event_id % 5 WHEN 0 THEN 'reaction' WHEN 1 THEN 'system' ELSE 'text' END").alias("type"), F.expr("CASE event_id % 4 WHEN 0 THEN 'fr' ELSE 'en' END").alias("language"))
+
+
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate <= TIMESTAMP '1997-01-01' AND o_custkey >= 5")
+def f1_where(spark, sf):
+    x = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("source"), F.col("o_orderdate").alias("date"), F.col("o_custkey").alias("message_count"))
+    from datetime import datetime
+
+    return x.filter(S.where(source="1-URGENT", date_from=datetime(1996, 1, 1), date_to=datetime(1997, 1, 1), min_messages=5)).select("o_orderkey", "o_custkey")
+
+
+@query(f"WITH c AS ({CHAT}) SELECT type, count(*) AS n FROM c WHERE type <> 'reaction' GROUP BY type")
+def f9_without_reactions(spark, sf):
+    return P.counts_by(P.without_reactions(chat_table(spark, sf)), "type")
+
+
+@query(f"WITH c AS ({CHAT}), k AS (SELECT * FROM c WHERE conversation <> 'u1') SELECT conversation, count(*) AS n FROM k WHERE conversation IN (SELECT conversation FROM k WHERE sender_name = 'u1') GROUP BY 1")
+def f10_spoken(spark, sf):
+    return P.counts_by(P.spoken(chat_table(spark, sf), "u1"), "conversation")
+
+
+OWNS = f"WITH c AS ({CHAT}), o AS (SELECT * FROM c WHERE sender_name = 'u2' AND len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) >= 3 AND NOT regexp_matches(text, {s('(?i)(?:' + ')|(?:'.join(V.NOISE) + ')')}))"
+
+
+@query(f"{OWNS} SELECT conversation, count(*) AS n FROM o WHERE language NOT IN ('fr') GROUP BY 1 HAVING count(*) >= 1")
+def f7_f16_own_messages(spark, sf):
+    return P.counts_by(P.own_messages(chat_table(spark, sf), "u2", languages_out=["fr"]), "conversation")
+
+
+@query(f"{OWNS} SELECT conversation, count(*) AS n FROM o GROUP BY 1 HAVING count(*) >= 2")
+def f17_conversations(spark, sf):
+    return P.with_own_messages(chat_table(spark, sf), "u2")
+
+
+GOOD = f"NOT (regexp_matches(trim(text), {s(LOWQ)}) OR regexp_matches(text, {s('(?i)(?:' + ')|(?:'.join(V.ARTEFACTS) + ')')}) OR len(list_filter(regexp_split_to_array(trim(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '(?i)\\s*\\(edited\\)\\s*$', '')), '\\s+'), lambda x: x <> '')) < 2)"
+
+
+@query(f"WITH c AS ({CHAT}) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN date < TIMESTAMP '2024-06-01' - INTERVAL 365 DAY THEN 'old' WHEN language <> 'en' THEN 'language' WHEN type <> 'text' THEN 'type' WHEN NOT ({GOOD}) THEN 'quality' ELSE 'kept' END AS reason FROM c) GROUP BY reason")
+def f8_a25_export_reasons(spark, sf):
+    return Q.export_stats(chat_table(spark, sf), None, P.export_reason("2024-06-01", years=1))
+
+
+@query(f"WITH c AS ({CHAT}) SELECT ord, conversation FROM c WHERE conversation = 'u3' ORDER BY date DESC, ord DESC LIMIT 100")
+def t10_newest(spark, sf):
+    return P.newest(chat_table(spark, sf), 100, F.col("conversation") == "u3").select("ord", "conversation")
+
+
+@query(f"WITH c AS ({CHAT}) SELECT sender_name, count(*) AS n, round(avg(ord % 3 - 1), 6) AS polarity FROM c WHERE contains(sender_name, 'u') GROUP BY 1 ORDER BY 1 LIMIT 1")
+def a29_person_stats(spark, sf):
+    return P.person_stats(chat_table(spark, sf), "U", F.col("ord") % 3 - 1).withColumn("polarity", F.round("polarity", 6))
+
+
+@query(f"WITH c AS ({CHAT}) SELECT conversation, language, count(*) AS n FROM c GROUP BY 1, 2")
+def a11_a30_counts(spark, sf):
+    return P.counts_by(chat_table(spark, sf), "conversation", "language")
+
+
+@query("SELECT o_orderkey, 'visit_' || strftime(o_orderdate, '%Y-%m-%d_%H:%M:%S') || '_' || regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') || '_' || lpad((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority) - 1)::VARCHAR, 3, '0') AS id FROM orders QUALIFY count(*) OVER (PARTITION BY o_custkey, o_orderdate, o_orderpriority) = 1")
+def p18_visit_ids(spark, sf):
+    x = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("start_time"), F.col("o_orderpriority").alias("name"))
+    x = P.visit_ids(x, "o_custkey").withColumn("c", F.count("*").over(Window.partitionBy("o_custkey", "start_time", "name")))
+    return x.filter("c = 1").select("o_orderkey", "id")
+
+
+@query("SELECT lower(c_name) || '_' || c_custkey AS conversation, c_name AS name FROM customer")
+def p24_display_names(spark, sf):
+    c = table(spark, sf, "customer").select("c_name", "c_custkey")
+    letters = F.translate(F.col("c_custkey").cast("string"), "0123456789", "abcdefghij")
+    ids = c.select(F.concat(F.lower("c_name"), F.lit("_"), F.col("c_custkey").cast("string")).alias("conversation"), F.concat(F.lit("friend"), letters).alias("bare"), "c_name")
+    friends = ids.select(F.col("bare").alias("name"), F.lit(0).alias("pos"))
+    found = P.display_names(ids.select(F.concat("bare", F.lit("_12")).alias("conversation")), friends).select(F.col("name").alias("bare")).distinct()
+    return ids.join(found, "bare").select("conversation", F.col("c_name").alias("name"))
+
+
+@query(f"WITH {BOTH} SELECT from_label, to_label, count(*) AS n FROM b GROUP BY 1, 2")
+def j8_both_ways(spark, sf):
+    return G.both_ways(edges(spark, sf)).groupBy("from_label", "to_label").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {BOTH}, n AS (SELECT c_custkey::VARCHAR AS name FROM customer), d AS (SELECT from_name, count(*) AS c FROM b WHERE from_label = 'Person' AND rel_type = 'PLACED' GROUP BY 1) SELECT name, coalesce(c, 0) AS degree FROM n LEFT JOIN d ON name = from_name WHERE upper(name) NOT IN ('1', '2')")
+def j10_f19_optional(spark, sf):
+    n = table(spark, sf, "customer").select(F.lit("Person").alias("label"), F.col("c_custkey").cast("string").alias("name"))
+    return G.degree(n, edges(spark, sf).filter("rel_type = 'PLACED'"), exclude=["1", "2"]).select("name", "degree")
+
+
+@query("SELECT user_id, count(DISTINCT event_type) AS kinds, count(DISTINCT strftime(ts, '%Y-%m-%d')) AS days FROM events GROUP BY 1")
+def u4_distinct_parts(spark, sf):
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.size(F.array_distinct(F.collect_list("event_type"))).cast("long").alias("kinds"), F.countDistinct(F.date_format("ts", "yyyy-MM-dd")).alias("days"))
+    return g
+
+
+@query("SELECT label, count(*) AS n, round_even(count(*) / sum(count(*)) OVER () * 100, 1) AS pct, round(avg(embedding[1]), 4) AS x, round(avg(embedding[2]), 4) AS y FROM embeddings WHERE label >= 0 GROUP BY label")
+def a19_a20_sub_cluster_stats(spark, sf):
+    x = table(spark, sf, "embeddings").filter("label >= 0").select("label", F.get("embedding", 0).cast("double").alias("x"), F.get("embedding", 1).cast("double").alias("y"))
+    exact = x.groupBy("label").agg(F.round(F.avg("x"), 4).alias("x"), F.round(F.avg("y"), 4).alias("y"))
+    return C.sub_cluster_stats(x, "label", []).join(exact, "label")
+
+
+@query("WITH n AS (SELECT n_nationkey AS pos, lower(n_name) AS name, regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g') AS plain FROM nation), q AS (SELECT c_custkey AS q, 'a letter to ' || plain || ' today' AS t FROM customer JOIN n ON c_nationkey = pos) SELECT q, arg_min(name, pos) AS name FROM q JOIN n ON contains(t, plain) GROUP BY q")
+def j7_name_mention(spark, sf):
+    n = table(spark, sf, "nation").select(F.lower("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
+    plain = n.withColumn("name", F.regexp_replace("name", "[^a-z0-9]+", " "))
+    c = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    q = c.select(F.col("c_custkey").alias("q"), F.concat(F.lit("a letter to "), F.regexp_replace(F.lower("n_name"), "[^a-z0-9]+", " "), F.lit(" today")).alias("text"))
+    names = plain.select("name", "pos")
+    return J.name_mention(q, names).join(n.withColumn("name2", F.regexp_replace("name", "[^a-z0-9]+", " ")).select("name2", F.col("name").alias("full")), F.col("name") == F.col("name2")).select("q", F.col("full").alias("name"))
+
+
+@query("SELECT mktsegment, n, round(w, 6) AS w, abs(sum(w) OVER () - 1) <= 0.01 AS valid, round_even(w / sum(w) OVER (), 3) AS normalised FROM (SELECT c_mktsegment AS mktsegment, count(*) AS n, count(*) / 1000 AS w FROM customer GROUP BY 1)")
+def f20_weights(spark, sf):
+    x = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("mktsegment")).agg(F.count("*").alias("n")).withColumn("w", F.col("n") / 1000)
+    return C.weights_valid(x, "w").withColumn("w", F.round("w", 6))
+
+
+@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM (SELECT vec_id FROM embeddings LIMIT 50)")
+def t12_sample(spark, sf):
+    return C.sample_rows(table(spark, sf, "embeddings"), "vec_id", 50).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
+
+
+@query()
+def v7_history(spark, sf):
+    d = corpus(spark, sf).withColumns({"date": F.lit(0), "ord": F.col("id"), "conversation": F.col("source")})
+    return P.history_answer(d, ASK, ASKED, about="theat").select("id", F.round("distance", 5).alias("distance"))
+
+
+@query()
+def m2_choose_k(spark, sf):
+    x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+    return C.choose_k(x, "v", [2, 3, 4], sample=500)
+
+
+@query()
+def v6_answer_context(spark, sf):
+    from .plans.context import answer_context
+
+    return answer_context(corpus(spark, sf), edges(spark, sf).withColumn("seq", F.lit(0)), "7", ASKED, n=20, k=5).select(F.md5("context").alias("context"), F.length("context").alias("n_chars"))
+
+
+@query("SELECT e_type AS user, day AS start, n FROM (SELECT event_type AS e_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2)")
+def s2_daily_counters(spark, sf):
+    from .streaming.twins import counters
+
+    return counters(table(spark, sf, "events"), "ts", "event_type").select(F.col("event_type").alias("user"), F.col("start"), "n")
+
+
+@query(f"WITH {SES} SELECT conversation, min(date) AS start, count(*) AS n FROM z GROUP BY conversation, session")
+def s1_session_windows(spark, sf):
+    from .streaming.twins import sessions
+
+    return sessions(messages(spark, sf), "conversation", "date", "8 hours").select("conversation", "start", "n")
