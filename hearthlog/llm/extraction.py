@@ -42,6 +42,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 CUT_WORDS = frozenset(
     "ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice disclaimer popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus respond replies reply pagination pager toolbar widget toc skip".split()
 )
+ANSWERS = frozenset("ad ads advert sponsored promo comment comments reply replies related recommended".split())
 NOT_BEFORE = frozenset("no has with without".split())
 NOT_AFTER = frozenset("content main article body wrapper container layout page".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
@@ -54,8 +55,9 @@ OWN = 0.3
 def _unwanted(name: str, attributes: str) -> bool:
     if name in CUT:
         return True
-    if name in ("html", "body", "main", "article") or not attributes.strip():
+    if name in ("html", "body", "main") or not attributes.strip():
         return False
+    words = ANSWERS if name == "article" else CUT_WORDS
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "role" and value in ROLES):
@@ -65,7 +67,7 @@ def _unwanted(name: str, attributes: str) -> bool:
         if key in ("class", "id"):
             for token in re.split(r"[\s_]+", value):
                 parts = token.split("-")
-                if token in CUT_WORDS or (parts[-1] in CUT_WORDS and parts[0] not in NOT_BEFORE) or (parts[0] in CUT_WORDS and parts[-1] not in NOT_AFTER):
+                if token in words or (parts[-1] in words and parts[0] not in NOT_BEFORE) or (parts[0] in words and parts[-1] not in NOT_AFTER):
                     return True
     return False
 
