@@ -141,3 +141,10 @@ def diagnostics(df: DataFrame, messages: str = "messages") -> DataFrame:
 def export_stats(df: DataFrame, kept: DataFrame, reason: Column) -> DataFrame:
     """Rows by the reason that left them out."""
     return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def inspect(df: DataFrame, limit: int = 2048) -> dict[str, DataFrame]:
+    """Q3: the reports on a set of examples (conv_id, messages)."""
+    words = F.aggregate("messages", F.lit(0), lambda s, m: s + word_count(m["content"]))
+    x = df.withColumn("words", words)
+    return {"lengths": length_stats(x, "words", limit), "patterns": role_patterns(x), "diagnostics": diagnostics(x)}
