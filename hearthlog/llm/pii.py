@@ -236,9 +236,11 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans become one."""
-    done = find_spans(docs, text)
-    t = F.coalesce(F.col(text), F.lit(""))
+    named = {c: f"__o{i}" for i, c in enumerate(docs.columns)}
+    done = find_spans(docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__body")), "__body")
+    t = F.coalesce("__body", F.lit(""))
     state = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
                         lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).alias("out")))
     full = F.concat(state["out"], F.substring(t, state["at"] + 1, F.length(t)))
-    return done.withColumn(text, F.when(F.size("spans") > 0, full).otherwise(F.col(text))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    new = F.when(F.size("spans") > 0, full).otherwise(F.col("__body"))
+    return done.select(*[(new if c == text else F.col(f"__row.{n}")).alias(c) for c, n in named.items()])

@@ -12,3 +12,23 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert 0.5 * n < docs.count() < n
     packed = corpus_pipeline.run(spark, sf)
     assert packed.select("doc_id").distinct().count() == docs.count()
+
+
+def test_stages_stand_hard_and_empty_tables(spark):
+    """Nulls, blank and very long texts, repeated rows, and columns named like those that the operators use."""
+    from pyspark.sql import functions as F
+
+    from .helpers import DOCS, hard_docs
+
+    sf = "/root/testdata/sf0.001"
+    for rows in (hard_docs(), []):
+        docs = spark.createDataFrame(rows, DOCS)
+        for c in ("spans", "kept", "n_words", "g", "n", "part", "unit", "bucket", "base_spans", "Chunk", "bin", "mark"):
+            docs = docs.withColumn(c, F.concat(F.lit(c), F.col("node").cast("string")))
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert out.columns == columns, name
+            assert all(r["spans"] == f"spans{r['node']}" and r["kept"] == f"kept{r['node']}" for r in out.collect()), name
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs.filter("length(text) < 1000 or text is null"), sf).collect()
+        assert (len(packed) > 0) == bool(rows)
