@@ -80,9 +80,9 @@ def thresholds(counts: DataFrame) -> DataFrame:
         return x.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n")).join(total.withColumnsRenamed({k: f"__{k}" for k in [*keys, "metric"]}), [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "metric"]]).select(*keys, "metric", "bucket", "n", (F.col("n") / F.col("__t")).alias("p"))
 
     groups = counts.select("lang", "source").distinct()
-    langs = counts.select("lang").distinct()
+    langs = counts.select("lang").distinct().select("lang", F.explode(F.array(*map(F.lit, METRICS))).alias("metric"))
     world = share(counts, []).select("metric", "bucket", (F.col("p") * PRIOR).alias("w"))
-    by_lang = counts.groupBy("lang", "metric", "bucket").agg(F.sum("n").cast("double").alias("w")).unionByName(langs.join(F.broadcast(world)).select("lang", "metric", "bucket", "w")).groupBy("lang", "metric", "bucket").agg(F.sum("w").alias("n"))
+    by_lang = counts.groupBy("lang", "metric", "bucket").agg(F.sum("n").cast("double").alias("w")).unionByName(langs.join(world, "metric").select("lang", "metric", "bucket", "w")).groupBy("lang", "metric", "bucket").agg(F.sum("w").alias("n"))
     prior = share(by_lang, ["lang"]).select(F.col("lang").alias("__l"), "metric", "bucket", (F.col("p") * PRIOR).alias("w"))
     mixed = (
         counts.select("lang", "source", "metric", "bucket", F.col("n").cast("double").alias("w"))
