@@ -1,8 +1,8 @@
-"""Quality rules with adaptive thresholds (native).
+"""Quality rules: fixed floors, raised by adaptive thresholds (native).
 
 Per text: word and symbol counts, repeated lines and repeated three-word windows. Fixed base rules reject
-very short and mostly repeated texts. Beyond them, the thresholds adapt: for each language and source a
-mergeable quantile sketch (counts per bucket of a logarithmic grid, so that sketches add up bucket by bucket
+very short and mostly repeated texts. Beyond them, each ratio has a fixed threshold (FLOOR), which adapts upwards
+only (on the test data it never does, see the README): for each language and source a mergeable quantile sketch (counts per bucket of a logarithmic grid, so that sketches add up bucket by bucket
 and a quantile is within 2 % of its value) gives the quartiles of each ratio, and a text is rejected when a
 ratio lies beyond the far fence, or so far beyond its group that it can't belong to it. Groups with few texts
 borrow from their language and from all texts: the counts of the wider group enter with a fixed weight.
