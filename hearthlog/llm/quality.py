@@ -2,10 +2,14 @@
 
 Per text: word and symbol counts, repeated lines and repeated three-word windows. Fixed base rules reject
 very short and mostly repeated texts. Beyond them, each ratio has a fixed threshold (FLOOR), which adapts upwards
-only (on the test data it never does, see the README): for each language and source a mergeable quantile sketch (counts per bucket of a logarithmic grid, so that sketches add up bucket by bucket
-and a quantile is within 2 % of its value) gives the quartiles of each ratio, and a text is rejected when a
-ratio lies beyond the far fence, or so far beyond its group that it can't belong to it. Groups with few texts
-borrow from their language and from all texts: the counts of the wider group enter with a fixed weight.
+only (on the test data it never does, see the README): for each language and source a mergeable quantile sketch
+(counts per bucket of a logarithmic grid, so that sketches add up bucket by bucket and a quantile is within 2 % of
+its value) gives the quartiles of each ratio, and a text is rejected when a ratio lies beyond the far fence, or so
+far beyond its group that it can't belong to it. Groups with few texts borrow from their language and from all
+texts: the counts of the wider group enter with a fixed weight. A group's threshold is at most BOUND times that of
+its language and of all texts, in both of which each group counts alike however large it is, so that a large source
+with much junk doesn't raise its own; word length, which follows the script, is bounded by the language alone. Junk
+in a quarter of the average source isn't seen.
 
 Defined cases: null text is an empty text (n_words 0, base_failed); null language or source is a group of
 its own; repeated rows are judged one by one and get equal verdicts; an empty table gives an empty table;
@@ -24,6 +28,8 @@ METRICS = ("symbol_rate", "repeat_rate", "line_rate", "word_length")
 #: Least value beyond which a ratio can reject at all: clean text of any source stays.
 FLOOR = {"symbol_rate": 0.05, "repeat_rate": 0.3, "line_rate": 0.3, "word_length": 15.0}
 FENCE, PRIOR, GRID = 3.0, 50.0, 1.04
+#: Most that a group's threshold can be, in thresholds of its language and of all texts.
+BOUND = 2.0
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
@@ -87,18 +93,26 @@ def thresholds(counts: DataFrame) -> DataFrame:
     mixed = (
         counts.select("lang", "source", "metric", "bucket", F.col("n").cast("double").alias("w"))
         .unionByName(groups.join(prior, F.col("lang").eqNullSafe(F.col("__l"))).select("lang", "source", "metric", "bucket", "w"))
-        .groupBy("lang", "source", "metric", "bucket").agg(F.sum("w").alias("w"))
-        .groupBy("lang", "source", "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("s"), F.sum("w").alias("t"))
     )
 
     def quantile(q: float):
         found = F.aggregate("s", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("b")), lambda a, e: F.struct((a["c"] + e["w"]).alias("c"), F.when(a["b"].isNull() & (a["c"] + e["w"] >= F.col("t") * q - 1e-9), e["bucket"]).otherwise(a["b"]).alias("b")))["b"]
         return F.when(found == -1000, 0.0).otherwise(F.pow(F.lit(GRID), found + 0.5))
 
-    cut = mixed.select("lang", "source", "metric", quantile(0.25).alias("lo"), quantile(0.75).alias("hi"))
-    cut = cut.withColumn("cut", F.col("hi") + FENCE * F.greatest(F.col("hi") - F.col("lo"), 0.1 * F.col("hi")))
+    def fence(x: DataFrame, keys: list[str], name: str) -> DataFrame:
+        x = x.groupBy(*keys, "metric", "bucket").agg(F.sum("w").alias("w"))
+        x = x.groupBy(*keys, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("s"), F.sum("w").alias("t"))
+        x = x.select(*keys, "metric", quantile(0.25).alias("lo"), quantile(0.75).alias("hi"))
+        return x.select(*keys, "metric", (F.col("hi") + FENCE * F.greatest(F.col("hi") - F.col("lo"), 0.1 * F.col("hi"))).alias(name))
+
+    # each group with the same weight, small ones with their number of texts
+    even = counts.groupBy("lang", "source", "metric").agg(F.collect_list(F.struct("bucket", "n")).alias("s"), F.sum("n").alias("t")).select("lang", "metric", "t", F.explode("s").alias("e"))
+    even = even.select("lang", "metric", "e.bucket", (F.col("e.n") / F.col("t") * F.least(F.col("t"), F.lit(PRIOR))).alias("w"))
+    wide = fence(even, ["lang"], "of_lang").join(fence(even, [], "of_all"), "metric")
+    wide = wide.select(F.col("lang").alias("__l"), F.col("metric").alias("__m"), (BOUND * F.when(F.col("metric") == "word_length", F.col("of_lang")).otherwise(F.least("of_lang", "of_all"))).alias("most"))
+    cut = fence(mixed, ["lang", "source"], "own").join(wide, F.col("lang").eqNullSafe(F.col("__l")) & (F.col("metric") == F.col("__m")))
     floor = F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv])
-    return cut.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.greatest("cut", floor[m]))).alias(f"cut_{m}") for m in METRICS])
+    return cut.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.greatest(F.least("own", "most"), floor[m]))).alias(f"cut_{m}") for m in METRICS])
 
 
 def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from hearthlog.llm import decontamination, jaccard, packing, pii, quality, repeats
 
@@ -51,6 +52,19 @@ def test_quality_adapts_and_keeps_columns(spark, docs, empty):
     assert quality.keep_good(empty).count() == quality.quality_rules(empty).count() == 0
 
 
+def test_quality_of_a_hot_dirty_source(spark):
+    r = random.Random(2)
+    say = lambda junk: " ".join(f"w{r.randint(0, 5000)}" + "###" * junk for _ in range(80))
+    rows = [(i, say(i % 3 == 0), "en", "hot") for i in range(600)] + [(1000 + i, say(False), "en", f"s{i % 3}") for i in range(180)]
+    rows += [(3000 + i, say(i % 2 == 0), None, "only") for i in range(200)]  # no other source of its language
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    want = {i for i in range(600) if i % 3 == 0} | {3000 + i for i in range(200) if i % 2 == 0}
+    assert {x["doc_id"] for x in quality.quality_rules(df).filter("not kept").collect()} == want
+    long = [(i, " ".join("x" * r.randint(20, 40) + str(r.randint(0, 5000)) for _ in range(80)), "zh", "z") for i in range(100)]  # long words are its script's
+    df = df.unionByName(spark.createDataFrame(long, df.schema).withColumn("doc_id", F.col("doc_id") + 5000))
+    assert {x["doc_id"] for x in quality.quality_rules(df).filter("not kept").collect()} == want
+
+
 def jaccard_brute(rows):
     sets = []
     for i, t in rows:
