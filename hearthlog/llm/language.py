@@ -1,7 +1,7 @@
 """Language of pages by Bayesian fusion of evidence.
 
 For each page: text likelihoods of a naive Bayes model over byte trigrams (trained here, on at most SAMPLE
-labelled rows of each language, chosen by hash), the declared markup language, the suffix of the host and a
+distinct labelled texts of each language, chosen by hash), the declared markup language, the suffix of the host and a
 language part of the path, and a host prior. Priors are smoothed hierarchically and come from grouped
 aggregation: the language shares over all pages, those of the registered domain with the former as a prior of
 fixed weight, those of the host with those of its domain. How reliable declarations and address parts are is
@@ -21,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, buffers, pieces, settle
@@ -45,20 +45,41 @@ def slots(buf: np.ndarray) -> np.ndarray:
     return x >> np.uint32(17)
 
 
+def sample(labelled: DataFrame) -> DataFrame:
+    """(lang, text): of each language the SAMPLE distinct texts first in order of hash, all where there are fewer."""
+    x = labelled.filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    seen = settle(x.select("lang", "h").distinct(), "hashes")
+    # a share of the distinct hashes first, so that about twice the sample is ranked
+    part = seen.groupBy("lang").agg((F.lit(2.0 * SAMPLE) / F.count("*") * (1 << 30)).alias("most"))
+    at = F.pmod("h", F.lit(1 << 30))
+    w = Window.partitionBy("lang").orderBy(at, "h")
+    least = seen.join(F.broadcast(part), "lang").filter(at <= F.col("most")).withColumn("r", F.row_number().over(w)).filter(F.col("r") <= SAMPLE).select("lang", "h")
+    # copies of a text count once
+    return x.join(F.broadcast(least), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages and the log probabilities (slot, language), from a bounded sample of (text, lang)."""
-    found = labelled.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    size = {r["lang"]: r["count"] for r in found}
-    langs = sorted(size)
+    arrow_limits(labelled.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for p in pieces(b, "text"):
+                names = p.column("lang").to_numpy(zero_copy_only=False)
+                buf, off = buffers(p.column("text"))
+                own = slots(buf) if len(buf) else np.zeros(0, np.uint32)
+                for lang in set(names):
+                    at = [own[a : z - 2] for a, z, n in zip(off[:-1], off[1:], names) if n == lang and z - a > 2]
+                    slot, n = np.unique(np.concatenate(at), return_counts=True) if at else (np.zeros(0), np.zeros(0))
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(n, pa.int64())], names=["lang", "slot", "n"])
+
+    langs = sorted(r[0] for r in labelled.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
+    cut = sample(labelled.filter(F.col("lang").isin(langs))).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    found = cut.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows a language at most
     counts = np.full((SLOTS, max(1, len(langs))), 0.05)
-    for k, lang in enumerate(langs):
-        # a share of the hashes first, so that about twice the sample leaves the executors; copies count once
-        part = min(1.0, 2 * SAMPLE / size[lang])
-        x = labelled.filter((F.col("lang") == lang) & F.col("text").isNotNull()).withColumn("h", F.xxhash64("text")).filter(F.pmod("h", F.lit(1 << 30)) <= int(part * (1 << 30)))
-        rows = x.groupBy("h").agg(F.first(F.substring("text", 1, SAMPLE_CHARS)).alias("text")).orderBy("h").limit(SAMPLE).collect()
-        for r in rows:
-            buf = np.frombuffer(r["text"].encode(), np.uint8)
-            np.add.at(counts[:, k], slots(buf)[:-2] if len(buf) > 2 else np.zeros(0, np.int64), 1)
+    if found.num_rows:
+        column = {lang: k for k, lang in enumerate(langs)}
+        counts[found["slot"].to_numpy(), [column[lang] for lang in found["lang"].to_pylist()]] += found["n"].to_numpy()
     return langs, np.log(counts / counts.sum(axis=0))
 
 

@@ -70,6 +70,15 @@ def test_language_held_out(spark):
     assert np.mean([langs[i] == x["lang"] for i, x in zip(found, rows)]) > 0.97
 
 
+def test_language_sample_ignores_copies(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    rows = [(f"alpha{i} beta", "en") for i in range(40)] * 50 + [(f"maison{i} jour", "fr") for i in range(15)] + [(None, "fr")] * 3000
+    found = language.sample(spark.createDataFrame(rows, "text string, lang string")).collect()
+    assert len(set(found)) == len(found) and sum(x["lang"] == "en" for x in found) == 20 and sum(x["lang"] == "fr" for x in found) == 15
+    once, copied = (language.train(spark.createDataFrame(x, "text string, lang string"))[1] for x in (sorted(set(rows[:2015])), rows))
+    assert (once == copied).all()
+
+
 CONV = "conv_id long, turn long, role string, text string, node long"
 
 
