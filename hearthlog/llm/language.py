@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_limits, buffers, pieces, settle
 
-SLOTS, SAMPLE, SAMPLE_CHARS = 1 << 15, 2000, 4000
+SLOTS, SAMPLE = 1 << 15, 2000
 #: Weight of a wider group in a narrower one, in pages; and the most trigrams that count as independent evidence.
 PRIOR, EVIDENCE = 20.0, 30.0
 _GAPS = re.compile(r"<(script|style|noscript|template|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
@@ -59,7 +59,7 @@ def sample(labelled: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and the log probabilities (slot, language), from a bounded sample of (text, lang)."""
+    """Languages and the log probabilities (slot, language), from whole texts of a sample; all labelled languages."""
     arrow_limits(labelled.sparkSession)
 
     def run(batches):
@@ -73,9 +73,8 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
                     slot, n = np.unique(np.concatenate(at), return_counts=True) if at else (np.zeros(0), np.zeros(0))
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot), pa.string()), pa.array(slot, pa.int32()), pa.array(n, pa.int64())], names=["lang", "slot", "n"])
 
-    langs = sorted(r[0] for r in labelled.filter("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect())
-    cut = sample(labelled.filter(F.col("lang").isin(langs))).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
-    found = cut.mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows a language at most
+    langs = sorted(r[0] for r in labelled.filter("lang is not null").select("lang").distinct().collect())
+    found = sample(labelled).mapInArrow(run, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows a language at most
     counts = np.full((SLOTS, max(1, len(langs))), 0.05)
     if found.num_rows:
         column = {lang: k for k, lang in enumerate(langs)}
@@ -96,7 +95,7 @@ def likelihoods(column: pa.Array, table: np.ndarray) -> np.ndarray:
         return out
     own = slots(buf)
     for k in range(table.shape[1]):
-        total = np.concatenate([[0.0], np.cumsum(table[own, k])])
+        total = np.concatenate([[0.0], np.cumsum(table[own, k], dtype=np.float64)])
         out[:, k] = (total[off[:-1] + size] - total[off[:-1]]) / np.maximum(1, size)
     return out * np.minimum(size, EVIDENCE)[:, None]
 
@@ -104,11 +103,11 @@ def likelihoods(column: pa.Array, table: np.ndarray) -> np.ndarray:
 def scores(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """(page_id, host, domain, declared, suffix, path_lang, text_scores) of each page."""
     spark = pages.sparkSession
-    sent = spark.sparkContext.broadcast(table.astype(np.float32))  # SLOTS rows, 64 languages at most
+    sent = spark.sparkContext.broadcast(table.astype(np.float32))  # SLOTS rows, a column a language
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("declared", pa.string()), ("text_scores", pa.list_(pa.float64()))])
 
     def run(batches):
-        table = sent.value.astype(np.float64)
+        table = sent.value
         for b in batches:
             for p in pieces(b, "html"):
                 pages = p.column("html").to_pylist()
@@ -129,8 +128,8 @@ def _shares(x: DataFrame, key: str, langs: list[str], wider, up: str | None) ->
     """(key, p: array of language shares) smoothed with the wider groups' shares (a table by `up`, or one array)."""
     counts = x.groupBy(key, *([up] if up else [])).agg(*[F.sum(F.get("text_p", i)).alias(f"n{i}") for i in range(len(langs))])
     counts = counts.join(wider.withColumnRenamed("p", "w"), up) if up else counts.withColumn("w", wider)
-    total = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0.0))
-    return counts.select(key, F.array(*[(F.col(f"n{i}") + PRIOR * F.get("w", i)) / (total + PRIOR) for i in range(len(langs))]).alias("p"))
+    counts = counts.select(key, "w", F.array(*[f"n{i}" for i in range(len(langs))]).alias("n")).withColumn("t", F.aggregate("n", F.lit(0.0), lambda s, v: s + v))
+    return counts.select(key, F.zip_with("n", "w", lambda v, p: (v + PRIOR * p) / (F.col("t") + PRIOR)).alias("p"))
 
 
 def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -152,8 +151,9 @@ def identify(pages: DataFrame, labelled: DataFrame) -> DataFrame:
         """(value, log likelihoods): how likely each language has this value, smoothed by all languages' share of it."""
         c = x.filter(F.col(column).isNotNull()).groupBy(column).agg(*[F.sum(F.get("text_p", i)).alias(f"n{i}") for i in range(n)])
         t = [v or 0.0 for v in c.agg(*[F.sum(f"n{i}") for i in range(n)]).first()]  # one number a language
-        share = sum((F.col(f"n{i}") for i in range(n)), F.lit(0.0)) / F.lit(max(sum(t), 1e-9))
-        return c.select(F.col(column).alias("__v"), F.array(*[F.log((F.col(f"n{i}") + PRIOR * share + 1e-6) / (t[i] + PRIOR)) for i in range(n)]).alias(f"{column}_l"))
+        c = c.select(column, F.array(*[f"n{i}" for i in range(n)]).alias("n")).withColumn("share", F.aggregate("n", F.lit(0.0), lambda s, v: s + v) / F.lit(max(sum(t), 1e-9)))
+        totals = F.array(*map(F.lit, t))
+        return c.select(F.col(column).alias("__v"), F.zip_with("n", totals, lambda v, a: F.log((v + PRIOR * F.col("share") + 1e-6) / (a + PRIOR))).alias(f"{column}_l"))
 
     y = x.join(hosts.select("host", F.col("p").alias("host_p")), "host")
     for column in ("declared", "path_lang", "suffix"):

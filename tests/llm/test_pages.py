@@ -79,6 +79,15 @@ def test_language_sample_ignores_copies(spark, monkeypatch):
     assert (once == copied).all()
 
 
+def test_language_of_many_languages_and_long_starts(spark):
+    names = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopq"]
+    say = lambda k, n: " ".join([f"{k}{k}{k[::-1]}"] * n)
+    rows = [(say(k, 20 + i), k) for k in names for i in range(3)] + [("0 " * 3000 + say("zz", 50), "zz")]  # a long start that tells nothing
+    pages = [(i, f"http://h{i}.example/", f"<html lang={k}><p>{say(k, 30)}</p>", None, None) for i, k in enumerate([*names, "zz"])]
+    got = {x["page_id"]: (x["lang"], x["text_lang"], x["declared"]) for x in language.identify(spark.createDataFrame(pages, PAGES), spark.createDataFrame(rows, "text string, lang string")).collect()}
+    assert got == {i: (k, k, k) for i, k in enumerate([*names, "zz"])}
+
+
 CONV = "conv_id long, turn long, role string, text string, node long"
 
 
