@@ -143,6 +143,13 @@ def p5_reaction_duplicate(spark, sf):
     return x.select("doc_id", T.reaction_duplicate(F.concat("h", F.lit(" "), "h", F.lit(""))).alias("once"))
 
 
+@query()
+def p5_whole_texts(spark, sf):
+    x = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    said = F.concat("text", F.lit(" \U0001f606Ann"))
+    return x.select("doc_id", T.reaction_duplicate("text").alias("kept"), T.reaction_duplicate(F.concat("text", F.lit("\n"), "text")).alias("once"), T.reaction_duplicate(F.concat(said, F.lit(" "), said)).alias("before"))
+
+
 TYPE = lambda c: f"CASE WHEN regexp_matches({c}, {s('(?i)^(?:' + '|'.join(V.SYSTEM_STARTS) + ')')}) THEN 'system' WHEN regexp_matches({c}, {s('(?i)^(?:' + '|'.join(V.REACTION_STARTS) + ')')}) THEN 'reaction' ELSE 'text' END"
 SAID = "CASE event_id % 7 WHEN 0 THEN 'You called ' || event_type WHEN 1 THEN 'You reacted to ' || event_type WHEN 2 THEN 'Anna joined the video call' WHEN 3 THEN 'so excited about my new job' WHEN 4 THEN 'see https://x.example/' || event_id || ' (edited)' WHEN 5 THEN 'ok' ELSE 'I moved to Paris and live in a house, sorry for the bad news' END"
 
@@ -239,6 +246,13 @@ def p23_think_split(spark, sf):
     return x.select("doc_id", r["thought"].alias("thought"), r["answer"].alias("answer"))
 
 
+@query()
+def p23_whole_texts(spark, sf):
+    x = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    r = T.think_split(F.concat(F.lit("<think>"), "text", F.lit("</think> answer "), "text"))
+    return x.select("doc_id", r["thought"].alias("thought"), r["answer"].alias("answer"))
+
+
 LOWQ = "(?i)^(?:" + "|".join(V.STOCK) + ")$"
 
 
@@ -753,6 +767,12 @@ def p18_visit_ids(spark, sf):
     return x.filter("c = 1").select("o_orderkey", "id")
 
 
+@query("SELECT o_orderkey, 'visit_' || strftime(o_orderdate, '%Y-%m-%d_%H:%M:%S') || '_' || regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '_', 'g') || '_' || lpad((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderpriority, o_orderkey) - 1)::VARCHAR, 3, '0') AS id FROM orders")
+def p18_all_visit_ids(spark, sf):
+    x = table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("start_time"), F.col("o_orderpriority").alias("name"))
+    return P.visit_ids(x, "o_custkey", "o_orderkey").select("o_orderkey", "id")
+
+
 @query("SELECT lower(c_name) || '_' || c_custkey AS conversation, c_name AS name FROM customer")
 def p24_display_names(spark, sf):
     c = table(spark, sf, "customer").select("c_name", "c_custkey")

@@ -57,25 +57,30 @@ def day_month_year(c) -> Column:
     return F.when(F.size(p) == 3, F.concat_ws("-", F.get(p, 2), F.coalesce(months[F.get(p, 1)], F.lit("00")), F.lpad(F.get(p, 0), 2, "0"))).otherwise(_c(c))
 
 
+def strip(c) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(_c(c), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+
+
 def halves_equal(c) -> Column:
     t = _c(c)
     half = (F.length(t) / 2).cast("int")
-    return F.trim(F.substring(t, F.lit(1), half)) == F.trim(F.substring(t, half + 1, F.length(t)))
+    return strip(F.substring(t, F.lit(1), half)) == strip(F.substring(t, half + 1, F.length(t)))
 
 
 def reaction_duplicate(c, shortest: int = 6, least: int = 2) -> Column:
     """P5: a text that says the same twice is said once, up to the first emoji where enough remains."""
     t = _c(c)
-    first = F.trim(F.substring(t, F.lit(1), (F.length(t) / 2).cast("int")))
-    before = F.trim(F.regexp_replace(first, f"(?s)[{EMOJI_CLASS}].*$", ""))
+    first = strip(F.substring(t, F.lit(1), (F.length(t) / 2).cast("int")))
+    before = strip(F.regexp_replace(first, f"(?s)[{EMOJI_CLASS}].*$", ""))
     return F.when((F.length(t) < shortest) | ~halves_equal(t), t).when(F.length(before) >= least, before).otherwise(first)
 
 
 def persona_text(c) -> Column:
     """Without trailing address and audio marks, duplicates of over 15 characters once."""
     t = F.trim(F.regexp_replace(F.regexp_replace(_c(c), r"(?i)\s*IP Address:.*$", ""), r"(?i)\s*Click for audio\s*$", ""))
-    first = F.trim(F.substring(t, F.lit(1), (F.length(t) / 2).cast("int")))
-    before = F.trim(F.regexp_replace(first, f"(?s)[{EMOJI_CLASS}].*$", ""))
+    first = strip(F.substring(t, F.lit(1), (F.length(t) / 2).cast("int")))
+    before = strip(F.regexp_replace(first, f"(?s)[{EMOJI_CLASS}].*$", ""))
     return F.when((F.length(first) > 15) & halves_equal(t), F.when(F.length(before) >= 10, before).otherwise(first)).otherwise(t)
 
 

@@ -75,9 +75,9 @@ def person_stats(df: DataFrame, name: str, polarity: Column) -> DataFrame:
     return x.groupBy("sender_name").agg(F.count("*").alias("n"), F.avg(polarity).alias("polarity")).orderBy("sender_name").limit(1)
 
 
-def visit_ids(df: DataFrame, key: str) -> DataFrame:
-    """Ids from the start, the place and the position among all stays of a key, before any filter."""
-    i = F.row_number().over(Window.partitionBy(key).orderBy("start_time", "name")) - 1
+def visit_ids(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """Ids from the start, the place and the position among all stays of a key, before any filter; equal ones by `ties`."""
+    i = F.row_number().over(Window.partitionBy(key).orderBy("start_time", "name", *ties)) - 1
     return df.withColumn("id", F.concat(F.lit("visit_"), F.regexp_replace(F.date_format("start_time", "yyyy-MM-dd HH:mm:ss"), " ", "_"), F.lit("_"), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "_"), F.lit("_"), F.format_string("%03d", i)))
 
 

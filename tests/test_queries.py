@@ -40,6 +40,28 @@ def test_query(spark, duck, name):
     assert got == sorted(repr([plain(dict(zip(names, r))[c]) for c in columns]) for r in found.fetchall())
 
 
+def test_whole_texts(spark):
+    import re
+
+    from hearthlog.values import EMOJI
+
+    emoji = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in EMOJI) + "]")
+
+    def once(t):
+        half = len(t) // 2
+        first = t[:half].strip()
+        if len(t) < 6 or first != t[half:].strip():
+            return t
+        before = emoji.split(first)[0].strip()
+        return before if len(before) >= 2 else first
+
+    x = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = {name: sorted(tuple(r) for r in catalog.queries()[name](spark, SF).collect()) for name in ("p5_whole_texts", "p23_whole_texts")}
+    assert got["p5_whole_texts"] == sorted((i, once(t), once(f"{t}\n{t}"), once(f"{t} \U0001f606Ann {t} \U0001f606Ann")) for i, t in x)
+    assert got["p23_whole_texts"] == sorted((i, t.strip(" "), f"answer {t}".strip(" ")) for i, t in x)
+    assert len(x) == len(got["p5_whole_texts"]) == len(got["p23_whole_texts"])
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
