@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import message_type, strip
 from ..values import EMOTIONS
 
 LENGTHS = [(1, 1, "1"), (2, 2, "2"), (3, 5, "3-5"), (6, 10, "6-10"), (11, 20, "11-20"), (21, 50, "21-50"), (51, 100, "51-100"), (101, None, "101+")]
+#: Export artefacts and link previews, in English whatever the conversation's language.
+ARTEFACT_STARTS = r"(?i)^(?:Download file:|magnet:\?|Liked a message)"
 
 
 def most_frequent(df: DataFrame, key: str, order: str) -> DataFrame:
@@ -77,10 +80,16 @@ def session_summary(sessions: DataFrame, key: str) -> DataFrame:
 
 
 def language_vote(df: DataFrame, key: str, text: str, is_french: Column, keep: int = 30, least: int = 30) -> DataFrame:
-    """Per conversation the language of most of its longest texts; ties and none: en."""
+    """Per conversation the language of most of its longest texts; ties and none: en.
+
+    System notices, reactions and artefacts of exports don't vote; of the others links and runs of white space are
+    removed first, and length, rank and is_french (over the column text) are those of what is left.
+    """
     from .joins import top_per
 
-    x = top_per(df.filter(F.length(text) >= least).withColumn("__n", F.length(text)), [key], keep, F.desc("__n"), text)
+    said = df.filter((message_type(text) == "text") & ~F.col(text).rlike(ARTEFACT_STARTS))
+    said = said.withColumn(text, F.regexp_replace(strip(F.regexp_replace(text, r"(?i)https?://\S+", "")), r"\s{2,}", " "))
+    x = top_per(said.filter(F.length(text) >= least).withColumn("__n", F.length(text)), [key], keep, F.desc("__n"), text)
     v = x.groupBy(key).agg(F.count_if(is_french).alias("fr"), F.count_if(~is_french).alias("en"))
     return df.select(key).distinct().join(v, key, "left").select(key, F.when(F.coalesce("fr", F.lit(0)) > F.coalesce("en", F.lit(0)), "fr").otherwise("en").alias("language"))
 

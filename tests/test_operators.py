@@ -151,3 +151,13 @@ def test_clusters_and_histogram(spark):
     h = aggregates.histogram(spark.createDataFrame([(float(i),) for i in range(21)], "x double"), "x").orderBy("bin").collect()
     assert h[0]["n"] == 2 and sum(r["n"] for r in h) == 21 and len(h) == 20
     assert aggregates.training_steps(100, 4, 2, 3, 0.1) == (36, 3)
+
+
+def test_language_vote_reads_cleaned_texts(spark):
+    fr = "je suis dans la maison avec les enfants"
+    odd = ["You changed the group photo to that of the house", "You reacted to the message that is for you", "Download file: the house and that of the other.zip", "Magnet:?the and of to is that with for", "bien vu https://x.example/" + "a" * 60]
+    rows = [("c", t) for t in odd * 8] + [("c", fr), ("c", fr + "  \n " + fr), ("c", None)]
+    rows += [("links", "HTTPS://x.example/" + "b" * 90 + " oui la")] * 3 + [("order", f"la une les des est que pour {i}") for i in range(10, 13)] + [("order", f"the and of {i} https://x.example/" + "c" * 50) for i in range(40)]
+    df = spark.createDataFrame(rows, "k string, text string")
+    got = {r["k"]: r["language"] for r in aggregates.language_vote(df, "k", "text", context.stopword_language("text") == "fr", keep=30, least=20).collect()}
+    assert got == {"c": "fr", "links": "en", "order": "fr"}
