@@ -5,8 +5,9 @@ comments). Elements that never belong to an article (menus, footers, forms, adve
 the like, by element, role or words of class and id) are cut off. For every other node the link-adjusted
 characters per tag are computed; the node whose children's densities have the largest sum is the core; the
 least density on its path to the body is the threshold, and nodes of the body from that density on give their
-own cores too. An article or main element around the core is taken whole; else the cores with the headings
-before them.
+own cores too. An article or main element around the core is taken whole, and beside it only other such elements
+count, from the threshold on. If one inside the core holds OWN of its text, all those inside are taken and plain
+nodes beside them are not; else the cores with the headings before them.
 
 Text of the chosen subtrees: character references decoded, white space inside a block one space, blocks joined
 by two line feeds.
@@ -48,7 +49,7 @@ NOT_AFTER = frozenset("content main article body wrapper container layout page".
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TEXT, OPEN, CLOSE = 0, 1, 2
-#: Share of the core's text from which an article inside it is the whole article.
+#: Share of the core's text from which an article inside it makes the articles inside it the whole article.
 OWN = 0.3
 
 
@@ -212,18 +213,23 @@ def cores(root: Node) -> list[Node]:
         path.append(n)
         n = n.parent
     around = [n for n in path if n.name in ("article", "main")]
-    if around:
-        return [next((n for n in reversed(around) if n.name == "article"), around[-1])]
-    below = _inside(best)
-    own = max((n for kind in ("article", "main") for n in below if n.name == kind), key=lambda n: n.chars, default=None)
-    if own is not None and own.chars >= OWN * best.chars:
-        return [own]
+    top = next((n for n in reversed(around) if n.name == "article"), around[-1]) if around else best
+    if not around:
+        parts = [n for n in _inside(best) if n.name in ("article", "main")]
+        if parts and max(n.chars for n in parts) >= OWN * best.chars:
+            return parts
     limit = min(n.density for n in path)
+    dense = lambda n: n.density >= limit and n.link_chars * 2 < n.chars
     chosen, inside = [], set()
     for n in order:  # parents first: a chosen subtree is not entered again
         if n.parent is not None and id(n.parent) in inside:
             inside.add(id(n))
-        elif n is best or (n.parent in path and n not in path and n.density >= limit and n.link_chars * 2 < n.chars) or (n.parent in path and n.name in HEADINGS):
+            continue
+        if around:
+            more = n.name in ("article", "main") and n not in path and dense(n)
+        else:
+            more = n.parent in path and ((n not in path and dense(n)) or n.name in HEADINGS)
+        if n is top or more:
             chosen.append(n)
             inside.add(id(n))
     return chosen

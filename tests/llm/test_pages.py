@@ -23,6 +23,15 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_extraction_keeps_all_articles():
+    say = lambda k, n: f"{k} " + "some words of the story go on here and " * n + "end."
+    for parts in (3, 1):  # paragraphs an article
+        page = "<body><div>" + "".join("<article>" + f"<p>{say(k, 4)}</p>" * parts + "</article>" for k in ("one", "two", "three")) + "</div></body>"
+        assert [extraction.main_text(page).count(k) for k in ("one", "two", "three")] == [parts] * 3
+    beside = f"<body><article><p>{say('one', 5)}</p><p>{say('two', 5)}</p></article><article><a href=x>{say('links', 5)}</a></article></body>"
+    assert "two" in extraction.main_text(beside) and "links" not in extraction.main_text(beside)
+
+
 def test_warc_round_trip(spark):
     big = "x" * 150
     rows = [(-9, "u\r\nb é", big), (-5, None, big), (-7, "u", None), (-8, "u", ""), (-3, "u", "é" * 60), (-2, "u", "é" * 60), (-1, "q", "short"), (-4, "q", "short"), (10, "u", "long " * 200000)]
