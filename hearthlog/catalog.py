@@ -674,8 +674,8 @@ def q2_prepare(spark, sf):
 
 @query()
 def m1_kmeans(spark, sf):
-    x, _ = C.kmeans(table(spark, sf, "embeddings"), "embedding", k=5, n_init=2, max_iter=10)
-    return C.cluster_stats(x, "cluster", 5)
+    x, _ = C.kmeans(table(spark, sf, "embeddings"), "embedding")
+    return C.cluster_stats(x, "cluster", 7)
 
 
 @query("SELECT CAST(i AS INT) AS label, coalesce(n, 0) AS n, round_even(coalesce(n, 0) / (SELECT count(*) FROM embeddings) * 100, 1) AS pct FROM range(10) AS r(i) LEFT JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) ON label = i")
@@ -837,7 +837,7 @@ def v7_history(spark, sf):
 @query()
 def m2_choose_k(spark, sf):
     x = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda v: v.cast("double")).alias("v"))
-    return C.choose_k(x, "v", [2, 3, 4], sample=500)
+    return C.choose_k(x, "v")
 
 
 @query()

@@ -62,6 +62,13 @@ def test_whole_texts(spark):
     assert len(x) == len(got["p5_whole_texts"]) == len(got["p23_whole_texts"])
 
 
+def test_clusters_are_of_full_size(spark):
+    n = spark.read.parquet(f"{SF}/embeddings.parquet").count()
+    got = catalog.queries()["m1_kmeans"](spark, SF).collect()
+    assert sorted(r["cluster"] for r in got) == list(range(7)) and sum(r["n"] for r in got) == n
+    assert [r["k"] for r in catalog.queries()["m2_choose_k"](spark, SF).orderBy("k").collect()] == list(range(2, 20))
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
