@@ -203,15 +203,83 @@ def repeats_brute(rows, n=400):
     return sorted(out)
 
 
+def passages_brute(rows, n=51):
+    """Per text the number of merged runs of first occurrences of 51-word strings that another text holds."""
+    texts = [(i, re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows]
+    held = {}
+    for k, (_, w) in enumerate(texts):
+        for a in range(len(w) - n + 1):
+            held.setdefault(hash(tuple(w[a : a + n])), set()).add(k)
+    out = []
+    for k, (i, w) in enumerate(texts):
+        seen, end, count = set(), -1, 0
+        for a in range(len(w) - n + 1):
+            h = hash(tuple(w[a : a + n]))
+            if len(held[h]) > 1 and (h not in seen or len({tuple(texts[x][1]) for x in held[h]}) == 1):
+                count, end = count + (a > end), a + n
+            seen.add(h)
+        whole = sum(w == x for _, x in texts) > 1 and len(w) >= n
+        out.append((repr(i), 1 if whole else count))
+    return sorted(out)
+
+
 @pytest.mark.parametrize("hot", [repeats.HOT, 1])
 def test_repeats(spark, docs, empty, hot, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", hot)
     r = random.Random(3)
     p = "".join(r.choices("abcdefgh é", k=900))
-    odd = ["a" * 1000, "ab" * 202, "q" * 399, f"zz{p}yy", p[:500] + "x" + p[100:], "Ing " * 130, p, p]
-    df = docs.select("doc_id", "text").filter("doc_id is null or doc_id <> 9").union(spark.createDataFrame([(300 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
-    got = sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeats.remove_repeats(df).collect())
-    assert got == repeats_brute(texts(df))
-    first = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(df, keep="first").collect()}
-    assert first[4] == 0 and first[5] > 400 and first[306] >= 400
+    say = lambda n: " ".join(f"v{r.randint(0, 999)}" for _ in range(n))
+    q = say(52)
+    odd = ["a" * 1000, "ab" * 202, "q" * 399, f"zz{p}yy", p[:500] + "x" + p[100:], "Ing " * 130, p, p, f"{say(9)} {q} {say(30)} {q}", f"{q}", say(300), f"{say(99)}\n{q[: q.rindex(' ', 0, -8)]} {say(9)}"]
+    rows = [(300 + i, t) for i, t in enumerate(odd)] + [(None, p + "end"), (None, "other " + p), (None, "other " + p), (300, "one id " + p[:600])]
+    df = docs.select("doc_id", "text").filter("doc_id is null or doc_id <> 9").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = repeats.remove_repeats(df).collect()
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == repeats_brute(texts(df))
+    assert sorted((repr(r["doc_id"]), r["n_passages"]) for r in found) == passages_brute(texts(df))
+    first = [(r["doc_id"], r["n_bytes"], r["n_removed"]) for r in repeats.remove_repeats(df, keep="first", passages=False).collect()]
+    gone = {i: n for i, _, n in first}
+    assert gone[4] == 0 and gone[5] > 400 and gone[306] >= 400 and sorted(n for i, b, n in first if i == 11) == [0, 0]
+    assert sorted(n == b for i, b, n in first if i is None and b == len(("other " + p).encode())) == [False, True]  # one of equal rows stays, less the passage
     assert repeats.remove_repeats(empty).count() == 0
+
+
+def test_repeats_of_driver_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows, seen = [(i, t.encode()) for i, t in texts(df)], {}
+    for _, t in rows:
+        for k in range(len(t) - 399):
+            h = hash(t[k : k + 400])
+            seen[h] = seen.get(h, 0) + 1
+    want = []
+    for i, t in rows:
+        cut = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if seen[hash(t[k : k + 400])] > 1:
+                cut[k : k + 400] = b"\1" * 400
+        want.append((i, len(t), sum(cut), len(re.findall(rb"\x01+", bytes(cut))), sha(bytes(b for b, c in zip(t, cut) if not c))))
+    found = repeats.remove_repeats(df).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == sorted(want)
+    assert sorted((repr(r["doc_id"]), r["n_passages"]) for r in found) == passages_brute(texts(df))
+
+
+def test_longest_previous_factors():
+    import numpy as np
+
+    for seed in range(20):
+        r = random.Random(seed)
+        size, base = r.choice([16, 20, 32]), "".join(r.choices("ab", k=120))
+        t = base[: r.randint(40, 120)] + base[r.randint(0, 60) :] + "a" * r.randint(0, 60) + base[:50]
+        common = lambda a, b: next(k for k, (x, y) in enumerate(zip(t[a:] + "\0", t[b:] + "\1")) if x != y)
+        order = sorted(range(len(t)), key=lambda i: t[i:])
+        value, source = repeats.previous_factors(order, [0] + [common(a, b) for a, b in zip(order, order[1:])])
+        for k, i in enumerate(order):
+            assert value[k] == max([common(i, j) for j in range(i)], default=0)
+            assert value[k] == 0 or (order[source[k]] < i and common(i, order[source[k]]) == value[k])
+        at = np.arange(len(t) - size + 1)
+        buf = np.frombuffer(t.encode(), np.uint8)
+        h = repeats.prints(*repeats.prefix(buf), at, size) % np.uint64(5 if seed % 2 else 1 << 63)  # also where fingerprints of different strings are equal
+        held: dict = {}
+        for i in at.tolist():
+            held.setdefault(t[i : i + size], []).append(i)
+        later, all_ = {i for v in held.values() for i in v[1:]}, {i for v in held.values() if len(v) > 1 for i in v}
+        assert [set(np.flatnonzero(repeats.repeated(buf, at, h, size, keep, at * 0)).tolist()) for keep in ("first", "none")] == [later, all_]
