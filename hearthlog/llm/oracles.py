@@ -23,13 +23,20 @@ x AS (SELECT *, replace(replace(text, '&', '&a;'), '<|', '&l;|') AS body, replac
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256, CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
 sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(12 + length(head) + 1 + length(body) + 10 + 1) AS BIGINT) AS formatted_chars FROM x GROUP BY conv_id"""
 
-_RATIO = {"symbol_rate": "n_symbols / m", "repeat_rate": "n_repeat_words / m", "line_rate": "n_dup_lines / m * 10", "word_length": "word_chars / m"}
-_FLOOR = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.FLOOR.items()) + " END"
+_RATIO = {"symbol_rate": "(n_symbols + 0.5) / m", "repeat_rate": "(n_repeat_words + 0.5) / m", "line_rate": "(n_dup_lines + 0.5) / m", "word_length": "word_chars / m"}
+_SPREAD = "CASE metric " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in quality.SPREAD.items()) + " END"
 
 
-def _quantile(q: float) -> str:
-    found = f"min(bucket) FILTER (c >= t * {q} - 1e-9)"
-    return f"CASE WHEN {found} = -1000 THEN 0.0 ELSE pow({quality.GRID}::DOUBLE, {found} + 0.5) END"
+def _fences(name: str, keys: list[str], weights: str) -> str:
+    """SQL of tables that end in `name`: keys, metric, hi (upper fence) and lo (lower fence) from weights (keys, metric, bucket, w)."""
+    k = "".join(f"{x}, " for x in keys)
+    point = lambda q: f"pow({quality.GRID}::DOUBLE, min(bucket) FILTER (c >= t * {q} - 1e-9) + 0.5)"
+    return f"""{name}_c AS (SELECT *, sum(w) OVER (PARTITION BY {k}metric ORDER BY bucket) AS c, sum(w) OVER (PARTITION BY {k}metric) AS t FROM (SELECT {k}metric, bucket, sum(w) AS w FROM ({weights}) GROUP BY ALL)),
+{name}_q AS (SELECT {k}metric, {point(0.25)} AS a, {point(0.75)} AS z FROM {name}_c GROUP BY {k}metric, t),
+{name} AS (SELECT {k}metric, z * pow(greatest(z / a, {_SPREAD}), {quality.FENCE}) AS hi, a / pow(greatest(z / a, {_SPREAD}), {quality.FENCE}) AS lo FROM {name}_q)"""
+
+
+_EVEN = f"SELECT lang, metric, bucket, n / t * least(t, {quality.PRIOR}) AS w FROM (SELECT *, sum(n) OVER (PARTITION BY lang, source, metric) AS t FROM b)"
 
 
 OP9 = rf"""WITH w AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '') AS w FROM documents),
@@ -39,15 +46,15 @@ ln AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_mat
 m AS (SELECT w.doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, greatest(len(w), 1)::DOUBLE AS m FROM w JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 v AS ({' UNION ALL '.join(f"SELECT doc_id, lang, source, '{k}' AS metric, {e} AS v, base_failed FROM f" for k, e in _RATIO.items())}),
-b AS (SELECT lang, source, metric, CASE WHEN v <= 1e-6 THEN -1000 ELSE CAST(floor(ln(v) / ln({quality.GRID}::DOUBLE)) AS INT) END AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
+b AS (SELECT lang, source, metric, CAST(floor(ln(v) / ln({quality.GRID}::DOUBLE)) AS INT) AS bucket, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
 world AS (SELECT metric, bucket, sum(n) / sum(sum(n)) OVER (PARTITION BY metric) * {quality.PRIOR} AS w FROM b GROUP BY metric, bucket),
 bl AS (SELECT lang, metric, bucket, sum(w) AS n FROM (SELECT lang, metric, bucket, n::DOUBLE AS w FROM b UNION ALL SELECT lang, metric, bucket, w FROM (SELECT DISTINCT lang FROM b) CROSS JOIN world) GROUP BY ALL),
 pr AS (SELECT lang, metric, bucket, n / sum(n) OVER (PARTITION BY lang, metric) * {quality.PRIOR} AS w FROM bl),
-mx AS (SELECT lang, source, metric, bucket, sum(w) AS w FROM (SELECT lang, source, metric, bucket, n::DOUBLE AS w FROM b UNION ALL SELECT s.lang, source, metric, bucket, w FROM (SELECT DISTINCT lang, source FROM b) s JOIN pr ON s.lang IS NOT DISTINCT FROM pr.lang) GROUP BY ALL),
-cu AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, metric ORDER BY bucket) AS c, sum(w) OVER (PARTITION BY lang, source, metric) AS t FROM mx),
-q AS (SELECT lang, source, metric, {_quantile(0.25)} AS lo, {_quantile(0.75)} AS hi FROM cu GROUP BY lang, source, metric, t),
-cut AS (SELECT lang, source, metric, greatest(hi + {quality.FENCE} * greatest(hi - lo, 0.1 * hi), {_FLOOR}) AS cut FROM q),
-bad AS (SELECT DISTINCT doc_id FROM v JOIN cut ON v.lang IS NOT DISTINCT FROM cut.lang AND v.source IS NOT DISTINCT FROM cut.source AND v.metric = cut.metric WHERE v.v > cut.cut)
+{_fences("own", ["lang", "source"], "SELECT lang, source, metric, bucket, n::DOUBLE AS w FROM b UNION ALL SELECT s.lang, source, metric, bucket, w FROM (SELECT DISTINCT lang, source FROM b) s JOIN pr ON s.lang IS NOT DISTINCT FROM pr.lang")},
+{_fences("tongue", ["lang"], _EVEN)},
+{_fences("everyone", [], _EVEN)},
+cut AS (SELECT own.lang, own.source, own.metric, least(own.hi, {quality.BOUND} * CASE WHEN own.metric = 'word_length' THEN tongue.hi ELSE least(tongue.hi, everyone.hi) END) AS hi, CASE WHEN own.metric = 'word_length' THEN own.lo ELSE 0 END AS lo FROM own JOIN tongue ON own.lang IS NOT DISTINCT FROM tongue.lang AND own.metric = tongue.metric JOIN everyone ON own.metric = everyone.metric),
+bad AS (SELECT DISTINCT doc_id FROM v JOIN cut ON v.lang IS NOT DISTINCT FROM cut.lang AND v.source IS NOT DISTINCT FROM cut.source AND v.metric = cut.metric WHERE v.v > cut.hi OR v.v < cut.lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 
 ORACLES = {"op4_warc_zstd": OP4, "op6_ngram_jaccard": OP6, "op8_chat_format": OP8, "op9_quality_rules": OP9}

@@ -1,19 +1,22 @@
-"""Quality rules: fixed floors, raised by adaptive thresholds (native).
+"""Quality rules by adaptive thresholds from quantile sketches (native).
 
 Per text: word and symbol counts, repeated lines and repeated three-word windows. Fixed base rules reject
-very short and mostly repeated texts. Beyond them, each ratio has a fixed threshold (FLOOR), which adapts upwards
-only (on the test data it never does, see the README): for each language and source a mergeable quantile sketch
-(counts per bucket of a logarithmic grid, so that sketches add up bucket by bucket and a quantile is within 2 % of
-its value) gives the quartiles of each ratio, and a text is rejected when a ratio lies beyond the far fence, or so
-far beyond its group that it can't belong to it. Groups with few texts borrow from their language and from all
-texts: the counts of the wider group enter with a fixed weight. A group's threshold is at most BOUND times that of
-its language and of all texts, in both of which each group counts alike however large it is, so that a large source
-with much junk doesn't raise its own; word length, which follows the script, is bounded by the language alone. Junk
-in a quarter of the average source isn't seen.
-
-Defined cases: null text is an empty text (n_words 0, base_failed); null language or source is a group of
-its own; repeated rows are judged one by one and get equal verdicts; an empty table gives an empty table;
-other columns are carried along under their names (those of this operator are taken from it).
+very short and mostly repeated texts. All other verdicts come from the data: for each language and source a
+mergeable quantile sketch (counts per bucket of a logarithmic grid, so that sketches add up bucket by bucket and a
+quantile is within 2 % of its value) gives the quartiles of each ratio; a text is rejected when a ratio lies beyond
+the far fence, which is the upper quartile times the spread of the quartiles (their quotient, at least SPREAD) to
+the power FENCE; for the length of words also when it lies below the mirrored lower fence. Counts have half an event
+added, so a short text without any says less than a long one, and quartiles are never zero.
+
+Groups with few texts borrow from their language and from all texts: the counts of the wider group enter with a
+fixed weight. A group's fence is at most BOUND times that of its language and of all texts, in both of which each
+group counts alike however large it is, so that a large source with much junk doesn't raise its own; word length,
+which follows the script, is bounded by the language alone. Junk in a quarter of the average source isn't seen.
+
+Defined cases: null text is an empty text (n_words 0, base_failed); texts of any length are whole, one row's
+words and windows are arrays of that row alone; null language or source is a group of its own; repeated rows are
+judged one by one and get equal verdicts; an empty table gives an empty table; other columns are carried along
+under their names (those of this operator are taken from it).
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from .common import SPACES, settle
 
 SYMBOLS = "#*$%&|<>"
 METRICS = ("symbol_rate", "repeat_rate", "line_rate", "word_length")
-#: Least value beyond which a ratio can reject at all: clean text of any source stays.
-FLOOR = {"symbol_rate": 0.05, "repeat_rate": 0.3, "line_rate": 0.3, "word_length": 15.0}
-FENCE, PRIOR, GRID = 3.0, 50.0, 1.04
-#: Most that a group's threshold can be, in thresholds of its language and of all texts.
+#: Least quotient of a group's quartiles that its fences are drawn from; a group of very even texts would else reject its own tail.
+SPREAD = {"symbol_rate": 6.0, "repeat_rate": 6.0, "line_rate": 6.0, "word_length": 1.15}
+FENCE, PRIOR, GRID = 2.0, 50.0, 1.04
+#: Most that a group's fence can be, in fences of its language and of all texts.
 BOUND = 2.0
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -58,11 +61,11 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def ratios() -> dict:
     n = F.greatest(F.col("n_words"), F.lit(1))
-    return {"symbol_rate": F.col("n_symbols") / n, "repeat_rate": F.col("n_repeat_words") / n, "line_rate": F.col("n_dup_lines") / n * 10, "word_length": F.col("word_chars") / n}
+    return {"symbol_rate": (F.col("n_symbols") + 0.5) / n, "repeat_rate": (F.col("n_repeat_words") + 0.5) / n, "line_rate": (F.col("n_dup_lines") + 0.5) / n, "word_length": F.col("word_chars") / n}
 
 
 def _bucket(v):
-    return F.when(v <= 1e-6, F.lit(-1000)).otherwise(F.floor(F.log(v) / F.log(F.lit(GRID)))).cast("int")
+    return F.floor(F.log(v) / F.log(F.lit(GRID))).cast("int")
 
 
 def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,7 +79,7 @@ def sketch(measured: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def thresholds(counts: DataFrame) -> DataFrame:
-    """lang, source and the cut of each metric, from a sketch by lang and source.
+    """lang, source and the fences (least_ and most_) of each metric, from a sketch by lang and source.
 
     A group's distribution is its own plus PRIOR texts spread as its language's, which in turn has PRIOR
     texts spread as all. The number of rows is that of the groups times the grid's buckets.
@@ -97,31 +100,35 @@ def thresholds(counts: DataFrame) -> DataFrame:
 
     def quantile(q: float):
         found = F.aggregate("s", F.struct(F.lit(0.0).alias("c"), F.lit(None).cast("int").alias("b")), lambda a, e: F.struct((a["c"] + e["w"]).alias("c"), F.when(a["b"].isNull() & (a["c"] + e["w"] >= F.col("t") * q - 1e-9), e["bucket"]).otherwise(a["b"]).alias("b")))["b"]
-        return F.when(found == -1000, 0.0).otherwise(F.pow(F.lit(GRID), found + 0.5))
+        return F.pow(F.lit(GRID), found + 0.5)
+
+    spread = F.create_map(*[F.lit(x) for kv in SPREAD.items() for x in kv])
 
     def fence(x: DataFrame, keys: list[str], name: str) -> DataFrame:
         x = x.groupBy(*keys, "metric", "bucket").agg(F.sum("w").alias("w"))
         x = x.groupBy(*keys, "metric").agg(F.array_sort(F.collect_list(F.struct("bucket", "w"))).alias("s"), F.sum("w").alias("t"))
         x = x.select(*keys, "metric", quantile(0.25).alias("lo"), quantile(0.75).alias("hi"))
-        return x.select(*keys, "metric", (F.col("hi") + FENCE * F.greatest(F.col("hi") - F.col("lo"), 0.1 * F.col("hi"))).alias(name))
+        wide = F.pow(F.greatest(F.col("hi") / F.col("lo"), spread[F.col("metric")]), F.lit(FENCE))
+        return x.select(*keys, "metric", (F.col("hi") * wide).alias(name), (F.col("lo") / wide).alias(f"{name}_low"))
 
     # each group with the same weight, small ones with their number of texts
     even = counts.groupBy("lang", "source", "metric").agg(F.collect_list(F.struct("bucket", "n")).alias("s"), F.sum("n").alias("t")).select("lang", "metric", "t", F.explode("s").alias("e"))
     even = even.select("lang", "metric", "e.bucket", (F.col("e.n") / F.col("t") * F.least(F.col("t"), F.lit(PRIOR))).alias("w"))
-    wide = fence(even, ["lang"], "of_lang").join(fence(even, [], "of_all"), "metric")
+    wide = fence(even, ["lang"], "of_lang").join(fence(even, [], "of_all"), "metric")  # METRICS rows a language
     wide = wide.select(F.col("lang").alias("__l"), F.col("metric").alias("__m"), (BOUND * F.when(F.col("metric") == "word_length", F.col("of_lang")).otherwise(F.least("of_lang", "of_all"))).alias("most"))
     cut = fence(mixed, ["lang", "source"], "own").join(wide, F.col("lang").eqNullSafe(F.col("__l")) & (F.col("metric") == F.col("__m")))
-    floor = F.create_map(*[F.lit(x) for kv in FLOOR.items() for x in kv])
-    return cut.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.greatest(F.least("own", "most"), floor[m]))).alias(f"cut_{m}") for m in METRICS])
+    one = lambda m, c: F.max(F.when(F.col("metric") == m, c))
+    return cut.groupBy("lang", "source").agg(*[one(m, F.least("own", "most")).alias(f"most_{m}") for m in METRICS], one("word_length", F.col("own_low")).alias("least_word_length"))
 
 
 def judge(measured: DataFrame, cuts: DataFrame) -> DataFrame:
     """measured with kept; a group without a threshold keeps what passed the base rules."""
-    c = cuts.withColumnsRenamed({"lang": "__lang", "source": "__source"} | {f"cut_{m}": f"__cut_{m}" for m in METRICS})
+    c = cuts.toDF(*[f"__{x}" for x in cuts.columns])
     r = ratios()
-    bad = F.lit(False)
+    bad = r["word_length"] < F.col("__least_word_length")
     for m in METRICS:
-        bad = bad | F.coalesce(r[m] > F.col(f"__cut_{m}"), F.lit(False))
+        bad = bad | (r[m] > F.col(f"__most_{m}"))
+    bad = F.coalesce(bad, F.lit(False))
     j = measured.join(c, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left")
     return j.withColumn("kept", ~F.col("base_failed") & ~bad).drop(*c.columns)
 

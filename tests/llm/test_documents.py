@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from hearthlog.llm import decontamination, jaccard, packing, pii, quality, repeats
 
+from hearthlog.llm.common import settle
+
 from .helpers import DOCS, WORDS, hard_docs, roots, sha
 
 SF = "/root/testdata/sf0.001"
@@ -52,6 +54,24 @@ def test_quality_adapts_and_keeps_columns(spark, docs, empty):
     assert quality.keep_good(empty).count() == quality.quality_rules(empty).count() == 0
 
 
+def test_quality_thresholds_follow_their_groups(spark):
+    """Thresholds differ from group to group; the same text is kept in one source and rejected in another."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    m = settle(quality.measure(df).drop("text"), "measured")
+    cuts = quality.thresholds(quality.sketch(m, ["lang", "source"])).collect()
+    for k in quality.METRICS:
+        values = [r[f"most_{k}"] for r in cuts]
+        assert max(values.count(v) for v in values) <= len(values) / 2 and max(values) > 1.05 * min(values), k
+    good = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").join(quality.quality_rules(df), "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+    kept = {r["quality"]: r["kept"] for r in good}
+    assert kept[1] > 0.98 and kept[0] < 0.05
+    r = random.Random(4)
+    say = lambda marks: " ".join(f"w{r.randint(0, 5000)}" for _ in range(90)) + " #" * marks
+    rows = [(i, say(r.randint(3, 12)), "en", "code") for i in range(300)] + [(1000 + i, say(0), "en", "news") for i in range(300)] + [(2000, say(40), "en", "code"), (2001, say(40), "en", "news")]
+    kept = {x["doc_id"]: x["kept"] for x in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert kept[2000] and not kept[2001]
+
+
 def test_quality_of_a_hot_dirty_source(spark):
     r = random.Random(2)
     say = lambda junk: " ".join(f"w{r.randint(0, 5000)}" + "###" * junk for _ in range(80))
