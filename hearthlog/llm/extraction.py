@@ -3,11 +3,11 @@
 A tolerant reader builds the tree (implied ends of paragraphs, items, cells; raw text of scripts and styles;
 comments). Elements that never belong to an article (menus, footers, forms, adverts, comments of readers and
 the like, by element, role or words of class and id) are cut off. For every other node the link-adjusted
-characters per tag are computed; the node whose children's densities have the largest sum is the core; the
-least density on its path to the body is the threshold, and nodes of the body from that density on give their
-own cores too. An article or main element around the core is taken whole, and beside it only other such elements
-count, from the threshold on. If one inside the core holds OWN of its text, all those inside are taken and plain
-nodes beside them are not; else the cores with the headings before them.
+characters per tag are computed, where inline formatting is no tag of its own; the node whose children's densities
+have the largest sum is the core; the least density on its path to the body is the threshold. Nodes beside the path
+from the threshold on, of which less than half is links, belong to the article too, and so do such nodes of any
+density between two that were taken (short paragraphs) and headings just before one. Element names don't decide:
+article and main count like any other block.
 
 Text of the chosen subtrees: character references decoded, white space inside a block one space, blocks joined
 by two line feeds.
@@ -36,6 +36,7 @@ CUT = frozenset("head script style noscript iframe object embed template svg mat
 BLOCK = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CELLS = frozenset("td th br".split())
 HEADINGS = frozenset("h1 h2 h3".split())
+INLINE = frozenset("abbr b big cite code del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split())
 ENDS_P = BLOCK - frozenset("body html caption tbody tfoot thead tr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"article", "section", "td", "th", "div", "li", "blockquote", "main", "body"}}
@@ -49,8 +50,6 @@ NOT_AFTER = frozenset("content main article body wrapper container layout page".
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 TEXT, OPEN, CLOSE = 0, 1, 2
-#: Share of the core's text from which an article inside it makes the articles inside it the whole article.
-OWN = 0.3
 
 
 def _unwanted(name: str, attributes: str) -> bool:
@@ -176,7 +175,7 @@ def measure(root: Node) -> list[Node]:
         if n.parent is not None:
             p = n.parent
             p.chars += n.chars
-            p.tags += n.tags + 1
+            p.tags += n.tags + (n.name not in INLINE)
             p.link_chars += n.link_chars
             p.link_tags += n.link_tags + (n.name == "a")
     body = root
@@ -186,19 +185,11 @@ def measure(root: Node) -> list[Node]:
             c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, n.link_tags
             base = math.log(c / max(1, c - lc) * lc + share * c + math.e)
             n.density = c / t * math.log(max(1.0, c / max(1, lc) * t / max(1, lt)) + 1) / math.log(base + 1)
-        if n.parent is not None:
+        if n.parent is not None and n.name not in INLINE:
             n.parent.total += n.density
     return order
 
 
-def _inside(top: Node) -> list[Node]:
-    out, k = [top], 0
-    while k < len(out):
-        out += [x for x in out[k].parts if isinstance(x, Node)]
-        k += 1
-    return out[1:]
-
-
 def cores(root: Node) -> list[Node]:
     """The subtrees that hold the article."""
     order = measure(root)
@@ -208,31 +199,20 @@ def cores(root: Node) -> list[Node]:
     best = max(full, key=lambda n: n.total)
     if best.total == 0:
         return [root]
-    path, n = [], best
-    while n is not None:
-        path.append(n)
-        n = n.parent
-    around = [n for n in path if n.name in ("article", "main")]
-    top = next((n for n in reversed(around) if n.name == "article"), around[-1]) if around else best
-    if not around:
-        parts = [n for n in _inside(best) if n.name in ("article", "main")]
-        if parts and max(n.chars for n in parts) >= OWN * best.chars:
-            return parts
+    path = [best]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
     limit = min(n.density for n in path)
-    dense = lambda n: n.density >= limit and n.link_chars * 2 < n.chars
-    chosen, inside = [], set()
-    for n in order:  # parents first: a chosen subtree is not entered again
-        if n.parent is not None and id(n.parent) in inside:
-            inside.add(id(n))
-            continue
-        if around:
-            more = n.name in ("article", "main") and n not in path and dense(n)
-        else:
-            more = n.parent in path and ((n not in path and dense(n)) or n.name in HEADINGS)
-        if n is top or more:
-            chosen.append(n)
-            inside.add(id(n))
-    return chosen
+    plain = lambda n: n.link_chars * 2 < n.chars
+    chosen = []
+    for parent, own in zip(path[1:], path):
+        parts = [n for n in parent.parts if isinstance(n, Node) and n.chars]
+        at = [k for k, n in enumerate(parts) if n is own or (n.density >= limit and plain(n) and n.name not in INLINE)]
+        first = at[0]
+        while first and parts[first - 1].name in HEADINGS:
+            first -= 1
+        chosen += [n for k, n in enumerate(parts) if n is not own and (k in at or (first <= k < at[-1] and plain(n)))]
+    return [best, *chosen]
 
 
 def blocks(roots: list[Node]) -> list[str]:

@@ -1,6 +1,8 @@
 """Operators over pages and conversations."""
 
+import math
 import random
+import re
 
 from hearthlog.llm import chat, extraction, language, warc
 
@@ -18,7 +20,7 @@ def test_extraction(spark):
     want = "Head & line\n\nFirst para with long text here and more words to read.\n\nSecond paragraph, with a link and text, enough of it.\n\nOne item\n\nTwo item"
     rows = [(1, "u", page, "t", "a"), (2, None, None, None, None), (3, "u", "", "t", "a"), (4, "u", "no tags &lt;b", "t", "a"), (5, "u", "<div>" * 5000 + "deep", "t", "a"), (5, "u", '<p title="open>abc</p> def', "t", "a"), (6, "u", "<article><h1>T</h1><p>short</article><p>outside", "t", "a")]
     got = sorted((r["page_id"], r["text"], r["n_chars"]) for r in extraction.extract(spark.createDataFrame(rows, PAGES)).collect())
-    texts = sorted([(1, want), (2, ""), (3, ""), (4, "no tags <b"), (5, "deep"), (5, "abc\n\ndef"), (6, "T\n\nshort")])
+    texts = sorted([(1, want), (2, ""), (3, ""), (4, "no tags <b"), (5, "deep"), (5, "abc\n\ndef"), (6, "T\n\nshort\n\noutside")])
     assert got == [(i, t, len(t)) for i, t in texts]
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -32,6 +34,50 @@ def test_extraction_keeps_all_articles():
     assert "two" in extraction.main_text(beside) and "links" not in extraction.main_text(beside)
 
 
+def test_extraction_by_density_alone(spark):
+    """Element names decide nothing: pages whose article elements are plain blocks give the same texts."""
+    pages = [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    for html in pages:
+        plain = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", html)
+        assert extraction.main_text(html) == extraction.main_text(plain)
+    story = " ".join(f"<p>{k} some words of a story, with <b>bold</b> ones and an end.</p>" for k in range(30))
+    for box in ("div", "section", "article"):
+        html = f"<body><div><ul>{'<li><a href=x>menu entry</a></li>' * 20}</ul></div><div><{box}><h2>Head</h2>{story}</{box}><p>Short.</p><{box}>{story}</{box}></div></body>"
+        text = extraction.main_text(html)
+        assert text.count("story") == 60 and "Head" in text and "Short." in text and "menu" not in text
+    long = f"<body><div>{story * 400}</div></body>"  # about a megabyte
+    assert extraction.main_text(long).count("story") == 12000
+
+
+def test_density_sums_by_brute_force(spark):
+    """The core is the node whose children's densities have the largest sum, computed node by node from its text."""
+    for html in [r["html"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()]:
+        root = extraction.parse(html)
+
+        def walk(n):
+            yield n
+            for x in n.parts:
+                if isinstance(x, extraction.Node):
+                    yield from walk(x)
+
+        size = lambda n, link=False: sum((0 if isinstance(x, extraction.Node) else len("".join(x.split()))) if not isinstance(x, extraction.Node) else size(x) for x in n.parts)
+        tags = lambda n: [x for x in walk(n) if x is not n and x.name not in extraction.INLINE]
+        links = lambda n: [x for x in walk(n) if x.name == "a" and not any(y is not x and y.name == "a" and x in list(walk(y)) for y in walk(n))]
+        whole = size(root)
+        share = sum(map(size, links(root))) / whole if whole else 0
+
+        def density(n):
+            c, t = size(n), max(1, len(tags(n)))
+            lc, lt = sum(map(size, links(n))), max(1, sum(len(tags(x)) for x in links(n)) + sum(x is not n for x in links(n)))
+            return c / t * math.log(max(1.0, c / max(1, lc) * t / lt) + 1) / math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e) + 1) if c else 0.0
+
+        want = {id(n): sum(density(x) for x in n.parts if isinstance(x, extraction.Node) and x.name not in extraction.INLINE) for n in walk(root)}
+        extraction.measure(root)
+        assert all(abs(n.total - want[id(n)]) <= 1e-6 * (1 + n.total) for n in walk(root))
+        if whole:
+            assert want[id(extraction.cores(root)[0])] >= max(want.values()) - 1e-6 * (1 + max(want.values()))
+
+
 def test_warc_round_trip(spark):
     big = "x" * 150
     rows = [(-9, "u\r\nb é", big), (-5, None, big), (-7, "u", None), (-8, "u", ""), (-3, "u", "é" * 60), (-2, "u", "é" * 60), (-1, "q", "short"), (-4, "q", "short"), (10, "u", "long " * 200000)]
@@ -45,6 +91,20 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_warc_ids(spark, tmp_path):
+    """One id with two payloads, repeated rows, null ids; and archives as files read by Spark."""
+    a, b = "a" * 150, "b" * 150
+    rows = [(1, a), (5, a), (5, b), (7, b), (9, b), (9, b), (None, a), (None, "n" * 200), (None, "n" * 200)]
+    df = spark.createDataFrame([(i, "u", h, "t", "a") for i, h in rows], PAGES)
+    got = sorted(repr((r["page_id"], r["payload_digest"], r["payload_bytes"], r["record_type"], r["refers_to"], r["error"])) for r in warc.round_trip(df).collect())
+    want = [(1, a, None), (5, a, 1), (5, b, None), (7, b, 5), (9, b, 5), (9, b, 5), (None, a, 1), (None, "n" * 200, None), (None, "n" * 200, None)]
+    assert got == sorted(repr((i, sha(h), len(h), "response" if r is None else "revisit", r, "")) for i, h, r in want)
+    for k, r in enumerate(warc.write_archives(df).collect()):
+        (tmp_path / f"{k}.warc.zst").write_bytes(r["content"])
+    read = warc.read_archives(spark.read.format("binaryFile").load(f"file://{tmp_path}"))
+    assert sorted((repr(r["page_id"]), (r["payload"] or b"").decode()) for r in read.collect()) == sorted((repr(i), "" if r else h) for i, h, r in want)
+
+
 def test_warc_reports_damage():
     records = [warc.record(i, "u", b"hello" * i, sha(b"hello" * i), None) for i in range(50)]
     whole = warc.archive(records)
