@@ -11,9 +11,10 @@ equal payloads from MIN_REVISIT bytes on, the one with the smallest id is a resp
 its id and the digest. Only digests and ids are shuffled for that, minima pre-aggregated.
 
 Defined cases: null html is an empty payload; null url is `about:blank`, and characters that would break a
-header line are percent-encoded; payloads of any length are whole; repeated rows with one id give one response
-and revisits of themselves, told apart by nothing; an empty table gives no archive and an empty table; other
-columns are ignored.
+header line are percent-encoded; payloads of any length are whole; one id may have several payloads, which are
+judged each by its own; rows that repeat an id and its payload are equal records, all of the kind that the id has
+for this payload; a null id stands after all others (with equal payloads that have no other id, each is a
+response); an empty table gives no archive and an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,15 +38,15 @@ REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
 END = b"\r\n\r\n"
 
 
-def _id(n: int) -> str:
-    return f"<urn:hearthlog:page:{n}>"
+def _id(n: int | None) -> str:
+    return f"<urn:hearthlog:page:{'' if n is None else n}>"
 
 
 def _url(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "about:blank"
 
 
-def record(page: int, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
+def record(page: int | None, url: str | None, payload: bytes, digest: str, refers: int | None) -> bytes:
     """A response, or a revisit without its payload."""
     kind = "response" if refers is None else "revisit"
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
@@ -148,8 +149,10 @@ def write_archives(pages: DataFrame) -> DataFrame:
     body = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     ids = settle(pages.select("page_id", F.length(body).cast("long").alias("size"), F.sha2(body, 256).alias("digest")), "digests")
     first = ids.filter(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = settle(ids.filter(F.col("size") >= MIN_REVISIT).join(first, "digest").filter("page_id <> first").select("page_id", "first").distinct(), "revisits")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("body")).join(later, "page_id", "left")
+    later = ids.filter(F.col("size") >= MIN_REVISIT).join(first, "digest").filter("first is not null and not (page_id <=> first)")
+    later = settle(later.select(F.col("page_id").alias("l_id"), F.col("digest").alias("l_digest"), "first").distinct(), "revisits")
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
+    rows = rows.join(later, F.col("page_id").eqNullSafe(F.col("l_id")) & (F.col("digest") == F.col("l_digest")), "left").select("page_id", "url", "body", "digest", "first")
 
     def run(batches):
         def put(records):
@@ -158,8 +161,8 @@ def write_archives(pages: DataFrame) -> DataFrame:
 
         records, size = [], 0
         for b in batches:
-            for page, url, payload, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "body", "first"))):
-                records.append(record(page, url, payload, hashlib.sha256(payload).hexdigest(), refers))
+            for page, url, payload, digest, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "body", "digest", "first"))):
+                records.append(record(page, url, payload, digest, refers))
                 size += len(records[-1])
                 if size >= ARCHIVE:
                     yield put(records)
@@ -195,11 +198,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """pages written as archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's length and digest are those of the response that it refers to, as decoded.
+    A revisit's length is that of the response that it refers to, as decoded: the one of that id with its digest.
     """
     made = settle(write_archives(pages), "archives")
     found = settle(read_archives(made).drop("payload", "url"), "records")
-    source = found.filter("record_type = 'response'").select(F.col("page_id").alias("r_id"), F.col("payload_bytes").alias("r_bytes"), F.col("payload_digest").alias("r_digest")).dropDuplicates(["r_id"])
-    asked = found.filter("refers_to is not null").select(F.col("refers_to").alias("r_id")).distinct()
-    x = found.join(source.join(asked, "r_id", "left_semi"), F.col("refers_to") == F.col("r_id"), "left")
-    return x.select("page_id", F.coalesce("r_bytes", "payload_bytes").alias("payload_bytes"), F.coalesce("r_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to", "error")
+    source = found.filter("record_type = 'response'").select(F.col("page_id").alias("r_id"), F.col("payload_bytes").alias("r_bytes"), F.col("payload_digest").alias("r_digest")).dropDuplicates(["r_id", "r_digest"])
+    asked = found.filter("refers_to is not null").select(F.col("refers_to").alias("r_id"), F.col("payload_digest").alias("r_digest")).distinct()
+    x = found.join(source.join(asked, ["r_id", "r_digest"], "left_semi"), (F.col("refers_to") == F.col("r_id")) & (F.col("payload_digest") == F.col("r_digest")), "left")
+    error = F.when((F.col("record_type") == "revisit") & F.col("r_id").isNull(), "its response is not there").otherwise(F.col("error"))
+    return x.select("page_id", F.coalesce("r_bytes", "payload_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to", error.alias("error"))
