@@ -1,7 +1,7 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then question and answer overlap.
 
 The index holds the test items; every passage of every training text is a query. Words are runs of letters
-and digits (ASCII punctuation separates), A-Z lower-cased. Passages are windows of two strides, one stride
+and digits (ASCII punctuation separates), lower-cased. Passages are windows of two strides, one stride
 apart, where the stride is at least as long as the items of an index, so each copy of an item lies in a
 passage whole. A score is divided by the item's own score for its full text, so one threshold fits all.
 
@@ -11,11 +11,13 @@ passage whole. A score is divided by the item's own score for its full text, so
    passage. The answer is the last sentence, or the last quarter of the words where there is but one.
 
 Items go into indexes by length class (powers of two), and in blocks of at most ITEM_WORDS words, each sent to
-the executors: a larger benchmark makes more blocks, not larger ones. BM25's statistics are those of the block.
+the executors: a larger benchmark makes more blocks, not larger ones. BM25's statistics (number of items, mean
+length, items a word is in) are those of the whole benchmark in every block, counted by grouped aggregation.
 
-Defined cases: null or empty texts and items match nothing; parts with fewer than five words are compared as
-one sequence; repeated rows are reported as often as they occur; an empty table gives an empty result; items
-with equal texts are all reported; other columns are ignored.
+Defined cases: null or empty texts and items, and items without an id, match nothing; texts of any length are
+whole; parts with fewer than five words are compared as one sequence; repeated rows are reported as often as they
+occur, also under a null id; an empty table gives an empty result; items with equal texts are all reported; other
+columns are ignored. keep_clean() drops the rows whose own text leaks, whatever their id.
 """
 
 from __future__ import annotations
@@ -24,11 +26,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import APART, arrow_limits, buffers, chain, hash_words, pieces, words
+from .common import APART, arrow_limits, buffers, chain, hash_words, pieces, settle, words
 
 K1, B, THRESHOLD, OVERLAP, SHINGLE = 1.2, 0.75, 0.6, 0.75, 5
 LEAST_STRIDE, BLOCK, NEAR, ITEM_WORDS = 64, 8, 2, 1_000_000
@@ -37,7 +40,7 @@ OUT = "doc_id long, item_id long, score double, passage long, question_overlap d
 
 def tokens(column: pa.Array):
     """Word hashes, each word's text, and where each text's words begin."""
-    buf, off = buffers(column)
+    buf, off = buffers(pc.utf8_lower(column.cast(pa.large_string())))
     start, end = words(buf, off, APART)
     doc = np.searchsorted(off, start, "right") - 1
     return hash_words(buf, start, end), doc, np.searchsorted(doc, np.arange(len(off)))
@@ -48,19 +51,18 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
 
 
 class Index:
-    """Postings by term with normalised impacts, their maxima, and maxima of blocks of BLOCK postings."""
+    """Postings by term with normalised impacts, their maxima, and maxima of blocks of BLOCK postings.
 
-    def __init__(self, items: list[tuple[int, str]], stride: int):
+    stats: number of items, their mean length in words, and the number of items that hold each word.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], stride: int, stats: tuple[int, float, dict] | None = None):
         self.stride, self.ids, self.parts = stride, [], []
         texts = pa.array([t for _, t in items], pa.large_string())
         h, _, first = tokens(texts)
         rows = [(i, h[a:b], split_at(t, b - a)) for (i, t), a, b in zip(items, first[:-1], first[1:]) if b > a]
-        n, average = len(rows), sum(len(w) for _, w, _ in rows) / max(1, len(rows))
         tf = [dict(zip(*[x.tolist() for x in np.unique(w, return_counts=True)])) for _, w, _ in rows]
-        df: dict[int, int] = {}
-        for d in tf:
-            for t in d:
-                df[t] = df.get(t, 0) + 1
+        n, average, df = stats or statistics([w for _, w, _ in rows])
         post: dict[int, list] = {}
         for at, ((item, w, cut), d) in enumerate(zip(rows, tf)):
             raw = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(w) / average)) for t, c in d.items()}
@@ -163,6 +165,15 @@ class Index:
         c[0] = where[c[1]] if c[1] < len(where) else len(self.ids)
 
 
+def statistics(items: list[np.ndarray]) -> tuple[int, float, dict]:
+    """Of items as word hashes: their number, mean length, and the number of items each word is in."""
+    df: dict[int, int] = {}
+    for w in items:
+        for t in np.unique(w).tolist():
+            df[t] = df.get(t, 0) + 1
+    return len(items), sum(map(len, items)) / max(1, len(items)), df
+
+
 def split_at(text: str, n: int) -> int:
     """Where the answer's words begin: the last sentence, or the last quarter."""
     body = text.rstrip()
@@ -220,44 +231,84 @@ def scan(column: pa.Array, index: Index, threshold: float = THRESHOLD):
         yield (row, index.ids[item], *x)
 
 
-def indexes(items: list[tuple[int, str]]) -> list[Index]:
-    """One index for each class of lengths."""
+def indexes(items: list[tuple[int, str]], stats: tuple[int, float, dict] | None = None) -> list[Index]:
+    """One index for each class of lengths, with the statistics of all items."""
     by: dict[int, list] = {}
     for i, t in items:
         n = len(tokens(pa.array([t], pa.large_string()))[0])
         by.setdefault(max(LEAST_STRIDE, 1 << max(0, n - 1).bit_length()), []).append((i, t))
-    return [Index(x, stride) for stride, x in sorted(by.items())]
+    if stats is None:
+        stats = statistics([h for _, t in items if len(h := tokens(pa.array([t], pa.large_string()))[0])])
+    return [Index(x, stride, stats) for stride, x in sorted(by.items())]
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per text and test item that it leaks."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("passage", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
-    asked = benchmark.select("item_id", F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
+def _counted(items: DataFrame) -> DataFrame:
+    """(item_id, word, n) of the items (item_id, text): its word hashes, with the item's number of words."""
+    schema = pa.schema([("item_id", pa.int64()), ("word", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        for b in batches:
+            h, doc, first = tokens(b.column("text"))
+            if len(h):
+                order = np.lexsort((h, doc))
+                h, doc = h[order], doc[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))
+                doc = doc[new]
+                yield pa.RecordBatch.from_arrays([b.column("item_id").cast(pa.int64()).take(pa.array(doc)), pa.array(h[new].view(np.int64)), pa.array(np.diff(first)[doc].astype(np.int64))], schema=schema)
+
+    return items.mapInArrow(run, "item_id long, word long, n long")
+
+
+def blocks(benchmark: DataFrame):
+    """The indexes of each block of the benchmark, one block at a time, all with the statistics of the whole."""
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null and item_id is not null")
     size = asked.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    blocks = -(-size // ITEM_WORDS)
-    out = spark.createDataFrame([], OUT)
-    for k in range(blocks):
-        part = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+    n = -(-size // ITEM_WORDS)
+    if n <= 1:
+        if n:
+            yield indexes(sorted((r["item_id"], r["text"]) for r in asked.collect()))
+        return
+    counted = settle(_counted(asked), "words")
+    total = counted.groupBy("item_id").agg(F.first("n").alias("n")).agg(F.count("*"), F.avg("n")).first()
+    held = counted.groupBy("word").agg(F.count("*").alias("items"))
+    for k in range(n):
+        mine = F.pmod(F.xxhash64("item_id"), F.lit(n)) == k
         # about ITEM_WORDS words, whatever the benchmark's size
-        sent = spark.sparkContext.broadcast(cloudpickle.dumps(indexes(sorted((r["item_id"], r["text"]) for r in part.collect()))))
+        own = counted.filter(mine).select("word").distinct().join(held, "word").toArrow()
+        df = dict(zip(own["word"].to_numpy().view(np.uint64).tolist(), own["items"].to_pylist()))
+        yield indexes(sorted((r["item_id"], r["text"]) for r in asked.filter(mine).collect()), (total[0], total[1], df))
+
+
+def found(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per text and test item that it leaks, with a hash of the text, which tells rows of one id apart."""
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("passage", pa.int64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())])
+    out = spark.createDataFrame([], f"doc_id long, text_hash long, {OUT.partition(', ')[2]}")
+    body = F.col("text").cast("string")
+    for built in blocks(benchmark):
+        sent = spark.sparkContext.broadcast(cloudpickle.dumps(built))
 
         def run(batches, sent=sent):
             built = cloudpickle.loads(sent.value)
             for b in batches:
                 for p in pieces(b, "text"):
-                    ids, rows = p.column("doc_id").to_pylist(), []
+                    ids, hashes, rows = p.column("doc_id").to_pylist(), p.column("text_hash").to_pylist(), []
                     for index in built:
-                        rows += [(ids[r], *x) for r, *x in scan(p.column("text"), index, threshold)]
+                        rows += [(ids[r], hashes[r], *x) for r, *x in scan(p.column("text"), index, threshold)]
                     cols = list(zip(*rows)) or [()] * len(schema)
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
 
-        out = out.unionByName(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, OUT))
+        out = out.unionByName(docs.select("doc_id", F.xxhash64(body).alias("text_hash"), body.alias("text")).mapInArrow(run, out.schema))
     return out
 
 
+def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per text and test item that it leaks."""
+    return found(docs, benchmark, threshold).drop("text_hash")
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that leak no test item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    bad = found(docs, benchmark).select(F.col("doc_id").alias("__bad"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs["text"].cast("string")) == bad["__hash"]), "left_anti")
