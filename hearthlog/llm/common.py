@@ -21,9 +21,11 @@ _written: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder all machines share: spark.checkpoint.dir. A local folder stands in where it is unset and Spark is one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
         found = tempfile.mkdtemp(prefix="hearthlog-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
