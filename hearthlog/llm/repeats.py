@@ -129,6 +129,22 @@ def _view(buf: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
 
 
+def _unequal(view: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Where the strings at a and at b differ, byte by byte; where the pair one byte before is equal, one byte tells."""
+    rank = np.lexsort((b, a))
+    x, y = a[rank], b[rank]
+    goes_on = np.append(False, (x[1:] == x[:-1] + 1) & (y[1:] == y[:-1] + 1))
+    goes_on &= view[x + length - 8] & _U(255) == view[y + length - 8] & _U(255)
+    out = np.zeros(len(a), bool)
+    for todo in (np.flatnonzero(~goes_on), np.flatnonzero(goes_on)):
+        i = rank[todo]
+        for s in _steps(length):
+            out[i] |= view[a[i] + s] != view[b[i] + s]
+        if not out.any():  # all starts are equal, so all that go on from them
+            break
+    return out
+
+
 def classes(view: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(members, class): those of the strings at `at` that equal another one, by class, then position; h: their fingerprints."""
     by = np.argsort(h, kind="stable")
@@ -136,9 +152,7 @@ def classes(view: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> tup
     by = by[np.append(equal, False) | np.append(False, equal)]
     name = np.cumsum(np.append(True, h[by][1:] != h[by][:-1])) - 1 if len(by) else by
     lead = by[np.searchsorted(name, np.arange(name[-1] + 1))] if len(by) else by
-    other = np.zeros(len(by), bool)
-    for s in _steps(length):
-        other |= view[at[by] + s] != view[at[lead[name]] + s]
+    other = _unequal(view, at[by], at[lead[name]], length)
     if other.any():  # equal fingerprints of different strings
         own: dict = {}
         for k in np.flatnonzero(other):
@@ -212,18 +226,16 @@ def repeated(buf: np.ndarray, at: np.ndarray, h: np.ndarray, length: int, keep:
         both = (np.minimum.reduceat(o, begin) != np.maximum.reduceat(o, begin))[name]
         out[who] = both & np.append(True, (o[1:] != o[:-1]) | (name[1:] != name[:-1]))
         return out
-    rank, shared = suffix_order(view, at[who[begin]], length)
-    place = np.empty(len(rank), np.int64)
-    place[rank] = np.arange(len(rank))
-    sa = np.argsort(place[name], kind="stable")  # a class's members stay in order of position
-    common = np.full(len(sa), length)
-    first = np.append(True, name[sa][1:] != name[sa][:-1])
-    common[first] = shared
-    value, source = (np.array(x) for x in previous_factors(who[sa].tolist(), common.tolist()))
+    # suffix order: classes by their bytes, and the members of a class, which share all, by position
+    lead = who[begin]
+    rank, shared = suffix_order(view, at[lead], length)
+    value, source = np.full(len(who), length), np.append(-1, who[:-1])  # before a later member stands a smaller one
+    v, s = (np.array(x) for x in previous_factors(lead[rank].tolist(), shared.tolist()))
+    value[begin[rank]], source[begin[rank]] = v, np.where(s < 0, -1, lead[rank][s])  # a class's first member precedes the others in any match
     long = value >= length
-    out[who[sa[long]]] = True
+    out[who[long]] = True
     if keep == "none":
-        out[who[sa[source[long]]]] = True
+        out[source[long]] = True
     return out
 
 
