@@ -6,11 +6,12 @@ import atexit
 import itertools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space and 0x09-0x0D.
@@ -89,6 +90,38 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
             yield batch.slice(a, b - a)
 
 
+#: Values that one step of running() takes at a time, and code points that cut() walks over at most.
+STRETCH, CHUNK = 512, 4096
+
+
+def running(values: Column, zero: Column, add: Callable) -> Column:
+    """For each place of an array what `add` makes of `zero` and the values before it.
+
+    Appending to an array copies it, so stretches are summed first and then run through one by one: the work grows
+    with the array (and, far slower, the square of the number of stretches). `values` should be a column at hand.
+    """
+    def scan(xs: Column, start: Column) -> Column:
+        return F.aggregate(xs, F.struct(start.alias("at"), F.array_repeat(start, 0).alias("out")), lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")))["out"]
+
+    part = lambda k: F.slice(values, k * STRETCH + 1, STRETCH)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / STRETCH).cast("int")), lambda k: F.aggregate(part(k), zero, add))
+    found = F.flatten(F.transform(scan(sums, zero), lambda start, k: scan(part(k), start)))
+    return F.when(F.size(values) > 0, found).otherwise(F.array_repeat(zero, 0))
+
+
+def chunks(text: Column) -> Column:
+    """A text in chunks of CHUNK code points, for cut()."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def cut(pieces: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a text in chunks, without walking there from the text's start."""
+    i, j = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    head = F.coalesce(F.get(pieces, i), F.lit(""))
+    across = F.concat(F.substring(head, a % CHUNK + 1, F.lit(CHUNK)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(F.coalesce(F.get(pieces, j), F.lit("")), F.lit(1), b % CHUNK))
+    return F.when(i == j, F.substring(head, a % CHUNK + 1, b - a)).otherwise(across)
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: The same with ASCII punctuation and control characters.

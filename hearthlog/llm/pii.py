@@ -12,7 +12,10 @@ Positions are code points, end exclusive. Matching marks each match between two
 splits there; texts that hold this control character have it exchanged for another first, which no pattern
 matches either, so positions stay.
 
-Defined cases: null text is empty and has no spans; rows are handled one by one, so repeated rows and
+The work on a text grows with its length and its matches, not with their square: starts are running sums, overlaps
+are found in order of position.
+
+Defined cases: null text is empty and has no spans; texts of any length are whole; rows are handled one by one, so repeated rows and
 repeated ids give repeated rows; an empty table gives an empty table (and a classifier that rejects all);
 other columns are kept, under their own names.
 """
@@ -24,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import chunks, cut, running, settle
 
 # The patterns of the base kinds, made linear with possessive quantifiers, and of further kinds.
 BASE = {
@@ -72,16 +75,36 @@ ROUNDS, ACCEPT = 30, 0.5
 SPAN = "array<struct<start:int,kind:string,end:int,body:string,before:string,after:string>>"
 
 
-def matches(body: Column, kind: str, pattern: str, guard: Column) -> Column:
-    """The pattern's matches in body, leftmost, non-overlapping, with their surroundings."""
-    parts = F.split(F.regexp_replace(body, pattern, f"{MARK}$0{MARK}"), MARK, -1)
-    step = F.aggregate(
-        parts, F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), F.lit("").alias("last"), F.array().cast(SPAN).alias("out")),
-        lambda s, p: F.struct(
-            (s["at"] + F.length(p)).alias("at"), (~s["hit"]).alias("hit"), F.when(s["hit"], F.lit("")).otherwise(F.right(p, F.lit(AROUND))).alias("last"),
-            F.when(s["hit"], F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), F.lit(kind).alias("kind"), (s["at"] + F.length(p)).alias("end"), p.alias("body"), s["last"].alias("before"), F.substring(body, s["at"] + F.length(p) + 1, F.lit(1)).alias("after"))))).otherwise(s["out"]).alias("out")),
-    )["out"]
-    return F.when(guard, step).otherwise(F.array().cast(SPAN))
+def _parts(body: Column, pattern: str, guard: Column) -> Column:
+    """body cut at the borders of the pattern's matches, leftmost, non-overlapping: every second part is a match."""
+    return F.when(guard, F.split(F.regexp_replace(body, pattern, f"{MARK}$0{MARK}"), MARK, -1)).otherwise(F.array(F.lit("")))
+
+
+def _matches(parts: Column, starts: Column, kind: str) -> Column:
+    """The matches among the parts, with their surroundings."""
+    def span(i: Column) -> Column:
+        body, at = F.get(parts, i), F.get(starts, i)
+        return F.struct(at.alias("start"), F.lit(kind).alias("kind"), (at + F.length(body)).alias("end"), body.alias("body"), F.right(F.get(parts, i - 1), F.lit(AROUND)).alias("before"), F.substring(F.get(parts, i + 1), 1, 1).alias("after"))
+
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), span)).otherwise(F.array().cast(SPAN))
+
+
+def _apart(x: DataFrame, spans: str, others: str) -> DataFrame:
+    """x with its column `spans` reduced to the spans that overlap none of the column `others`.
+
+    Both are merged in order of start; the greatest end of the others before a span and the least start of those
+    after it tell.
+    """
+    slim = lambda c, own: F.transform(c, lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(own).alias("own"), i.alias("i")))
+    needed = (F.size(spans) > 0) & (F.size(others) > 0)
+    far, end = (1 << 31) - 1, F.lit(0)
+    x = x.withColumn("__all", F.when(needed, F.array_sort(F.concat(slim(spans, True), slim(others, False)))))
+    x = x.withColumn("__ends", F.transform("__all", lambda s: F.when(s["own"], 0).otherwise(s["end"]))).withColumn("__starts", F.reverse(F.transform("__all", lambda s: F.when(s["own"], far).otherwise(s["start"]))))
+    x = x.withColumn("__before", F.when(needed, running(F.col("__ends"), end, lambda a, b: F.greatest(a, b)))).withColumn("__after", F.when(needed, F.reverse(running(F.col("__starts"), F.lit(far), lambda a, b: F.least(a, b)))))
+    free = F.filter("__all", lambda s, i: s["own"] & (F.get("__before", i) <= s["start"]) & (F.get("__after", i) >= s["end"]))
+    # both are named twice, so the optimizer does not put them into the filter's function, to be made for each span
+    left = F.when(needed & (F.size("__before") == F.size("__after")), F.transform(free, lambda s: F.get(F.col(spans), s["i"]))).otherwise(F.col(spans))
+    return x.withColumn(spans, left).drop("__all", "__ends", "__starts", "__before", "__after")
 
 
 def _digits(c: Column) -> Column:
@@ -108,12 +131,21 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     t, digit = F.col("__t"), F.col("__d")
     x = x.withColumn("__d", t.rlike("[0-9]"))
     guards = {"email": F.contains(t, F.lit("@")), "ip": digit & t.rlike(r"\.[0-9]++\.[0-9]"), "card": digit & t.rlike(r"[0-9][\x20-]?[0-9][\x20-]?[0-9][\x20-]?[0-9]"), "phone": digit & F.contains(t, F.lit("+")), "secret": digit, "account": digit & t.rlike("[A-Z]{2}[0-9]{2}"), "contact": digit & t.rlike("[0-9]{3}[\\x20.-][0-9]{4}")}
-    base = F.filter(F.concat(*[matches(t, k, p, guards[k]) for k, p in BASE.items()]), _passes)
-    x = x.withColumn("__base", base)
-    more = F.concat(*[matches(t, k, p, guards[k]) for k, p in MORE.items()])
+    patterns = BASE | MORE
+    x = x.withColumns({f"__p_{k}": _parts(t, p, guards[k]) for k, p in patterns.items()})
+    x = x.withColumns({f"__n_{k}": F.transform(f"__p_{k}", lambda p: F.length(p)) for k in patterns})
+    x = x.withColumns({f"__s_{k}": F.when(F.size(f"__p_{k}") > 1, running(F.col(f"__n_{k}"), F.lit(0), lambda a, n: a + n)) for k in patterns})
+    found = {k: _matches(F.col(f"__p_{k}"), F.col(f"__s_{k}"), k) for k in patterns}
+    x = x.withColumns({f"__{k}": F.filter(m, _passes) if k in BASE else m for k, m in found.items()}).drop(*[f"__{c}_{k}" for c in "pns" for k in patterns], "__t", "__d")
+    x = x.withColumn("__base", F.concat(*[f"__{k}" for k in BASE]))
     # earlier kinds win where further kinds overlap each other
-    x = x.withColumn("__m", F.filter(more, lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
-    return x.withColumn("__more", F.filter("__m", lambda s, i: ~F.exists(F.slice("__m", 1, i), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))).drop("__t", "__d", "__m")
+    for k in MORE:
+        x = _apart(x, f"__{k}", "__base")
+    x = x.withColumn("__more", F.array().cast(SPAN)).withColumn("__seen", F.array().cast(SPAN))
+    for k in MORE:
+        x = _apart(x.withColumn("__own", F.col(f"__{k}")), "__own", "__seen")
+        x = x.withColumn("__more", F.concat("__more", "__own")).withColumn("__seen", F.concat("__seen", f"__{k}"))
+    return x.drop("__own", "__seen", *[f"__{k}" for k in patterns])
 
 
 def votes(s: Column) -> Column:
@@ -237,10 +269,14 @@ def report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; overlapping spans become one."""
     named = {c: f"__o{i}" for i, c in enumerate(docs.columns)}
-    done = find_spans(docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__body")), "__body")
-    t = F.coalesce("__body", F.lit(""))
-    state = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-                        lambda s, x: F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(x["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.substring(t, s["at"] + 1, x["start"] - s["at"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).alias("out")))
-    full = F.concat(state["out"], F.substring(t, state["at"] + 1, F.length(t)))
-    new = F.when(F.size("spans") > 0, full).otherwise(F.col("__body"))
-    return done.select(*[(new if c == text else F.col(f"__row.{n}")).alias(c) for c, n in named.items()])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]).alias("__row"), F.col(f"`{text}`").cast("string").alias("__body"))
+    # written once: learning and deciding must not both search the texts
+    found = settle(candidates(rows, "__body").drop("__body"), "found")
+    x = decide(found, learn(found)).withColumn("__body", F.col(f"__row.{named[text]}").cast("string"))
+    some = F.size("spans") > 0
+    x = x.withColumn("__c", F.when(some, chunks(F.col("__body")))).withColumn("__e", F.when(some, F.transform("spans", lambda s: s["end"])))
+    x = x.withColumn("__before", F.when(some, running(F.col("__e"), F.lit(0), lambda a, b: F.greatest(a, b))))
+    piece = lambda s, i: F.when(s["start"] < F.get("__before", i), F.lit("")).otherwise(F.concat(cut(F.col("__c"), F.get("__before", i), s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">")))
+    new = F.concat(F.array_join(F.transform("spans", piece), ""), cut(F.col("__c"), F.array_max("__e"), F.length("__body")))
+    new = F.when(some, new).otherwise(F.col("__body"))
+    return x.select(*[(new if c == text else F.col(f"__row.{n}")).alias(c) for c, n in named.items()])
