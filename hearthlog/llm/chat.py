@@ -1,7 +1,7 @@
 """Chat formatting over reply trees (native).
 
 Messages hang in trees: (tree, node, parent, role, text, score). Iterative self-joins by pointer doubling
-carry each leaf up to its root, in as many rounds as the logarithm of the depth; each root-to-leaf path is a
+take each node's pointer up to its root, in as many rounds as the logarithm of the depth; each root-to-leaf path is a
 branch, ranked in its tree by the sum of its nodes' scores (ties: longer first, then smaller leaf), and each
 chosen path is formatted as one conversation:
 
@@ -12,7 +12,8 @@ text can open or close a turn, and read_back() restores every character. The los
 (start, length) of the assistant texts in the formatted string, in code points.
 
 Defined cases: null text, role or score count as empty or 0; a parent that is not there makes its child a
-root; a node that is its own ancestor is on no path; rows of one conversation with equal turns are ordered by
+root; a node that is its own ancestor is on no path; of rows of one node the least counts, once; a conversation's text
+is one row, of any length; rows of one conversation with equal turns are ordered by
 role, then text, and all stay; an empty table gives an empty table; other columns are ignored.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import chunks, cut, running, settle
 
 START, END = "<|im_start|>", "<|im_end|>"
 
@@ -41,45 +42,58 @@ def from_turns(conversations: DataFrame) -> DataFrame:
     return clean.withColumn("node", F.row_number().over(w).cast("long")).select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
+def _distinct(nodes: DataFrame) -> DataFrame:
+    """One row of each node: of several the least by parent, role, text and score."""
+    cols = [F.col("parent"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score")]
+    return nodes.groupBy("tree", "node").agg(F.min(F.struct(*cols)).alias("x")).select("tree", "node", "x.*")
+
+
 def paths(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     """(tree, leaf, rank, path): node ids from root to leaf, the `best` branches of each tree (None: all).
 
-    A row (node, up, seg) says that the nodes of seg lead from node towards the root and `up` comes next.
-    Each round joins every unfinished row with that of its `up`, which doubles seg; finished rows are set
-    aside, so a round moves only what is still on its way.
+    A row (node, up, sum, depth) says which ancestor a node's pointer has reached and what lies below it. Each round
+    joins every unfinished row with that of its `up`, which doubles its reach; pointers alone move, no paths. The
+    pointers of each round stay as a table, and from these only the chosen leaves' paths are laid out, farthest
+    jumps first: each round adds the jump of every node found so far.
     """
-    n = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).dropDuplicates(["tree", "node"])
+    n = nodes.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).groupBy("tree", "node").agg(F.min(F.struct("parent", "score")).alias("x")).select("tree", "node", "x.*")
     known = n.select(F.col("tree").alias("kt"), F.col("node").alias("kn"))
     asked = n.filter("parent is not null").select(F.col("tree").alias("pt"), F.col("parent").alias("pn")).distinct()
     base = n.join(known, F.col("tree").eqNullSafe(F.col("kt")) & (F.col("parent") == F.col("kn")), "left").join(asked, F.col("tree").eqNullSafe(F.col("pt")) & (F.col("node") == F.col("pn")), "left")
-    rows = settle(base.select("tree", "node", F.when(F.col("kn").isNotNull(), F.col("parent")).alias("up"), F.array("node").alias("seg"), F.col("score").alias("sum"), F.col("pn").isNull().alias("is_leaf")), "steps")
-    while True:
+    rows = settle(base.select("tree", "node", F.when(F.col("kn").isNotNull(), F.col("parent")).alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("depth"), F.col("pn").isNull().alias("is_leaf")), "steps")
+    longest = rows.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    jumps = []
+    while not rows.filter("up is not null").isEmpty() and 1 << len(jumps) <= longest:
+        # what is still on its way after as many steps as its tree has nodes runs in a circle
         open_ = rows.filter("up is not null")
-        if open_.isEmpty():
-            break
-        above = rows.select(F.col("tree").alias("t"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("seg").alias("seg2"), F.col("sum").alias("sum2"))
-        on = F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n2"))
-        # a path longer than its nodes differ runs in a circle
-        far = open_.join(above, on).filter(~F.arrays_overlap("seg", "seg2")).select("tree", "node", F.col("up2").alias("up"), F.concat("seg", "seg2").alias("seg"), (F.col("sum") + F.col("sum2")).alias("sum"), "is_leaf")
+        jumps.append(open_.select(F.col("tree").alias("t"), F.col("node").alias("n2"), F.col("up").alias("to")))
+        above = rows.select(F.col("tree").alias("t"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("depth").alias("depth2"))
+        far = open_.join(above, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n2"))).select("tree", "node", F.col("up2").alias("up"), (F.col("sum") + F.col("sum2")).alias("sum"), (F.col("depth") + F.col("depth2")).alias("depth"), "is_leaf")
         rows = settle(rows.filter("up is null").unionByName(far), "steps")
-    leaves = rows.filter("is_leaf").select("tree", F.col("node").alias("leaf"), F.reverse("seg").alias("path"), "sum")
-    w = Window.partitionBy("tree").orderBy(F.desc("sum"), F.desc(F.size("path")), "leaf")
+    leaves = rows.filter("is_leaf and up is null").select("tree", F.col("node").alias("leaf"), "sum", "depth")
+    w = Window.partitionBy("tree").orderBy(F.desc("sum"), F.desc("depth"), "leaf")
     ranked = leaves.withColumn("rank", F.row_number().over(w))
-    return (ranked if best is None else ranked.filter(F.col("rank") <= best)).select("tree", "leaf", "rank", "path")
+    on_path = (ranked if best is None else ranked.filter(F.col("rank") <= best)).select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("back"))
+    for k in reversed(range(len(jumps))):
+        on_path = settle(on_path, "path")
+        more = on_path.join(jumps[k], F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n2"))).select("tree", "leaf", "rank", F.col("to").alias("node"), (F.col("back") + (1 << k)).alias("back"))
+        on_path = on_path.unionByName(more)
+    return on_path.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct((-F.col("back")).alias("at"), "node"))).alias("p")).select("tree", "leaf", "rank", F.col("p.node").alias("path"))
 
 
 def format_paths(nodes: DataFrame, chosen: DataFrame) -> DataFrame:
     """(tree, leaf, rank, formatted, mask): the chosen paths as conversations with their loss masks."""
     steps = chosen.select(F.col("tree").alias("t"), "leaf", "rank", F.posexplode("path").alias("pos", "n"))
-    one = nodes.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    one = _distinct(nodes).select("tree", "node", "role", "text")
     turns = steps.join(one, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     parts = F.transform("turns", lambda m: F.struct(F.concat(F.lit(START), F.replace(escape(m["role"]), F.lit("\n"), F.lit("&n;")), F.lit("\n")).alias("head"), escape(m["text"]).alias("body"), (m["role"] == "assistant").alias("own")))
-    x = turns.select("tree", "leaf", "rank", parts.alias("parts"))
     tail = f"{END}\n"
-    ends = F.aggregate("parts", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("mask")),
-                       lambda s, p: F.struct((s["at"] + F.length(p["head"]) + F.length(p["body"]) + len(tail)).alias("at"),
-                                             F.when(p["own"], F.concat(s["mask"], F.array(F.struct((s["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(s["mask"]).alias("mask")))["mask"]
-    return x.select("tree", "leaf", "rank", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("formatted"), ends.alias("mask"))
+    x = turns.select("tree", "leaf", "rank", parts.alias("parts")).withColumn("sizes", F.transform("parts", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(tail)))
+    x = x.withColumn("starts", running(F.col("sizes"), F.lit(0), lambda a, n: a + n))
+    mask = F.transform("parts", lambda p, i: F.struct(p["own"].alias("own"), (F.get("starts", i) + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length")))
+    # named a second time, so the optimizer does not put the sums into the function, to be made for each turn
+    mask = F.when(F.size("starts") > 0, F.transform(F.filter(mask, lambda m: m["own"]), lambda m: F.struct(m["start"].alias("start"), m["length"].alias("length"))))
+    return x.select("tree", "leaf", "rank", F.array_join(F.transform("parts", lambda p: F.concat(p["head"], p["body"], F.lit(tail))), "").alias("formatted"), mask.alias("mask"))
 
 
 def format_trees(nodes: DataFrame, best: int | None = 1) -> DataFrame:
@@ -93,8 +107,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
         text = F.substring(p, F.length(role) + 2, F.length(p) - F.length(role) - 1 - len(END) - 1)
         return F.struct(unescape(F.replace(role, F.lit("&n;"), F.lit("\n"))).alias("role"), unescape(text).alias("text"))
 
-    cut = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda _, i: i > 0)
-    return formatted.withColumns({"turns": F.transform(cut, turn), "loss_texts": F.transform("mask", lambda m: unescape(F.substring(F.col("formatted"), m["start"] + 1, m["length"])))})
+    said = F.filter(F.split("formatted", r"<\|im_start\|>", -1), lambda _, i: i > 0)
+    x = formatted.withColumn("__c", chunks(F.col("formatted")))
+    return x.withColumns({"turns": F.transform(said, turn), "loss_texts": F.transform("mask", lambda m: unescape(cut(F.col("__c"), m["start"], m["start"] + m["length"])))}).drop("__c")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
