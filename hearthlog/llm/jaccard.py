@@ -18,7 +18,8 @@ texts link when 100 * |A and B| >= 75 * |A or B|. Result: components of links, n
 Everything but step 3's choice of leaders is exact, and step 3 only saves work for step 4.
 
 Defined cases: null or blank text: n_shingles 0, component = own id; repeated rows stay repeated; texts of any
-length are whole; empty table: empty result; a null id is in the result with the component of its class.
+length are whole; empty table: empty result; a null id is in the result with the component of its class, whose id
+is the least that is not null.
 Nodes are named by 64 bits, tokens by at least 46 bits, of which only those of two compared texts must differ.
 """
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, buffers, chain, hash_words, mix, pieces, settle, words
+from .common import SPACES, arrow_limits, buffers, chain, hash_words, mix, pieces, settle, words
 from .graph import components
 
 WORDS, PERCENT = 5, 75
@@ -77,17 +78,18 @@ def names(off: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, node) of each row."""
+    """(doc_id, text_hash, n_shingles, node) of each row."""
     arrow_limits(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64())])
 
     def run(batches):
         for b in batches:
             for p in pieces(b, "text"):
                 off, tokens = shingles(p.column("text"))
-                yield pa.RecordBatch.from_arrays([p.column("doc_id").cast(pa.int64()), pa.array(np.diff(off)), pa.array(names(off, tokens))], schema=schema)
+                yield pa.RecordBatch.from_arrays([p.column("doc_id").cast(pa.int64()), p.column("text_hash"), pa.array(np.diff(off)), pa.array(names(off, tokens))], schema=schema)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, node long")
+    text = F.col("text").cast("string")
+    return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
 
 # --- packed lists: per node its name, its set's size, and some of its tokens
@@ -260,24 +262,36 @@ def links(nodes: DataFrame) -> DataFrame:
     return near.unionByName(_verified(pairs, nodes))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
+def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_hash, n_shingles, node) of each row of docs, and (node, root) of the nodes that have links."""
     own = settle(sets(docs), "sets")
     total = own.agg(F.sum("n_shingles")).first()[0] or 0
     ranges = max(8, -(-total // RANGE))
     nodes = settle(shared_nodes(docs, ranges), "nodes")
-    found = components(links(nodes))
-    classes = own.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    roots = found.join(classes, "node").groupBy("root").agg(F.min("least").alias("component_id"))
-    named = found.join(roots, "root").select("node", "component_id")
-    classes = classes.join(named, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"))
-    joined = own.join(classes, "node", "left")
+    return own, components(links(nodes))
+
+
+def _least(own: DataFrame, found: DataFrame, key) -> DataFrame:
+    """(node, root, x): the least `key` of each component, copies reduced to one row a node before components gather."""
+    each = own.filter("n_shingles > 0").groupBy("node").agg(F.min(key).alias("k")).join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "k")
+    return each.select("node", "root").join(each.groupBy("root").agg(F.min("k").alias("x")), "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of docs (doc_id, text)."""
+    own, found = classes(docs)
+    joined = own.join(_least(own, found, F.col("doc_id")).select("node", F.col("x").alias("component_id")), "node", "left")
     return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each component: that with the smallest doc_id (of repeated rows, one), with the columns of docs."""
-    found = near_duplicates(docs).filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    alone = docs.filter("doc_id is null")
-    first = docs.join(found, docs["doc_id"] == found["__keep"], "left_semi")
-    return first.dropDuplicates(["doc_id"]).unionByName(alone)
+    """One row of each component, with the columns of docs: that with the smallest doc_id, a null id last; of different
+    texts under one id the one with the least hash, of repeated rows one. Rows without words all stay."""
+    own, found = classes(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    first = _least(own, found, key).filter("node = root").select(F.col("x.doc_id").alias("__keep"), F.col("x.text_hash").alias("__hash")).distinct()
+    text = F.col("text").cast("string")
+    blank = F.length(F.translate(F.coalesce(text, F.lit("")), SPACES, "")) == 0
+    said = docs.withColumn("__blank", blank).withColumn("__text", F.xxhash64(text))
+    kept = said.filter("not __blank").join(first, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__text") == F.col("__hash")), "left_semi").dropDuplicates(["doc_id", "__text"])
+    return kept.unionByName(said.filter("__blank")).drop("__blank", "__text")

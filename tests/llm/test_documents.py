@@ -111,6 +111,12 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.near_duplicates(empty).count() == 0
     kept = jaccard.keep_first(docs)
     assert kept.columns == docs.columns and sorted(x["doc_id"] for x in kept.filter("doc_id is not null").collect()) == [1, 2, 3, 4, 7, 9, 10, 11, 12, 13]
+    body = [" ".join(f"{k}{i}" for i in range(60)) for k in "abc"]
+    rows = [(1, body[0]), (1, body[1]), (None, body[1]), (2, body[0]), (2, body[0]), (3, None), (3, ""), (None, body[2]), (None, body[2])]
+    ids = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (repr(r["doc_id"]), r["text"] or "")
+    assert sorted(map(key, jaccard.keep_first(ids).collect())) == sorted([("1", body[0]), ("1", body[1]), ("3", ""), ("3", ""), ("None", body[2])])
+    assert sorted((repr(r["doc_id"]), r["component_id"]) for r in jaccard.near_duplicates(ids).filter("n_shingles > 0").fillna(-1, ["component_id"]).collect()) == sorted([("1", 1)] * 2 + [("2", 1)] * 2 + [("None", 1)] + [("None", -1)] * 2)
 
 
 def test_wand_finds_what_full_scoring_finds():
@@ -142,11 +148,26 @@ def test_decontamination(spark, docs, empty):
     assert sorted(r["doc_id"] for r in decontamination.keep_clean(df, bench).collect()) == [2, 3, 5]
     assert decontamination.leaks(empty, bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
     assert decontamination.keep_clean(docs, bench).columns == docs.columns
+    same = spark.createDataFrame([(1, item), (1, filler), (None, item), (None, filler), (7, f"{filler} {'x' * 3_000_000} {item}")], "doc_id long, text string")
+    assert sorted((repr(r["doc_id"]), r["text"] == filler) for r in decontamination.keep_clean(same, bench).collect()) == [("1", True), ("None", True)]
+    accents = spark.createDataFrame([(1, "WÉLCHER FLÜß LÄUFT DÜRCH DIE ÄLTE STÄDT? ÉS ÍST DIE MÖLDAU, SAGT DÄS BÜCH")], "doc_id long, text string")
+    assert decontamination.leaks(accents, accents.select(F.lit(9).alias("item_id"), F.lower("text").alias("text"))).count() == 1
     d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = {(i, x["item_id"]) for x in b.collect() for i, t in texts(d) if x["text"] in t}
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    """The statistics are those of the whole benchmark, so blocks change nothing; all verbatim copies are found."""
+    d, b = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    one = sorted(tuple(r) for r in decontamination.leaks(d, b).collect())
+    monkeypatch.setattr(decontamination, "ITEM_WORDS", 500)
+    many = sorted(tuple(r) for r in decontamination.leaks(d, b).collect())
+    assert [x[:2] for x in one] == [x[:2] for x in many] and all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(one, many))
+    want = {(i, x["item_id"]) for x in b.collect() for i, t in texts(d) if x["text"].lower() in t.lower()}
+    assert want and want <= {x[:2] for x in one}
+
+
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -175,13 +196,32 @@ def test_pii(spark, docs, empty):
     assert red.columns == docs.columns and {r["text"] for r in red.filter("doc_id = 11").collect()} == {"mail <EMAIL> or <PHONE> from <IP> é <CARD> \x01 <EMAIL>"}
 
 
+def test_pii_of_many_matches(spark):
+    """A text with 10^5 matches of base kinds and others; positions, spans and redaction stay exact."""
+    r = random.Random(8)
+    one = lambda: r.choice([f"mail{r.randint(0, 99)}@ex.org", f"10.0.{r.randint(0, 255)}.7", "583-555-8469", "tok 24be64439e3e49cf46b2d7c90f3602a3", "é\U0001f600"])
+    t = " ".join(one() for _ in range(125_000))
+    df = spark.createDataFrame([(1, t), (2, "x a@b.c")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.report(df).collect()}
+    base = base_spans(t)
+    assert got[1]["base_sha256"] == sha(",".join(base)) and set(base) <= set(got[1]["spans"].split(","))
+    red = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    cuts = sorted((int(a), int(b), k) for k, a, b in (x.split(":") for x in got[1]["spans"].split(",")))
+    out, at = [], 0
+    for a, b, k in cuts:
+        if a >= at:
+            out += [t[at:a], f"<{k.upper()}>"]
+        at = max(at, b)
+    assert red == {1: "".join(out) + t[at:], 2: "x <EMAIL>"}
+
+
 def test_packing(spark, docs, empty):
     import public_tokenizers
     import tokenizers
 
     tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tok.encode_special_tokens = True
-    df = docs.select("doc_id", "text").filter("doc_id is not null and doc_id <> 11").union(spark.createDataFrame([(50, "<|endoftext|> ½²  'll I'LL\n\n 日本語" * 4)], "doc_id long, text string"))
+    odd = ["<|endoftext|> ½²  'll I'LL\n\n 日本語" * 4, "a <|endoftext|> b  <|endoftext|>\n<|endoftext|>", " " * 1_100_000 + "x", "ab 1" * 270_000 + "<|endoftext|>", "y" * 1_050_000]
+    df = docs.select("doc_id", "text").filter("doc_id is not null and doc_id <> 11").union(spark.createDataFrame([(50 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
     rows = packing.pack_documents(df).collect()
     ids = {i: tok.encode(t, add_special_tokens=False).ids + [1] for i, t in texts(df)}
     seen = {i: 0 for i in ids}
@@ -196,6 +236,8 @@ def test_packing(spark, docs, empty):
         ends[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(ends.values()) <= packing.SEQ and sum(ends.values()) >= 0.75 * packing.SEQ * (len(ends) - 1)
     assert packing.pack_documents(empty).count() == 0
+    twice = spark.createDataFrame([(None, "no id")] * 3 + [(1, "tie")] * 2, "doc_id long, text string")
+    assert len({(r["sequence_id"], r["offset"]) for r in packing.pack_documents(twice).collect()}) == 5
 
 
 def test_cutting_stock_is_near_its_bound():

@@ -180,3 +180,29 @@ def test_reply_trees(spark):
     assert sorted((r["leaf"], r["rank"], r["path"]) for r in chat.paths(nodes, None).collect()) == [(3, 2, [1, 3]), (4, 1, [1, 2, 4]), (9, 3, [9])]
     (one,) = chat.read_back(chat.format_trees(nodes)).collect()
     assert [tuple(t) for t in one["turns"]] == [("user", "q"), ("assistant", "a"), ("user", "c")] and one["loss_texts"] == ["a"]
+    doubled = chat.format_trees(nodes.unionByName(nodes)).collect()
+    assert [(r["tree"], r["formatted"]) for r in doubled] == [(r["tree"], r["formatted"]) for r in chat.format_trees(nodes).collect()]
+
+
+def test_branching_trees_by_brute_force(spark):
+    """All root-to-leaf paths of random trees, ranked; and a conversation of 10,000 turns."""
+    r, rows = random.Random(6), []
+    for tree in range(20):
+        rows += [(tree, k, None if k == 0 or r.random() < 0.05 else r.randrange(k), r.choice(["user", "assistant"]), f"t{k}", r.choice([None, 0.5, 1.0, 2.0])) for k in range(r.randint(1, 60))]
+    nodes = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    want = []
+    for tree in range(20):
+        own = {k: (p, s or 0.0) for t, k, p, _, _, s in rows if t == tree}
+        found = []
+        for leaf in set(own) - {p for p, _ in own.values()}:
+            path = [leaf]
+            while own[path[-1]][0] is not None:
+                path.append(own[path[-1]][0])
+            found.append((-sum(own[k][1] for k in path), -len(path), leaf, path[::-1]))
+        want += [(tree, leaf, i + 1, path) for i, (_, _, leaf, path) in enumerate(sorted(found))]
+    assert sorted((x["tree"], x["leaf"], x["rank"], x["path"]) for x in chat.paths(nodes, None).collect()) == sorted(want)
+    long = spark.range(10_000).selectExpr("7L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('turn ', id, ' \U0001f600 <|im_end|>') as text")
+    (got,) = chat.digest(chat.format_trees(chat.from_turns(long))).collect()
+    said = [("user" if i % 2 == 0 else "assistant", f"turn {i} \U0001f600 <|im_end|>") for i in range(10_000)]
+    loss = "".join(t for role, t in said if role == "assistant")
+    assert (got["n_turns"], got["turns_sha256"], got["loss_chars"], got["loss_sha256"]) == (10_000, sha("".join(f"{a}\n{t}\n" for a, t in said)), len(loss), sha(loss))
