@@ -137,13 +137,11 @@ def p1_dates(spark, sf):
     return x.select("o_orderkey", F.date_format(T.chat_timestamp(shown("MMM d, yyyy h:mm:ss a")), "yyyy-MM-dd HH:mm:ss").alias("ts"), T.partial_date(shown("MMM yyyy")).alias("month"), T.day_month_year(shown("dd MMM yyyy")).alias("day"))
 
 
-@query("SELECT doc_id, left(text, 20) AS once FROM documents WHERE trim(left(text, 20)) = left(text, 20) AND length(left(text, 20)) = 20 AND NOT regexp_matches(left(text, 20), '[^\\x00-\\x7f]')")
-def p5_reaction_duplicate(spark, sf):
-    x = table(spark, sf, "documents").withColumn("h", F.substring("text", 1, 20)).filter((F.trim("h") == F.col("h")) & (F.length("h") == 20) & ~F.col("h").rlike(r"[^\x00-\x7f]"))
-    return x.select("doc_id", T.reaction_duplicate(F.concat("h", F.lit(" "), "h", F.lit(""))).alias("once"))
+STRIP = lambda x: f"trim({x}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31) || chr(133) || chr(160))"
 
 
-@query()
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {STRIP("left(t, length(t) // 2)")} AS a, {STRIP("substr(t, length(t) // 2 + 1)")} AS b, {STRIP("t")} AS bare FROM documents)
+SELECT doc_id, CASE WHEN length(t) < 6 OR a <> b THEN t ELSE a END AS kept, CASE WHEN length(t) < 3 THEN t || chr(10) || t ELSE bare END AS once, CASE WHEN length(bare) >= 2 THEN bare ELSE {STRIP("t || ' 😆Ann'")} END AS before FROM d""")
 def p5_whole_texts(spark, sf):
     x = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     said = F.concat("text", F.lit(" \U0001f606Ann"))
@@ -163,9 +161,22 @@ def p6_message_type(spark, sf):
     return said(spark, sf).groupBy(T.message_type("said").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT event_id, trim(regexp_replace(regexp_replace(trim(regexp_replace(said, '(?i)https?://\\S+', '', 'g')), '(?i)\\s*\\(edited\\)\\s*$', '', 'g'), '\\s+', ' ', 'g')) AS clean FROM (SELECT event_id, {SAID} AS said FROM events)")
+NOTICE = ["Anna Lee named the group Trip to Rome.", "Anna Lee added Bob Ray to the group.", "Bob left the group.", "Anna set your nickname to Big.", "Anna set the emoji to X.", "Anna pinned a message.", "Anna started a video call.", "Anna sent a live location.", "Anna Lee removed Bob from the group.", "Download file: a/b/c.pdf", "https://x.example/a?b", "\U0001f602Anna Lee (Jul 06, 2023 8:10:32 pm)", "\u2764Bob"]
+SENT = "coalesce(text, '') || ' so ' || CASE (conv_id + turn) % 13 " + " ".join(f"WHEN {i} THEN {s(n)}" for i, n in enumerate(NOTICE)) + " END || ' then (edited)'"
+
+
+@query("SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) || CASE WHEN trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) = '' THEN '' ELSE ' ' END || CASE (conv_id + turn) % 13 WHEN 3 THEN 'so' ELSE 'so then' END AS clean FROM conversations")
 def p8_training_text(spark, sf):
-    return said(spark, sf).select("event_id", T.training_text("said").alias("clean"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.training_text(F.expr(SENT)).alias("clean"))
+
+
+TYPES = [*V.ACTIVITIES, "Foo_Bar", "Row"]
+
+
+@query(f"SELECT event_id, CASE kind {' '.join(f'WHEN {s(k)} THEN {s(v)}' for k, v in V.ACTIVITIES.items())} ELSE lower(replace(kind, '_', ' ')) END AS name FROM (SELECT event_id, [{', '.join(map(s, TYPES))}][event_id % {len(TYPES)} + 1] AS kind FROM events)")
+def p15_activities(spark, sf):
+    kind = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("event_id") % len(TYPES) + 1).cast("int"))
+    return table(spark, sf, "events").select("event_id", T.activity_name(kind).alias("name"))
 
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS words, trim(regexp_replace(regexp_replace(text, 'https?://\\S+', '', 'g'), '\\s{2,}', ' ', 'g')) AS plain FROM documents")
@@ -239,14 +250,7 @@ def p22_token_estimate(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.token_estimate("text", F.lit("h" * 10), F.lit("s" * 20), 256).cast("long").alias("tokens"))
 
 
-@query("SELECT doc_id, left(text, 10) AS thought, 'answer' AS answer FROM documents WHERE trim(left(text, 10)) = left(text, 10)")
-def p23_think_split(spark, sf):
-    x = table(spark, sf, "documents").filter(F.trim(F.substring("text", 1, 10)) == F.substring("text", 1, 10))
-    r = T.think_split(F.concat(F.lit("<think>"), F.substring("text", 1, 10), F.lit("</think> answer")))
-    return x.select("doc_id", r["thought"].alias("thought"), r["answer"].alias("answer"))
-
-
-@query()
+@query("SELECT doc_id, trim(coalesce(text, ''), ' ') AS thought, trim('answer ' || coalesce(text, ''), ' ') AS answer FROM documents")
 def p23_whole_texts(spark, sf):
     x = table(spark, sf, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     r = T.think_split(F.concat(F.lit("<think>"), "text", F.lit("</think> answer "), "text"))
@@ -517,6 +521,19 @@ def v6_hybrid(spark, sf):
     return S.hybrid(c, ASK, ASKED, 20, 5).withColumn("content", F.md5("content"))
 
 
+WORDS_OF = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '\\s+'), lambda x: x <> '')"
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS_OF('text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t), f AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM f, n GROUP BY term, n), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM d),
+q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({WORDS_OF('text')}) AS term FROM benchmark) GROUP BY ALL)
+SELECT item_id AS query, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) * c), 4) AS score FROM f JOIN q USING (term) JOIN i USING (term), n GROUP BY 1, 2""")
+def j14_question_table(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return S.bm25_many(d, q).select("query", "id", F.round("score", 4).alias("score"))
+
+
 # --- graph: customers, orders, parts, nations
 
 NONE = "MAP {}"
@@ -561,6 +578,35 @@ def j9_typed(spark, sf):
     return G.typed(edges(spark, sf), "Person", "LIVES_IN", "Country").select("from_name", "to_name")
 
 
+def measured_edges(spark, sf) -> DataFrame:
+    """Users with counted activities and plays, and plain interests."""
+    e = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("topic", F.concat(F.lit("topic "), "event_type"))
+    return G.triples(e, [("Person", "user_id", "INTERESTED_IN", "Activity", "event_type", {"activity_count": "n"}), ("Person", "user_id", "INTERESTED_IN", "Interest", "topic", {}), ("Person", "user_id", "LISTENED_TO", "Artist", "event_type", {"play_count": "n"})])
+
+
+AG = "g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {AG} SELECT 'node' AS kind, 'Person' AS name, count(DISTINCT user_id) AS n FROM g UNION ALL SELECT 'node', 'Activity', CAST(sum(n) AS BIGINT) FROM g UNION ALL SELECT 'node', 'Artist', count(DISTINCT event_type) FROM g UNION ALL SELECT 'node', 'Interest', 2 * count(DISTINCT event_type) FROM g UNION ALL SELECT 'edge', 'INTERESTED_IN', 2 * count(*) FROM g UNION ALL SELECT 'edge', 'LISTENED_TO', count(*) FROM g")
+def a6_label_stats(spark, sf):
+    e = measured_edges(spark, sf)
+    return G.stats(G.endpoints(e), e)
+
+
+@query(f"WITH {AG} SELECT 'Person' AS label, user_id::VARCHAR AS name, 3 * count(*) AS degree FROM g GROUP BY 2 UNION ALL SELECT 'Activity', event_type, CAST(sum(n) AS BIGINT) FROM g GROUP BY 2 UNION ALL SELECT 'Artist', event_type, CAST(sum(n) AS BIGINT) FROM g GROUP BY 2 UNION ALL SELECT 'Interest', 'topic ' || event_type, count(*) FROM g GROUP BY 2")
+def a7_label_degree(spark, sf):
+    e = measured_edges(spark, sf)
+    return G.degree(G.endpoints(e), e)
+
+
+@query("SELECT 'edge' AS kind, n_nationkey::VARCHAR AS a, n_regionkey::VARCHAR AS b FROM nation UNION ALL SELECT 'edge', '3', '99' UNION ALL SELECT 'node', 'Country', n_nationkey::VARCHAR FROM nation UNION ALL SELECT 'node', 'Region', '99'")
+def g4_manual_entry(spark, sf):
+    e = edges(spark, sf).filter("rel_type = 'IN_REGION'")
+    more = G.add_edge(e, "Country", " 3 ", "IN_REGION", "Region", "99").select(F.lit("edge").alias("kind"), F.col("from_name").alias("a"), F.col("to_name").alias("b"))
+    nodes = table(spark, sf, "nation").select(F.lit("Country").alias("label"), F.col("n_nationkey").cast("string").alias("name"), F.create_map().cast("map<string,string>").alias("props"))
+    return more.unionByName(G.add_node(nodes, "Region", " 99").select(F.lit("node").alias("kind"), F.col("label").alias("a"), F.col("name").alias("b")))
+
+
 @query("SELECT p_brand AS to_name, round(sum(l_quantity), 2) AS weight, round_even(sum(l_quantity) / (SELECT sum(l_quantity) FROM lineitem) * 100, 1) AS pct FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1")
 def a8_interest_profile(spark, sf):
     x = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("to_name"), F.col("l_quantity").alias("weight"))
@@ -742,7 +788,25 @@ GOOD = f"NOT (regexp_matches(trim(text), {s(LOWQ)}) OR regexp_matches(text, {s('
 
 @query(f"WITH c AS ({CHAT}) SELECT reason, count(*) AS n FROM (SELECT CASE WHEN date < TIMESTAMP '2024-06-01' - INTERVAL 365 DAY THEN 'old' WHEN language <> 'en' THEN 'language' WHEN type <> 'text' THEN 'type' WHEN NOT ({GOOD}) THEN 'quality' ELSE 'kept' END AS reason FROM c) GROUP BY reason")
 def f8_a25_export_reasons(spark, sf):
-    return Q.export_stats(chat_table(spark, sf), None, P.export_reason("2024-06-01", years=1))
+    return Q.export_stats(chat_table(spark, sf), P.export_reason("2024-06-01", years=1))
+
+
+REASON = f"CASE WHEN date < TIMESTAMP '2024-06-01' - INTERVAL 365 DAY THEN 'old' WHEN language <> 'en' THEN 'language' WHEN type <> 'text' THEN 'type' WHEN NOT ({GOOD}) THEN 'quality' ELSE 'kept' END"
+
+
+@query(f"WITH c AS ({CHAT}), r AS (SELECT *, {REASON} AS reason FROM c), k AS (SELECT DISTINCT conversation, text FROM r WHERE reason = 'kept') SELECT (SELECT count(*) FROM r) AS total_messages, (SELECT count(*) FROM r WHERE reason <> 'kept') AS filtered_messages, (SELECT count(*) FROM k) AS pairs_exported, (SELECT count(DISTINCT conversation) FROM k) AS conversations_used")
+def a25_export_summary(spark, sf):
+    c, reason = chat_table(spark, sf), P.export_reason("2024-06-01", years=1)
+    return Q.export_summary(c, c.filter(reason == "kept").select("conversation", "text").distinct(), reason)
+
+
+SHOWN = "CASE WHEN conv_id % 3 = 0 THEN '<|im_start|>' || role || chr(10) || text || '<|im_end|>' ELSE text END"
+
+
+@query(f"WITH t AS (SELECT conv_id * 1000 + turn AS o, {SHOWN} AS t FROM conversations), h AS (SELECT * FROM t ORDER BY o LIMIT 10) SELECT (SELECT bool_or(contains(t, '<|im_start|>')) FROM h) AS roles_shown, (SELECT bool_or(contains(t, '<|im_end|>')) FROM h) AS ends_shown, count(*) AS examples, count(*) FILTER (NOT contains(t, '<|im_start|>')) AS without_special, count(*) FILTER (NOT contains(t, '<|im_start|>')) > 0.5 * count(*) AS mostly_bare FROM t")
+def a28_text_diagnostics(spark, sf):
+    x = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("o"), F.expr(SHOWN.replace("chr(10)", "char(10)")).alias("t"))
+    return Q.text_diagnostics(x, "t", "o", ["<|im_start|>"])
 
 
 @query(f"WITH c AS ({CHAT}) SELECT ord, conversation FROM c WHERE conversation = 'u3' ORDER BY date DESC, ord DESC LIMIT 100")

@@ -13,17 +13,27 @@ from ..functions.text import relation_label
 EDGE = ["from_label", "from_name", "rel_type", "to_label", "to_name"]
 
 
-def overlay(props: str = "props", seq: str = "seq") -> Column:
-    """The maps of a group laid over one another in order, later values winning, others kept."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.map_entries(F.coalesce(props, F.create_map().cast("map<string,string>"))).alias("e")))), lambda x: x["e"])
-    flat = F.flatten(ordered)
-    keys = F.array_distinct(F.transform(flat, lambda e: e["key"]))
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(flat, lambda e: e["key"] == k), -1)["value"]))
+#: Labels whose size or degree is a sum of a property of edges that come in, by edge type.
+SUMMED_SIZE = {"Activity": ("INTERESTED_IN", "activity_count")}
+SUMMED_DEGREE = SUMMED_SIZE | {"Artist": ("LISTENED_TO", "play_count"), "Song": ("LISTENED_TO", "play_count")}
+#: Labels whose size is the number of different targets of an edge type, whatever their own label.
+TARGETS = {"Interest": "INTERESTED_IN"}
+
+
+def overlay(rows: DataFrame, keys: list[str], props: str = "props", seq: str = "seq") -> DataFrame:
+    """keys and props: the maps of a group laid over one another in order, later values winning, others kept.
+
+    Each property's last value is found by itself, pre-aggregated, so a node with very many rows isn't gathered.
+    """
+    e = rows.select(*keys, F.col(seq).alias("s"), F.explode_outer(F.map_entries(props)).alias("e"))
+    last = e.groupBy(*keys, F.col("e.key").alias("k")).agg(F.max(F.struct("s", "e.value")).alias("v"))
+    pairs = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "v.value")))
+    return last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(pairs)).cast("map<string,string>").alias(props))
 
 
 def merge_nodes(rows: DataFrame) -> DataFrame:
     """K5, K7: a node per label and trimmed name."""
-    return rows.withColumn("name", F.trim("name")).groupBy("label", "name").agg(overlay().alias("props"))
+    return overlay(rows.withColumn("name", F.trim("name")), ["label", "name"])
 
 
 def merge_edges(rows: DataFrame) -> DataFrame:
@@ -31,9 +41,28 @@ def merge_edges(rows: DataFrame) -> DataFrame:
     over every edge of that type between the two, as a pattern without it matches them all."""
     x = rows.withColumn("from_name", F.trim("from_name")).withColumn("to_name", F.trim("to_name")).withColumn("since", F.coalesce(F.col("props")["since"], F.lit("")))
     dated = x.filter("since <> ''").select(*EDGE, "since").distinct()
-    undated = x.filter("since = ''")
-    fanned = undated.join(dated.withColumnRenamed("since", "since2"), EDGE, "left").withColumn("since", F.coalesce("since2", "since")).drop("since2")
-    return x.filter("since <> ''").unionByName(fanned).groupBy(*EDGE, "since").agg(overlay().alias("props"))
+    # of many rows without `since` the last value of each property is all that is laid over the dated edges
+    undated = x.filter("since = ''").select(*EDGE, "seq", F.explode_outer(F.map_entries("props")).alias("e"))
+    undated = undated.groupBy(*EDGE, F.col("e.key").alias("k")).agg(F.max(F.struct("seq", "e.value")).alias("v"))
+    undated = undated.select(*EDGE, F.col("v.seq").alias("seq"), F.when(F.col("k").isNotNull(), F.create_map("k", "v.value")).alias("props"))
+    fanned = undated.join(dated.withColumnRenamed("since", "since2"), EDGE, "left").select(*EDGE, "seq", "props", F.coalesce("since2", F.lit("")).alias("since"))
+    return overlay(x.filter("since <> ''").select(*EDGE, "seq", "props", "since").unionByName(fanned), [*EDGE, "since"])
+
+
+def add_node(nodes: DataFrame, label: str, name: str) -> DataFrame:
+    """Nodes (label, name, props) with one more, entered by hand; an empty name is an error."""
+    if not name.strip():
+        raise ValueError("a node needs a name")
+    one = nodes.sparkSession.createDataFrame([(label, name, {})], "label string, name string, props map<string,string>")
+    return merge_nodes(nodes.select("label", "name", "props", F.lit(0).alias("seq")).unionByName(one.withColumn("seq", F.lit(1))))
+
+
+def add_edge(edges: DataFrame, from_label: str, from_name: str, rel: str, to_label: str, to_name: str) -> DataFrame:
+    """Edges (EDGE, props) with one more between two named nodes."""
+    if not from_name.strip() or not to_name.strip():
+        raise ValueError("an edge needs the names of both nodes")
+    one = edges.sparkSession.createDataFrame([(from_label, from_name, rel, to_label, to_name, {})], ", ".join(f"{c} string" for c in EDGE) + ", props map<string,string>")
+    return merge_edges(edges.select(*EDGE, "props", F.lit(0).alias("seq")).unionByName(one.withColumn("seq", F.lit(1))))
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -71,16 +100,33 @@ def typed(edges: DataFrame, from_label: str, rel: str, to_label: str) -> DataFra
     return edges.filter((F.col("from_label") == from_label) & (F.col("rel_type") == rel) & (F.col("to_label") == to_label))
 
 
+def _amount(edges: DataFrame, summed: dict) -> DataFrame:
+    """(label, name, amount) of the targets of edges whose property counts, by `summed`."""
+    prop = F.lit(None).cast("string")
+    for label, (rel, key) in summed.items():
+        prop = F.when((F.col("to_label") == label) & (F.col("rel_type") == rel), F.coalesce(F.col("props")[key], F.lit("0"))).otherwise(prop)
+    x = edges.select(F.col("to_label").alias("label"), F.col("to_name").alias("name"), prop.try_cast("double").cast("long").alias("amount"), prop.isNotNull().alias("own"))
+    return x.filter("own").groupBy("label", "name").agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"))
+
+
 def degree(nodes: DataFrame, edges: DataFrame, exclude: list[str] = ()) -> DataFrame:
-    """Edges of each node, 0 for those without."""
+    """Edges of each node, 0 for those without; for some labels the sum of a property of edges coming in."""
     d = both_ways(edges).groupBy(F.col("from_label").alias("label"), F.col("from_name").alias("name")).agg(F.count("*").alias("degree"))
-    x = nodes.select("label", "name").join(d, ["label", "name"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    x = nodes.select("label", "name").join(d, ["label", "name"], "left").join(_amount(edges, SUMMED_DEGREE), ["label", "name"], "left")
+    x = x.select("label", "name", F.coalesce(F.when(F.col("label").isin(*SUMMED_DEGREE), F.coalesce("amount", F.lit(0))), F.col("degree"), F.lit(0)).alias("degree"))
     return x.filter(~F.upper("name").isin(*[e.upper() for e in exclude])) if exclude else x
 
 
 def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes by label and edges by type."""
-    return nodes.groupBy(F.lit("node").alias("kind"), F.col("label").alias("name")).agg(F.count("*").alias("n")).unionByName(edges.groupBy(F.lit("edge").alias("kind"), F.col("rel_type").alias("name")).agg(F.count("*").alias("n")))
+    """Nodes by label and edges by type; some labels count a property's sum or an edge type's targets instead."""
+    plain = nodes.filter(~F.col("label").isin(*TARGETS, *SUMMED_SIZE)).groupBy("label").agg(F.count("*").alias("n"))
+    none = nodes.filter(F.col("label").isin(*SUMMED_SIZE)).select("label", F.lit(0).cast("long").alias("n"))
+    summed = _amount(edges, SUMMED_SIZE).select("label", F.col("amount").alias("n")).unionByName(none).groupBy("label").agg(F.sum("n").alias("n"))
+    out = plain.unionByName(summed)
+    for label, rel in TARGETS.items():
+        out = out.unionByName(edges.filter(F.col("rel_type") == rel).select("to_label", "to_name").distinct().groupBy(F.lit(label).alias("label")).agg(F.count("*").alias("n")))
+    by_type = edges.groupBy(F.lit("edge").alias("kind"), F.col("rel_type").alias("name")).agg(F.count("*").alias("n"))
+    return out.select(F.lit("node").alias("kind"), F.col("label").alias("name"), "n").unionByName(by_type)
 
 
 def interest_profile(edges: DataFrame, weight: str = "weight") -> DataFrame:

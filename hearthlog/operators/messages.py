@@ -108,6 +108,23 @@ def history_answer(corpus: DataFrame, question: str, vector: list[float], conver
     return search.knn(x, vector, global_n, "id")
 
 
+def history_context(corpus: DataFrame, episodes: DataFrame, names: DataFrame, question: str, vector: list[float], conversation: str | None = None, about: str | None = None, n_episodes: int = 5, **limits) -> DataFrame:
+    """V7: (kind, pos, line): the nearest episodes with their feeling, then the answer's messages with chat and sender.
+
+    corpus: id, content, embedding, date, ord, conversation, sender_name; episodes: id, content, embedding, date, emotion;
+    names: conversation, name.
+    """
+    felt = F.when((F.coalesce("emotion", F.lit("")) != "") & (F.col("emotion") != "neutral"), F.concat(F.lit(" (Emotion: "), "emotion", F.lit(")"))).otherwise("")
+    line = lambda *x: F.concat(F.lit("["), F.coalesce(F.col("date").cast("string"), F.lit("Unknown")), F.lit("] "), *x)
+    e = search.ranked(episodes.withColumn("distance", search.distance("embedding", vector)), "distance", "id", n=n_episodes)
+    said = history_answer(corpus, question, vector, conversation, about, **limits)
+    order = [F.desc("date"), F.desc("ord")] if conversation else [F.col("distance"), F.col("id")]
+    said = said.withColumn("pos", F.row_number().over(Window.orderBy(*order)))  # the few rows of the answer
+    said = said.join(names.select("conversation", F.col("name").alias("__chat")), "conversation", "left")
+    lines = line(F.lit("[Chat: "), F.coalesce("__chat", F.lit("Unknown Chat")), F.lit("] "), F.coalesce("sender_name", F.lit("Unknown Sender")), F.lit(": "), "content")
+    return e.select(F.lit("episode").alias("kind"), "pos", line("content", felt).alias("line")).unionByName(said.select(F.lit("message").alias("kind"), "pos", lines.alias("line")))
+
+
 def keep_relevant(df: DataFrame, verdict: Column) -> DataFrame:
     """what is judged relevant, and what could not be judged."""
     return df.filter(F.coalesce(verdict, F.lit(True)))

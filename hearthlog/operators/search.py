@@ -44,8 +44,8 @@ def bm25_idf(corpus: DataFrame, text: str = "text") -> DataFrame:
     return raw.join(F.broadcast(mean)).select("term", "df", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(corpus: DataFrame, query: str, id_: str = "id", text: str = "text") -> DataFrame:
-    """V3: (id, score) of every document; repeated words of the query count as often as they are there.
+def bm25_scored(corpus: DataFrame, query: str, text: str = "text", score: str = "score") -> DataFrame:
+    """V3: corpus with the score of every row; repeated words of the query count as often as they are there.
 
     Only term counts are shuffled; each document counts the query's words itself.
     """
@@ -53,16 +53,33 @@ def bm25(corpus: DataFrame, query: str, id_: str = "id", text: str = "text") ->
     for w in query.lower().split():
         asked[w] = asked.get(w, 0) + 1
     if not asked:
-        return corpus.select(F.col(id_).alias("id"), F.lit(0.0).alias("score"))
-    wanted = bm25_idf(corpus, text).filter(F.col("term").isin(*asked)).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("idf"), F.first("avgdl").alias("avgdl"))  # one row
-    x = corpus.select(F.col(id_).alias("id"), tokens(text).alias("w")).join(F.broadcast(wanted))
+        return corpus.withColumn(score, F.lit(0.0))
+    wanted = bm25_idf(corpus, text).filter(F.col("term").isin(*asked)).agg(F.map_from_entries(F.collect_list(F.struct("term", "idf"))).alias("__idf"), F.first("avgdl").alias("__avg"))  # one row
     words = F.array(*map(F.lit, asked))
-    x = x.select("id", "idf", "avgdl", F.size("w").alias("dl"), F.filter("w", lambda t: F.array_contains(words, t)).alias("hits"))
+    x = corpus.join(F.broadcast(wanted)).withColumn("__w", tokens(text))
+    x = x.withColumns({"__dl": F.size("__w"), "__hits": F.filter("__w", lambda t: F.array_contains(words, t))})
     parts = []
     for w, times in asked.items():
-        tf = F.size(F.filter("hits", (lambda word: lambda t: t == word)(w)))
-        parts.append(F.coalesce(F.col("idf")[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * times, F.lit(0.0)))
-    return x.select("id", reduce(lambda a, b: a + b, parts).alias("score"))
+        tf = F.size(F.filter("__hits", (lambda word: lambda t: t == word)(w)))
+        parts.append(F.coalesce(F.col("__idf")[w] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__dl") / F.col("__avg"))) * times, F.lit(0.0)))
+    return x.withColumn(score, reduce(lambda a, b: a + b, parts)).select(*corpus.columns, score)
+
+
+def bm25(corpus: DataFrame, query: str, id_: str = "id", text: str = "text") -> DataFrame:
+    """V3: (id, score) of every document."""
+    return bm25_scored(corpus.select(F.col(id_).alias("id"), F.col(text).alias("text")), query).select("id", "score")
+
+
+def bm25_many(corpus: DataFrame, questions: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
+    """(query, id, score) of every pair of a question (query, text) and a document that share a word.
+
+    The questions' words meet the corpus by equality of words, so pairs without a common word are never made.
+    """
+    idf = bm25_idf(corpus, text)
+    asked = questions.select(F.col("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")).join(idf, "term")
+    docs = corpus.select(F.col(id_).alias("id"), tokens(text).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("times")
+    return docs.join(asked, "term").groupBy("query", "id").agg(F.sum(gain).alias("score"))
 
 
 def top(df: DataFrame, n: int, *order) -> DataFrame:
@@ -129,7 +146,9 @@ def hybrid(corpus: DataFrame, query: str, vector: list[float], n: int = 20, k: i
         return corpus.limit(0).select("content", F.lit(0.0).alias("rrf_score"), F.lit(0.0).alias("rerank_score"))
     x = corpus if condition is None else corpus.filter(condition)
     semantic = ranked(x.withColumn("distance", distance("embedding", vector)).select("id", "content", "distance"), "distance", "id", n=n)
-    scores = bm25(corpus, query, "id", "content")
-    keyword = ranked(x.select("id", "content").join(scores, "id").select("id", "content", "score"), F.desc("score"), "id", n=n)
+    # statistics are those of the whole corpus; each row is scored where it stands
+    scored = bm25_scored(corpus, query, "content", "__score")
+    scored = scored if condition is None else scored.filter(condition)
+    keyword = ranked(scored.select("id", "content", F.col("__score").alias("score")), F.desc("score"), "id", n=n)
     fused = top(fuse(semantic, keyword), n, *fused_order())
     return rerank(fused, query, "content", k, threshold, scorer, fused_order()).select("content", "semantic_rank", "bm25_rank", "rrf_score", "rerank_score")

@@ -6,10 +6,12 @@ Messages of examples: messages array<struct<role, content>>; flat form: (conv_id
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import values as V
 from ..functions.text import word_count
 
 MESSAGES = "array<struct<role:string,content:string>>"
@@ -138,11 +140,32 @@ def diagnostics(df: DataFrame, messages: str = "messages") -> DataFrame:
     return df.agg(F.count("*").alias("examples"), F.count_if(F.element_at(roles, -1) == "user").alias("ends_with_user"), F.count_if(same).alias("adjacent_same_role"), F.count_if(marks).alias("with_markers"), F.count_if(F.get(roles, 0) == "system").alias("with_system"))
 
 
-def export_stats(df: DataFrame, kept: DataFrame, reason: Column) -> DataFrame:
-    """Rows by the reason that left them out."""
+def text_diagnostics(df: DataFrame, text: str, order: str, special: list[str] | None = None, eos: str | None = None, first: int = 10) -> DataFrame:
+    """On formatted texts: whether the first ones show roles and ends of turns, how many hold no special token, and
+    whether these are over half."""
+    has = lambda keys: reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keys], F.lit(False))
+    head = top_rows(df.select(order, text), first, order).agg(F.coalesce(F.max(has(V.ROLE_MARKS)), F.lit(False)).alias("roles_shown"), F.coalesce(F.max(has([eos] * bool(eos) + V.TURN_ENDS)), F.lit(False)).alias("ends_shown"))
+    words = [x for x in special or [] if x.strip()]
+    bare = df.agg(F.count("*").alias("examples"), (F.count_if(~has(words)) if words else F.lit(0).cast("long")).alias("without_special"))
+    return head.crossJoin(bare).withColumn("mostly_bare", F.col("without_special") > 0.5 * F.col("examples"))  # one row each
+
+
+def top_rows(df: DataFrame, n: int, *order) -> DataFrame:
+    return df.orderBy(*order).limit(n)
+
+
+def export_stats(df: DataFrame, reason: Column) -> DataFrame:
+    """Rows by the reason that left them out, or kept."""
     return df.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
+def export_summary(df: DataFrame, pairs: DataFrame, reason: Column, conversation: str = "conversation") -> DataFrame:
+    """Messages, those left out, examples made of the rest, and the conversations these come from."""
+    m = df.agg(F.count("*").alias("total_messages"), F.count_if(reason != "kept").alias("filtered_messages"))
+    p = pairs.agg(F.count("*").alias("pairs_exported"), F.countDistinct(conversation).alias("conversations_used"))
+    return m.crossJoin(p)  # one row each
+
+
 def inspect(df: DataFrame, limit: int = 2048) -> dict[str, DataFrame]:
     """Q3: the reports on a set of examples (conv_id, messages)."""
     words = F.aggregate("messages", F.lit(0), lambda s, m: s + word_count(m["content"]))

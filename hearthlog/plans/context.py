@@ -42,6 +42,25 @@ def route(question: str, model: Callable[[str], str] | None = None, names: list[
     return Intent(people=people, entities=entities, search_query=question, needs_retrieval=not greeting)
 
 
+def translate(question: str, model: Callable[[str], str] | None = None, to: str = "English") -> str:
+    """L1: the question in the language of the archive; without a model, or where it fails or says nothing, as it is."""
+    try:
+        return (model(f"Translate into {to}, and return only the translation: {question}").strip() if model else "") or question
+    except Exception:  # a model server's own errors
+        return question
+
+
+def condense(question: str, context: str, model: Callable[[str], str] | None = None) -> tuple[str, str]:
+    """L1: a context cut down to what bears on the question, and a line that says by how much; else the context itself."""
+    if not context.strip():
+        return "", "empty context"
+    try:
+        found = model(f"Keep dates, names and numbers. Shorten this context to what answers: {question}\n\n{context}").strip() if model else ""
+    except Exception as e:  # a model server's own errors
+        return context, f"not condensed: {e}"
+    return (found, f"{len(context)} -> {len(found)} characters ({len(found) / len(context) * 100:.1f} %)") if found else (context, "not condensed")
+
+
 def hashing_embedder(dims: int = 64) -> Callable[[str], Column]:
     """V1: the offline embedder: counts of hashed words, scaled to length one (native)."""
     def embed(text) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import activity_timestamp, chat_timestamp, partial_date, safe_double, safe_int
+from .recurrence import in_utc, moment, occurrences
 
 MESSAGE = "date string, sender_name string, source string, type string, text string, conversation string, language string"
 PLAY = "ts string, ms_played long, platform string, master_metadata_track_name string, master_metadata_album_artist_name string, master_metadata_album_album_name string, spotify_track_uri string"
@@ -146,46 +147,37 @@ def gps_start(spark: SparkSession, path: str) -> DataFrame:
 
 
 def calendar_ics(spark: SparkSession, path: str, first: str = "2000-01-01", last: str = "2030-12-31") -> DataFrame:
-    """Events with their recurrences (FREQ, INTERVAL, COUNT, UNTIL) between two days; no end means an hour."""
+    """Events with their recurrences between two days, less excluded and moved ones; no end means an hour.
+
+    Times of a named zone become UTC; the id carries the local time.
+    """
     lo, hi = datetime.fromisoformat(first), datetime.fromisoformat(last)
-    step = {"DAILY": 1, "WEEKLY": 7}
-
-    def when(v):
-        v = v.rstrip("Z")
-        return datetime.strptime(v, "%Y%m%dT%H%M%S" if "T" in v else "%Y%m%d")
-
-    def dates(start, rule):
-        r = dict(x.split("=", 1) for x in rule.split(";") if "=" in x) if rule else {}
-        every, n, at = int(r.get("INTERVAL", 1)), 0, start
-        until = min(hi, when(r["UNTIL"])) if "UNTIL" in r else hi
-        while at <= until and n < int(r.get("COUNT", 1 << 30)):
-            if at >= lo:
-                yield at
-            n += 1
-            if r.get("FREQ") in step:
-                at = start + timedelta(days=step[r["FREQ"]] * every * n)
-            elif r.get("FREQ") in ("MONTHLY", "YEARLY"):
-                k = start.month - 1 + every * n * (12 if r["FREQ"] == "YEARLY" else 1)
-                try:
-                    at = start.replace(year=start.year + k // 12, month=k % 12 + 1)
-                except ValueError:  # no such day in that month
+
+    def events(text):
+        found = []
+        for e in re.findall(r"BEGIN:VEVENT(.*?)END:VEVENT", re.sub(r"\r?\n[ \t]", "", text), re.S):
+            v, zone, dates = {}, None, {"EXDATE": [], "RDATE": []}
+            for k, more, x in re.findall(r"^([A-Za-z-]+)((?:;[^:\r\n]*)?):(.*)$", e, re.M):
+                if k.upper() in dates:
+                    dates[k.upper()] += [moment(d) for d in x.split(",") if d.strip()]
                     continue
-            else:
-                return
+                v.setdefault(k.upper(), x.strip())
+                if k.upper() == "DTSTART" and (m := re.search(r"(?i)TZID=\"?([^;\"]+)", more)):
+                    zone = m[1]
+            if "DTSTART" in v:
+                found.append((v, zone, dates))
+        moved = {(v.get("UID"), moment(v["RECURRENCE-ID"])) for v, _, _ in found if "RECURRENCE-ID" in v}
+        for v, zone, dates in found:
+            start = moment(v["DTSTART"])
+            long_ = moment(v["DTEND"]) - start if "DTEND" in v else timedelta(hours=1)
+            gone = set(dates["EXDATE"]) | (set() if "RECURRENCE-ID" in v else {at for uid, at in moved if uid == v.get("UID")})
+            for at in sorted({*occurrences(start, None if "RECURRENCE-ID" in v else v.get("RRULE"), hi), *dates["RDATE"]} - gone):
+                if lo <= at <= hi:
+                    yield f"evt_{v.get('UID', '')}_{at:%Y%m%dT%H%M%S}", v.get("SUMMARY"), v.get("DESCRIPTION"), v.get("LOCATION"), in_utc(at, zone), in_utc(at + long_, zone)
 
     def run(frames):
         for f in frames:
-            out = []
-            for c in f["content"]:
-                t = re.sub(r"\r?\n[ \t]", "", bytes(c).decode("utf-8", "replace"))
-                for e in re.findall(r"BEGIN:VEVENT(.*?)END:VEVENT", t, re.S):
-                    v = {k.split(";")[0].upper(): x.strip() for k, x in re.findall(r"^([A-Za-z-]+(?:;[^:\n]*)?):(.*)$", e, re.M)}
-                    if "DTSTART" not in v:
-                        continue
-                    start = when(v["DTSTART"])
-                    long_ = when(v["DTEND"]) - start if "DTEND" in v else timedelta(hours=1)
-                    for at in dates(start, v.get("RRULE")):
-                        out.append((f"evt_{v.get('UID', '')}_{at:%Y%m%dT%H%M%S}", v.get("SUMMARY"), v.get("DESCRIPTION"), v.get("LOCATION"), at, at + long_))
+            out = [e for c in f["content"] for e in events(bytes(c).decode("utf-8", "replace"))]
             yield pd.DataFrame(out, columns=["id", "summary", "description", "location", "start", "end"])
 
     return _files(spark, path, "*.ics").select("content").mapInPandas(run, "id string, summary string, description string, location string, start timestamp, end timestamp")

@@ -95,3 +95,31 @@ def test_streams(spark, tmp_path):
     seen = []
     twins.merge_into(twins.idempotent(read(), "ts", ["event_id"], "1000 days"), lambda df, _: seen.append(df.count()), str(tmp_path / "cp")).awaitTermination(60)
     assert sum(seen) == e.select("event_id").distinct().count()
+
+
+def test_recurring_dates():
+    from datetime import datetime as D
+
+    from hearthlog.sources.recurrence import occurrences
+
+    end = D(2030, 12, 31)
+    days = lambda start, rule, n=99: [f"{d:%Y-%m-%d}" for _, d in zip(range(n), occurrences(start, rule, end))]
+    assert days(D(2024, 1, 31, 9), "FREQ=MONTHLY;COUNT=4") == ["2024-01-31", "2024-03-31", "2024-05-31", "2024-07-31"]
+    assert days(D(2024, 1, 1), "FREQ=WEEKLY;BYDAY=MO,WE;COUNT=4") == ["2024-01-01", "2024-01-03", "2024-01-08", "2024-01-10"]
+    assert days(D(2024, 1, 3), "FREQ=WEEKLY;INTERVAL=2;BYDAY=MO,WE;COUNT=3") == ["2024-01-03", "2024-01-15", "2024-01-17"]
+    assert days(D(2024, 1, 9), "FREQ=MONTHLY;BYDAY=2TU;COUNT=3") == ["2024-01-09", "2024-02-13", "2024-03-12"]
+    assert days(D(2024, 1, 26), "FREQ=MONTHLY;BYDAY=-1FR;UNTIL=20240401") == ["2024-01-26", "2024-02-23", "2024-03-29"]
+    assert days(D(2024, 1, 31), "FREQ=MONTHLY;BYMONTHDAY=-1;COUNT=3") == ["2024-01-31", "2024-02-29", "2024-03-31"]
+    assert days(D(2024, 1, 31), "FREQ=MONTHLY;BYDAY=MO,TU,WE,TH,FR;BYSETPOS=-1;COUNT=2") == ["2024-01-31", "2024-02-29"]
+    assert days(D(2024, 2, 29), "FREQ=YEARLY;COUNT=2") == ["2024-02-29", "2028-02-29"]
+    assert days(D(2024, 11, 28), "FREQ=YEARLY;BYMONTH=11;BYDAY=4TH;COUNT=2") == ["2024-11-28", "2025-11-27"]
+    assert days(D(2024, 1, 1), "FREQ=DAILY;INTERVAL=10;UNTIL=20240122T000000Z") == ["2024-01-01", "2024-01-11", "2024-01-21"]
+    assert days(D(2024, 1, 1), None) == ["2024-01-01"] and days(D(2030, 12, 1), "FREQ=MONTHLY") == ["2030-12-01"]
+
+
+def test_calendar_exceptions_and_zones(spark, tmp_path):
+    event = lambda *lines: "BEGIN:VEVENT\r\n" + "\r\n".join(lines) + "\r\nEND:VEVENT\r\n"
+    put(tmp_path / "z/x.ics", "BEGIN:VCALENDAR\r\n" + event("UID:a", "DTSTART;TZID=Europe/Paris:20240325T090000", "DTEND;TZID=Europe/Paris:20240325T100000", "RRULE:FREQ=WEEKLY;COUNT=4", "EXDATE;TZID=Europe/Paris:20240408T090000")
+        + event("UID:a", "RECURRENCE-ID;TZID=Europe/Paris:20240401T090000", "DTSTART;TZID=Europe/Paris:20240402T110000", "SUMMARY:moved") + "END:VCALENDAR\r\n")
+    got = sorted((r["id"], str(r["start"]), r["summary"]) for r in X.calendar_ics(spark, str(tmp_path / "z")).collect())
+    assert got == [("evt_a_20240325T090000", "2024-03-25 08:00:00", None), ("evt_a_20240402T110000", "2024-04-02 09:00:00", "moved"), ("evt_a_20240415T090000", "2024-04-15 07:00:00", None)]
