@@ -197,10 +197,12 @@ def p16_f13_grid(spark, sf):
     return table(spark, sf, "events").groupBy(T.grid_cell("value").alias("cell")).agg(F.count("*").alias("visits")).filter("visits >= 5")
 
 
-@query("SELECT s_suppkey, 'City' || s_nationkey AS city, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 2 THEN 'Unknown City' ELSE 'City' || s_nationkey END AS city, n_name AS country FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def p17_address(spark, sf):
     x = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    a = T.address(F.concat(F.lit("1 Street, City"), F.col("s_nationkey").cast("string"), F.lit(", Some Region, 12345, "), "n_name"))
+    shapes = ["1 Street, City%d, Some Region, 12345, %s", "City%d, %s", "%2$s", " 5 Lane,, City%d , County Down , %s"]
+    made = F.get(F.array(*[F.format_string(p, "s_nationkey", "n_name") for p in shapes]), (F.col("s_suppkey") % 4).cast("int"))
+    a = T.address(made)
     return x.select("s_suppkey", a.alias("a")).select("s_suppkey", "a.city", "a.country")
 
 
@@ -245,9 +247,9 @@ def p29_model_json(spark, sf):
     return x.select("event_id", F.round(r["v"], 6).alias("v"), r["a"].alias("a"), r["d"].alias("d"))
 
 
-@query("SELECT doc_id, (n_chars + 10 + 20 + 4 * 256) // 3 AS tokens FROM (SELECT doc_id, length(text) AS n_chars FROM documents)")
+@query("SELECT doc_id, (length(text) + length(lang || source) + length(source) + 4 * 256) // 3 AS tokens FROM documents")
 def p22_token_estimate(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", T.token_estimate("text", F.lit("h" * 10), F.lit("s" * 20), 256).cast("long").alias("tokens"))
+    return table(spark, sf, "documents").select("doc_id", T.token_estimate("text", F.concat("lang", "source"), "source", 256).cast("long").alias("tokens"))
 
 
 @query("SELECT doc_id, trim(coalesce(text, ''), ' ') AS thought, trim('answer ' || coalesce(text, ''), ' ') AS answer FROM documents")
@@ -515,10 +517,13 @@ def v4_rank_fusion(spark, sf):
 OV = f"len(list_intersect(regexp_split_to_array(lower(content), '\\s+'), [{', '.join(map(s, sorted(set(ASK.split()))))}])) / {len(set(ASK.split()))}"
 
 
-@query()
+HELD = FUSE.replace(BM, "docs AS (SELECT documents.* FROM documents JOIN embeddings ON doc_id = vec_id), " + BM.replace("FROM documents", "FROM docs"))
+
+
+@query(f"WITH {HELD}, best AS (SELECT * FROM fu ORDER BY rrf_score DESC, s_pos NULLS LAST, b_pos NULLS LAST LIMIT 20) SELECT md5(content) AS content, semantic_rank, bm25_rank, round(rrf_score, 8) AS rrf_score, CAST({OV} AS DOUBLE) AS rerank_score FROM best ORDER BY {OV} DESC, rrf_score DESC, s_pos NULLS LAST, b_pos NULLS LAST LIMIT 5")
 def v6_hybrid(spark, sf):
-    c = corpus(spark, sf)
-    return S.hybrid(c, ASK, ASKED, 20, 5).withColumn("content", F.md5("content"))
+    x = S.hybrid(corpus(spark, sf), ASK, ASKED, 20, 5)
+    return x.select(F.md5("content").alias("content"), F.col("semantic_rank").cast("long").alias("semantic_rank"), F.col("bm25_rank").cast("long").alias("bm25_rank"), F.round("rrf_score", 8).alias("rrf_score"), F.col("rerank_score").cast("double").alias("rerank_score"))
 
 
 WORDS_OF = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '\\s+'), lambda x: x <> '')"
@@ -709,10 +714,17 @@ def q1_training_pairs(spark, sf):
     return x.select("conversation", "start", F.to_json("messages").alias("messages"))
 
 
-@query()
+N_WORDS = "len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> ''))"
+
+
+@query(f"""WITH f AS (SELECT *, CASE WHEN role = lag(role) OVER w THEN 0 ELSE 1 END AS new FROM conversations WHERE coalesce(text, '') <> '' WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS block FROM f),
+m AS (SELECT conv_id, block, role, string_agg(text, ' ' ORDER BY turn) AS text FROM b GROUP BY 1, 2, 3), a AS (SELECT * FROM m UNION ALL SELECT conv_id, 0, 'system', 'Answer briefly.' FROM m GROUP BY conv_id HAVING arg_min(role, block) <> 'system'),
+l AS (SELECT conv_id, block, role, '<|' || role || '|> ' || text AS line FROM a), x AS (SELECT conv_id, count(*) AS messages, string_agg(line, chr(10) ORDER BY block) AS t FROM l GROUP BY 1),
+n AS (SELECT conv_id, role, lead(role) OVER w AS r2, line || chr(10) || lead(line) OVER w AS t FROM l WHERE conv_id IN (SELECT conv_id FROM x WHERE {N_WORDS} > 300) WINDOW w AS (PARTITION BY conv_id ORDER BY block))
+SELECT conv_id, messages, CAST({N_WORDS} AS BIGINT) AS words, md5(t) AS text FROM x WHERE {N_WORDS} <= 300 UNION ALL SELECT conv_id, 2, CAST({N_WORDS} AS BIGINT), md5(t) FROM n WHERE role = 'user' AND r2 = 'assistant' AND {N_WORDS} <= 300""")
 def q2_prepare(spark, sf):
     x = Q.prepare(Q.examples(table(spark, sf, "conversations")), 300, "Answer briefly.")
-    return x.select("conv_id", F.size("messages").alias("messages"), F.col("length").alias("words"), F.md5("text").alias("text"))
+    return x.select("conv_id", F.size("messages").cast("long").alias("messages"), F.col("length").cast("long").alias("words"), F.md5("text").alias("text"))
 
 
 # --- clusters
@@ -736,7 +748,7 @@ def m3_sub_clusters(spark, sf):
     return x.groupBy("label", "sub_cluster").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id) <= 5")
 def t11_cluster_sample(spark, sf):
     return C.sample_per(table(spark, sf, "embeddings"), "label", "vec_id", 5).select("label", "vec_id")
 
@@ -887,12 +899,12 @@ def f20_weights(spark, sf):
     return C.weights_valid(x, "w").withColumn("w", F.round("w", 6))
 
 
-@query("SELECT count(*) AS n, count(DISTINCT vec_id) AS ids FROM (SELECT vec_id FROM embeddings LIMIT 50)")
+@query("SELECT vec_id FROM embeddings ORDER BY md5(vec_id || ':42'), vec_id LIMIT 50")
 def t12_sample(spark, sf):
-    return C.sample_rows(table(spark, sf, "embeddings"), "vec_id", 50).agg(F.count("*").alias("n"), F.countDistinct("vec_id").alias("ids"))
+    return C.sample_rows(table(spark, sf, "embeddings"), "vec_id", 50).select("vec_id")
 
 
-@query()
+@query(f"SELECT doc_id AS id, round({DIST}, 5) AS distance FROM documents JOIN embeddings ON doc_id = vec_id WHERE contains(lower(text), 'theat') ORDER BY {DIST}, doc_id LIMIT 50")
 def v7_history(spark, sf):
     d = corpus(spark, sf).withColumns({"date": F.lit(0), "ord": F.col("id"), "conversation": F.col("source")})
     return P.history_answer(d, ASK, ASKED, about="theat").select("id", F.round("distance", 5).alias("distance"))

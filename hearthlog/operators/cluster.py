@@ -86,7 +86,7 @@ def sub_cluster_stats(df: DataFrame, label: str, emotions: list[str]) -> DataFra
 
 def draw(id_, seed: int = 42) -> Column:
     """A fixed random order."""
-    return F.xxhash64(F.col(id_) if isinstance(id_, str) else id_, F.lit(seed))
+    return F.md5(F.concat_ws(":", (F.col(id_) if isinstance(id_, str) else id_).cast("string"), F.lit(str(seed))))
 
 
 def sample_rows(df: DataFrame, id_: str, n: int, seed: int = 42) -> DataFrame:
