@@ -9,7 +9,7 @@ estimated from their agreement with the text, again by grouped aggregation.
 
 Log posterior = host prior + text log likelihood (per trigram, tempered by EVIDENCE) + declaration + address.
 
-Defined cases: null or empty html leaves the text out (likelihood equal for all); a null url is a host of its
+Defined cases: html of any length is read whole; null or empty html leaves the text out (likelihood equal for all); a null url is a host of its
 own; unknown declarations are no evidence; ties go to the language first in order; repeated rows give repeated
 rows and count as often; without labelled rows or pages the result is empty; other columns are ignored.
 """
@@ -82,6 +82,21 @@ def train(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     return langs, np.log(counts / counts.sum(axis=0))
 
 
+# Second-level labels that country suffixes register names under.
+SECOND = frozenset("ac co com edu gob gov go net ne nom or org sch".split())
+
+
+def registered(host: str) -> str:
+    """The registered domain of a host: two labels, or three under a country's second-level label."""
+    labels = host.split(".")
+    return ".".join(labels[-3:] if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2] in SECOND else labels[-2:])
+
+
+def _registered(host) -> "F.Column":
+    under = F.substring_index(host, ".", -2)
+    return F.when(under.rlike("^(?:" + "|".join(sorted(SECOND)) + r")\.[a-z]{2}$"), F.substring_index(host, ".", -3)).otherwise(under)
+
+
 def visible(html: str) -> str:
     return _html.unescape(_GAPS.sub(" ", html))
 
@@ -120,7 +135,7 @@ def scores(pages: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     known = F.array(*map(F.lit, langs))
     path = F.lower(F.regexp_extract("url", r"^[^/]*//[^/]*/([A-Za-z]{2})(?:[/?#]|$)", 1))
     return x.select("page_id", F.coalesce(host, F.lit("")).alias("host"), "declared", "text_scores", path.alias("path")).select(
-        "page_id", "host", F.substring_index("host", ".", -2).alias("domain"), F.when(F.array_contains(known, F.col("declared")), F.col("declared")).alias("declared"), F.substring_index("host", ".", -1).alias("suffix"), F.when(F.array_contains(known, F.col("path")), F.col("path")).alias("path_lang"), "text_scores"
+        "page_id", "host", _registered(F.col("host")).alias("domain"), F.when(F.array_contains(known, F.col("declared")), F.col("declared")).alias("declared"), F.substring_index("host", ".", -1).alias("suffix"), F.when(F.array_contains(known, F.col("path")), F.col("path")).alias("path_lang"), "text_scores"
     )
 
 

@@ -157,6 +157,42 @@ def test_decontamination(spark, docs, empty):
     assert want <= {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()}
 
 
+def leaks_brute(docs, items):
+    """(doc, item) by scoring every passage against every item in full."""
+    import math
+
+    cut = re.compile("[" + re.escape("".join(chr(b) for b in range(128) if not chr(b).isalnum())) + "]+")
+    words = lambda t: [w for w in cut.split((t or "").lower()) if w]
+    by = {i: words(t) for i, t in items if words(t)}
+    n, average = len(by), sum(map(len, by.values())) / max(1, len(by))
+    df = {}
+    for w in by.values():
+        for x in set(w):
+            df[x] = df.get(x, 0) + 1
+    out = set()
+    for i, w in by.items():
+        raw = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * 2.2 / (w.count(x) + 1.2 * (0.25 + 0.75 * len(w) / average)) for x in set(w)}
+        at = decontamination.split_at(dict(items)[i], len(w))
+        parts = [p for p in (w[:at], w[at:]) if p]
+        stride = max(64, 1 << max(0, len(w) - 1).bit_length())
+        for doc, t in docs:
+            d = words(t)
+            for k in range(max(1, -(-len(d) // stride) - 1)):
+                p = d[k * stride : (k + 2) * stride]
+                if sum(raw[x] for x in set(p) if x in raw) / sum(raw.values()) < decontamination.THRESHOLD:
+                    continue
+                grams = lambda q, m: {tuple(q[j : j + m]) for j in range(len(q) - m + 1)}
+                if all(len(g & grams(p, m)) >= 0.75 * len(g) for q in parts for m in [min(5, len(q))] for g in [grams(q, m)]):
+                    out.add((doc, i))
+    return out
+
+
+def test_decontamination_by_brute_force(spark):
+    d, b = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = leaks_brute(texts(d), [(r["item_id"], r["text"]) for r in b.collect()])
+    assert want and {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(d, b).collect()} == want
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     """The statistics are those of the whole benchmark, so blocks change nothing; all verbatim copies are found."""
     d, b = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")

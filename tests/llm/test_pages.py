@@ -139,6 +139,54 @@ def test_language_held_out(spark):
     assert np.mean([langs[i] == x["lang"] for i, x in zip(found, rows)]) > 0.97
 
 
+def test_language_fusion_by_brute_force(spark):
+    """Priors, evidence and posterior of every page of the driver's table, page by page, from the text likelihoods."""
+    from collections import defaultdict
+
+    import numpy as np
+    import pyarrow as pa
+
+    pages, docs = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("pages", "documents"))
+    langs, table = language.train(docs.select("text", "lang"))
+    table = table.astype(np.float32)
+    rows, n = pages.collect(), len(langs)
+    text = language.likelihoods(pa.array([language.visible(r["html"] or "") for r in rows], pa.large_string()), table)
+    p = np.exp(text - text.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    host = [(re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", r["url"] or "") or [None, ""])[1].lower() for r in rows]
+    domain = [language.registered(h) for h in host]
+    said = [m[1].lower() if (m := re.search(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})\b", r["html"] or "")) else None for r in rows]
+    path = [m[1].lower() if (m := re.match(r"[^/]*//[^/]*/([A-Za-z]{2})(?:[/?#]|$)", r["url"] or "")) else None for r in rows]
+    world = (p.sum(axis=0) + 1) / (len(rows) + n)
+
+    def shares(keys, wider):
+        total = defaultdict(lambda: np.zeros(n))
+        for k, x in zip(keys, p):
+            total[k] += x
+        return {k: (v + language.PRIOR * wider(k)) / (v.sum() + language.PRIOR) for k, v in total.items()}
+
+    domains = shares(domain, lambda k: world)
+    hosts = shares(host, lambda k: domains[language.registered(k)])
+
+    def evidence(values):
+        total = defaultdict(lambda: np.zeros(n))
+        for v, x in zip(values, p):
+            if v is not None:
+                total[v] += x
+        t = sum(total.values())
+        return {v: np.log((x + language.PRIOR * x.sum() / t.sum() + 1e-6) / (t + language.PRIOR)) for v, x in total.items()}
+
+    known = lambda xs: [x if x in langs else None for x in xs]
+    kinds = [known(said), known(path), [h.rsplit(".", 1)[-1] for h in host]]
+    tables = [evidence(k) for k in kinds]
+    got = {r["page_id"]: r for r in language.identify(pages, docs.select("text", "lang")).collect()}
+    assert len(got) == len(rows)
+    for k, r in enumerate(rows):
+        post = text[k] + np.log(hosts[host[k]]) + sum(t[v[k]] for t, v in zip(tables, kinds) if v[k] is not None)
+        x = got[r["page_id"]]
+        assert x["lang"] == langs[int(post.argmax())] and abs(x["confidence"] - 1 / np.exp(post - post.max()).sum()) < 1e-4
+
+
 def test_language_sample_ignores_copies(spark, monkeypatch):
     monkeypatch.setattr(language, "SAMPLE", 20)
     rows = [(f"alpha{i} beta", "en") for i in range(40)] * 50 + [(f"maison{i} jour", "fr") for i in range(15)] + [(None, "fr")] * 3000

@@ -32,3 +32,52 @@ def test_stages_stand_hard_and_empty_tables(spark):
             assert all(r["spans"] == f"spans{r['node']}" and r["kept"] == f"kept{r['node']}" for r in out.collect()), name
         packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
         assert (len(packed) > 0) == bool(rows)
+
+
+def test_pipeline_by_brute_force(spark):
+    """Each stage against SQL or brute force on what the stage before kept; the last one's ids against `tokenizers`."""
+    import struct
+    import zlib
+
+    import duckdb
+    import public_tokenizers
+    import tokenizers
+
+    from hearthlog.llm import oracles, packing, pii
+
+    from .test_documents import base_spans, jaccard_brute, leaks_brute, texts
+
+    sf = "/root/testdata/sf0.001"
+    docs = read(spark, sf, "documents")
+    steps = dict(corpus_pipeline.STAGES)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    good = steps["quality rules"](spark, docs, sf)
+    want = {i for i, kept in con.execute(f"select doc_id, kept from ({oracles.ORACLES['op9_quality_rules']})").fetchall() if kept}
+    assert sorted(i for i, _ in texts(good)) == sorted(want)
+    alone = steps["n-gram Jaccard join"](spark, good, sf)
+    assert sorted(i for i, _ in texts(alone)) == sorted({root for _, _, root in jaccard_brute(texts(good))})
+    clean = steps["benchmark decontamination"](spark, alone, sf)
+    bad = {i for i, _ in leaks_brute(texts(alone), [(r["item_id"], r["text"]) for r in read(spark, sf, "benchmark").collect()])}
+    assert sorted(i for i, _ in texts(clean)) == sorted(i for i, _ in texts(alone) if i not in bad)
+    red = steps["PII"](spark, clean, sf)
+    spans = {r["doc_id"]: [x for x in r["spans"].split(",") if x] for r in pii.report(clean).collect()}
+    before, after = dict(texts(clean)), dict(texts(red))
+    for i, t in before.items():
+        assert set(base_spans(t)) <= set(spans[i])
+        out, at = [], 0
+        for x in spans[i]:
+            kind, a, b = x.split(":")
+            if int(a) >= at:
+                out += [t[at : int(a)], f"<{kind.upper()}>"]
+            at = max(at, int(b))
+        assert after[i] == "".join(out) + t[at:]
+    assert all(r["n_chars"] == len(r["text"]) for r in red.collect())
+    tok = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    ids = {i: [*tok.encode(t, add_special_tokens=False).ids, 1] for i, t in after.items()}
+    pieces = steps["packing"](spark, red, sf).collect()
+    assert {r["doc_id"] for r in pieces} == set(ids) and sum(r["length"] for r in pieces) == sum(map(len, ids.values()))
+    for r in pieces:
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert zlib.crc32(struct.pack(f"<{len(part)}I", *part)) == r["ids_crc32"]
+    assert sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, sf).collect()) == sorted((r["doc_id"], r["start"], r["ids_crc32"]) for r in pieces)
