@@ -149,9 +149,11 @@ def classes(view: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> tup
     """(members, class): those of the strings at `at` that equal another one, by class, then position; h: their fingerprints."""
     by = np.argsort(h, kind="stable")
     equal = h[by][1:] == h[by][:-1]
-    by = by[np.append(equal, False) | np.append(False, equal)]
-    name = np.cumsum(np.append(True, h[by][1:] != h[by][:-1])) - 1 if len(by) else by
-    lead = by[np.searchsorted(name, np.arange(name[-1] + 1))] if len(by) else by
+    by = by[np.append(equal, False) | np.append(False, equal)] if len(by) else by
+    if not len(by):  # a mark is shared, a whole string isn't
+        return by, by
+    name = np.cumsum(np.append(True, h[by][1:] != h[by][:-1])) - 1
+    lead = by[np.searchsorted(name, np.arange(name[-1] + 1))]
     other = _unequal(view, at[by], at[lead[name]], length)
     if other.any():  # equal fingerprints of different strings
         own: dict = {}

@@ -341,6 +341,19 @@ def test_repeats(spark, docs, empty, hot, monkeypatch):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared", [0, 300, 350, 399, 400])
+def test_repeats_of_one_shared_passage(spark, shared):
+    r = random.Random(shared)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=7))
+    say = lambda n: " ".join(word() for _ in range(n))
+    p, q = say(60)[:shared], say(45)
+    rows = [(1, f"{say(80)} {p}"), (2, f"{p} {say(90)}"), (3, f"{say(70)} {q} {say(9)}"), (4, f"{say(20)} {q} {say(70)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    found = repeats.remove_repeats(df).collect()
+    assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in found) == repeats_brute(texts(df))
+    assert sorted((repr(r["doc_id"]), r["n_passages"]) for r in found) == passages_brute(texts(df))
+
+
 def test_repeats_of_driver_table(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     rows, seen = [(i, t.encode()) for i, t in texts(df)], {}
