@@ -6,7 +6,7 @@ import atexit
 import itertools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,29 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+def _place(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the process ends."""
     path = f"{shared_dir(spark)}/hearthlog/{uuid.uuid4().hex}/{next(_count)}-{name}"
-    df.write.parquet(path)
     if not _written:
         atexit.register(_clean, spark)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
+    path = _place(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, schema: str) -> DataFrame:
+    """The rows of all `parts` as one table: each is written before the next one is asked for."""
+    path, none = _place(spark, name), spark.createDataFrame([], schema)
+    none.write.parquet(path)
+    for part in parts:
+        part.select(*none.columns).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def _clean(spark: SparkSession) -> None:

@@ -1,6 +1,6 @@
 """SQL (DuckDB) of the queries that it can express."""
 
-from . import quality
+from . import clustering, quality
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -57,4 +57,30 @@ cut AS (SELECT own.lang, own.source, own.metric, least(own.hi, {quality.BOUND} *
 bad AS (SELECT DISTINCT doc_id FROM v JOIN cut ON v.lang IS NOT DISTINCT FROM cut.lang AND v.source IS NOT DISTINCT FROM cut.source AND v.metric = cut.metric WHERE v.v > cut.hi OR v.v < cut.lo)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM f"""
 
-ORACLES = {"op4_warc_zstd": OP4, "op6_ngram_jaccard": OP6, "op8_chat_format": OP8, "op9_quality_rules": OP9}
+OP12 = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, row_number() OVER (PARTITION BY t ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents) WINDOW w AS (PARTITION BY t)"""
+
+
+def _lloyd(rounds: int = clustering.ROUNDS) -> str:
+    """SQL of the clustering, a pair of tables a round; all numbers are whole and below 2^53."""
+    parts = [
+        f"v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({clustering.SCALE} * x::DOUBLE)) AS x FROM embeddings WHERE len(embedding) = {clustering.DIM} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS j, x AS c FROM (SELECT x, sha256('{clustering.SEED}:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, x LIMIT {clustering.K}))",
+    ]
+    for k in range(rounds + 1):
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, any_value(vec_id) AS vec_id, any_value(x) AS x, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'j': j}}) AS m FROM v CROSS JOIN c{k} GROUP BY r)")
+        if k < rounds:
+            parts.append(f"s{k} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::DOUBLE ORDER BY i) AS f FROM (SELECT m.j AS j, i, sum(x[i]::HUGEINT) AS s, count(*)::HUGEINT AS n FROM a{k}, range(1, {clustering.DIM + 1}) AS t(i) GROUP BY ALL) GROUP BY j)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c{k}.j, coalesce(f, c) AS c FROM c{k} LEFT JOIN s{k} ON c{k}.j = s{k}.j)")
+    return f"""WITH {', '.join(parts)}
+SELECT vec_id, CAST(m.j AS INT) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.j) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON m.j = c{rounds}.j"""
+
+
+OP13 = """WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS anchor_id, v.id AS id, a.label = v.label AS same, CAST(list_sum(list_transform(list_zip(a.x, v.x), lambda z: coalesce(z[1] * z[2], 0))) AS BIGINT) AS score FROM v a JOIN v ON a.id % 50 = 0 AND a.id <> v.id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 3"""
+
+ORACLES = {"op4_warc_zstd": OP4, "op6_ngram_jaccard": OP6, "op8_chat_format": OP8, "op9_quality_rules": OP9, "op11_centroid_clustering": _lloyd(), "op12_exact_dedup": OP12, "op13_hard_negatives": OP13}
