@@ -16,6 +16,10 @@ from .operators import messages as P
 from .operators import search as S
 from .operators import training as Q
 from .operators import windows as W
+from .operators.graph_store import GraphStore
+from .operators.keyword_index import KeywordIndex
+from .operators.vector_index import VectorIndex
+from .sources.store import shared_folder
 
 _QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -122,9 +126,9 @@ def w10_stay_points(spark, sf):
     return W.stay_points(e, "user_id", "ts", "lat", "lng", gap_h=72, step=0.5).select("user_id", "cell", "start_time", "end_time", "n")
 
 
-@query("SELECT 'window_' || (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) AS id, o_orderkey FROM orders")
+@query("SELECT 'window_' || (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) AS id, o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def w13_ordinal_ids(spark, sf):
-    return W.with_ordinal_id(table(spark, sf, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "window_").select("id", "o_orderkey")
+    return W.with_ordinal_id(table(spark, sf, "orders"), ["o_orderdate", "o_orderkey"], "window_").select("id", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
 
 
 # --- text functions
@@ -487,6 +491,20 @@ def v3_bm25(spark, sf):
     return S.top(S.bm25(d, ASK, "doc_id"), 20, F.desc("score"), "id").select("id", F.round("score", 5).alias("score"))
 
 
+def keyword_index(spark, sf) -> KeywordIndex:
+    """All documents, English ones first, then the others as an append."""
+    d, index = table(spark, sf, "documents"), KeywordIndex(spark, shared_folder(spark, "words"), 16)
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    index.add(d.filter(english), "doc_id")
+    index.add(d.filter(~english), "doc_id")
+    return index
+
+
+@query(f"WITH {BM} SELECT id, round(score, 5) AS score FROM bm ORDER BY score DESC, id LIMIT 20")
+def v3_bm25_index(spark, sf):
+    return keyword_index(spark, sf).search(ASK, 20).select("id", F.round("score", 5).alias("score"))
+
+
 ASKED = [((i * 37) % 11 - 5) / 5 for i in range(64)]
 QV = "[" + ", ".join(f"{x}::DOUBLE" for x in ASKED) + "]"
 DIST = f"list_sum(list_transform(list_zip(embedding::DOUBLE[], {QV}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -502,6 +520,33 @@ def v2_knn_filtered(spark, sf):
     return S.knn(table(spark, sf, "embeddings"), ASKED, 10, "vec_id", condition=F.col("label") == 3).select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
+def vector_index(spark, sf) -> VectorIndex:
+    """All vectors, those of the first labels first; each batch once more, as a batch that a failed job repeats."""
+    e, index = table(spark, sf, "embeddings"), VectorIndex(spark, shared_folder(spark, "vectors"), 16, "vec_id")
+    for k, part in enumerate((e.filter("label < 5"), e.filter("label >= 5 or label is null"))):
+        for _ in range(2):
+            index.upsert(part, "embeddings", k)
+    return index
+
+
+@query(f"SELECT vec_id, label, round({DIST}, 5) AS distance FROM embeddings ORDER BY {DIST}, vec_id LIMIT 10")
+def v2_knn_index(spark, sf):
+    return vector_index(spark, sf).search(ASKED, 10).select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
+@query(f"SELECT vec_id, label, round({DIST}, 5) AS distance FROM embeddings WHERE label = 3 ORDER BY {DIST}, vec_id LIMIT 10")
+def v2_knn_index_filtered(spark, sf):
+    return vector_index(spark, sf).search(ASKED, 10, F.col("label") == 3).select("vec_id", "label", F.round("distance", 5).alias("distance"))
+
+
+@query("SELECT vec_id, CASE WHEN label = 3 THEN 103 ELSE label END AS label, round(CASE WHEN label = 3 THEN -1 ELSE 1 END * embedding[1]::DOUBLE, 6) AS first FROM embeddings")
+def k3_vector_upsert(spark, sf):
+    index = vector_index(spark, sf)
+    turned = table(spark, sf, "embeddings").filter("label = 3").withColumns({"label": F.lit(103), "embedding": F.transform("embedding", lambda x: -x)})
+    index.upsert(turned)
+    return index.store.read("vectors").select("vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
 FUSE = f"""{BM}, c AS (SELECT doc_id AS id, text AS content, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id), sem AS (SELECT content, row_number() OVER (ORDER BY {DIST}, id) AS pos FROM c QUALIFY pos <= 20), kw AS (SELECT content, row_number() OVER (ORDER BY score DESC, c.id) AS pos FROM c JOIN bm ON c.id = bm.id QUALIFY pos <= 20),
 se AS (SELECT content, max(pos) AS semantic_rank, min(pos) AS s_pos FROM sem GROUP BY 1), ke AS (SELECT content, max(pos) AS bm25_rank, min(pos) AS b_pos FROM kw GROUP BY 1), fu AS (SELECT coalesce(se.content, ke.content) AS content, semantic_rank, bm25_rank, coalesce(1 / (60 + semantic_rank), 0) + coalesce(1 / (60 + bm25_rank), 0) AS rrf_score, s_pos, b_pos FROM se FULL JOIN ke ON se.content = ke.content)"""
 
@@ -529,16 +574,25 @@ def v6_hybrid(spark, sf):
 WORDS_OF = lambda c: f"list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '\\s+'), lambda x: x <> '')"
 
 
-@query(f"""WITH t AS (SELECT doc_id AS id, {WORDS_OF('text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t), f AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+ASKED_ALL = f"""WITH t AS (SELECT doc_id AS id, {WORDS_OF('text')} AS w FROM documents), n AS (SELECT count(*) AS n, avg(len(w)) AS a FROM t), f AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
 d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM f, n GROUP BY term, n), i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * avg(raw) OVER () ELSE raw END AS idf FROM d),
 q AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, unnest({WORDS_OF('text')}) AS term FROM benchmark) GROUP BY ALL)
-SELECT item_id AS query, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) * c), 4) AS score FROM f JOIN q USING (term) JOIN i USING (term), n GROUP BY 1, 2""")
+SELECT item_id AS query, id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a)) * c), 4) AS score FROM f JOIN q USING (term) JOIN i USING (term), n GROUP BY 1, 2"""
+
+
+@query(ASKED_ALL)
 def j14_question_table(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return S.bm25_many(d, q).select("query", "id", F.round("score", 4).alias("score"))
 
 
+@query(f"SELECT query, id, score FROM ({ASKED_ALL.replace(', 4) AS score', ', 6) AS score')}) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10")
+def j14_top_documents(spark, sf):
+    q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return keyword_index(spark, sf).search_many(q, 10)
+
+
 # --- graph: customers, orders, parts, nations
 
 NONE = "MAP {}"
@@ -648,6 +702,42 @@ def k6_merge_edges(spark, sf):
     return G.merge_edges(rows).select("from_name", "to_name", "since")
 
 
+def event_graph(spark, sf) -> GraphStore:
+    """Users and what they did, merged in two batches by time, each batch sent twice."""
+    e, store = table(spark, sf, "events"), GraphStore(spark, shared_folder(spark, "graph"), 16)
+    last = F.create_map(F.lit("last"), F.col("event_id").cast("string"))
+    props = F.when(F.col("value") > 50, F.map_concat(last, F.create_map(F.lit("since"), F.date_format("ts", "yyyy-MM")))).otherwise(last)
+    person = F.concat(F.lit(" "), F.col("user_id").cast("string"))
+    rows = e.select(F.lit("Person").alias("from_label"), person.alias("from_name"), F.lit("DID").alias("rel_type"), F.lit("Activity").alias("to_label"), F.col("event_type").alias("to_name"), props.alias("props"), F.col("event_id").alias("seq"))
+    nodes = e.filter("event_type = 'purchase'").select(F.lit("Person").alias("label"), person.alias("name"), F.create_map(F.lit("purchase"), F.col("event_id").cast("string")).alias("props"), F.col("event_id").alias("seq"))
+    half = e.agg(F.avg("event_id")).first()[0] or 0
+    for k, now in enumerate((F.col("seq") <= half, F.col("seq") > half)):
+        for _ in range(2):
+            store.merge(nodes.filter(now), rows.filter(now), "events", k)
+    return store
+
+
+LAST = "x AS (SELECT user_id::VARCHAR AS f, event_type AS t, event_id AS i, CASE WHEN value > 50 THEN strftime(ts, '%Y-%m') ELSE '' END AS since FROM events), dated AS (SELECT DISTINCT f, t, since FROM x WHERE since <> '')"
+
+
+@query(f"WITH {LAST} SELECT d.f AS from_name, d.t AS to_name, d.since, max(i) AS last FROM dated d JOIN x ON d.f = x.f AND d.t = x.t AND x.since IN (d.since, '') GROUP BY ALL UNION ALL SELECT f, t, '', max(i) FROM x WHERE since = '' AND NOT EXISTS (SELECT 1 FROM dated d WHERE d.f = x.f AND d.t = x.t) GROUP BY ALL")
+def k7_stored_edges(spark, sf):
+    return event_graph(spark, sf).edges().select("from_name", "to_name", "since", F.col("props")["last"].cast("long").alias("last"))
+
+
+@query("SELECT 'Person' AS label, user_id::VARCHAR AS name, max(event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id UNION ALL SELECT DISTINCT 'Activity', event_type, NULL FROM events")
+def k5_stored_nodes(spark, sf):
+    return event_graph(spark, sf).nodes().select("label", "name", F.col("props")["purchase"].cast("long").alias("purchase"))
+
+
+@query(f"WITH {BOTH} SELECT from_name, rel_type, to_label, to_name FROM b WHERE from_label = 'Country'")
+def j8_stored_expansion(spark, sf):
+    store = GraphStore(spark, shared_folder(spark, "graph"), 16)
+    store.merge(edges=edges(spark, sf).withColumn("seq", F.lit(0)))
+    countries = table(spark, sf, "nation").select(F.lit("Country").alias("label"), F.col("n_nationkey").cast("string").alias("name"))
+    return store.expand(countries).select("from_name", "rel_type", "to_label", "to_name")
+
+
 @query("SELECT count(DISTINCT (user_id, event_type)) AS n FROM events")
 def u2_distinct_triples(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").cast("string").alias("from_name"), F.lit("DID").alias("rel_type"), F.col("event_type").alias("to_name"), F.create_map().cast("map<string,string>").alias("props"), F.col("event_id").alias("seq"))

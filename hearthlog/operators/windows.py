@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import grid_cell
+from ..sources.store import stage
 
 
 def _w(keys, *order):
@@ -51,9 +52,11 @@ def session_documents(df: DataFrame, key: str = "conversation", ts: str = "date"
 
 
 def with_ordinal_id(df: DataFrame, order: list[str], prefix: str) -> DataFrame:
-    """Visible ids by position. The order is total over the table, so ranks are counted by range partitions: positions of ranges first, then within."""
+    """Visible ids by position. The order is total over the table, so ranks are counted by range partitions:
+    positions of ranges first, then within. The bounds of ranges are sampled, so the ranged rows are written once:
+    counting and numbering read the same ranges."""
     parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    x = df.repartitionByRange(int(parts), *order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id())
+    x = stage(df.repartitionByRange(int(parts), *order).withColumn("__p", F.spark_partition_id()), "ranges")
     x = x.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order)))
     # one row a partition
     n = x.groupBy("__p").count().withColumn("__b", F.sum("count").over(Window.orderBy("__p")) - F.col("count")).select("__p", "__b")
