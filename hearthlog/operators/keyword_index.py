@@ -28,6 +28,9 @@ BLOCK, PART = 128, 1 << 17
 #: Scores are compared to this many digits; what is nearer is a tie, and ties go to the smaller id.
 DIGITS = 6
 SLACK = 1e-5
+#: Documents of a question that are scored first, by the number asked for, and the share of the score to be reached that
+#: words which nominate no document may add.
+HEAD, ASIDE = 4, 0.1
 
 
 def _share(tf: Column, dl: Column, average: float) -> Column:
@@ -152,11 +155,11 @@ class KeywordIndex:
     def search_many(self, questions: DataFrame, n: int, opened: dict | None = None) -> DataFrame:
         """(query, id, score) of each question's first n documents that share a word with it.
 
-        1. The first blocks of all words give a partial score of some documents; the n-th best of these is a score
-           that the n-th best document reaches (`least`).
-        2. Words are sorted by the most they can add. Those that together stay below `least` nominate no document.
-           Of the others a block is opened only if its bound and the most of all other words reach `least`: each
-           posting of a document that gets there is in an opened block.
+        1. The first blocks of all words give a partial score of some documents. The HEAD * n best of these are scored
+           whole; the n-th best of them is a score that the n-th best document reaches (`least`).
+        2. Words are sorted by the most they can add. Those that together stay below a share ASIDE of `least` nominate
+           no document. Of the others a block is opened only if its bound and the most of all other words reach
+           `least`: each posting of a document that gets there is in an opened block.
         3. Documents whose opened postings and the words left aside could reach `least` are scored whole, by their own
            row. Ties and rounding are held off by SLACK. With a negative mean idf, which gives negative weights, no
            bound holds and everything is opened.
@@ -174,26 +177,29 @@ class KeywordIndex:
         asked = asked.join(most, "term").withColumn("most", F.col("w") * F.col("most")).persist()
         gain = F.col("w") * _share(F.col("e.tf"), F.col("e.dl"), average)
         add = lambda x: x.select("query", "w", F.explode("entries").alias("e")).groupBy("query", F.col("e.id").alias("id")).agg(F.sum(gain).alias("part"))
+        docs = self.store.read("documents", state=state).select("id", "dl", "terms")
+        words_of = asked.groupBy("query").agg(F.collect_list(F.struct("term", "w")).alias("q"))
+
+        def whole(found: DataFrame) -> DataFrame:
+            """(query, id, score) of pairs, from the documents' own rows."""
+            x = found.join(words_of, "query").join(docs, "id").withColumn("tf", F.map_from_entries("terms"))
+            score = F.aggregate("q", F.lit(0.0), lambda s, t: s + F.coalesce(t["w"] * _share(F.element_at("tf", t["term"]), F.col("dl"), average), F.lit(0.0)))
+            return x.select("query", "id", F.round(score, DIGITS).alias("score"))
+
+        best = lambda x, by, k: x.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(by), "id"))).filter(F.col("r") <= k)
         # 1
         heads = add(postings.filter("no = 0").join(asked.select("query", "term", "w"), "term"))
-        rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("part")))
-        least = heads.withColumn("r", rank).filter(F.col("r") == n).select("query", F.col("part").alias("least"))
+        least = best(whole(best(heads, "part", HEAD * n).select("query", "id")), "score", n).filter(F.col("r") == n).select("query", F.col("score").alias("least"))
         # 2
         w = Window.partitionBy("query").orderBy("most", "term")
         x = asked.join(least, "query", "left").withColumn("least", F.coalesce(F.col("least"), F.lit(float("-inf"))) - SLACK if facts["mean"] >= 0 else F.lit(float("-inf")))
         x = x.withColumns({"below": F.sum("most").over(w.rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("most").over(Window.partitionBy("query"))})
-        x = x.withColumn("aside", F.col("below") < F.col("least")).persist()
-        limits = x.groupBy("query").agg(F.first("least").alias("least"), F.coalesce(F.sum(F.when(F.col("aside"), F.col("most"))), F.lit(0.0)).alias("aside"), F.collect_list(F.struct("term", "w")).alias("q"))
+        x = x.withColumn("aside", F.col("below") < ASIDE * F.col("least")).persist()
+        limits = x.groupBy("query").agg((F.first("least") - F.coalesce(F.sum(F.when(F.col("aside"), F.col("most"))), F.lit(0.0))).alias("reach"))
         nominating = x.filter("not aside").select("query", "term", "w", (F.col("least") - (F.col("all") - F.col("most"))).alias("need"))
         open_ = postings.join(nominating, "term").filter((F.col("w") * bound >= F.col("need")) | (F.col("need") == float("-inf")))
         # 3
-        found = add(open_).join(limits, "query").filter(F.col("part") + F.col("aside") >= F.col("least")).select("query", "id", "q")
-        docs = self.store.read("documents", state=state).select("id", "dl", "terms")
-        tf = F.map_from_entries("terms")
-        whole = found.join(docs, "id").withColumn("tf", tf)
-        score = F.aggregate("q", F.lit(0.0), lambda s, t: s + F.coalesce(t["w"] * _share(F.element_at("tf", t["term"]), F.col("dl"), average), F.lit(0.0)))
-        whole = whole.select("query", "id", F.round(score, DIGITS).alias("score"))
+        found = add(open_).join(limits, "query").filter(F.col("part") >= F.col("reach")).select("query", "id")
         if opened is not None:
             opened |= {"postings": open_.agg(F.sum("n")).first()[0] or 0, "documents": found.count(), "asked": x.agg(F.sum("size")).first()[0] or 0}
-        first = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-        return whole.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= n).drop("r")
+        return best(whole(found), "score", n).drop("r")
