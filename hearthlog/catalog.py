@@ -19,6 +19,8 @@ from .operators import windows as W
 from .operators.graph_store import GraphStore
 from .operators.keyword_index import KeywordIndex
 from .operators.vector_index import VectorIndex
+from .sources.json_ranges import rows_of, write_arrays
+from .sources.pages import export_files
 from .sources.store import shared_folder
 
 _QUERIES: dict = {}
@@ -1025,3 +1027,43 @@ def s1_session_windows(spark, sf):
     from .streaming.twins import sessions
 
     return sessions(messages(spark, sf), "conversation", "date", "8 hours").select("conversation", "start", "n")
+
+
+# --- readers, over files that Spark writes from the tables
+
+
+def chat_pages(spark, sf) -> str:
+    """The conversations as chat pages, in folders of many conversations."""
+    c = table(spark, sf, "conversations")
+    safe = F.col("text")
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        safe = F.replace(safe, F.lit(a), F.lit(b))
+    date = F.timestamp_seconds(F.unix_seconds(F.lit("2015-06-18 21:00:00").cast("timestamp")) + F.col("conv_id") * 600 + F.col("turn"))
+    html = F.concat(F.lit('<section class="_a6-g"><h2>'), "role", F.lit('</h2><div class="_a6-p"><div>'), safe, F.lit('</div></div><div class="_a72d">'), F.date_format(date, "MMM d, yyyy h:mm:ss a"), F.lit("</div></section>"))
+    folder = shared_folder(spark, "pages")
+    c.select(html.alias("value"), F.concat(F.lit("inbox_"), F.pmod("conv_id", F.lit(8)).cast("string")).alias("inbox")).write.partitionBy("inbox").text(folder)
+    return folder
+
+
+SENT = r"SELECT 'inbox=inbox_' || (conv_id % 8) AS folder, role AS sender_name, TIMESTAMP '2015-06-18 21:00:00' + to_seconds(CAST(conv_id * 600 + turn AS BIGINT)) AS date, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''"
+
+
+@query(SENT)
+def s1_chat_pages(spark, sf):
+    x = export_files(spark, chat_pages(spark, sf), "chat", pattern="*.txt")
+    return x.select("folder", "sender_name", F.col("date").cast("timestamp").alias("date"), F.md5("text").alias("text"))
+
+
+@query(f"SELECT * FROM ({SENT}) WHERE date >= TIMESTAMP '2015-06-19 00:00:00' AND folder IN ('inbox=inbox_1', 'inbox=inbox_6')")
+def s1_chat_pages_filtered(spark, sf):
+    x = export_files(spark, chat_pages(spark, sf), "chat", pattern="*.txt")
+    x = x.filter("folder in ('inbox=inbox_1', 'inbox=inbox_6') and date >= timestamp_ntz'2015-06-19 00:00:00'")
+    return x.select("folder", "sender_name", F.col("date").cast("timestamp").alias("date"), F.md5("text").alias("text"))
+
+
+@query("SELECT doc_id, lang, source, n_chars, md5(text) AS text FROM documents")
+def s4_large_json(spark, sf):
+    folder = shared_folder(spark, "arrays")
+    write_arrays(table(spark, sf, "documents"), folder)
+    x = rows_of(spark, folder, "doc_id long, text string, lang string, source string, n_chars long", 1 << 18, pattern="*.txt")
+    return x.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text"))

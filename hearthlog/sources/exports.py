@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 from html.parser import HTMLParser
 
@@ -128,6 +129,12 @@ def activities_csv(spark: SparkSession, path: str) -> DataFrame:
     return x.filter("id is not null").select("id", "name", "type", activity_timestamp("d").alias("date"), safe_int("e").alias("elapsed_s"), safe_double("km").alias("distance"), safe_double("hr").alias("heart_rate"), safe_double("cal").alias("calories"), safe_double("la").alias("lat"), safe_double("lo").alias("lng"), "file")
 
 
+def first_point(text: str) -> tuple[float | None, float | None]:
+    """Latitude and longitude of a track's first point."""
+    m = re.search(r'<trkpt[^>]*?lat="([-0-9.]+)"[^>]*?lon="([-0-9.]+)"', text) or re.search(r"<LatitudeDegrees>\s*([-0-9.]+).*?<LongitudeDegrees>\s*([-0-9.]+)", text, re.S)
+    return (float(m[1]), float(m[2])) if m else (None, None)
+
+
 def gps_start(spark: SparkSession, path: str) -> DataFrame:
     """The first point of plain or packed tracks."""
     def text(p, content):
@@ -136,48 +143,43 @@ def gps_start(spark: SparkSession, path: str) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            out = []
-            for p, c in zip(f["path"], f["content"]):
-                t = text(p, c)
-                m = re.search(r'<trkpt[^>]*?lat="([-0-9.]+)"[^>]*?lon="([-0-9.]+)"', t) or re.search(r"<LatitudeDegrees>\s*([-0-9.]+).*?<LongitudeDegrees>\s*([-0-9.]+)", t, re.S)
-                out.append((p, float(m[1]) if m else None, float(m[2]) if m else None))
-            yield pd.DataFrame(out, columns=["path", "lat", "lng"])
+            yield pd.DataFrame([(p, *first_point(text(p, c))) for p, c in zip(f["path"], f["content"])], columns=["path", "lat", "lng"])
 
     return _files(spark, path, "*.{gpx,tcx,gpx.gz,tcx.gz}").select("path", "content").mapInPandas(run, "path string, lat double, lng double")
 
 
-def calendar_ics(spark: SparkSession, path: str, first: str = "2000-01-01", last: str = "2030-12-31") -> DataFrame:
-    """Events with their recurrences between two days, less excluded and moved ones; no end means an hour.
-
-    Times of a named zone become UTC; the id carries the local time.
+def calendar_events(text: str, first: str = "2000-01-01", last: str = "2030-12-31") -> Iterator[tuple]:
+    """(id, summary, description, location, start, end) of a calendar's events with their recurrences between two
+    days, less excluded and moved ones; no end means an hour. Times of a named zone become UTC; the id carries the local time.
     """
     lo, hi = datetime.fromisoformat(first), datetime.fromisoformat(last)
+    found = []
+    for e in re.findall(r"BEGIN:VEVENT(.*?)END:VEVENT", re.sub(r"\r?\n[ \t]", "", text), re.S):
+        v, zone, dates = {}, None, {"EXDATE": [], "RDATE": []}
+        for k, more, x in re.findall(r"^([A-Za-z-]+)((?:;[^:\r\n]*)?):(.*)$", e, re.M):
+            if k.upper() in dates:
+                dates[k.upper()] += [moment(d) for d in x.split(",") if d.strip()]
+                continue
+            v.setdefault(k.upper(), x.strip())
+            if k.upper() == "DTSTART" and (m := re.search(r"(?i)TZID=\"?([^;\"]+)", more)):
+                zone = m[1]
+        if "DTSTART" in v:
+            found.append((v, zone, dates))
+    moved = {(v.get("UID"), moment(v["RECURRENCE-ID"])) for v, _, _ in found if "RECURRENCE-ID" in v}
+    for v, zone, dates in found:
+        start = moment(v["DTSTART"])
+        long_ = moment(v["DTEND"]) - start if "DTEND" in v else timedelta(hours=1)
+        gone = set(dates["EXDATE"]) | (set() if "RECURRENCE-ID" in v else {at for uid, at in moved if uid == v.get("UID")})
+        for at in sorted({*occurrences(start, None if "RECURRENCE-ID" in v else v.get("RRULE"), hi), *dates["RDATE"]} - gone):
+            if lo <= at <= hi:
+                yield f"evt_{v.get('UID', '')}_{at:%Y%m%dT%H%M%S}", v.get("SUMMARY"), v.get("DESCRIPTION"), v.get("LOCATION"), in_utc(at, zone), in_utc(at + long_, zone)
 
-    def events(text):
-        found = []
-        for e in re.findall(r"BEGIN:VEVENT(.*?)END:VEVENT", re.sub(r"\r?\n[ \t]", "", text), re.S):
-            v, zone, dates = {}, None, {"EXDATE": [], "RDATE": []}
-            for k, more, x in re.findall(r"^([A-Za-z-]+)((?:;[^:\r\n]*)?):(.*)$", e, re.M):
-                if k.upper() in dates:
-                    dates[k.upper()] += [moment(d) for d in x.split(",") if d.strip()]
-                    continue
-                v.setdefault(k.upper(), x.strip())
-                if k.upper() == "DTSTART" and (m := re.search(r"(?i)TZID=\"?([^;\"]+)", more)):
-                    zone = m[1]
-            if "DTSTART" in v:
-                found.append((v, zone, dates))
-        moved = {(v.get("UID"), moment(v["RECURRENCE-ID"])) for v, _, _ in found if "RECURRENCE-ID" in v}
-        for v, zone, dates in found:
-            start = moment(v["DTSTART"])
-            long_ = moment(v["DTEND"]) - start if "DTEND" in v else timedelta(hours=1)
-            gone = set(dates["EXDATE"]) | (set() if "RECURRENCE-ID" in v else {at for uid, at in moved if uid == v.get("UID")})
-            for at in sorted({*occurrences(start, None if "RECURRENCE-ID" in v else v.get("RRULE"), hi), *dates["RDATE"]} - gone):
-                if lo <= at <= hi:
-                    yield f"evt_{v.get('UID', '')}_{at:%Y%m%dT%H%M%S}", v.get("SUMMARY"), v.get("DESCRIPTION"), v.get("LOCATION"), in_utc(at, zone), in_utc(at + long_, zone)
 
+def calendar_ics(spark: SparkSession, path: str, first: str = "2000-01-01", last: str = "2030-12-31") -> DataFrame:
+    """The events of calendar files between two days."""
     def run(frames):
         for f in frames:
-            out = [e for c in f["content"] for e in events(bytes(c).decode("utf-8", "replace"))]
+            out = [e for c in f["content"] for e in calendar_events(bytes(c).decode("utf-8", "replace"), first, last)]
             yield pd.DataFrame(out, columns=["id", "summary", "description", "location", "start", "end"])
 
     return _files(spark, path, "*.ics").select("content").mapInPandas(run, "id string, summary string, description string, location string, start timestamp, end timestamp")
