@@ -16,6 +16,7 @@ from .operators import messages as P
 from .operators import search as S
 from .operators import training as Q
 from .operators import windows as W
+from .operators.entities import entities, first_mention
 from .operators.graph_store import GraphStore
 from .operators.keyword_index import KeywordIndex
 from .operators.vector_index import VectorIndex
@@ -799,11 +800,46 @@ def w12_turn_pairs(spark, sf):
     return x.join(first, (F.col("conv_id") == F.col("c")) & (F.col("block") == F.col("b"))).select("conv_id", "turn", "user", "reply")
 
 
-@query()
+TALK = """c AS (SELECT conv_id // 10 AS conv, conv_id * 100 + turn AS ord, TIMESTAMP '2024-01-01' + to_seconds(CAST(conv_id * 7200 + turn * 1000 + length(text) % 1000 AS BIGINT)) AS date, role = 'assistant' AS own, CASE WHEN length(text) % 3 = 0 THEN text || '?' ELSE text END AS text FROM conversations WHERE role <> 'system'),
+f AS (SELECT *, CASE WHEN own = lag(own) OVER w THEN 0 ELSE 1 END AS new FROM c WINDOW w AS (PARTITION BY conv ORDER BY date, ord)), n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY conv ORDER BY date, ord) AS BIGINT) AS block FROM f),
+b AS (SELECT conv, block, own, string_agg(text, chr(10) ORDER BY date, ord) AS text, min(date) AS first_ts, max(date) AS last_ts FROM n GROUP BY 1, 2, 3),
+x AS (SELECT *, lead(own) OVER w AS o2, lead(text) OVER w AS reply, lead(first_ts) OVER w AS reply_ts FROM b WINDOW w AS (PARTITION BY conv ORDER BY block)),
+e AS (SELECT conv, block, text AS q, reply, epoch_us(reply_ts) - epoch_us(last_ts) > 16 * 60e6 AS desync, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda y: y <> '')) > 250 OR len(list_filter(regexp_split_to_array(reply, '\\s+'), lambda y: y <> '')) > 250 AS too_long, reply LIKE '%?' AS asks FROM x WHERE NOT own AND o2)"""
+
+
+def walk_sql(max_turns: int) -> str:
+    """The walk itself, from exchange to exchange."""
+    return f"""WITH RECURSIVE {TALK}, g AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY block) AS i FROM e), walk AS (SELECT conv, 0::BIGINT AS i, NULL::BIGINT AS start, 0 AS n, false AS asked FROM (SELECT DISTINCT conv FROM g) UNION ALL
+SELECT g.conv, g.i, CASE WHEN desync OR too_long THEN NULL WHEN n = 0 OR n >= {max(3 * max_turns, 10)} OR (n >= {max_turns} AND NOT asked) THEN g.block ELSE start END, CASE WHEN desync OR too_long THEN 0 WHEN n = 0 OR n >= {max(3 * max_turns, 10)} OR (n >= {max_turns} AND NOT asked) THEN 1 ELSE n + 1 END, asks AND NOT (desync OR too_long) FROM walk JOIN g ON g.conv = walk.conv AND g.i = walk.i + 1)
+SELECT g.conv, CAST(start AS INT) AS start, CAST(2 * count(*) AS INT) AS n, md5(string_agg('user: ' || q || chr(10) || 'assistant: ' || reply || chr(10), '' ORDER BY g.i)) AS messages FROM walk JOIN g ON g.conv = walk.conv AND g.i = walk.i WHERE start IS NOT NULL GROUP BY 1, 2"""
+
+
+def talks(spark, sf) -> DataFrame:
+    """Ten conversations as one, replies after some minutes, every third message a question."""
+    c = table(spark, sf, "conversations").filter("role <> 'system'")
+    at = F.unix_seconds(F.lit("2024-01-01").cast("timestamp")) + F.col("conv_id") * 7200 + F.col("turn") * 1000 + F.length("text") % 1000
+    return c.select(F.floor(F.col("conv_id") / 10).alias("conv"), (F.col("conv_id") * 100 + F.col("turn")).alias("ord"), F.timestamp_seconds(at).alias("date"), (F.col("role") == "assistant").alias("own"), F.when(F.length("text") % 3 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")).alias("text"))
+
+
+def talk_examples(spark, sf, max_turns: int) -> DataFrame:
+    x = Q.training_pairs(talks(spark, sf), "conv", "date", "ord", "own", "text", max_turns, 16, 250)
+    line = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(": "), m["content"], F.lit("\n"))), "")
+    return x.select("conv", "start", F.size("messages").alias("n"), F.md5(line).alias("messages"))
+
+
+@query(walk_sql(1))
 def q1_training_pairs(spark, sf):
-    m = messages(spark, sf).withColumn("own", F.col("sender_name") == "click")
-    x = Q.training_pairs(m, "conversation", "date", "ord", "own", "text", max_turns=2, reply_min=60 * 24)
-    return x.select("conversation", "start", F.to_json("messages").alias("messages"))
+    return talk_examples(spark, sf, 1)
+
+
+@query(walk_sql(3))
+def q1_longer_examples(spark, sf):
+    return talk_examples(spark, sf, 3)
+
+
+@query(f"WITH {TALK} SELECT conv, count(*) AS exchanges, count(*) FILTER (desync) AS desync, count(*) FILTER (too_long AND NOT desync) AS too_long FROM e GROUP BY conv")
+def q1_skipped_exchanges(spark, sf):
+    return Q.skipped_exchanges(talks(spark, sf), "conv", "date", "ord", "own", "text", 16, 250)
 
 
 N_WORDS = "len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> ''))"
@@ -1067,3 +1103,35 @@ def s4_large_json(spark, sf):
     write_arrays(table(spark, sf, "documents"), folder)
     x = rows_of(spark, folder, "doc_id long, text string, lang string, source string, n_chars long", 1 << 18, pattern="*.txt")
     return x.select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("text"))
+
+
+NAMED = r"""n AS (SELECT DISTINCT w AS name FROM (SELECT unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark)),
+t AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS w FROM documents)"""
+
+
+def benchmark_words(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("name")).distinct()
+
+
+@query(f"WITH {NAMED} SELECT id, CASE WHEN name = lower(name) THEN 'word' ELSE 'name' END AS label, name, count(*) AS n FROM t JOIN n ON w = lower(name) GROUP BY ALL")
+def m7_entities(spark, sf):
+    names = benchmark_words(spark, sf).withColumn("label", F.when(F.col("name") == F.lower("name"), "word").otherwise("name"))
+    return entities(table(spark, sf, "documents"), names, "doc_id").select("id", "label", "name", "n")
+
+
+@query(f"WITH {NAMED}, p AS (SELECT name, row_number() OVER (ORDER BY length(name) DESC, name) AS pos FROM n) SELECT id AS q, arg_min(name, pos) AS name FROM t JOIN p ON w = lower(name) GROUP BY id")
+def j7_many_names(spark, sf):
+    names = benchmark_words(spark, sf).withColumn("pos", F.row_number().over(Window.orderBy(F.desc(F.length("name")), "name")))
+    return first_mention(table(spark, sf, "documents").withColumnRenamed("doc_id", "q"), names)
+
+
+SHARE = {e: "(" + " + ".join(f"contains(lower(text), {s(k)})::INT" for k in V.EMOTION_WORDS.get(e, [])) + ")" if V.EMOTION_WORDS.get(e) else "0" for e in V.EMOTIONS}
+ALL_SHARES = " + ".join(SHARE.values())
+
+
+@query(f"SELECT doc_id, {', '.join(f'round(CASE WHEN {ALL_SHARES} = 0 THEN 0.2 ELSE {n} / ({ALL_SHARES}) END, 6) AS {e}' for e, n in SHARE.items())} FROM documents")
+def m4_emotion_model(spark, sf):
+    from .plans.seams import emotion_model, word_shares
+
+    x = table(spark, sf, "documents").select("doc_id", emotion_model(word_shares)(F.col("text")).alias("e"))
+    return x.select("doc_id", *[F.round(F.col(f"e.{e}"), 6).alias(e) for e in V.EMOTIONS])

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stage
 from .aggregates import counts_with_zeros, share
 
 
@@ -14,53 +20,80 @@ def _vectors(df: DataFrame, c: str) -> DataFrame:
     return df.withColumn("__v", array_to_vector(F.transform(c, lambda x: x.cast("double"))))
 
 
+#: Fits that run beside each other: a fit is a chain of small jobs, which leave executors idle between them.
+BESIDE = 4
+
+
+def _fits(x: DataFrame, settings: list[tuple[int, int, int]]) -> list:
+    """Models of (k, seed, rounds), in order; the input should be at hand."""
+    fit = inheritable_thread_target(x.sparkSession)(lambda s: KMeans(featuresCol="__v", predictionCol="__c", k=s[0], seed=s[1], maxIter=s[2]).fit(x.select("__v")))
+    with ThreadPoolExecutor(BESIDE) as pool:
+        return list(pool.map(fit, settings))
+
+
 def kmeans(df: DataFrame, vector: str, k: int = 7, seed: int = 42, n_init: int = 10, max_iter: int = 50) -> tuple[DataFrame, list]:
     """M1: labels of the best of n_init starts, and its centres. The input is cached while the starts read it."""
     x = _vectors(df, vector).persist()
-    models = [KMeans(featuresCol="__v", predictionCol="cluster", k=k, seed=seed + i, maxIter=max_iter).fit(x) for i in range(n_init)]
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    best = min(_fits(x, [(k, seed + i, max_iter) for i in range(n_init)]), key=lambda m: m.summary.trainingCost)
     x.unpersist()
-    return best.transform(_vectors(df, vector)).drop("__v"), [c.tolist() for c in best.clusterCenters()]
+    return best.transform(_vectors(df, vector)).withColumn("cluster", F.col("__c")).drop("__v", "__c"), [c.tolist() for c in best.clusterCenters()]
 
 
 def choose_k(df: DataFrame, vector: str, ks=range(2, 20), seed: int = 42, sample: int = 10000, id_: str = "id") -> DataFrame:
     """M2: inertia and silhouette (Euclidean, on a sample) of each k; the best k is the first with the largest."""
-    rows = []
-    for k in ks:
-        labelled, centres = kmeans(df, vector, k, seed, n_init=1)
-        cost = labelled.agg(F.sum(_nearest(vector, centres))).first()[0]
-        rows.append((k, cost, silhouette(sample_rows(labelled, id_, sample, seed), vector, "cluster", id_)))
-    return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
-
-
-def _nearest(vector: str, centres: list) -> Column:
-    d = [F.aggregate(F.zip_with(vector, F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x) for c in centres]
-    return F.least(*d) if len(d) > 1 else d[0]
-
-
-def silhouette(rows: DataFrame, vector: str, label: str, id_: str, block: int = 1000) -> float | None:
-    """Mean silhouette with Euclidean distances over a sample of bounded size; the sample is sent in blocks, and each
-    row keeps only its sums by cluster."""
-    points = rows.select(id_, vector, label).orderBy(id_).collect()  # the sample
-    if len({p[label] for p in points}) < 2:
-        return None
-    import numpy as np
-
-    v = np.array([p[vector] for p in points], float)
-    names, lab = np.unique([p[label] for p in points], return_inverse=True)
-    size = np.bincount(lab)
-    total = 0.0
-    for at in range(0, len(v), block):
-        d = np.sqrt(np.maximum(0, (v[at : at + block] ** 2).sum(1)[:, None] + (v**2).sum(1) - 2 * np.einsum("ik,jk->ij", v[at : at + block], v)))
-        sums = np.stack([d[:, lab == k].sum(1) for k in range(len(names))], 1)
-        own = lab[at : at + block]
-        i = np.arange(len(own))
-        a = sums[i, own] / np.maximum(1, size[own] - 1)
-        other = sums / size
-        other[i, own] = np.inf
-        b = other.min(1)
-        total += float(np.where(size[own] > 1, (b - a) / np.maximum(a, b), 0).sum())
-    return total / len(v)
+    x, ks = _vectors(df, vector).persist(), list(ks)
+    models = _fits(x, [(k, seed, 50) for k in ks])
+    x.unpersist()
+    centres = {k: [c.tolist() for c in m.clusterCenters()] for k, m in zip(ks, models)}
+    costs = df.sparkSession.createDataFrame([(k, float(m.summary.trainingCost)) for k, m in zip(ks, models)], "k int, inertia double")
+    found = silhouettes(sample_rows(df, id_, sample, seed), vector, centres, id_)
+    return costs.join(F.broadcast(found), "k", "left").select("k", "inertia", "silhouette")
+
+
+def silhouettes(rows: DataFrame, vector: str, centres: dict[int, list], id_: str, block: int = 512) -> DataFrame:
+    """(k, silhouette): mean silhouette, by Euclidean distance, of rows assigned to the nearest of each k centres; null
+    where all rows are in one cluster.
+
+    Rows are dealt into blocks of about `block`; each pair of blocks meets on an executor, and a row keeps only its sums
+    by cluster. Distances are computed once for all k. rows is a sample of bounded size.
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    v = F.transform(vector, lambda x: x.cast("double"))
+    held = stage(rows.select(F.pmod(F.xxhash64(F.col(id_)), F.lit(blocks)).cast("int").alias("b"), v.alias("v")).groupBy("b").agg(F.collect_list("v").alias("v")), "blocks")
+    one = held.select(F.col("b").alias("a"), F.col("v").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"))
+    pairs = one.join(held, "b").repartition(blocks, "a")  # each block with all others, as partial sums of one task
+    c = {k: np.array(m) for k, m in centres.items()}
+
+    def labels(x):
+        return {k: ((m * m).sum(1) - 2 * np.einsum("ik,jk->ij", x, m)).argmin(1) for k, m in c.items()}
+
+    def meet(key, frame):
+        own = np.array(frame["own"].iloc[0].tolist())
+        sums = {k: np.zeros((len(own), len(m))) for k, m in c.items()}
+        size = {k: np.zeros(len(m)) for k, m in c.items()}
+        for other in frame["v"]:
+            x = np.array(other.tolist())
+            d = np.sqrt(np.maximum(0, (own**2).sum(1)[:, None] + (x**2).sum(1) - 2 * np.einsum("ik,jk->ij", own, x)))
+            for k, lab in labels(x).items():
+                one = np.zeros((len(x), len(c[k])))
+                one[np.arange(len(x)), lab] = 1
+                sums[k] += np.einsum("ij,jk->ik", d, one)
+                size[k] += one.sum(0)
+        out = []
+        for k, lab in labels(own).items():
+            i = np.arange(len(own))
+            mine = size[k][lab]
+            a = sums[k][i, lab] / np.maximum(1, mine - 1)
+            rest = np.where(size[k] > 0, sums[k] / np.maximum(1, size[k]), np.inf)
+            rest[i, lab] = np.inf
+            b = rest.min(1)
+            s = np.where((mine > 1) & np.isfinite(b), (b - a) / np.maximum(np.maximum(a, np.where(np.isfinite(b), b, 0)), 1e-300), 0)
+            out.append((k, float(s.sum()), len(own), bool((size[k] > 0).sum() > 1)))
+        return pd.DataFrame(out, columns=["k", "s", "n", "several"])
+
+    sums = pairs.groupBy("a").applyInPandas(meet, "k int, s double, n long, several boolean")
+    return sums.groupBy("k").agg(F.when(F.bool_or("several"), F.sum("s") / F.sum("n")).alias("silhouette"))
 
 
 def sub_clusters(df: DataFrame, vector: str, label: str, of: int, k: int, seed: int = 42) -> DataFrame:
@@ -68,9 +101,11 @@ def sub_clusters(df: DataFrame, vector: str, label: str, of: int, k: int, seed:
     inside = df.filter(F.col(label) == of)
     if inside.limit(k).count() < k:
         return df.withColumn("sub_cluster", F.when(F.col(label) == of, 0).otherwise(-1))
-    x, _ = kmeans(inside, vector, k, seed)
+    own = "cluster" in df.columns
+    x, _ = kmeans(inside.withColumnRenamed("cluster", "__own"), vector, k, seed)
     rest = df.filter(F.coalesce(F.col(label) != of, F.lit(True))).withColumn("sub_cluster", F.lit(-1))
-    return x.withColumnRenamed("cluster", "__c").withColumn("sub_cluster", F.col("__c")).drop("__c").unionByName(rest)
+    x = x.withColumn("sub_cluster", F.col("cluster")).drop("cluster")
+    return (x.withColumnRenamed("__own", "cluster") if own else x).unionByName(rest)
 
 
 def cluster_stats(df: DataFrame, label: str, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import values as V
 from ..functions.text import word_count
+from ..sources.store import stage
 
 MESSAGES = "array<struct<role:string,content:string>>"
 
@@ -71,37 +72,51 @@ def exchanges(blocks: DataFrame, conv: str, is_self: str, reply_min: float = 30,
     return x.select(conv, "block", F.col("text").alias("user"), "reply", (gap > reply_min).alias("desync"), ((word_count("text") > most_words) | (word_count("reply") > most_words)).alias("too_long"), F.endswith("reply", F.lit("?")).alias("asks"))
 
 
+def _starts(x: DataFrame) -> DataFrame:
+    """Of rows (conv, pos, next, first) those that the walk reaches which begins at `first` and goes on at `next`.
+
+    Pointer doubling: each round adds what lies one jump of the current length away and doubles the jumps, so the number
+    of rounds grows with the logarithm of the longest walk; no conversation is gathered in one row.
+    """
+    jumps = stage(x.filter("next is not null").select("conv", "pos", "next"), "jumps")
+    reached = stage(x.filter("first").select("conv", "pos"), "reached")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, ["conv", "pos"]).select("conv", F.col("next").alias("pos"))
+        reached = stage(reached.unionByName(more).distinct(), "reached")
+        jumps = stage(jumps.join(jumps.select("conv", F.col("pos").alias("next"), F.col("next").alias("far")), ["conv", "next"]).select("conv", "pos", F.col("far").alias("next")), "jumps")
+    return reached
+
+
 def training_pairs(df: DataFrame, conv: str, ts: str, order: str, is_self: str, text: str, max_turns: int = 1, reply_min: float = 30, most_words: int = 200, system: str | None = None) -> DataFrame:
     """Q1: examples of up to max_turns exchanges, going on while the reply asks (to a hard end), stopping at late or
-    long ones. (conv, start, messages, skipped): the fold over each conversation's exchanges is one aggregate."""
+    long ones: (conv, start, messages).
+
+    Where an example that begins at an exchange ends is a window over the exchanges after it, so each exchange knows
+    where the next example would begin; which of these are begun is found by following the pointers (_starts).
+    """
     e = exchanges(turn_blocks(df, conv, ts, order, is_self, text), conv, is_self, reply_min, most_words)
     hard = max(3 * max_turns, 10)
-    rows = e.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("block", "user", "reply", "desync", "too_long", "asks"))).alias("es"))
-    t = F.struct
-    none = F.array().cast("array<struct<block:int,messages:array<struct<role:string,content:string>>>>")
-    empty = F.array().cast(MESSAGES)
-    two = lambda x: F.array(t(F.lit("user").alias("role"), x["user"].alias("content")), t(F.lit("assistant").alias("role"), x["reply"].alias("content")))
-    done = lambda s: F.when(F.size(s["now"]) >= 2, F.concat(s["out"], F.array(t(s["at"].alias("block"), s["now"].alias("messages"))))).otherwise(s["out"])
-
-    def step(s, x):
-        bad = x["desync"] | x["too_long"]
-        n = F.size(s["now"]) / 2
-        # a new example where the last exchange was enough: max_turns reached and no question, or the hard end
-        close = (F.size(s["now"]) > 0) & ((n >= hard) | ((n >= max_turns) & ~s["asks"]))
-        start = close | (F.size(s["now"]) == 0)
-        return t(
-            F.when(bad | close, done(s)).otherwise(s["out"]).alias("out"),
-            F.when(bad, empty).when(start, two(x)).otherwise(F.concat(s["now"], two(x))).alias("now"),
-            F.when(start, x["block"].cast("int")).otherwise(s["at"]).alias("at"),
-            (F.coalesce(x["asks"], F.lit(False)) & ~bad).alias("asks"), (s["desync"] + x["desync"].cast("int")).alias("desync"), (s["too_long"] + (x["too_long"] & ~x["desync"]).cast("int")).alias("too_long"),
-        )
-
-    zero = t(none.alias("out"), empty.alias("now"), F.lit(0).alias("at"), F.lit(False).alias("asks"), F.lit(0).alias("desync"), F.lit(0).alias("too_long"))
-    f = rows.select(conv, F.aggregate("es", zero, step, lambda s: t(done(s).alias("out"), s["desync"].alias("desync"), s["too_long"].alias("too_long"))).alias("f"))
-    x = f.select(conv, F.explode("f.out").alias("o")).select(conv, F.col("o.block").alias("start"), F.col("o.messages").alias("messages"))
-    if system:
-        x = x.withColumn("messages", F.concat(F.array(t(F.lit("system").alias("role"), F.lit(system).alias("content"))), "messages"))
-    return x
+    w = Window.partitionBy("conv").orderBy("block")
+    x = e.select(F.col(conv).alias("conv"), "block", "user", "reply", (F.col("desync") | F.col("too_long")).alias("bad"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    x = x.withColumn("run", F.sum(F.col("bad").cast("int")).over(w)).filter("not bad").withColumn("pos", F.row_number().over(w))
+    r = Window.partitionBy("conv", "run").orderBy("pos")
+    x = x.withColumns({"enough": F.min(F.when(~F.col("asks"), F.col("pos"))).over(r.rowsBetween(0, Window.unboundedFollowing)), "first": F.row_number().over(r) == 1})
+    last = F.max("pos").over(Window.partitionBy("conv", "run"))
+    # least() passes over nulls: no exchange without a question is left, or none that far
+    x = stage(x.withColumn("end", F.least(F.lead("enough", max_turns - 1).over(r), F.col("pos") + hard - 1, last)).withColumn("next", F.when(F.col("end") < last, F.col("end") + 1)), "walk")
+    began = _starts(x).withColumn("began", F.lit(True))
+    x = x.join(began, ["conv", "pos"], "left").withColumn("start", F.last(F.when(F.col("began"), F.col("block")), ignorenulls=True).over(w))
+    g = x.groupBy("conv", "start").agg(F.array_sort(F.collect_list(F.struct("block", "user", "reply"))).alias("es"))
+    turn = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    head = F.array(turn("system", F.lit(system))) if system else F.array().cast(MESSAGES)
+    messages = F.concat(head, F.flatten(F.transform("es", lambda s: F.array(turn("user", s["user"]), turn("assistant", s["reply"])))))
+    return g.select(F.col("conv").alias(conv), F.col("start").cast("int").alias("start"), messages.alias("messages"))
+
+
+def skipped_exchanges(df: DataFrame, conv: str, ts: str, order: str, is_self: str, text: str, reply_min: float = 30, most_words: int = 200) -> DataFrame:
+    """Q1's report: exchanges of each conversation, and how many were left out for a late reply or else for length."""
+    e = exchanges(turn_blocks(df, conv, ts, order, is_self, text), conv, is_self, reply_min, most_words)
+    return e.groupBy(conv).agg(F.count("*").alias("exchanges"), F.count_if("desync").alias("desync"), F.count_if(F.col("too_long") & ~F.col("desync")).alias("too_long"))
 
 
 def prepare(df: DataFrame, most: int, system: str | None = None, length: Callable[[Column], Column] = word_count) -> DataFrame:

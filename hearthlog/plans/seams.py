@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from ..functions.text import is_noise, vad_reply, word_count
 from ..operators.cluster import draw
 from ..operators.windows import context_rows, delta, smooth
-from ..values import EMOTIONS
+from ..values import EMOTION_WORDS, EMOTIONS
 
 
 def batched(fn: Callable[[list[str]], list], kind: str, size: int = 64) -> Callable[[Column], Column]:
@@ -27,6 +30,37 @@ def batched(fn: Callable[[list[str]], list], kind: str, size: int = 64) -> Calla
     return run
 
 
+def loaded(load: Callable[[], Callable[[list[str]], list]], kind: str, size: int = 64) -> Callable[[Column], Column]:
+    """V1, M4, M5: a model that is loaded once in each worker, not with each batch or query stage, and is given at most
+    `size` texts at a time; null counts as empty. kind: a number, or an array of numbers of one length."""
+    def make() -> Callable[[np.ndarray], np.ndarray]:
+        model = load()
+        return lambda texts: np.array(list(model(["" if t is None else t for t in texts])))
+
+    return predict_batch_udf(make, return_type=DataType.fromDDL(kind), batch_size=size)
+
+
+def emotion_model(load: Callable[[], Callable[[list[str]], list]], size: int = 64) -> Callable[[Column], Column]:
+    """M4: a loaded model that gives a share for each of EMOTIONS, as a struct."""
+    shares = loaded(load, "array<double>", size)
+    return lambda text: F.transform(F.array(shares(text)), lambda v: F.struct(*[v[i].alias(e) for i, e in enumerate(EMOTIONS)]))[0]
+
+
+def word_shares() -> Callable[[list[str]], list]:
+    """M4: the offline model: shares of emotion words, uniform where there are none."""
+    words = [EMOTION_WORDS.get(e, []) for e in EMOTIONS]
+
+    def model(texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            low = t.lower()
+            n = [float(sum(w in low for w in ws)) for ws in words]
+            out.append([x / sum(n) for x in n] if sum(n) else [1 / len(EMOTIONS)] * len(EMOTIONS))
+        return out
+
+    return model
+
+
 def emotions_by_language(text, language, models: dict[str, Callable[[Column], Column]]) -> Column:
     """M4: each language's own model; uniform where there is none."""
     out = F.struct(*[F.lit(1 / len(EMOTIONS)).alias(e) for e in EMOTIONS])
@@ -37,7 +71,7 @@ def emotions_by_language(text, language, models: dict[str, Callable[[Column], Co
 
 def direct_vad(fn: Callable[[list[str]], list]) -> Callable[[Column], Column]:
     """M5: a model that gives (v, a, d) for each text."""
-    return batched(lambda texts: [list(map(float, x)) for x in fn(texts)], "array<double>")
+    return loaded(lambda: lambda texts: [list(map(float, x)) for x in fn(texts)], "array<double>")
 
 
 def prompted_vad(df: DataFrame, ask: Callable[[str], str], n: int = 5, key: str = "conversation", least: int = 3, most: int = 300, width: int = 3) -> DataFrame:

@@ -15,6 +15,25 @@ def test_models_as_columns(spark):
     assert [r["e"]["joy"] for r in x.select(seams.emotions_by_language("t", "l", {"en": sure}).alias("e")).collect()] == [1.0, 1.0, 0.2]
 
 
+def test_a_model_is_loaded_once_a_worker(spark, tmp_path):
+    import os
+    import uuid
+
+    def load():
+        (tmp_path / f"{os.getpid()}-{uuid.uuid4().hex}").touch()
+        return lambda texts: [[float(len(texts)), float(len(t)), float(os.getpid())] for t in texts]
+
+    model = seams.loaded(load, "array<double>", 16)
+    x = spark.range(1000).repartition(12).select(F.when(F.col("id") % 10 > 0, F.repeat(F.lit("x"), (F.col("id") % 7).cast("int"))).alias("t"), "id")
+    for _ in range(3):
+        rows = x.select("id", model("t").alias("m")).collect()
+        assert all(r["m"][0] <= 16 and r["m"][1] == (r["id"] % 7 if r["id"] % 10 else 0) for r in rows)
+    loads = [f.name.split("-")[0] for f in tmp_path.iterdir()]
+    assert len(loads) == len(set(loads)) <= 8 and {str(int(r["m"][2])) for r in rows} <= set(loads)
+    e = x.select(seams.emotion_model(seams.word_shares)(F.lit("happy")).alias("e"), seams.emotion_model(seams.word_shares)(F.lit(None).cast("string")).alias("n")).first()
+    assert e["e"]["joy"] == 1.0 and e["n"]["fear"] == 0.2
+
+
 def test_prompted_vad(spark):
     t0 = datetime(2020, 1, 1)
     texts = ["first message of all", "I am so very happy", "ok", "you called someone", "this is bad news"]
