@@ -1,10 +1,12 @@
 """Personal data by weak supervision (native).
 
-Patterns propose spans of several kinds. Five labelers then vote on each span (yes, no, abstain): a strict
-pattern, a gazetteer of known prefixes and endings, key words before the span, its surroundings, and its
-variety of characters. Expectation-maximisation over the counts of vote patterns (a table whose size is
-bounded by kinds and labelers, not by rows) estimates how reliable each labeler is, and the posteriors train
-a logistic span classifier on votes, kind and shape, again on counts. Base spans (email, ip, card, phone that
+Patterns propose spans of several kinds. Eight labelers then vote on each span (yes, no, abstain): a strict
+pattern, a gazetteer of known prefixes and endings, key words before the span, its surroundings, its variety of
+characters, words of a language between separators (no), places that hold no secret (no: addresses, paths, dates,
+round numbers), and how often letters and digits change. Expectation-maximisation over the counts of vote patterns (a
+table whose size is bounded by kinds and labelers, not by rows) estimates how reliable each labeler is, and the
+posteriors train a logistic span classifier on votes, kind and shape, again on counts; its weights begin at what the
+estimated reliabilities say and are held near there, so a vote that the corpus hardly shows still counts. Base spans (email, ip, card, phone that
 pass their checks) always stay; spans of other kinds stay when the classifier accepts them and no base span
 overlaps.
 
@@ -49,14 +51,16 @@ GAZETTEER = {
     "phone": r"^\+(?:1|33|34|49|44|39|7|81|86|91)",
     "secret": r"^(?:AKIA|ASIA|ghp_|gho_|sk_live_|sk-|xox[bp]-|AIza|eyJ)",
     "account": r"^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|IE|LU)",
-    "contact": r"^\(?[2-9][0-9]{2}",
+    "contact": r"^\(?(?:[2-9](?:0[1-9]|[1-8][0-9])|[89]00)",
 }
+#: Kinds whose gazetteer is complete (area codes), so that what is not in it is a no.
+CLOSED = ("contact",)
 STRICT = {
     "email": r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$",
     "ip": r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$",
     "card": r"^(?:[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{2,7})$",
     "phone": r"^\+[0-9]{1,3}[\x20.-]?\(?[0-9]{1,4}\)?[\x20.0-9-]+$",
-    "secret": r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|AKIA[0-9A-Z]{16}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9]).{20,})$",
+    "secret": r"^(?:[0-9a-f]{16,}|[0-9A-F]{16,}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|AKIA[0-9A-Z]{16}|(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+]{20,})$",
     "account": r"^[A-Z]{2}[0-9]{2}(?:\x20?[0-9]{4}){3,7}",
     "contact": r"^(?:\([0-9]{3}\)\x20|[0-9]{3}([.-]))[0-9]{3}[.-][0-9]{4}$",
 }
@@ -69,9 +73,19 @@ CONTEXT = {
     "account": r"(?i)(?:iban|account|konto|compte|cuenta)\W{0,4}\w{0,8}\W{0,3}$",
     "contact": r"(?i)(?:tel|phone|call|mobile|fax|whatsapp|contact)\W{0,4}\w{0,8}\W{0,3}$",
 }
-LABELERS = ("strict", "gazetteer", "context", "edges", "variety")
+#: Surroundings and forms that no secret or number of a person has: body, and what stands before it.
+ELSEWHERE = {
+    "secret": r"^/.*/|^(?:19|20)[0-9]{2}[-/](?:0[1-9]|1[0-2])(?:[-/]|$)|^[a-z]{2,3}/",
+    "contact": r"00\W+[0-9]00\W+[0-9]{2}00$",
+}
+ADDRESS = r"(?i)(?:://|www\.)[^\s=]*$|[A-Za-z]:\\\S*$"
+#: Words of a language between separators: letters of one case, or a capital first, with a vowel.
+WORD = r"(?<![A-Za-z])(?=[A-Za-z]*[aeiouyAEIOUY])(?:[A-Z]?[a-z]{3,}|[A-Z]{4,})(?![A-Za-z])"
+LABELERS = ("strict", "gazetteer", "context", "edges", "variety", "words", "place", "mixing")
 MARK, STAND_IN, AROUND = "\x01", "\x02", 24
 ROUNDS, ACCEPT = 30, 0.5
+#: Virtual votes that a labeler begins with, right and wrong ones, and how strongly weights are held near their start.
+RIGHT, WRONG, HOLD = 8, 2, 0.02
 SPAN = "array<struct<start:int,kind:string,end:int,body:string,before:string,after:string>>"
 
 
@@ -157,23 +171,32 @@ def votes(s: Column) -> Column:
         return out
 
     inner = r"[A-Za-z0-9]$"
-    distinct = F.size(F.array_distinct(F.split(s["body"], "")))
+    secret, size = s["kind"] == "secret", F.length(s["body"])
+    wordy = (size - F.length(F.regexp_replace(s["body"], WORD, ""))) / size
+    plain = F.regexp_replace(s["body"], "[^A-Za-z0-9]", "")
+    distinct = F.size(F.array_distinct(F.split(plain, "")))
+    turns = (F.length(F.regexp_replace(plain, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])", "|")) - F.length(plain)) / F.greatest(F.length(plain) - 1, F.lit(1))
     return F.struct(
-        by_kind(STRICT, s["body"], 0).alias("strict"), by_kind(GAZETTEER, s["body"], -1).alias("gazetteer"), by_kind(CONTEXT, s["before"], -1).alias("context"),
+        by_kind(STRICT, s["body"], 0).alias("strict"), F.greatest(by_kind(GAZETTEER, s["body"], -1), F.when(s["kind"].isin(*CLOSED), 0).otherwise(-1)).alias("gazetteer"), by_kind(CONTEXT, s["before"], -1).alias("context"),
         F.when(s["before"].rlike(inner) | s["after"].rlike(inner), 0).otherwise(1).alias("edges"),
         F.when(distinct >= 8, 1).when(distinct <= 4, 0).otherwise(-1).alias("variety"),
+        F.when(secret & (wordy >= 0.4), 0).otherwise(-1).alias("words"),
+        F.when((secret & s["before"].rlike(ADDRESS)) | (by_kind(ELSEWHERE, s["body"], -1) == 1), 0).otherwise(-1).alias("place"),
+        F.when(secret & (turns >= 0.25), 1).when(secret & (turns <= 0.2), 0).otherwise(-1).alias("mixing"),
         F.least(F.lit(3), (F.length(s["body"]) / 8).cast("int")).alias("size"), F.least(F.lit(3), (4 * F.length(_digits(s["body"])) / F.length(s["body"])).cast("int")).alias("digits"),
     )
 
 
-def estimate(table: list[tuple]) -> tuple[dict, dict]:
+def estimate(table: list[tuple]) -> tuple[dict, dict, dict]:
     """EM over (kind, votes..., count): per kind a prior, per labeler the chance of a yes where true and where false.
 
-    Labelers start out better than chance and stay so, which fixes the meaning of "true". Returns the
-    posterior of each vote pattern and the reliabilities.
+    Labelers begin better than chance, with RIGHT and WRONG virtual votes, which fixes the meaning of "true"; what the
+    data say may take them anywhere from there. Returns the posterior of each vote pattern, the reliabilities and the
+    priors.
     """
     prior = {k: 0.5 for k in KINDS}
-    rel = {(j, c): (0.8 if c else 0.2) for j in range(len(LABELERS)) for c in (0, 1)}
+    sure = RIGHT / (RIGHT + WRONG)
+    rel = {(j, c): (sure if c else 1 - sure) for j in range(len(LABELERS)) for c in (0, 1)}
     post: dict = {}
     for _ in range(ROUNDS):
         for kind, *v, _n in table:
@@ -182,7 +205,7 @@ def estimate(table: list[tuple]) -> tuple[dict, dict]:
                 if x >= 0:
                     a += math.log(rel[j, 1] if x else 1 - rel[j, 1])
                     b += math.log(rel[j, 0] if x else 1 - rel[j, 0])
-            post[kind, *v] = 1 / (1 + math.exp(min(50, b - a)))
+            post[kind, *v] = 1 / (1 + math.exp(max(-50, min(50, b - a))))
         for k in prior:
             rows = [(post[r[:-1]], r[-1]) for r in table if r[0] == k]
             prior[k] = (2 + sum(p * n for p, n in rows)) / (4 + sum(n for _, n in rows))
@@ -190,29 +213,36 @@ def estimate(table: list[tuple]) -> tuple[dict, dict]:
             for c in (0, 1):
                 w = [((post[r[:-1]] if c else 1 - post[r[:-1]]) * r[-1], r[1 + j]) for r in table if r[1 + j] >= 0]
                 yes, all_ = sum(x for x, v in w if v), sum(x for x, _ in w)
-                p = (yes + (8 if c else 2)) / (all_ + 10)
-                rel[j, c] = min(0.99, max(0.55, p)) if c else max(0.01, min(0.45, p))
-    return post, rel
+                rel[j, c] = min(0.99, max(0.01, (yes + (RIGHT if c else WRONG)) / (all_ + RIGHT + WRONG)))
+    return post, rel, prior
 
 
 def _features(kind: str, v: tuple, size: int, digits: int) -> list[str]:
     return [f"kind:{kind}", *[f"{name}:{x}" for name, x in zip(LABELERS, v) if x >= 0], f"size:{size}", f"digits:{digits}"]
 
 
-def train(rows: list[tuple], post: dict) -> dict:
-    """Logistic regression on (kind, votes..., size, digits, count) with the posteriors as soft labels."""
-    data = [(_features(r[0], r[1:6], r[6], r[7]), post[r[:6]], r[8]) for r in rows]
-    weight = {f: 0.0 for fs, _, _ in data for f in fs} | {"": 0.0}
-    total = sum(math.sqrt(n) for _, _, n in data) or 1
+def train(rows: list[tuple], post: dict, rel: dict, prior: dict) -> dict:
+    """Logistic regression on (kind, votes..., size, digits, count) with the posteriors as soft labels.
+
+    Weights begin at the log odds that reliabilities and priors give (shapes at 0) and are drawn back to them.
+    """
+    n = len(LABELERS)
+    start = {f"kind:{k}": math.log(p / (1 - p)) for k, p in prior.items()} | {"": 0.0}
+    for j, name in enumerate(LABELERS):
+        start[f"{name}:1"], start[f"{name}:0"] = math.log(rel[j, 1] / rel[j, 0]), math.log((1 - rel[j, 1]) / (1 - rel[j, 0]))
+    data = [(_features(r[0], r[1 : n + 1], r[n + 1], r[n + 2]), post[r[: n + 1]], r[n + 3]) for r in rows]
+    start |= {f: 0.0 for fs, _, _ in data for f in fs if f not in start}
+    weight = dict(start)
+    total = sum(math.sqrt(c) for _, _, c in data) or 1
     for _ in range(300):
-        grad = {f: 1e-3 * w for f, w in weight.items()}
-        for fs, y, n in data:
+        grad = {f: HOLD * (w - start[f]) for f, w in weight.items()}
+        for fs, y, c in data:
             p = 1 / (1 + math.exp(-max(-40, min(40, weight[""] + sum(weight[f] for f in fs)))))
-            d = math.sqrt(n) * (p - y) / total
+            d = math.sqrt(c) * (p - y) / total
             for f in (*fs, ""):
                 grad[f] += d
         for f, g in grad.items():
-            weight[f] -= 2.0 * g
+            weight[f] -= g
     return weight
 
 
@@ -222,9 +252,8 @@ def learn(found: DataFrame) -> dict:
     rows = sorted(tuple([r["kind"], *r["v"], r["count"]]) for r in v.collect())  # at most kinds x votes x shapes rows
     table: dict = {}
     for r in rows:
-        table[r[:6]] = table.get(r[:6], 0) + r[8]
-    post, _ = estimate([(*k, n) for k, n in table.items()])
-    return train(rows, post)
+        table[r[:-3]] = table.get(r[:-3], 0) + r[-1]
+    return train(rows, *estimate([(*k, n) for k, n in table.items()]))
 
 
 def _score(s: Column, weight: dict) -> Column:
@@ -249,9 +278,16 @@ def decide(found: DataFrame, weight: dict) -> DataFrame:
 
 def find_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with base_spans and spans (arrays of start, order, kind, end)."""
-    found = candidates(docs, text)
+    found = settle(candidates(docs, text), "found")
+    return decide(found, learn(found))
+
+
+def judged(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(kind, proposed, accepted): how many further spans of each kind are proposed and stay."""
+    found = settle(candidates(docs.select(text), text).drop(text), "found")
     weight = learn(found)
-    return decide(found, weight)
+    s = found.select(F.explode("__more").alias("s"))
+    return s.groupBy(F.col("s.kind").alias("kind")).agg(F.count("*").alias("proposed"), F.count_if(_score(F.col("s"), weight) > ACCEPT).alias("accepted"))
 
 
 def listed(spans: str) -> Column:
