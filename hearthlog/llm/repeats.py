@@ -168,8 +168,25 @@ def classes(view: np.ndarray, at: np.ndarray, h: np.ndarray, length: int) -> tup
     return by, name
 
 
-def suffix_order(view: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of different strings at `at`, and how many bytes each shares with the one before it in that order."""
+def suffix_order(view: np.ndarray, at: np.ndarray, name: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings at `at`, and how many of `length` bytes each shares with the one before it in that order.
+
+    at is sorted by class (name) and position; strings of a class are equal, so one of each is compared, and the others
+    stand behind it by position.
+    """
+    begin = np.flatnonzero(np.append(True, name[1:] != name[:-1])[: len(name)])
+    size = np.diff(np.append(begin, len(name)))
+    by, first = _order_of_different(view, at[begin], length)
+    n = size[by]
+    start = np.cumsum(n) - n
+    order = np.repeat(begin[by] - start, n) + np.arange(len(name))
+    shared = np.full(len(name), length)
+    shared[start] = first
+    return order, shared
+
+
+def _order_of_different(view: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for strings that all differ."""
     by = np.argsort(view[at], kind="stable")
     new = np.append(True, view[at[by]][1:] != view[at[by]][:-1])
     for s in _steps(length)[1:]:
@@ -189,17 +206,25 @@ def suffix_order(view: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndar
     return by, shared
 
 
-def previous_factors(order: list, shared: list) -> tuple[list, list]:
-    """(value, source) by position in suffix order: the longest match with a smaller position and that position's place.
+def previous_factors(order: np.ndarray, shared: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(value, source) by place in suffix order: the longest match, up to `most` bytes, with a smaller position, and that
+    position's place (-1: none).
 
-    order: the positions in suffix order; shared: bytes each shares with the one before. The stack holds places with
-    growing positions: below a place lies the previous smaller one; the place that takes it off is the next smaller.
+    order: the positions in suffix order; shared: bytes each shares with the one before. A longest match is that with
+    the previous smaller position or the next smaller one. Where the place just before has a smaller position and
+    shares `most` bytes, it is the previous smaller one and nothing can be longer. The other places go through a stack
+    with growing positions: below a place lies its previous smaller one; the place that takes it off is the next smaller.
     """
     n = len(order)
-    value, source = [0] * n, [-1] * n
+    value, source = np.zeros(n, np.int64), np.full(n, -1)
+    full = np.append(False, (order[:-1] < order[1:]) & (shared[1:] >= most))[:n]
+    value[full], source[full] = most, np.flatnonzero(full) - 1
+    rest = np.flatnonzero(~full)
     stack: list = []  # places, and what each shares with the one below
-    for k in range(n + 1):
-        common, p = (shared[k], order[k]) if k < n else (0, -1)
+    places = zip(rest.tolist(), shared[rest].tolist(), order[rest].tolist())
+    for k, common, p in [*places, (n, 0, -1)]:
+        # a place left out lies above the one before it, shares all with it and has a greater position: it can be neither
+        # the nearest smaller position of a place that is not, nor what limits a match
         while stack and order[stack[-1][0]] > p:
             at, with_last = stack.pop()
             if with_last >= common:
@@ -228,16 +253,13 @@ def repeated(buf: np.ndarray, at: np.ndarray, h: np.ndarray, length: int, keep:
         both = (np.minimum.reduceat(o, begin) != np.maximum.reduceat(o, begin))[name]
         out[who] = both & np.append(True, (o[1:] != o[:-1]) | (name[1:] != name[:-1]))
         return out
-    # suffix order: classes by their bytes, and the members of a class, which share all, by position
-    lead = who[begin]
-    rank, shared = suffix_order(view, at[lead], length)
-    value, source = np.full(len(who), length), np.append(-1, who[:-1])  # before a later member stands a smaller one
-    v, s = (np.array(x) for x in previous_factors(lead[rank].tolist(), shared.tolist()))
-    value[begin[rank]], source[begin[rank]] = v, np.where(s < 0, -1, lead[rank][s])  # a class's first member precedes the others in any match
+    rank, shared = suffix_order(view, at[who], name, length)
+    place = who[rank]  # positions in suffix order, as numbers in order of position
+    value, source = previous_factors(place, shared, length)
     long = value >= length
-    out[who[long]] = True
+    out[place[long]] = True
     if keep == "none":
-        out[source[long]] = True
+        out[place[source[long]]] = True
     return out
 
 

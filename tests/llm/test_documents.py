@@ -453,10 +453,11 @@ def test_longest_previous_factors():
         t = base[: r.randint(40, 120)] + base[r.randint(0, 60) :] + "a" * r.randint(0, 60) + base[:50]
         common = lambda a, b: next(k for k, (x, y) in enumerate(zip(t[a:] + "\0", t[b:] + "\1")) if x != y)
         order = sorted(range(len(t)), key=lambda i: t[i:])
-        value, source = repeats.previous_factors(order, [0] + [common(a, b) for a, b in zip(order, order[1:])])
-        for k, i in enumerate(order):
-            assert value[k] == max([common(i, j) for j in range(i)], default=0)
-            assert value[k] == 0 or (order[source[k]] < i and common(i, order[source[k]]) == value[k])
+        for most in (8, 1000):
+            value, source = repeats.previous_factors(np.array(order), np.array([0] + [min(most, common(a, b)) for a, b in zip(order, order[1:])]), most)
+            for k, i in enumerate(order):
+                assert value[k] == min(most, max([common(i, j) for j in range(i)], default=0))
+                assert value[k] == 0 or (order[source[k]] < i and min(most, common(i, order[source[k]])) == value[k])
         at = np.arange(len(t) - size + 1)
         buf = np.frombuffer(t.encode(), np.uint8)
         h = repeats.prints(*repeats.prefix(buf), at, size) % np.uint64(5 if seed % 2 else 1 << 63)  # also where fingerprints of different strings are equal
@@ -465,3 +466,21 @@ def test_longest_previous_factors():
             held.setdefault(t[i : i + size], []).append(i)
         later, all_ = {i for v in held.values() for i in v[1:]}, {i for v in held.values() if len(v) > 1 for i in v}
         assert [set(np.flatnonzero(repeats.repeated(buf, at, h, size, keep, at * 0)).tolist()) for keep in ("first", "none")] == [later, all_]
+
+
+def test_factors_decide(monkeypatch):
+    """Without previous factors, or in another order of suffixes, other bytes would go."""
+    import numpy as np
+
+    t = np.frombuffer(b"abcabcabdxyz" * 3 + b"abcabcabd" + b"qqqqqqqqqqqq", np.uint8)
+    at = np.arange(len(t) - 8 + 1)
+    h = repeats.prints(*repeats.prefix(t), at, 8)
+    gone = {k: repeats.repeated(t, at, h, 8, k, at * 0).tolist() for k in ("first", "none")}
+    assert any(gone["first"]) and gone["first"] != gone["none"]
+    with monkeypatch.context() as m:
+        m.setattr(repeats, "previous_factors", lambda order, shared, most: (np.zeros(len(order), np.int64), np.full(len(order), -1)))
+        assert not any(repeats.repeated(t, at, h, 8, "none", at * 0))
+    right = repeats.suffix_order
+    with monkeypatch.context() as m:
+        m.setattr(repeats, "suffix_order", lambda *x: tuple(v[np.random.default_rng(1).permutation(len(v))] for v in right(*x)))
+        assert repeats.repeated(t, at, h, 8, "first", at * 0).tolist() != gone["first"]
