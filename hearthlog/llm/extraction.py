@@ -2,7 +2,9 @@
 
 A tolerant reader builds the tree (implied ends of paragraphs, items, cells; raw text of scripts and styles;
 comments). Elements that never belong to an article (menus, footers, forms, adverts, comments of readers and
-the like, by element, role or words of class and id) are cut off. For every other node the link-adjusted
+the like, by element, role or words of class and id) are cut off; a word within a longer class counts only beside words
+of layout (share-buttons, but not share-price). The reader keeps the places of open elements by name, so its work grows
+with the page, however broken. For every other node the link-adjusted
 characters per tag are computed, where inline formatting is no tag of its own; the node whose children's densities
 have the largest sum is the core; the least density on its path to the body is the threshold. Nodes beside the path
 from the threshold on, of which less than half is links, belong to the article too, and so do such nodes of any
@@ -22,6 +24,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,7 +45,12 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "p": {"article", "section", "td", "th", "div", "li", "blockquote", "main", "body"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 CUT_WORDS = frozenset(
-    "ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice disclaimer popup modal overlay newsletter subscribe signup login share sharing social related recommended recommendations comment comments disqus respond replies reply pagination pager toolbar widget toc skip".split()
+    "ad ads advert advertisement adverts adsbygoogle sponsor sponsored promo promotion banner sidebar side-bar nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent gdpr notice disclaimer popup modal overlay newsletter subscribe signup login share sharing-buttons sharing-links sharing-bar social-sharing social related recommended recommendations comment comments disqus respond replies reply pagination pager toolbar widget toc skip-link skip-links skip-nav skip-to-content skip-to-main".split()
+)
+#: Parts of a class that say where something stands or how it is laid out: with these a word above names a part of the
+#: page (share-buttons, site-nav); with any other it may be a subject (share-price, menu-of-the-day) and cuts nothing.
+LAYOUT = frozenset(
+    "list lists area section sections box boxes bar bars block blocks wrap wrapper container item items inner outer link links button buttons slot slots unit units post posts story stories articles thread threads site page global top bottom left right primary secondary tertiary main header head sticky fixed mobile desktop panel strip holder frame zone space label tools icon icons feed form forms count counter row col column columns grid group set rail region content body text message messages cta tag tags input field fields placeholder close open-button module component layout template view shell stack card cards js no has with without new".split()
 )
 ANSWERS = frozenset("ad ads advert sponsored promo comment comments reply replies related recommended".split())
 NOT_BEFORE = frozenset("no has with without".split())
@@ -67,6 +75,8 @@ def _unwanted(name: str, attributes: str) -> bool:
         if key in ("class", "id"):
             for token in re.split(r"[\s_]+", value):
                 parts = token.split("-")
+                if not all(p in CUT_WORDS or p in LAYOUT or not p or p.isdigit() for p in parts) and token not in words:
+                    continue
                 if token in words or (parts[-1] in words and parts[0] not in NOT_BEFORE) or (parts[0] in words and parts[-1] not in NOT_AFTER):
                     return True
     return False
@@ -82,56 +92,104 @@ class Node:
         self.density = self.total = 0.0
 
 
+_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
+#: Elements that an end tag of theirs doesn't end across a block.
+_SHORT = frozenset("b i a span em strong u font".split())
+
+
+class _Open:
+    """The open elements, with the places of each name, so that no end tag walks through all of them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.name, []).append(len(self.nodes))
+        if node.name in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, names) -> int:
+        """The place of the innermost open element of these names, 0 if none is open."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def cut(self, place: int) -> None:
+        while len(self.nodes) > place:
+            node = self.nodes.pop()
+            self.at[node.name].pop()
+            if node.name in BLOCK:
+                self.blocks.pop()
+
+    def close(self, name: str) -> Node:
+        k = self.last((name,))
+        if k and not (name in _SHORT and self.blocks and self.blocks[-1] > k):
+            self.cut(k)
+        return self.nodes[-1]
+
+    def imply(self, names: set, until: set) -> Node:
+        k = self.last(names)
+        if k and k >= self.last(until):
+            self.cut(k)
+        return self.nodes[-1]
+
+
 def parse(html: str) -> Node:
     """The tree of a page; subtrees that are cut off have no nodes."""
     root = Node("html", None)
-    at, here, pos = root, [root], 0
+    at, here, pos, end = root, _Open(root), 0, html.rfind(">")
     dropped: list[str] = []  # open elements from a cut one on
+    inside: Counter = Counter()  # their names
     while True:
-        m = TAG.search(html, pos)
+        # behind the last > only a comment can begin
+        m = TAG.search(html, pos) if pos <= end else _COMMENT.search(html, pos)
         text = html[pos : m.start()] if m else html[pos:]
         if text and not dropped:
             at.parts.append(_html.unescape(text))
         if not m:
             return root
         pos = m.end()
-        name = m[2] or m[5]
+        name = (m[2] or m[5]) if m.re is TAG else None
         if not name:
             continue
         name, closing, attributes = name.lower(), bool(m[1] or m[4]), m[3] or m[6] or ""
         if dropped:
             if closing:
-                if name in dropped:
-                    while dropped.pop() != name:
-                        pass
-                elif any(n.name == name for n in here[1:]) and name not in ("p", "a", "b", "i", "em", "strong", "span"):
+                if inside[name]:
+                    while True:
+                        inside[gone := dropped.pop()] -= 1
+                        if gone == name:
+                            break
+                elif here.at.get(name) and name not in ("p", "a", "b", "i", "em", "strong", "span"):
                     dropped.clear()  # an element around the cut one ends
-                    at = _close(here, name)
+                    inside.clear()
+                    at = here.close(name)
             elif name in RAW:
                 pos = _raw_end(html, pos, name)
             elif name not in VOID and not attributes.endswith("/"):
                 dropped.append(name)
+                inside[name] += 1
             continue
         if closing:
-            at = _close(here, name)
+            at = here.close(name)
             continue
-        if name in ("html", "body") and len(here) == 1:
+        if name in ("html", "body") and len(here.nodes) == 1:
             continue
         if name in ENDS_P:
-            at = _imply(here, {"p"}, SCOPE["p"])
+            at = here.imply({"p"}, SCOPE["p"])
         if name in CLOSES:
-            at = _imply(here, CLOSES[name], SCOPE.get(name, {"table"}))
-        cut = _unwanted(name, attributes) or (name == "header" and not any(n.name in ("article", "main") for n in here))
+            at = here.imply(CLOSES[name], SCOPE.get(name, {"table"}))
+        cut = _unwanted(name, attributes) or (name == "header" and not here.last(("article", "main")))
         if name in RAW:
             pos = _raw_end(html, pos, name)
         elif cut and name not in VOID:
             dropped.append(name)
+            inside[name] += 1
             at.parts.append("\0" if name in BLOCK else " ")
         elif name not in VOID:
             node = Node(name, at)
             at.parts.append(node)
             if not attributes.endswith("/") or name in ("p", "div", "a"):
-                here.append(node)
+                here.push(node)
                 at = node
         else:
             at.parts.append(Node(name, at))
@@ -142,26 +200,6 @@ def _raw_end(html: str, pos: int, name: str) -> int:
     return m.end() if m else len(html)
 
 
-def _close(here: list, name: str) -> Node:
-    for k in range(len(here) - 1, 0, -1):
-        if here[k].name == name:
-            del here[k:]
-            break
-        if name in ("b", "i", "a", "span", "em", "strong", "u", "font") and here[k].name in BLOCK:
-            break
-    return here[-1]
-
-
-def _imply(here: list, names: set, until: set) -> Node:
-    for k in range(len(here) - 1, 0, -1):
-        if here[k].name in names:
-            del here[k:]
-            break
-        if here[k].name in until:
-            break
-    return here[-1]
-
-
 def measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes; returns them, parents first."""
     order, k = [root], 0
@@ -208,10 +246,10 @@ def cores(root: Node) -> list[Node]:
     for parent, own in zip(path[1:], path):
         parts = [n for n in parent.parts if isinstance(n, Node) and n.chars]
         at = [k for k, n in enumerate(parts) if n is own or (n.density >= limit and plain(n) and n.name not in INLINE)]
-        first = at[0]
+        first, taken = at[0], set(at)
         while first and parts[first - 1].name in HEADINGS:
             first -= 1
-        chosen += [n for k, n in enumerate(parts) if n is not own and (k in at or (first <= k < at[-1] and plain(n)))]
+        chosen += [n for k, n in enumerate(parts) if n is not own and (k in taken or (first <= k < at[-1] and plain(n)))]
     return [best, *chosen]
 
 

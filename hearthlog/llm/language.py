@@ -29,7 +29,8 @@ from .common import arrow_limits, buffers, pieces, settle
 SLOTS, SAMPLE = 1 << 15, 2000
 #: Weight of a wider group in a narrower one, in pages; and the most trigrams that count as independent evidence.
 PRIOR, EVIDENCE = 20.0, 30.0
-_GAPS = re.compile(r"<(script|style|noscript|template|title)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", re.S | re.I)
+_HIDDEN = re.compile(r"(script|style|noscript|template|title)\b", re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "title")}
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 LOWER[[9, 10, 11, 12, 13] + list(range(33, 65)) + list(range(91, 97)) + list(range(123, 127))] = 32
@@ -98,7 +99,33 @@ def _registered(host) -> "F.Column":
 
 
 def visible(html: str) -> str:
-    return _html.unescape(_GAPS.sub(" ", html))
+    """The text of a page: hidden elements, comments and tags become a space. What isn't closed is looked for once, so the
+    work grows with the page however broken it is."""
+    out, pos, missing = [], 0, set()
+
+    def end(what: str, at: int) -> int:
+        """Where the next `what` from `at` on ends, 0 if there is none."""
+        if what in missing:
+            return 0
+        if what in _ENDS:
+            m = _ENDS[what].search(html, at)
+            found = m.end() if m else 0
+        else:
+            k = html.find(what, at)
+            found = k + len(what) if k >= 0 else 0
+        if not found:
+            missing.add(what)
+        return found
+
+    while (at := html.find("<", pos)) >= 0:
+        m = _HIDDEN.match(html, at + 1)
+        close = (end(m[1].lower(), m.end()) if m else 0) or (end("-->", at + 4) if html.startswith("<!--", at) else 0) or end(">", at + 1)
+        if not close:  # no tag is closed any more
+            break
+        out += [html[pos:at], " "]
+        pos = close
+    out.append(html[pos:])
+    return _html.unescape("".join(out))
 
 
 def likelihoods(column: pa.Array, table: np.ndarray) -> np.ndarray:

@@ -88,21 +88,25 @@ def frames(content: bytes):
         words = zstandard.ZstdDecompressor().decompress(raw) if raw[:4] == struct.pack("<I", MAGIC_FRAME) else raw
     reader = zstandard.ZstdDecompressor(**({"dict_data": zstandard.ZstdCompressionDict(words)} if words else {}))
     view = memoryview(content)
+    number = lambda k: struct.unpack("<I", view[k : k + 4].tobytes().ljust(4, b"\0"))[0]
     while at < len(content):
-        if 0x184D2A50 <= struct.unpack_from("<I", content.ljust(at + 4, b"\0"), at)[0] <= 0x184D2A5F:
-            at += 8 + struct.unpack_from("<I", content.ljust(at + 8, b"\0"), at + 4)[0]
+        if 0x184D2A50 <= number(at) <= 0x184D2A5F:
+            at += 8 + number(at + 4)
             continue
-        one = reader.decompressobj()
+        # a frame is given in growing steps, so that what lies behind it is looked at once, not once a record
+        one, data, fed, step = reader.decompressobj(), [], at, 1 << 12
         try:
-            data = one.decompress(view[at:])
+            while not one.eof and fed < len(content):
+                data.append(one.decompress(view[fed : fed + step]))
+                fed, step = min(len(content), fed + step), min(2 * step, 1 << 20)
         except zstandard.ZstdError as e:
             yield None, f"frame at {at}: {e}"
             return
         if not one.eof:
             yield None, f"frame at {at} is cut off"
             return
-        at = len(content) - len(one.unused_data)
-        yield data, ""
+        at = fed - len(one.unused_data)
+        yield b"".join(data), ""
 
 
 def parse(data: bytes) -> dict:

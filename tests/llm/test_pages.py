@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import time
 
 from hearthlog.llm import chat, extraction, language, warc
 
@@ -25,6 +26,43 @@ def test_extraction(spark):
     assert extraction.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_classes_that_are_subjects_stay():
+    p = "<p>" + "The story goes on with many plain words of a long sentence. " * 6 + "</p>"
+    inside = "<p>Inside " + "words of the story " * 9 + "</p>"
+    page = lambda c: f"<html><body><div>{p}<div class='{c}'>{inside}</div>{p}</div></body></html>"
+    for c in "share-price related-work ad-free menu-of-the-day comment-on-law notice-period promotion-history toc-title skip-list reply-brief sharing signup-rules".split():
+        assert "Inside" in extraction.main_text(page(c)), c
+    for c in "share-buttons related-posts ad-slot site-nav cookie-banner comment-list comments sidebar-left newsletter-signup skip-link".split():
+        assert "Inside" not in extraction.main_text(page(c)) and "The story" in extraction.main_text(page(c)), c
+    for h in (f"<article class='post comments-open'>{p}{p}</article>", f"<div class='post ad-free'>{p}{p}</div>"):
+        assert len(extraction.main_text(f"<html><body>{h}</body></html>")) > 700
+
+
+def test_broken_pages_take_linear_time():
+    shapes = {"q": "<div>" * 40_000 + "</q>" * 200_000, "a": "<a " * 350_000, "b": "<b><div>" + "<span>" * 80_000 + "</b>" * 80_000, "comment": "<!--" * 250_000, "script": "<script>" * 130_000, "lt": "<" * 1_000_000, "nav": "<nav>" + "<div>" * 60_000 + "</q>" * 100_000, "title": "<title>" * 140_000, "p": "<p>x" * 200_000}
+    for name, h in shapes.items():
+        began = time.time()
+        extraction.main_text(h)
+        language.visible(h)
+        assert time.time() - began < 15, name
+    assert language.visible("a<b>c<!-- d --><script>x</SCRIPT >e &amp; <title>f</title><!-- g > h <i") == "a c  e &    h <i"
+
+
+def test_archive_of_many_records():
+    """Time grows with the records, not with their square; frames, skippable frames and damage are told apart."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor()
+    r = random.Random(3)
+    records = [bytes(r.choices(range(256), k=r.randint(0, 9000))) for _ in range(8000)]
+    content = b"".join(pack.compress(x) + (b"\x50\x2a\x4d\x18\x03\0\0\0abc" if k % 9 == 0 else b"") for k, x in enumerate(records))
+    began = time.time()
+    assert [d for d, e in warc.frames(content) if not e] == records
+    assert time.time() - began < 5
+    assert [e for _, e in warc.frames(content[:-20])][-1].endswith("is cut off")
+    assert "frame at" in [e for _, e in warc.frames(content + b"damage")][-1]
+
+
 def test_extraction_keeps_all_articles():
     say = lambda k, n: f"{k} " + "some words of the story go on here and " * n + "end."
     for parts in (3, 1):  # paragraphs an article
