@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as a table in the shared
 folder and read back as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: null and empty texts fail the base rules and go first; null languages and sources are groups of their own;
+of repeated rows, copies and near-duplicates one row stays, that with the smallest id (a null id comes after all others);
+texts of any length are whole; columns beside those of documents are carried along up to packing; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
