@@ -20,6 +20,7 @@ from .operators.entities import entities, first_mention
 from .operators.graph_store import GraphStore
 from .operators.keyword_index import KeywordIndex
 from .operators.vector_index import VectorIndex
+from .sources import exports as X
 from .sources.json_ranges import rows_of, write_arrays
 from .sources.pages import export_files
 from .sources.store import shared_folder
@@ -1081,16 +1082,16 @@ def chat_pages(spark, sf) -> str:
     return folder
 
 
-SENT = r"SELECT 'inbox=inbox_' || (conv_id % 8) AS folder, role AS sender_name, TIMESTAMP '2015-06-18 21:00:00' + to_seconds(CAST(conv_id * 600 + turn AS BIGINT)) AS date, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''"
+PAGE_ROWS = r"SELECT 'inbox=inbox_' || (conv_id % 8) AS folder, role AS sender_name, TIMESTAMP '2015-06-18 21:00:00' + to_seconds(CAST(conv_id * 600 + turn AS BIGINT)) AS date, md5(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS text FROM conversations WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''"
 
 
-@query(SENT)
+@query(PAGE_ROWS)
 def s1_chat_pages(spark, sf):
     x = export_files(spark, chat_pages(spark, sf), "chat", pattern="*.txt")
     return x.select("folder", "sender_name", F.col("date").cast("timestamp").alias("date"), F.md5("text").alias("text"))
 
 
-@query(f"SELECT * FROM ({SENT}) WHERE date >= TIMESTAMP '2015-06-19 00:00:00' AND folder IN ('inbox=inbox_1', 'inbox=inbox_6')")
+@query(f"SELECT * FROM ({PAGE_ROWS}) WHERE date >= TIMESTAMP '2015-06-19 00:00:00' AND folder IN ('inbox=inbox_1', 'inbox=inbox_6')")
 def s1_chat_pages_filtered(spark, sf):
     x = export_files(spark, chat_pages(spark, sf), "chat", pattern="*.txt")
     x = x.filter("folder in ('inbox=inbox_1', 'inbox=inbox_6') and date >= timestamp_ntz'2015-06-19 00:00:00'")
@@ -1135,3 +1136,157 @@ def m4_emotion_model(spark, sf):
 
     x = table(spark, sf, "documents").select("doc_id", emotion_model(word_shares)(F.col("text")).alias("e"))
     return x.select("doc_id", *[F.round(F.col(f"e.{e}"), 6).alias(e) for e in V.EMOTIONS])
+
+
+# --- rules and readers on whole tables
+
+
+COUNTED = "c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), e AS (SELECT 'Person' AS from_label, user_id::VARCHAR AS from_name, 'PLAYED' AS rel_type, 'Game' AS to_label, event_type AS to_name, n FROM c UNION ALL SELECT 'Person', user_id::VARCHAR, 'WAS_FAN_OF', 'Activity', 'the ' || event_type, n FROM c)"
+TERMS = ["click", "VIEW", "1", "purchase", "nobody"]
+
+
+@query(f"""WITH {COUNTED}, b AS (SELECT * FROM e UNION ALL SELECT to_label, to_name, rel_type, from_label, from_name, n FROM e), t AS (SELECT * FROM (VALUES {', '.join(f"({i}, {s(x.lower())})" for i, x in enumerate(TERMS))}) AS t(pos, term)),
+j AS (SELECT *, CASE WHEN lower(from_name) = term THEN 1 ELSE 2 END AS score FROM b JOIN t ON lower(from_name) = term OR (from_label IN ('Game', 'Activity') AND contains(lower(from_name), term))),
+r AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY score, n DESC, rel_type || '|' || to_label || '|' || to_name || '|' || from_name) AS r FROM j QUALIFY r <= 15)
+SELECT from_name || CASE rel_type WHEN 'PLAYED' THEN ' played ' ELSE ' was fan of (PAST) ' END || to_name || ' (' || to_label || ') [count: ' || n || ']' AS fact, CAST(min(pos * 1000 + r) AS INT) AS pos FROM r GROUP BY 1""")
+def g1_top_facts(spark, sf):
+    """Five terms over all edges: exact names first, then games and activities that contain the term, fifteen of each."""
+    c = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")).withColumn("fan", F.concat(F.lit("the "), "event_type"))
+    e = G.triples(c, [("Person", "user_id", "PLAYED", "Game", "event_type", {"count": "n"}), ("Person", "user_id", "WAS_FAN_OF", "Activity", "fan", {"count": "n"})])
+    return G.facts(e, TERMS)
+
+
+@query(f"WITH {HELD}, best AS (SELECT * FROM fu ORDER BY rrf_score DESC, s_pos NULLS LAST, b_pos NULLS LAST LIMIT 20) SELECT md5(content) AS content, CAST({OV} AS DOUBLE) AS rerank_score FROM best WHERE {OV} >= 0.25 ORDER BY {OV} DESC, rrf_score DESC, s_pos NULLS LAST, b_pos NULLS LAST LIMIT 15")
+def f3_threshold(spark, sf):
+    x = S.hybrid(corpus(spark, sf), ASK, ASKED, 20, 15, threshold=0.25)
+    return x.select(F.md5("content").alias("content"), F.col("rerank_score").cast("double").alias("rerank_score"))
+
+
+@query(f"WITH {M} SELECT conversation, ord FROM m WHERE sender_name = 'click' AND date >= TIMESTAMP '2024-01-10 00:00:00'")
+def f2_keyword_filter(spark, sf):
+    x = messages(spark, sf).withColumnRenamed("sender_name", "source")
+    return x.filter(S.keyword_where("click", "2024-01-10 00:00:00")).select("conversation", "ord")
+
+
+@query("SELECT event_id, lat, lng FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 0 ELSE value / 1000 END AS lat, value / 500 - 0.05 AS lng, CASE WHEN event_type = 'view' THEN NULL ELSE ts END AS ts, CASE WHEN event_type = 'click' THEN 'lat 1' ELSE event_type END AS address FROM events) WHERE lat <> 0 AND lng <> 0 AND ts IS NOT NULL AND abs(lat) > 0.1 AND abs(lng) > 0.1 AND address NOT LIKE 'lat%'")
+def f12_f14_fixes(spark, sf):
+    e = table(spark, sf, "events")
+    x = e.select("event_id", F.when(F.col("event_id") % 5 == 0, 0.0).otherwise(F.col("value") / 1000).alias("lat"), (F.col("value") / 500 - 0.05).alias("lng"), F.when(F.col("event_type") != "view", F.col("ts")).alias("ts"), F.when(F.col("event_type") == "click", "lat 1").otherwise(F.col("event_type")).alias("address"))
+    return x.filter(A.valid_fix() & A.sane_gps()).select("event_id", "lat", "lng")
+
+
+@query("SELECT n_nationkey, '❤ ' || n_name AS said FROM nation")
+def f5_emoji_reactions(spark, sf):
+    n = table(spark, sf, "nation").withColumn("mark", F.explode(F.array(*map(F.lit, ("❤ ", "so ", "!!!! "))))).withColumn("said", F.concat("mark", "n_name"))
+    return n.filter(T.is_emoji_reaction("said")).select("n_nationkey", "said")
+
+
+@query("SELECT event_id FROM events WHERE event_type <> 'click' OR coalesce(value > 20, true)")
+def f18_relevant(spark, sf):
+    x = table(spark, sf, "events")
+    return P.keep_relevant(x, F.when(F.col("event_type") == "click", F.col("value") > 20)).select("event_id")
+
+
+@query("SELECT doc_id, trim(text, ' ') AS text FROM documents")
+def p9_without_emoji(spark, sf):
+    x = table(spark, sf, "documents").withColumn("said", F.replace("text", F.lit(" "), F.lit("😂 ♥🚀")))
+    return x.select("doc_id", T.without_emoji("said").alias("text"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) AS at, CASE WHEN o_orderkey % 4 = 0 THEN TIMESTAMP '1970-01-01 00:00:00' ELSE CAST(o_orderdate AS TIMESTAMP) + to_seconds(CAST(o_orderkey % 86400 AS BIGINT)) END AS read FROM orders")
+def p2_activity_dates(spark, sf):
+    x = table(spark, sf, "orders").withColumn("at", F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400))
+    said = F.when(F.col("o_orderkey") % 4 == 0, "some day").when(F.col("o_orderkey") % 4 == 1, F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format("at", "MMM d, yyyy, h:mm:ss a"))
+    return x.withColumn("said", said).select("o_orderkey", "at", T.activity_timestamp("said").alias("read"))
+
+
+@query("SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text, chr(10) ORDER BY turn) AS told FROM (SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN '' ELSE text END AS text FROM conversations) WHERE role IN ('user', 'assistant') AND text <> '' GROUP BY conv_id")
+def p39_history(spark, sf):
+    x = Q.examples(table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 3 == 1, "").otherwise(F.col("text"))))
+    told = F.array_join(F.transform("h", lambda m: F.concat(m["role"], F.lit("\n"), m["content"])), "\n")
+    return x.select("conv_id", Q.history("messages").alias("h")).filter(F.size("h") > 0).select("conv_id", F.size("h").cast("long").alias("n"), told.alias("told"))
+
+
+@query("SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS content FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+def p30_content_blocks(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("text", F.when(F.col("role") != "system", F.col("text")))
+    blocks = c.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda b: F.struct(b["role"].alias("type"), b["text"].alias("text"))).alias("blocks"))
+    return blocks.select("conv_id", Q.flatten_content("blocks").alias("content")).filter("content <> ''")
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'neutral' ELSE event_type END AS emotion, round_even((p + 1) / 2, 2) AS emotional_valence, round_even(CASE WHEN event_type <> 'view' AND q < 0.5 THEN 0.5 + 0.5 * q ELSE q END, 2) AS emotion_arousal, CASE WHEN p > 0.3 THEN 'Very Positive' WHEN p > 0.1 THEN 'Positive' WHEN p < -0.3 THEN 'Very Negative' WHEN p < -0.1 THEN 'Negative' ELSE 'Neutral' END AS label FROM (SELECT *, (event_id % 17 - 8) / 8 AS p, (event_id % 9) / 8 AS q FROM events)")
+def p37_p38_feelings(spark, sf):
+    x = table(spark, sf, "events").select("event_id", F.when(F.col("event_type") == "view", "neutral").otherwise(F.col("event_type")).alias("e"), ((F.col("event_id") % 17 - 8) / 8).alias("p"), ((F.col("event_id") % 9) / 8).alias("q"))
+    return x.select("event_id", E.keyword_record(F.col("e"), F.col("p"), F.col("q")).alias("k"), E.sentiment_label(F.col("p")).alias("label")).select("event_id", "k.*", "label")
+
+
+@query("SELECT l_orderkey, l_linenumber, coalesce(try_cast(said AS DOUBLE), 0) AS x, coalesce(CAST(trunc(try_cast(said AS DOUBLE)) AS INT), 0) AS i FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN l_returnflag WHEN 1 THEN l_extendedprice::VARCHAR ELSE '-' || l_quantity END AS said FROM lineitem)")
+def p40_safe_numbers(spark, sf):
+    said = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_returnflag")).when(F.col("l_linenumber") % 3 == 1, F.col("l_extendedprice").cast("string")).otherwise(F.concat(F.lit("-"), F.col("l_quantity").cast("string")))
+    return table(spark, sf, "lineitem").withColumn("said", said).select("l_orderkey", "l_linenumber", T.safe_double("said").alias("x"), T.safe_int("said").alias("i"))
+
+
+@query(f"WITH {M} SELECT conversation, ord, date FROM m ORDER BY date DESC, ord DESC LIMIT 100")
+def t15_newest(spark, sf):
+    return P.newest(messages(spark, sf), 100).select("conversation", "ord", "date")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5(doc_id || ':42'), doc_id) AS place FROM documents")
+def t14_shuffled(spark, sf):
+    drawn = table(spark, sf, "documents").select("doc_id", C.draw("doc_id").alias("drawn"))
+    return W.with_ordinal_id(drawn, ["drawn", "doc_id"], "").select("doc_id", (F.col("id").cast("long") + 1).alias("place"))
+
+
+@query("SELECT count(*) FILTER (docs > 0 OR pages > 0) AS active FROM (SELECT lang, count(*) FILTER (n_chars > 100) AS docs, 0 AS pages FROM documents GROUP BY lang UNION ALL SELECT source, 0, count(*) FILTER (n_chars > 10000000) FROM documents GROUP BY source)")
+def a5_active_sources(spark, sf):
+    d = table(spark, sf, "documents")
+    by = lambda c, docs, nodes: d.groupBy(c).agg(docs.alias("documents"), nodes.alias("nodes")).drop(c)
+    none = F.lit(0).cast("long")
+    return A.active(by("lang", F.count_if(F.col("n_chars") > 100), none).unionByName(by("source", F.max(none), F.count_if(F.col("n_chars") > 10_000_000))))
+
+
+@query("SELECT CAST(greatest(1, n // 32 * 3) AS BIGINT) AS steps, CAST(greatest(1, floor(greatest(1, n // 32 * 3) * 0.05)) AS BIGINT) AS warmup FROM (SELECT count(DISTINCT conv_id) AS n FROM conversations)")
+def a33_training_steps(spark, sf):
+    n = table(spark, sf, "conversations").select("conv_id").distinct().count()
+    return spark.createDataFrame([A.training_steps(n, 8, 4, 3, 0.05)], "steps long, warmup long")
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE source END AS sender_name, 'text' AS type, coalesce(lang, 'en') AS language, md5(text) AS text FROM documents")
+def s3_message_arrays(spark, sf):
+    folder = shared_folder(spark, "messages")
+    d = table(spark, sf, "documents")
+    write_arrays(d.select(F.col("doc_id").cast("string").alias("conversation"), F.when(F.col("doc_id") % 3 != 0, F.col("source")).alias("sender_name"), F.col("lang").alias("language"), "text"), folder)
+    return X.messages_json(spark, folder).select(F.col("conversation").cast("long").alias("id"), "sender_name", "type", "language", F.md5("text").alias("text"))
+
+
+@query("SELECT o_custkey::VARCHAR AS appid, CAST(o_orderdate AS TIMESTAMP) AS start_at, CAST(greatest(0, (o_orderkey % 500 - 20) * 60) AS BIGINT) AS duration_s FROM orders WHERE o_orderkey % 7 <> 0")
+def s6_game_sessions(spark, sf):
+    folder = shared_folder(spark, "games")
+    start = F.unix_seconds(F.col("o_orderdate").cast("timestamp"))
+    shown = lambda t: F.date_format(F.timestamp_seconds(t), "yyyy-MM-dd HH:mm:ss")
+    x = table(spark, sf, "orders").select(F.concat(F.lit(" "), F.col("o_custkey").cast("string")).alias("appid"), shown(start).alias("start_at"), F.when(F.col("o_orderkey") % 7 == 0, "never").otherwise(shown(start + (F.col("o_orderkey") % 500 - 20) * 60)).alias("end_at"))
+    x.write.option("header", True).csv(folder)
+    return X.game_sessions(spark, folder).select("appid", "start_at", F.col("duration_s").cast("long").alias("duration_s"))
+
+
+@query("SELECT conv_id, count(*) AS n, md5(string_agg(role || text, chr(10) ORDER BY turn)) AS told FROM conversations GROUP BY conv_id")
+def s12_example_lines(spark, sf):
+    folder = shared_folder(spark, "examples")
+    X.write_json(Q.examples(table(spark, sf, "conversations")).withColumn("conversation", F.col("conv_id").cast("string")), folder)
+    told = F.array_join(F.transform("messages", lambda m: F.concat(m["role"], m["content"])), "\n")
+    return X.examples_jsonl(spark, folder).select(F.col("conversation").cast("long").alias("conv_id"), F.size("messages").cast("long").alias("n"), F.md5(told).alias("told"))
+
+
+@query("SELECT c_nationkey AS nation, c_name AS name FROM customer UNION ALL SELECT s_nationkey, s_name FROM supplier")
+def k4_appended(spark, sf):
+    folder = shared_folder(spark, "people")
+    for t, a in (("customer", "c"), ("supplier", "s")):
+        X.append_parquet(table(spark, sf, t).select(F.col(f"{a}_nationkey").alias("nation"), F.col(f"{a}_name").alias("name")), folder)
+    return spark.read.parquet(folder)
+
+
+@query("SELECT p_partkey::VARCHAR AS key, p_name AS value FROM part")
+def s15_lookup(spark, sf):
+    folder = shared_folder(spark, "lookup")
+    table(spark, sf, "part").groupBy(F.pmod("p_partkey", F.lit(4)).alias("g")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("p_partkey").cast("string"), "p_name")))).alias("value")).repartition(4, "g").select("value", "g").write.partitionBy("g").text(folder)
+    return X.lookup_json(spark, folder).select("key", "value")

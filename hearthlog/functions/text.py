@@ -91,14 +91,25 @@ def message_type(c) -> Column:
     return F.when(starts(V.SYSTEM_STARTS), "system").when(starts(V.REACTION_STARTS), "reaction").otherwise("text")
 
 
+#: A name: one to six words that begin with a capital, with a space or hyphen between them; and the time of a reaction.
+NAME = r"\p{Lu}[\p{L}\p{M}\p{N}_]+(?:[ -]\p{Lu}[\p{L}\p{M}\p{N}_]+){0,5}"
+_WHEN = r"\(\p{L}+ \d+,? \d+ [\d:]+ ?(?:[AaPp][Mm])?\)"
+_SLOTS = {"NAME": NAME, "WORD": r"\S+", "WORDS": r"\S+(?:\s\S+){0,5}", "REST": "[^.]*"}
+
+
+def notice_pattern() -> str:
+    """A name and what a group notice says of it, up to its full stop."""
+    said = [r"\s+".join(_SLOTS.get(w, w) for w in n.split()) for n in V.GROUP_NOTICES]
+    return f"{NAME}\\s+(?:{'|'.join(said)})\\.?"
+
+
 def training_text(c) -> Column:
     """Without links, file marks, edit marks, reaction annotations and group notices, white space collapsed."""
     t = F.trim(F.regexp_replace(_c(c), r"(?i)https?://\S+", ""))
     t = F.trim(F.regexp_replace(t, r"(?i)Download file:\s*\S+", ""))
     t = F.trim(F.regexp_replace(t, r"(?i)\s*\(edited\)\s*$", ""))
-    t = F.trim(F.regexp_replace(t, f"(?U)[{EMOJI_CLASS}{V.REACTION_MARKS}]+{V.REACTION_NAME}", " "))
-    notices = "|".join(n.replace("{name}", V.NOTICE_NAME) for n in V.GROUP_NOTICES)
-    t = F.trim(F.regexp_replace(t, f"(?U){V.NOTICE_NAME}\\s+(?:{notices})\\.?", " "))
+    t = F.trim(F.regexp_replace(t, f"[{EMOJI_CLASS}{V.REACTION_MARKS}]+\\s*{NAME}(?:\\s*{_WHEN})?", " "))
+    t = F.trim(F.regexp_replace(t, notice_pattern(), " "))
     return squash(t)
 
 

@@ -21,6 +21,12 @@ def test_text(spark):
     assert t("hello IP Address: 1.2.3.4", text.persona_text) == "hello"
     assert [t(x, text.message_type) for x in ("You called Bo", "You reacted 😆", "Ann joined the video call", "so you called")] == ["system", "reaction", "system", "text"]
     assert t("see https://a.b/c now  (edited)", text.training_text) == "see now"
+    who = "Élodie Saint-Yves"
+    notices = ["created the group", "named the group Trip to Rome", "named the group", "changed the group name", "changed the group photo", "added Bob Ray to the group", "removed Bob from the group", "left the group", "set the nickname for Bob to the big one", "set your nickname to Big", "set the emoji to X", "changed the chat theme", "changed the theme", "pinned a message", "started a call", "started a video call", "started an audio call", "sent a live location"]
+    for n in notices:
+        assert t(f"so {who} {n}. then", text.training_text) in ("so then", "so"), n
+    assert t(f"well 😂{who} (Jul 06, 2023 8:10:32 pm) yes ❤ Bob", text.training_text) == "well yes"
+    assert t("they left the group and Bob pinned it", text.training_text) == "they left the group and Bob pinned it"
     assert t("Salut ,ça va?oui....... l ' ami ```a ,b?``` fin", text.french_chat) == "Salut, ça va ? oui... l'ami```a ,b?```fin" or "```a ,b?```" in t("Salut ,ça va?```a ,b?``` fin", text.french_chat)
     assert [t(x, text.device) for x in ("Android OS 6.0.1 API 23 (samsung, SM)", "android", "web_player osx 10", "Partner lg_x", "", None, "Toaster")] == ["Android (Samsung)", "Android", "Web Player", "Smart TV", "Unknown", "Unknown", "Toaster"]
     assert [t(x, text.partial_date) for x in ("Sep 2025", "2025", "Present", "", "odd")] == ["2025-09-01", "2025-01-01", "", "", "odd"]
