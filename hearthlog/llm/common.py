@@ -7,6 +7,7 @@ import itertools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ SPACES = " \t\n\x0b\x0c\r"
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 _count = itertools.count()
 _written: list = []
+_where: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +48,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: cuts lineage, survives lost executors."""
     path = _place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _where[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that settle() wrote and nothing reads any more, before the process ends."""
+    for df in tables:
+        if path := _where.pop(df, None):
+            _written.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def settle_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, schema: str) -> DataFrame:
@@ -58,12 +70,15 @@ def settle_parts(spark: SparkSession, parts: Iterable[DataFrame], name: str, sch
     return spark.read.schema(schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def _clean(spark: SparkSession) -> None:
     try:
-        jvm = spark.sparkContext._jvm
         for p in _written:
-            path = jvm.org.apache.hadoop.fs.Path(p)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, p)
     except Exception:  # the JVM has gone; the tables stay in the checkpoint folder
         pass
 
