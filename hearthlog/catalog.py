@@ -435,11 +435,12 @@ def j5_colleagues(spark, sf):
     return J.same_company(people, own, "seq").select("c_custkey", F.lower("own_company").alias("k")).join(last, "k").select("c_custkey", F.col("seq").alias("colleague"))
 
 
-@query("""WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT p_name AS match, min(p_partkey) AS pos FROM part WHERE p_partkey % 3 = 0 GROUP BY 1), j AS (SELECT name, match, least(length(name), length(match)) AS l, pos FROM a JOIN b ON (starts_with(name, match) OR starts_with(match, name)) WHERE length(name) >= 5 AND length(match) >= 5)
+@query("""WITH a AS (SELECT DISTINCT p_name AS name FROM part), b AS (SELECT array_to_string(string_split(p_name, ' ')[1:p_size % 4 + 1], ' ') || CASE WHEN p_size % 5 = 0 THEN 'er' ELSE '' END AS match, min(p_partkey) AS pos FROM part GROUP BY 1), j AS (SELECT name, match, least(length(name), length(match)) AS l, pos FROM a JOIN b ON (starts_with(name, match) OR starts_with(match, name)) WHERE length(name) >= 5 AND length(match) >= 5)
 SELECT name, match FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY l DESC, pos) AS r FROM j) WHERE r = 1""")
 def j6_prefix_match(spark, sf):
     p = table(spark, sf, "part")
-    return J.prefix_match(p.select(F.col("p_name").alias("name")).distinct(), p.filter("p_partkey % 3 = 0").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos")))
+    short = F.concat(F.array_join(F.slice(F.split("p_name", " "), 1, F.col("p_size") % 4 + 1), " "), F.when(F.col("p_size") % 5 == 0, "er").otherwise(""))
+    return J.prefix_match(p.select(F.col("p_name").alias("name")).distinct(), p.select(short.alias("name"), F.col("p_partkey").alias("pos")))
 
 
 @query("SELECT o_custkey, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000) GROUP BY 1")
@@ -1045,11 +1046,23 @@ def m2_choose_k(spark, sf):
     return C.choose_k(x, "v")
 
 
-@query()
+ASK7 = f"{ASK} 7"
+WORDS7 = ", ".join(map(s, sorted(set(ASK7.split()))))
+HELD7 = HELD.replace(f"term IN ({', '.join(map(s, ASK.split()))})", f"term IN ({WORDS7})")
+OV7 = f"len(list_intersect(regexp_split_to_array(lower(content), '\\s+'), [{WORDS7}])) / 5"
+FACTS7 = """ed AS (SELECT 'Person' AS from_label, o_custkey::VARCHAR AS from_name, 'placed' AS rel, 'PLACED' AS rel_type, 'Order' AS to_label, o_orderkey::VARCHAR AS to_name, ' [since ' || strftime(o_orderdate, '%Y-%m-%d') || ']' AS more FROM orders UNION ALL SELECT 'Person', c_custkey::VARCHAR, 'lives in', 'LIVES_IN', 'Country', c_nationkey::VARCHAR, '' FROM customer UNION ALL SELECT 'Country', n_nationkey::VARCHAR, 'in region', 'IN_REGION', 'Region', n_regionkey::VARCHAR, '' FROM nation),
+bo AS (SELECT * FROM ed UNION ALL SELECT to_label, to_name, rel, rel_type, from_label, from_name, more FROM ed), f15 AS (SELECT *, row_number() OVER (ORDER BY rel_type || '|' || to_label || '|' || to_name || '|' || from_name) AS r FROM bo WHERE from_name = '7' QUALIFY r <= 15),
+fl AS (SELECT from_name || ' ' || rel || ' ' || to_name || ' (' || to_label || ')' || more AS fact, min(r) AS r FROM f15 GROUP BY 1), fa AS (SELECT '## Facts' || chr(10) || string_agg(fact, chr(10) ORDER BY r) AS t FROM fl)"""
+
+
+@query(f"""WITH {HELD7}, best AS (SELECT * FROM fu ORDER BY rrf_score DESC, s_pos NULLS LAST, b_pos NULLS LAST LIMIT 20), five AS (SELECT content, {OV7} AS o, rrf_score FROM best ORDER BY o DESC, rrf_score DESC, s_pos NULLS LAST, b_pos NULLS LAST LIMIT 5),
+me AS (SELECT '## Messages' || chr(10) || string_agg(content, chr(10) || '---' || chr(10) ORDER BY o DESC, rrf_score DESC, content) AS t FROM five), {FACTS7}
+SELECT md5(fa.t || chr(10) || chr(10) || me.t) AS context, CAST(length(fa.t || chr(10) || chr(10) || me.t) AS INT) AS n_chars FROM fa, me""")
 def v6_answer_context(spark, sf):
     from .plans.context import answer_context
 
-    return answer_context(corpus(spark, sf), edges(spark, sf).withColumn("seq", F.lit(0)), "7", ASKED, n=20, k=5).select(F.md5("context").alias("context"), F.length("context").alias("n_chars"))
+    x = answer_context(corpus(spark, sf), edges(spark, sf).withColumn("seq", F.lit(0)), ASK7, ASKED, names=["7"], n=20, k=5)
+    return x.select(F.md5("context").alias("context"), F.length("context").alias("n_chars"))
 
 
 @query("SELECT e_type AS user, day AS start, n FROM (SELECT event_type AS e_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY 1, 2)")

@@ -37,13 +37,17 @@ def same_company(people: DataFrame, own: DataFrame, seq: str) -> DataFrame:
 def prefix_match(a: DataFrame, b: DataFrame, least: int = 5) -> DataFrame:
     """For each a.name the longest b.name that begins it or that it begins, of at least `least` characters (ties: first pos).
 
-    Either name begins with `least` characters of the other, so both are joined on that prefix, not all with all.
+    Both directions are joins on equal strings: the prefixes of a.name with whole names of b, and a.name with the prefixes
+    of b's names, of which each keeps the first only. So names that begin alike don't meet each other.
     """
-    x = a.filter(F.length("name") >= least).withColumn("__p", F.substring("name", 1, least))
-    y = b.filter(F.length("name") >= least).select(F.col("name").alias("match"), F.col("pos"), F.substring("name", 1, least).alias("__q"))
-    j = x.join(y, F.col("__p") == F.col("__q")).filter(F.startswith("name", F.col("match")) | F.startswith("match", F.col("name")))
-    best = F.max_by(F.struct("match"), F.struct(F.least(F.length("match"), F.length("name")), -F.col("pos")))
-    return j.groupBy("name").agg(best.alias("x")).select("name", "x.match")
+    prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(least), F.length(c)), lambda k: F.substring(c, 1, k)))
+    x = a.filter(F.length("name") >= least).select("name").distinct()
+    y = b.filter(F.length("name") >= least).groupBy(F.col("name").alias("match")).agg(F.min("pos").alias("pos"))
+    begins = x.select("name", prefixes(F.col("name")).alias("match")).join(y, "match").select("name", "match", "pos")
+    first = y.select(prefixes(F.col("match")).alias("name"), "match", "pos").groupBy("name").agg(F.min(F.struct("pos", "match")).alias("m"))
+    begun = first.join(x, "name").select("name", "m.match", "m.pos")
+    best = F.max_by(F.col("match"), F.struct(F.least(F.length("match"), F.length("name")), -F.col("pos"), "match"))
+    return begins.unionByName(begun).groupBy("name").agg(best.alias("match"))
 
 
 def name_mention(questions: DataFrame, names: DataFrame) -> DataFrame:
