@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import with_ordinal_id
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `no`, each row's place in a total order."""
+    return with_ordinal_id(df, list(order), "").withColumn("no", F.col("id").cast("long")).drop("id")
+
 
 def lookup(df: DataFrame, key, dim: DataFrame, dim_key: str, value: str, default, out: str) -> DataFrame:
     """A dimension's value, or a default. Whether the dimension is broadcast is decided by its size."""
@@ -56,11 +63,14 @@ def name_mention(questions: DataFrame, names: DataFrame) -> DataFrame:
     Both sides are cut into their words and joined on them, then the phrase is checked.
     """
     qw = questions.select("q", F.lower("text").alias("t"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("w")).filter("w <> ''")
+    n = numbered(names.select("name", "pos").distinct(), "pos", "name")
     parts = F.split(F.lower("name"), " ")
-    nw = names.select("name", "pos", F.explode(F.array_distinct(F.concat(parts, F.array(F.replace(F.lower("name"), F.lit(" "), F.lit("")))))).alias("w")).filter("length(w) >= 3")
+    nw = n.select("name", "no", F.explode(F.array_distinct(F.concat(parts, F.array(F.replace(F.lower("name"), F.lit(" "), F.lit("")))))).alias("w")).filter("length(w) >= 3")
     j = qw.join(nw, "w")
     level = F.when(F.contains("t", F.lower("name")), 1).when((F.col("w") == F.replace(F.lower("name"), F.lit(" "), F.lit(""))), 2).otherwise(3)
-    return j.groupBy("q").agg(F.min_by("name", F.struct(level.alias("l"), F.col("pos"))).alias("name"))
+    # the least number of each level, so that questions are counted in a hash table and no texts are sorted
+    found = j.select("q", "no", level.alias("l")).groupBy("q").agg(*[F.min(F.when(F.col("l") == k, F.col("no"))).alias(f"n{k}") for k in (1, 2, 3)])
+    return found.select("q", F.coalesce("n1", "n2", "n3").alias("no")).join(n.select("no", "name"), "no").select("q", "name")
 
 
 def having(df: DataFrame, keys: DataFrame, on: str, present: bool = True) -> DataFrame:
