@@ -46,15 +46,17 @@ def prefix_match(a: DataFrame, b: DataFrame, least: int = 5) -> DataFrame:
 
     Both directions are joins on equal strings: the prefixes of a.name with whole names of b, and a.name with the prefixes
     of b's names, of which each keeps the first only. So names that begin alike don't meet each other.
+    Rows meet by numbers (lengths, and places in the order of pos, then name), so that groups are counted in hash tables
+    and no names are sorted for them. Names packed in a small file are many in memory, so no task gets all of them.
     """
     prefixes = lambda c: F.explode(F.transform(F.sequence(F.lit(least), F.length(c)), lambda k: F.substring(c, 1, k)))
     x = a.filter(F.length("name") >= least).select("name").distinct()
-    y = b.filter(F.length("name") >= least).groupBy(F.col("name").alias("match")).agg(F.min("pos").alias("pos"))
-    begins = x.select("name", prefixes(F.col("name")).alias("match")).join(y, "match").select("name", "match", "pos")
-    first = y.select(prefixes(F.col("match")).alias("name"), "match", "pos").groupBy("name").agg(F.min(F.struct("pos", "match")).alias("m"))
-    begun = first.join(x, "name").select("name", "m.match", "m.pos")
-    best = F.max_by(F.col("match"), F.struct(F.least(F.length("match"), F.length("name")), -F.col("pos"), "match"))
-    return begins.unionByName(begun).groupBy("name").agg(best.alias("match"))
+    y = numbered(b.filter(F.length("name") >= least).groupBy(F.col("name").alias("match")).agg(F.min("pos").alias("pos")), "pos", "match")
+    begins = x.select("name", prefixes(F.col("name")).alias("match")).join(y.select("match").hint("merge"), "match").groupBy("name").agg(F.max(F.length("match")).alias("k"))
+    first = y.select(prefixes(F.col("match")).alias("name"), "no").groupBy("name").agg(F.min("no").alias("no"))
+    begun = first.join(x.hint("merge"), "name").join(y.select("no", "match").hint("merge"), "no").select("name", "match")
+    # a name that begins others of b, or stands there itself, can't share more with any of its own beginnings
+    return begins.join(begun, "name", "full_outer").select("name", F.coalesce("match", F.expr("substring(name, 1, k)")).alias("match"))
 
 
 def name_mention(questions: DataFrame, names: DataFrame) -> DataFrame:

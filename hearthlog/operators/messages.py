@@ -92,8 +92,9 @@ def display_names(ids: DataFrame, friends: DataFrame) -> DataFrame:
     alike, else the id in title case."""
     bare = F.regexp_replace("conversation", r"_?[0-9]+$", "")
     x = ids.select("conversation", T.slug(bare).alias("name"), bare.alias("bare"))
-    f = friends.select(F.col("name").alias("friend"), T.slug("name").alias("slug"), "pos")
-    exact = f.groupBy("slug").agg(F.min_by("friend", "pos").alias("exact"))
+    f = joins.numbered(friends.select(F.col("name").alias("friend"), T.slug("name").alias("slug"), "pos"), "pos", "friend")
+    # the least number of a slug, then its name: no names are sorted
+    exact = f.groupBy("slug").agg(F.min("no").alias("no")).join(f.select("no", F.col("friend").alias("exact")), "no").drop("no")
     near = joins.prefix_match(x.select("name").distinct(), f.select(F.col("slug").alias("name"), "pos")).withColumnRenamed("match", "slug2")
     out = x.join(exact, x["name"] == exact["slug"], "left").drop("slug").join(near, "name", "left")
     two = exact.select(F.col("slug").alias("slug2"), F.col("exact").alias("near"))
