@@ -17,6 +17,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .store import arrow_limits
+
 #: Bytes of a range, and bytes read at a time beyond its end or before its beginning.
 SPLIT, MORE = 8 << 20, 1 << 16
 QUOTE, SLASH, OPEN, CLOSE = 34, 92, (91, 123), (93, 125)
@@ -111,6 +113,7 @@ def json_objects(spark: SparkSession, path: str, split: int = SPLIT, pattern: st
     """(path, at, value): the objects of each file's array, or of the arrays under a file's one object.
 
     A file that ends inside an object loses that one; other values in the array are passed over; empty files give no row."""
+    arrow_limits(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path", "length")
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(split).cast("long")))
     ranges = files.filter("length > 0").select("path", "length", each.alias("start"))
@@ -158,6 +161,7 @@ def rows_of(spark: SparkSession, path: str, schema: str, split: int = SPLIT, **o
 
 def write_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """K1: each partition as a file that holds one array, an object a line; null fields are left out."""
+    arrow_limits(df.sparkSession)
 
     def lines(frames):
         some = False

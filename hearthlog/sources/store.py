@@ -147,6 +147,16 @@ class Store:
         return gone
 
 
+#: Rows and bytes of one Arrow batch that Python tasks hold.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def arrow_limits(spark: SparkSession) -> None:
+    """Bounds what one Arrow batch holds, so that a Python task's memory doesn't follow the number of rows it reads."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 _made: list[str] = []
 
 
