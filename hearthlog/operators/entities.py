@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 from functools import lru_cache
 
 import ahocorasick
@@ -11,8 +12,12 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import arrow_limits
+
 #: Names of one automaton, which is sent to all tasks; more names are dealt into several passes.
 NAMES = 500_000
+#: Occurrences that a task holds before it hands them on, but for those of one text where spans mustn't overlap.
+SPANS = 20_000
 _HELD: dict = {}
 
 
@@ -34,7 +39,7 @@ def _automaton(sent: Broadcast):
     return _HELD[held[0]]
 
 
-def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+def _apart(spans: Iterable[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Spans that don't overlap: that which begins first, of those the longest, then on from its end."""
     out, reach = [], 0
     for start, minus, form in sorted((s, -e, f) for s, e, f in spans):
@@ -47,22 +52,31 @@ def _apart(spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
 def _found(texts: DataFrame, forms: DataFrame, borders: bool, apart: bool) -> DataFrame | None:
     """(id, start, end, form) of texts (id, text in lower case)."""
     spark, kind = texts.sparkSession, texts.schema["id"].dataType.simpleString()
+    arrow_limits(spark)
     schema = f"id {kind}, start long, end long, form string"
     groups = max(1, -(-forms.count() // NAMES))
 
+    def table(rows):
+        return pd.DataFrame(rows, columns=["id", "start", "end", "form"]).astype({"start": "int64", "end": "int64"})
+
+    def spans(a, t):
+        for last, form in a.iter(t):
+            start, end = last - len(form) + 1, last + 1
+            if not borders or not ((start and _word(t[start - 1]) and _word(t[start])) or (end < len(t) and _word(t[end]) and _word(t[last]))):
+                yield start, end, form
+
     def walk_with(sent):
         def walk(frames):
             a = _automaton(sent)
             for f in frames:
                 out = []
                 for i, t in zip(f["id"], f["text"]):
-                    spans = []
-                    for last, form in a.iter(t or ""):
-                        start, end = last - len(form) + 1, last + 1
-                        if not borders or not ((start and _word(t[start - 1]) and _word(t[start])) or (end < len(t) and _word(t[end]) and _word(t[last]))):
-                            spans.append((start, end, form))
-                    out += [(i, *s) for s in (_apart(spans) if apart and groups == 1 else spans)]
-                yield pd.DataFrame(out, columns=["id", "start", "end", "form"]).astype({"start": "int64", "end": "int64"})
+                    for span in _apart(spans(a, t or "")) if apart and groups == 1 else spans(a, t or ""):
+                        out.append((i, *span))
+                        if len(out) == SPANS:
+                            yield table(out)
+                            out = []
+                yield table(out)
 
         return walk
 
