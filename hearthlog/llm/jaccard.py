@@ -230,12 +230,14 @@ def _near():
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (node, n, tokens, keys) whose components are those of all links."""
-    near, group = None, nodes.select("node", F.col("node").alias("g"))
+    group = nodes.select("node", F.col("node").alias("g"))
+    stars = lambda: group.filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
     for k in range(ROUNDS):
-        new = _verified(_leaders(nodes.join(group, "node"), k), nodes)
-        near = settle(new if near is None else near.unionByName(new), "stars")
-        roots = components(near)
-        group = nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g"))
+        new = settle(_verified(_leaders(nodes.join(group, "node"), k), nodes), "stars")
+        if new.isEmpty():  # groups stay as they are
+            continue
+        roots = components(stars().unionByName(new))
+        group = settle(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g")), "group")
     member = settle(nodes.join(group, "node").select("node", "n", "g", "tokens", "bits"), "groups")
     held = member.select("node", "n", "g", F.explode("tokens").alias("t"))
     between = held.select("t", "g").distinct().groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
@@ -259,7 +261,7 @@ def links(nodes: DataFrame) -> DataFrame:
     bound = met.select("node", "g2").distinct().join(open_.select("node", "n", F.col("s.t").alias("own")), "node").join(union, "g2").filter(100 * F.size(F.array_intersect("own", "union")) >= PERCENT * F.col("n"))
     opened = bound.select("node", "g2")
     pairs = met.join(opened, ["node", "g2"], "left_semi").select(F.col("node").alias("a"), F.col("node2").alias("b"))
-    return near.unionByName(_verified(pairs, nodes))
+    return stars().unionByName(_verified(pairs, nodes))
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
