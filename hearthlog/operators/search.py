@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 
 K1, B, EPSILON, RRF_K = 1.5, 0.75, 0.25, 60
+#: Words of questions (a row per question and word) that are sent to all tasks; more are joined by a shuffle.
+ASKED = 500_000
 
 
 def where(conversation: str | None = None, source: str | None = None, date_from=None, date_to=None, min_messages: int | None = None) -> Column:
@@ -76,10 +78,16 @@ def bm25_many(corpus: DataFrame, questions: DataFrame, id_: str = "id", text: st
     The questions' words meet the corpus by equality of words, so pairs without a common word are never made.
     """
     idf = bm25_idf(corpus, text)
-    asked = questions.select(F.col("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times")).join(idf, "term")
-    docs = corpus.select(F.col(id_).alias("id"), tokens(text).alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("times")
-    return docs.join(asked, "term").groupBy("query", "id").agg(F.sum(gain).alias("score"))
+    asked = questions.select(F.col("query"), F.explode(tokens("text")).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
+    few = asked.limit(ASKED + 1).count() <= ASKED
+    asked = asked.join(idf, "term")
+    # texts travel once, by id: a document's words and its pairs with questions are then counted where it stands
+    placed = corpus.select(F.col(id_).alias("id"), F.col(text).alias("t")).repartition("id")
+    docs = placed.select("id", tokens("t").alias("w")).select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    asked = asked.groupBy("term").agg(F.first("idf").alias("idf"), F.first("avgdl").alias("avgdl"), F.collect_list(F.struct("query", "times")).alias("by"))
+    gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))) * F.col("q.times")
+    met = docs.join(F.broadcast(asked) if few else asked, "term").select("*", F.explode("by").alias("q"))
+    return met.groupBy(F.col("q.query").alias("query"), "id").agg(F.sum(gain).alias("score"))
 
 
 def top(df: DataFrame, n: int, *order) -> DataFrame:
