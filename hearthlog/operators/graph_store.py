@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.store import Change, Store, bucket_of, buckets_in
+from ..sources.store import Change, Store, bucket_of, buckets_in, stage
 from .graph import EDGE, merge_edges, merge_nodes
 
 NODE = ["label", "name"]
@@ -55,34 +55,43 @@ class GraphStore:
             more.append(_split(nodes.withColumn("name", F.trim("name")), NODE, at))
         if edges is not None:
             e = edges.withColumns({"from_name": F.trim("from_name"), "to_name": F.trim("to_name")})
-            ends = [e.select(F.col(f"{s}_label").alias("label"), F.col(f"{s}_name").alias("name")).distinct() for s in ("from", "to")]
+            ends = [e.select(F.col(f"{s}_label").alias("label"), F.col(f"{s}_name").alias("name")) for s in ("from", "to")]
             bare = ends[0].union(ends[1]).distinct().select("*", F.lit(None).cast("string").alias("k"), F.struct(F.lit(at).cast("long").alias("merge"), F.lit(0).cast("long").alias("seq")).alias("at"), F.lit(None).cast("string").alias("value"))
             more.append(bare)
             changes += self._edges(_split(e.withColumn("since", F.coalesce(F.col("props")["since"], F.lit(""))), [*EDGE, "since"], at), state)
-        delta = more[0] if len(more) == 1 else more[0].unionByName(more[1])
-        delta = _last(delta, NODE).withColumn("bucket", self._of())
-        touched = buckets_in(delta)
-        old = store.read("node_props", touched, state, f"label string, name string, k string, at {WHEN}, value string")
-        props = _last(old.unionByName(delta), NODE).withColumn("bucket", self._of())
-        view = merge_nodes(props.select(*NODE, F.when(F.col("k").isNotNull(), F.create_map("k", "value")).alias("props"), F.col("at").alias("seq"))).withColumn("bucket", self._of())
+        # end points alone are one row each already
+        delta = more[0] if nodes is None else _last(more[0] if edges is None else more[0].unionByName(more[1]), NODE)
+        props, touched = self._laid("node_props", delta.withColumn("bucket", self._of()), NODE, state)
+        pairs = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "value")))
+        view = props.groupBy(*NODE).agg(F.map_from_entries(F.array_sort(pairs)).cast("map<string,string>").alias("props")).withColumn("bucket", self._of())
         changes += [Change("node_props", props, touched, tuple(NODE)), Change("nodes", view, touched, tuple(NODE))]
         return store.commit(changes, {}, writer, batch, state)
 
+    def _laid(self, table: str, delta: DataFrame, keys: list[str], state: dict | None) -> tuple[DataFrame, list[int]]:
+        """delta laid over the buckets it touches, written once for all that derives from it; and these buckets."""
+        delta = stage(delta, table)
+        if not state or table not in state["tables"]:
+            return delta, []
+        touched = buckets_in(delta)
+        old = self.store.read(table, touched, state)
+        bucket = self._of("from_") if "from_label" in keys else self._of()
+        return stage(_last(old.unionByName(delta.select(*old.columns)), keys).withColumn("bucket", bucket), table), touched
+
     def _edges(self, delta: DataFrame, state: dict | None) -> list[Change]:
         keys = [*EDGE, "since"]
-        delta = _last(delta, keys).withColumn("bucket", self._of("from_"))
-        touched = buckets_in(delta)
-        old = self.store.read("edge_props", touched, state, ", ".join(f"{c} string" for c in keys) + f", k string, at {WHEN}, value string")
-        props = _last(old.unionByName(delta), keys).withColumn("bucket", self._of("from_"))
-        changed = delta.select(*EDGE).distinct()
+        props, touched = self._laid("edge_props", _last(delta, keys).withColumn("bucket", self._of("from_")), keys, state)
+        there = bool(state) and "halves" in state["tables"]
+        changed = stage(delta.select(*EDGE).distinct(), "changed") if there else None
         # what merge_edges reads: one row a property, which names the edge's date
         date, own = F.create_map(F.lit("since"), F.col("since")), F.create_map("k", "value")
         dated = F.col("since") != ""
-        rows = props.join(changed, EDGE, "left_semi").select(*EDGE, F.when(dated & (F.coalesce(F.col("k"), F.lit("since")) == "since"), date).when(dated, F.map_concat(date, own)).when(F.col("k").isNotNull(), own).alias("props"), F.col("at").alias("seq"))
-        view = merge_edges(rows).select(*EDGE, "since", "props")
+        rows = (props.join(changed, EDGE, "left_semi") if there else props).select(*EDGE, F.when(dated & (F.coalesce(F.col("k"), F.lit("since")) == "since"), date).when(dated, F.map_concat(date, own)).when(F.col("k").isNotNull(), own).alias("props"), F.col("at").alias("seq"))
+        view = stage(merge_edges(rows).select(*EDGE, "since", "props"), "edges")
         loop = (F.col("from_label") == F.col("to_label")) & (F.col("from_name") == F.col("to_name"))
         back = view.filter(~loop).select(*[F.col(TURN.get(c, c)).alias(c) for c in view.columns], F.lit(False).alias("outgoing"))
         halves = view.withColumn("outgoing", F.lit(True)).unionByName(back).withColumn("bucket", self._of("from_"))
+        if not there:
+            return [Change("edge_props", props, touched, tuple(EDGE)), Change("halves", halves, (), tuple(EDGE))]
         gone = changed.withColumn("outgoing", F.lit(True)).unionByName(changed.select(*[F.col(TURN.get(c, c)).alias(c) for c in EDGE], F.lit(False).alias("outgoing")))
         owners = buckets_in(gone.withColumn("bucket", self._of("from_")))
         kind = ", ".join(f"{c} string" for c in keys) + ", props map<string,string>, outgoing boolean"
