@@ -24,18 +24,32 @@ class Conflict(RuntimeError):
 
 
 class Change(NamedTuple):
-    """Rows (with a column `bucket`) that a table gains. `replaced`: buckets whose rows so far go."""
+    """Rows (with a column `bucket`) that a table gains, or rows that write() has written. `replaced`: buckets whose rows so far go."""
 
     table: str
-    rows: DataFrame
+    rows: DataFrame | Written
     replaced: Iterable[int] = ()
     order: tuple[str, ...] = ()
 
 
+class Written(NamedTuple):
+    """Folders of a table that no version names yet."""
+
+    table: str
+    generation: str
+    buckets: list[str]
+    schema: dict
+
+
 def bucket_of(n: int, *columns) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(n)).cast("int")
 
 
+def dealt(tasks: int, buckets: int, *columns) -> Column:
+    """The share of its bucket that a row belongs to where `tasks` partitions hold `buckets` buckets."""
+    return F.pmod(F.xxhash64(F.lit("share"), *columns), F.lit(max(1, -(-tasks // buckets)))).cast("int")
+
+
 def buckets_in(rows: DataFrame) -> list[int]:
     """The buckets that rows are in; as many as there are buckets at most."""
     return sorted(r["bucket"] for r in rows.select("bucket").distinct().collect())
@@ -95,30 +109,43 @@ class Store:
         if held is None:
             return self.spark.createDataFrame([], f"{kind}, bucket int")
         wanted = None if buckets is None else {int(b) for b in buckets}
-        paths = [f"{self.root}/{table}/generation={g}/bucket={b}" for b, gs in held["parts"].items() if wanted is None or int(b) in wanted for g in gs]
-        schema = StructType.fromJson(held["schema"])
+        return self._folders(table, held["schema"], [(g, b) for b, gs in held["parts"].items() if wanted is None or int(b) in wanted for g in gs])
+
+    def written(self, made: Written) -> DataFrame:
+        """Rows that write() has written."""
+        return self._folders(made.table, made.schema, [(made.generation, b) for b in made.buckets])
+
+    def _folders(self, table: str, schema: dict, held: list[tuple[str, str]]) -> DataFrame:
+        schema, paths = StructType.fromJson(schema), [f"{self.root}/{table}/generation={g}/bucket={b}" for g, b in held]
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", f"{self.root}/{table}").parquet(*paths).select(*schema.names)
 
+    def write(self, table: str, rows: DataFrame, order: tuple[str, ...] = (), generation: str | None = None, placed: bool = False, tasks: int = 0) -> Written:
+        """Writes rows into new folders. placed: each bucket's rows stand in few partitions already and are not moved.
+        tasks: partitions that share the buckets, each bucket dealt by `order`; 0: one a bucket."""
+        own = generation or f"early-{uuid.uuid4().hex[:12]}"
+        folder = f"{self.root}/{table}/generation={own}"
+        names = [c for c in rows.columns if c != "bucket"]
+        rows = rows.select(*names, F.col("bucket").cast("int").alias("bucket"))
+        if not placed:
+            rows = rows.repartition(tasks, "bucket", dealt(tasks, self.buckets, *order)) if tasks > self.buckets else rows.repartition(F.col("bucket"))
+        rows.sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(folder)
+        return Written(table, own, [b.removeprefix("bucket=") for b in self._names(folder) if b.startswith("bucket=")], json.loads(rows.schema.json()))
+
     def commit(self, changes: list[Change], facts: dict | None = None, writer: str | None = None, batch: int | None = None, state: dict | None = None) -> dict:
         """Writes the changes and points to them. state: the version they were made from; facts are laid over those so far."""
         before = state or self.state() or {"version": 0, "buckets": self.buckets, "tables": {}, "facts": {}, "applied": {}}
         after = json.loads(json.dumps(before)) | {"version": before["version"] + 1}
         generation = f"{after['version']:08d}-{uuid.uuid4().hex[:8]}"
         for k, change in enumerate(changes):
-            own = f"{generation}-{k}"
-            folder = f"{self.root}/{change.table}/generation={own}"
-            names = [c for c in change.rows.columns if c != "bucket"]
-            rows = change.rows.select(*names, F.col("bucket").cast("int").alias("bucket"))
-            rows.repartition(F.col("bucket")).sortWithinPartitions("bucket", *change.order).write.partitionBy("bucket").parquet(folder)
+            made = change.rows if isinstance(change.rows, Written) else self.write(change.table, change.rows, change.order, f"{generation}-{k}")
             held = after["tables"].setdefault(change.table, {"parts": {}})
-            held["schema"] = json.loads(rows.schema.json())
+            held["schema"] = made.schema
             for b in change.replaced:
                 held["parts"].pop(str(b), None)
-            for name in self._names(folder):
-                if name.startswith("bucket="):
-                    held["parts"].setdefault(name.removeprefix("bucket="), []).append(own)
+            for b in made.buckets:
+                held["parts"].setdefault(b, []).append(made.generation)
         after["facts"] |= facts or {}
         if writer is not None:
             after["applied"][writer] = batch
