@@ -30,13 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, arrow_limits, buffers, chain, hash_words, mix, pieces, settle, words
+from .common import SPACES, arrow_limits, buffers, chain, hash_words, mix, pieces, release, settle, words
 from .graph import components
 
 WORDS, PERCENT = 5, 75
 HASHES, ROUNDS, BITS = 8, 4, 1024
 #: Tokens a packed hash range holds, about; ranges grow in number with the corpus.
 RANGE = 2_000_000
+#: Pairs of nodes (two numbers each) that are sent to all tasks; more are joined by a shuffle of all nodes.
+PAIRS = 1 << 19
 _U = np.uint64
 
 
@@ -192,29 +194,36 @@ def shared_nodes(docs: DataFrame, ranges: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+    """The pairs (a, b) that link. Only tokens of nodes in pairs travel, and only once where the pairs are few."""
+    pairs = settle(pairs, "pairs")
+    few = pairs.limit(PAIRS + 1).count() <= PAIRS
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    if few:
+        b = b.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
     both = F.size(F.array_intersect("ta", "tb"))
-    sized = pairs.join(a, "a").join(b, "b").filter((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
+    sized = a.join(F.broadcast(pairs) if few else pairs, "a").join(b, "b").filter((100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")))
     return sized.withColumn("both", both).filter(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def _leaders(nodes: DataFrame, k: int) -> DataFrame:
-    """For each node the leader of another group that its bitmap is closest to: (a, b).
-
-    A leader stands for all nodes that agree in one, two or three min-hashes; each round draws others. Only
-    minima are gathered for a key, however many nodes share it.
-    """
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(node, key): a node's single min-hashes and those of two and three in a row."""
     one = F.transform("keys", lambda v, i: F.xxhash64(i, v))
     two = F.transform("keys", lambda v, i: F.xxhash64(i, v, F.get("keys", (i + 1) % HASHES)))
     three = F.transform("keys", lambda v, i: F.xxhash64(i, v, F.get("keys", (i + 1) % HASHES), F.get("keys", (i + 2) % HASHES)))
-    x = nodes.select("node", "n", "g", "bits", F.size("tokens").alias("all"), F.concat(one, two, three).alias("key"))
-    keyed = settle(x.withColumn("key", F.explode("key")), "keyed")
-    cols = ("node", "n", "g", "all", "bits")
-    drawn = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), *cols)).alias("x"), F.count("*").alias("c")).filter("c > 1")
-    drawn = drawn.select("key", *[F.col(f"x.{c}").alias(f"{c}2") for c in cols])
-    met = keyed.join(drawn, "key").filter((F.col("g") != F.col("g2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & _near())
+    return nodes.select("node", F.explode(F.concat(one, two, three)).alias("key"))
+
+
+def _leaders(keyed: DataFrame, seen: DataFrame, k: int) -> DataFrame:
+    """For each node (node, n, g, all, bits) the leader of another group that its bitmap is closest to: (a, b).
+
+    A leader stands for all nodes that agree in one, two or three min-hashes; each round draws others. Only minima are
+    gathered for a key, however many nodes share it, and bitmaps join the pairs that meet, not the keys.
+    """
+    drawn = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(k)).alias("draw"), "node")).alias("x"), F.count("*").alias("c")).filter("c > 1")
+    pairs = keyed.join(drawn.select("key", F.col("x.node").alias("node2")), "key").filter("node <> node2").select("node", "node2").distinct()
+    other = seen.select(*[F.col(c).alias(f"{c}2") for c in ("node", "n", "g", "all", "bits")])
+    met = pairs.join(other, "node2").join(seen, "node").filter((F.col("g") != F.col("g2")) & (100 * F.least("n", "n2") >= PERCENT * F.greatest("n", "n2")) & _near())
     return met.groupBy("node").agg(F.min(F.struct(_apart().alias("d"), F.col("node2").alias("b"))).alias("x")).select(F.col("node").alias("a"), F.col("x.b").alias("b"))
 
 
@@ -232,12 +241,14 @@ def links(nodes: DataFrame) -> DataFrame:
     """Edges (a, b) between nodes (node, n, tokens, keys) whose components are those of all links."""
     group = nodes.select("node", F.col("node").alias("g"))
     stars = lambda: group.filter("node <> g").select(F.col("node").alias("a"), F.col("g").alias("b"))
+    keyed, slim = settle(_keyed(nodes), "keyed"), settle(nodes.select("node", "n", F.size("tokens").alias("all"), "bits"), "slim")
     for k in range(ROUNDS):
-        new = settle(_verified(_leaders(nodes.join(group, "node"), k), nodes), "stars")
+        new = settle(_verified(_leaders(keyed, slim.join(group, "node"), k), nodes), "stars")
         if new.isEmpty():  # groups stay as they are
             continue
         roots = components(stars().unionByName(new))
         group = settle(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g")), "group")
+    release(keyed, slim)
     member = settle(nodes.join(group, "node").select("node", "n", "g", "tokens", "bits"), "groups")
     held = member.select("node", "n", "g", F.explode("tokens").alias("t"))
     between = held.select("t", "g").distinct().groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
