@@ -5,28 +5,31 @@ shingles as 64-bit hashes (a text with fewer words: the whole sequence; without
 texts link when 100 * |A and B| >= 75 * |A or B|. Result: components of links, none lost:
 
 1. Texts with equal sets are one node (named by a hash of the set).
-2. Shingles travel once, packed by hash range, to find those that a second node holds too. A node needs
-   75 % of its shingles in common with another; nodes with fewer shared ones are done.
+2. Two sets that link have an eighth of their shingles in common among the first 3/8 of each by hash. Those alone travel,
+   packed by hash range, and nodes of which others of about their size hold fewer are done. The rest is read once more
+   and travels whole in the same way: a node needs 75 % of its shingles in common with another.
 3. The rest is partitioned into groups of similar nodes: nodes that agree in a min-hash gather around a
    leader, and those that really link with it are its group (components of such links).
 4. The token-group matrix holds each group's token union. Shingles of one group only can't make links
-   between groups, so nodes short of 75 % without them are done. The others look up their rarest shingles
-   (as many as a link can miss, plus one) in the matrix. Sizes, the tokens left from a common one on and a
-   parity bitmap bound each overlap; then the overlap with the token union of each group found bounds that
-   with its members, and only groups that qualify are opened and compared exactly.
+   between groups; of the first half of its shingles by hash a node needs a quarter of its size in other groups.
+   Those that have it look up their rarest ones (as many as a link can miss, plus one) in the matrix. Sizes, the tokens
+   left from a common one on and a parity bitmap bound each overlap; then the overlap with the token union of each
+   group found bounds that with its members, and only groups that qualify are opened and compared exactly.
 
 Everything but step 3's choice of leaders is exact, and step 3 only saves work for step 4.
 
 Defined cases: null or blank text: n_shingles 0, component = own id; repeated rows stay repeated; texts of any
 length are whole; empty table: empty result; a null id is in the result with the component of its class, whose id
 is the least that is not null.
-Nodes are named by 64 bits, tokens by at least 46 bits, of which only those of two compared texts must differ.
+Nodes are named by 64 bits (48 in step 2, where only those of two nodes that link must differ), tokens by 64 bits, in step 2
+by 43 at least, of which only those of one text must differ.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +42,12 @@ HASHES, ROUNDS, BITS = 8, 4, 1024
 RANGE = 2_000_000
 #: Pairs of nodes (two numbers each) that are sent to all tasks; more are joined by a shuffle of all nodes.
 PAIRS = 1 << 19
+#: Rows (a number each) that are sent to all tasks to find their texts; more are joined by a shuffle of all texts.
+ROWS = 1 << 21
+#: Of the shingles that two sets have in common at least, the share (1 / SHARE) that is to be among their first ones, in steps 2 and 4.
+SHARE, LATE_SHARE = 6, 3
+#: Per cent of a set's shingles that are its first ones, about.
+FIRST = 100 - PERCENT + PERCENT // SHARE
 _U = np.uint64
 
 
@@ -94,103 +103,159 @@ def sets(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("text_hash"), text.alias("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
 
-# --- packed lists: per node its name, its set's size, and some of its tokens
+def overlap(n):
+    """Shingles that a set of n (a column or an array of whole numbers) has in common with one it links with, at least."""
+    return -(-PERCENT * n // 100) if isinstance(n, np.ndarray) else F.ceil(n * PERCENT / 100)
 
 
-def _pack(node, size, count, tokens) -> bytes:
-    return b"".join([np.array([len(node), len(tokens)], "<i8").tobytes(), node.astype("<i8").tobytes(), size.astype("<u4").tobytes(), count.astype("<u4").tobytes(), np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()])
+def wanted(n, share: int):
+    """Common shingles at least among the first n - overlap(n) + wanted(n) by hash of each of two sets that link."""
+    return np.maximum(1, overlap(n) // share) if isinstance(n, np.ndarray) else F.greatest(F.lit(1), F.floor(overlap(n) / share))
 
 
-def _unpack(blob: bytes):
-    m, t = np.frombuffer(blob, "<i8", 2)
-    node, size, count = np.frombuffer(blob, "<i8", m, 16), np.frombuffer(blob, "<u4", m, 16 + 8 * m), np.frombuffer(blob, "<u4", m, 16 + 12 * m)
-    low = np.zeros((t, 8), np.uint8)
-    low[:, :5] = np.frombuffer(blob, np.uint8, 5 * t, 16 + 16 * m).reshape(-1, 5)
-    return node, size, count, low.reshape(-1).view("<u8")
+def grade(n: np.ndarray) -> np.ndarray:
+    """A class of sizes; sets that link are at most two classes apart."""
+    return np.searchsorted((100 / PERCENT) ** (np.arange(1, 200) / 2), n, "right").astype(np.uint8)
 
 
-def _gather(column):
-    """All lists of a group: (node, size, token) per token."""
-    parts = [_unpack(x.as_py()) for x in column]
-    count = np.concatenate([p[2] for p in parts])
-    return np.repeat(np.concatenate([p[0] for p in parts]), count), np.repeat(np.concatenate([p[1] for p in parts]), count), np.concatenate([p[3] for p in parts])
+# --- packed lists: 48 bits of a node's name, its class of sizes, a count of up to 255, and as many tokens of 40 bits
 
+_LISTS = pa.schema([("part", pa.int32()), ("lists", pa.binary())])
 
-def _deal(key: np.ndarray, node: np.ndarray, size: np.ndarray, tokens: np.ndarray, schema: pa.Schema):
-    """Lists by key: tokens sorted by key, then node."""
-    order = np.lexsort((node, key))
-    key, node, size, tokens = key[order], node[order], size[order], tokens[order]
+
+def _low(values: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def _wide(blob: bytes, m: int, n: int, at: int) -> np.ndarray:
+    out = np.zeros((m, 8), np.uint8)
+    out[:, :n] = np.frombuffer(blob, np.uint8, n * m, at).reshape(-1, n)
+    return out.reshape(-1).view("<u8")
+
+
+def _pack(name, size, count, tokens) -> bytes:
+    return b"".join([np.array([len(name), len(tokens)], "<u4").tobytes(), _low(name, 6), size.tobytes(), count.astype("u1").tobytes(), _low(tokens, 5)])
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, class of sizes, token) per token."""
+    m, t = (int(x) for x in np.frombuffer(blob, "<u4", 2))
+    count = np.frombuffer(blob, "u1", m, 8 + 7 * m)
+    return np.repeat(_wide(blob, m, 6, 8), count), np.repeat(np.frombuffer(blob, "u1", m, 8 + 6 * m), count), _wide(blob, t, 5, 8 + 8 * m)
+
+
+def _deal(node: np.ndarray, n: np.ndarray, count: np.ndarray, tokens: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Lists by hash range of nodes (name, size, number of tokens here, tokens end to end)."""
+    tokens = mix(tokens.copy())
+    key = ((tokens >> _U(40)) % _U(ranges)).astype(np.int32)
+    name, size = np.repeat(node.view(np.uint64) >> _U(16), count), np.repeat(grade(n), count)
+    order = np.lexsort((name, key))
+    key, name, size, tokens = key[order], name[order], size[order], tokens[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (name[1:] != name[:-1]) | (size[1:] != size[:-1]))[: len(key)]
+    since = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    new |= since % 255 == 0
     cut = np.flatnonzero(np.diff(key)) + 1
     ks, blobs = [], []
     for a, b in zip([0, *cut], [*cut, len(key)]):
         if b > a:
-            at = np.concatenate([[a], a + 1 + np.flatnonzero(np.diff(node[a:b]))])
+            at = a + np.flatnonzero(new[a:b])
             ks.append(int(key[a]))
-            blobs.append(_pack(node[at], size[at], np.diff(np.append(at, b)), tokens[a:b]))
-    return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], schema=schema)
+            blobs.append(_pack(name[at], size[at], np.diff(np.append(at, b)), tokens[a:b]))
+    return pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array(blobs, pa.binary())], schema=_LISTS)
 
 
-def shared_nodes(docs: DataFrame, ranges: int) -> DataFrame:
-    """(node, n, tokens, keys): nodes of which 75 % of the shingles are in another node too, with those shingles and min-hashes."""
-    schema = pa.schema([("part", pa.int32()), ("lists", pa.binary())])
-    share = _U(ranges)
+def _held(dealt: DataFrame) -> DataFrame:
+    """(name, c): how many of its dealt tokens another node of about its size holds too."""
+    out = pa.schema([("name", pa.int64()), ("c", pa.int64())])
+
+    def common(key, table):
+        parts = [_unpack(x.as_py()) for x in table.column("lists")]
+        name, size, token = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((name, size, token))
+        name, size, token = name[order], size[order].astype(np.int16), token[order]
+        new = np.append(True, (token[1:] != token[:-1]) | (name[1:] != name[:-1]))
+        name, size, token = name[new], size[new], token[new]
+        same = (token[1:] == token[:-1]) & (size[1:] - size[:-1] <= 2)
+        found, c = np.unique(name[np.append(same, False) | np.append(False, same)], return_counts=True)
+        return pa.Table.from_arrays([pa.array(found.astype(np.int64)), pa.array(c.astype(np.int64))], schema=out)
+
+    return dealt.groupBy("part").applyInArrow(common, "name long, c long").groupBy("name").agg(F.sum("c").alias("c"))
+
+
+def _first_lists(docs: DataFrame, ranges: int) -> DataFrame:
+    """The first shingles of each text, dealt; equal sets of a batch travel once."""
 
     def spread(batches):
         for b in batches:
             for p in pieces(b, "text"):
                 off, tokens = shingles(p.column("text"))
-                size, name = np.diff(off), names(off, tokens)
-                # equal sets of this batch travel once
+                name = names(off, tokens)
                 _, once = np.unique(name, return_index=True)
-                take = np.zeros(len(name), bool)
-                take[once] = True
-                take = np.repeat(take, size)
-                node, n = np.repeat(name, size)[take], np.repeat(size, size)[take]
-                tokens = tokens[take]
-                if len(tokens):
-                    yield _deal(((tokens >> _U(40)) % share).astype(np.int32), node, n, tokens, schema)
+                n = np.diff(off)[once]
+                first = np.where(n > 0, n - overlap(n) + wanted(n, SHARE), 0)
+                at = np.repeat(off[once] - np.cumsum(first) + first, first) + np.arange(first.sum())
+                yield _deal(name[once], n, first, tokens[at], ranges)
+
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "part int, lists binary")
 
-    def common(key, table):
-        part = key[0].as_py()
-        node, size, tokens = _gather(table.column("lists"))
-        order = np.lexsort((node, tokens))
-        node, size, tokens = node[order], size[order], tokens[order]
-        same = tokens[1:] == tokens[:-1]
-        new = np.append(True, ~(same & (node[1:] == node[:-1])))
-        node, size, tokens = node[new], size[new], tokens[new]
-        same = tokens[1:] == tokens[:-1]
-        held = np.append(same, False) | np.append(False, same)
-        node, size, tokens = node[held], size[held], tokens[held]
-        back = (mix(node.astype(np.uint64)) % share).astype(np.int32)
-        # 40 bits and the range, which is kept in the high bits
-        return pa.Table.from_batches([_deal(back, node, size, tokens, schema).append_column("from", pa.array(np.full(len(np.unique(back)), part), pa.int32()))])
 
+def _whole_lists(nodes: DataFrame, ranges: int) -> DataFrame:
+    """All tokens of nodes, dealt."""
+
+    def spread(batches):
+        for b in batches:
+            tokens = b.column("tokens")
+            yield _deal(b.column("node").to_numpy(), b.column("n").to_numpy(), pc.list_value_length(tokens).to_numpy(), pc.list_flatten(tokens).to_numpy().view(np.uint64), ranges)
+
+    return nodes.select("node", "n", "tokens").mapInArrow(spread, "part int, lists binary")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """The rows for a semi-join: sent to all tasks unless they are many."""
+    return F.broadcast(rows) if rows.limit(ROWS + 1).count() <= ROWS else rows
+
+
+def _ranges(tokens: int) -> int:
+    return max(8, -(-tokens // RANGE))
+
+
+def shared_nodes(docs: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, n, tokens, keys, bits): nodes of docs (own: sets(docs)) of which 75 % of the shingles are in other nodes of about
+    their size, with their shingles by hash, min-hashes and parity bitmap. Of each one that passes with its first shingles a
+    row is read whole, found by a hash of its text and id."""
     out = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
 
-    def enough(key, table):
-        parts = [_unpack(x.as_py()) for x in table.column("lists")]
-        high = np.repeat(table.column("from").to_numpy().astype(np.uint64), [len(p[3]) for p in parts])
-        node, size, tokens = _gather(table.column("lists"))
-        tokens = tokens | (high << _U(40))
-        order = np.lexsort((tokens, node))
-        node, size, tokens = node[order], size[order], tokens[order]
-        at = np.concatenate([[0], 1 + np.flatnonzero(np.diff(node))]) if len(node) else np.zeros(0, np.int64)
-        count = np.diff(np.append(at, len(node)))
-        keep = 100 * count >= PERCENT * size[at].astype(np.int64)
-        wide = np.repeat(keep, count)
-        at, n, count, tokens = at[keep], size[at][keep], count[keep], tokens[wide]
-        off = np.concatenate([[0], np.cumsum(count)])
-        keys = np.zeros((len(at), HASHES), np.int64)
-        for k in range(HASHES if len(at) else 0):
-            keys[:, k] = np.minimum.reduceat(mix(tokens * _U(2 * k + 3) + _U(0x9E3779B97F4A7C15 >> k)), off[:-1]).view(np.int64)
-        bits = np.bincount(np.repeat(np.arange(len(at)), count) * BITS + (mix(tokens.copy()) % _U(BITS)).astype(np.int64), minlength=len(at) * BITS).astype(np.uint8) & 1
-        bits = np.packbits(bits.reshape(len(at), BITS), axis=1, bitorder="little").reshape(-1).view("<i8")
-        lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int64()))
-        return pa.Table.from_arrays([pa.array(node[at]), pa.array(n.astype(np.int64)), lists(off, tokens.view(np.int64)), lists(np.arange(0, keys.size + 1, HASHES), keys.reshape(-1)), lists(np.arange(0, len(bits) + 1, BITS // 64), bits)], schema=out)
-
-    dealt = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(spread, "part int, lists binary")
-    held = dealt.groupBy("part").applyInArrow(common, "part int, lists binary, from int")
-    return held.groupBy("part").applyInArrow(enough, "node long, n long, tokens array<long>, keys array<long>, bits array<long>")
+    def whole(batches):
+        for b in batches:
+            for p in pieces(b, "text"):
+                off, tokens = shingles(p.column("text"))
+                node, n = names(off, tokens), np.diff(off)
+                node, n = node[n > 0], n[n > 0]
+                off = np.concatenate([[0], np.cumsum(n)])
+                keys = np.zeros((len(n), HASHES), np.int64)
+                for k in range(HASHES if len(n) else 0):
+                    keys[:, k] = np.minimum.reduceat(mix(tokens * _U(2 * k + 3) + _U(0x9E3779B97F4A7C15 >> k)), off[:-1]).view(np.int64)
+                bits = np.bincount(np.repeat(np.arange(len(n)), n) * BITS + (mix(tokens.copy()) % _U(BITS)).astype(np.int64), minlength=len(n) * BITS).astype(np.uint8) & 1
+                bits = np.packbits(bits.reshape(len(n), BITS), axis=1, bitorder="little").reshape(-1).view("<i8")
+                lists = lambda o, v: pa.ListArray.from_arrays(pa.array(o, pa.int32()), pa.array(v, pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(n), lists(off, tokens.view(np.int64)), lists(np.arange(0, keys.size + 1, HASHES), keys.reshape(-1)), lists(np.arange(0, len(bits) + 1, BITS // 64), bits)], schema=out)
+
+    named = lambda x: x.withColumn("name", F.shiftrightunsigned("node", 16))
+    total = own.agg(F.sum("n_shingles")).first()[0] or 0
+    one = own.filter("n_shingles > 0").groupBy("node").agg(F.min(F.struct("text_hash", "doc_id")).alias("x"), F.min("n_shingles").alias("n"))
+    may = named(one).join(_held(_first_lists(docs, _ranges(total * FIRST // 100))), "name").filter(F.col("c") >= wanted(F.col("n"), SHARE))
+    rows = settle(may.select(F.xxhash64("x.text_hash", "x.doc_id").alias("row")), "rows")
+    text = F.col("text").cast("string")
+    said = docs.select(text.alias("text"), F.xxhash64(F.xxhash64(text), F.col("doc_id").cast("long")).alias("row"))
+    read = settle(said.join(_few(rows), "row", "left_semi").select("text").mapInArrow(whole, "node long, n long, tokens array<long>, keys array<long>, bits array<long>"), "read")
+    each = read.groupBy("node", "n").agg(F.count("*").alias("rows"))
+    total = read.agg(F.sum("n")).first()[0] or 0
+    kept = settle(named(each).join(_held(_whole_lists(read, _ranges(total))), "name").filter(F.col("c") >= overlap(F.col("n"))).select("node", "rows"), "kept")
+    found = read.join(_few(kept.select("node")), "node", "left_semi")
+    # rows that repeat an id and its text
+    nodes = settle(found if kept.filter("rows > 1").isEmpty() else found.dropDuplicates(["node"]), "nodes")
+    release(rows, read, kept)
+    return nodes
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -250,26 +315,27 @@ def links(nodes: DataFrame) -> DataFrame:
         group = settle(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("g")), "group")
     release(keyed, slim)
     member = settle(nodes.join(group, "node").select("node", "n", "g", "tokens", "bits"), "groups")
-    held = member.select("node", "n", "g", F.explode("tokens").alias("t"))
+    k = wanted(F.col("n"), LATE_SHARE).cast("int")
+    first = (F.col("n") - overlap(F.col("n")) + k).cast("int")
+    held = member.select("node", "n", "g", F.explode(F.slice("tokens", F.lit(1), first)).alias("t"))
     between = held.select("t", "g").distinct().groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
-    need = F.ceil(F.col("n") * PERCENT / 100)
-    open_ = held.join(between, "t").groupBy("node", "n", "g").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s")).filter(F.size("s") >= need)
-    # against partners of its own size or more, a node needs more in common, so fewer of its tokens stand in the matrix
-    more = F.ceil(F.col("n") * 2 * PERCENT / (100 + PERCENT))
-    open_ = open_.withColumns({"m": F.size("s"), "few": (F.size("s") - need + 1).cast("int"), "least": (F.size("s") - more + 1).cast("int")})
+    open_ = held.join(between, "t").groupBy("node", "n", "g").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("s")).filter(F.size("s") >= k)
+    open_ = open_.withColumns({"m": F.size("s"), "few": F.size("s") - k + 1})
     open_ = settle(open_.join(member.select("node", "bits", F.size("tokens").alias("all")), "node"), "open")
-    asks = open_.select("node", "n", "g", "least", "all", "bits", "m", F.posexplode(F.slice("s", F.lit(1), F.col("few"))).alias("j", "x"))
-    asks = asks.select("node", "n", "g", "least", "all", "bits", "j", (F.col("m") - F.col("j")).alias("rest"), F.col("x.t").alias("t"))
-    matrix = asks.filter("j < least").select("t", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "g", "all", "bits", "rest")])
-    both = F.col("n") + F.col("n2")
+    asks = open_.select("node", "n", "g", "all", "bits", "m", F.posexplode(F.slice("s", F.lit(1), F.col("few"))).alias("j", "x"))
+    asks = asks.select("node", "n", "g", "all", "bits", (F.col("m") - F.col("j")).alias("rest"), F.col("x.t").alias("t"))
+    matrix = asks.select("t", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "g", "all", "bits", "rest")])
+    # what two sets of these sizes have in common at least, and how much of it is among their first shingles
+    both = F.ceil((F.col("n") + F.col("n2")) * PERCENT / (100 + PERCENT))
+    early = F.least(*[wanted(F.col(c), LATE_SHARE) + both - overlap(F.col(c)) for c in ("n", "n2")])
     fits = (
         (F.col("g") != F.col("g2")) & ((F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("node2") < F.col("node")))) & (100 * F.col("n2") >= PERCENT * F.col("n"))
-        & ((100 + PERCENT) * F.least("rest", "rest2") >= PERCENT * both)  # what is left from a first common token on
+        & (F.least("rest", "rest2") >= early)  # what is left from a first common token on
         & _near()
     )
     met = settle(asks.join(matrix, "t").filter(fits).select("node", "g2", "node2").distinct(), "met")
-    union = open_.join(met.select(F.col("g2").alias("g")).distinct(), "g", "left_semi").select(F.col("g").alias("g2"), F.explode("s.t").alias("t")).groupBy("g2").agg(F.collect_set("t").alias("union"))
-    bound = met.select("node", "g2").distinct().join(open_.select("node", "n", F.col("s.t").alias("own")), "node").join(union, "g2").filter(100 * F.size(F.array_intersect("own", "union")) >= PERCENT * F.col("n"))
+    union = member.join(met.select("g2").distinct(), F.col("g") == F.col("g2"), "left_semi").select(F.col("g").alias("g2"), F.explode("tokens").alias("t")).groupBy("g2").agg(F.collect_set("t").alias("union"))
+    bound = met.select("node", "g2").distinct().join(member.select("node", "n", F.col("tokens").alias("own")), "node").join(union, "g2").filter(100 * F.size(F.array_intersect("own", "union")) >= PERCENT * F.col("n"))
     opened = bound.select("node", "g2")
     pairs = met.join(opened, ["node", "g2"], "left_semi").select(F.col("node").alias("a"), F.col("node2").alias("b"))
     return stars().unionByName(_verified(pairs, nodes))
@@ -278,10 +344,7 @@ def links(nodes: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_hash, n_shingles, node) of each row of docs, and (node, root) of the nodes that have links."""
     own = settle(sets(docs), "sets")
-    total = own.agg(F.sum("n_shingles")).first()[0] or 0
-    ranges = max(8, -(-total // RANGE))
-    nodes = settle(shared_nodes(docs, ranges), "nodes")
-    return own, components(links(nodes))
+    return own, components(links(shared_nodes(docs, own)))
 
 
 def _least(own: DataFrame, found: DataFrame, key) -> DataFrame:
